@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, warc
-from .common import table
+from . import chat, decontamination, exact_dedup, line_dedup, near_dup, packing, token_files, warc
+from .common import scratch, table
 
 
 def op3_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +80,33 @@ SELECT l.doc_id, CAST(max(n) AS INTEGER) AS n_lines,
 FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id
 """
 
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("code")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.checksums(token_files.read_tokens(spark, path))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES = {
+    "op1_decontamination": (op1_decontamination, None),
     "op3_chat_snapshots": (op3_chat_snapshots, OP3),
     "op4_warc_round_trip": (op4_warc_round_trip, OP4),
+    "op5_near_duplicates": (op5_near_duplicates, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6),
+    "op8_token_files": (op8_token_files, None),
+    "op9_packing": (op9_packing, None),
     "op10_line_dedup": (op10_line_dedup, OP10),
 }
