@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, line_dedup, near_dup, packing, token_files, warc
+from . import chat, decontamination, exact_dedup, line_dedup, near_dup, packing, pii, token_files, toxicity, warc
 from .common import scratch, table
 
 
@@ -86,6 +86,37 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train_on(docs))
+
+    def listed(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.getField("kind"), s.getField("begin").cast("string"), s.getField("end").cast("string"))))
+
+    def number_of(kind):
+        return F.size(F.filter("spans", lambda s: s.getField("base") & (s.getField("kind") == kind))).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s.getField("base"))
+    return found.select(
+        "doc_id", *map(number_of, pii.KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added")
+    )
+
+
+def in_fold(column: str = "doc_id"):
+    """Whether a row's label is held out."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def toxicity_field(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Field:
+    return toxicity.train(docs, table(spark, sf_dir, "labels").where(~in_fold()))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_field(spark, docs, sf_dir))
+    return scored.select("doc_id", in_fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("code")
 
@@ -104,6 +135,8 @@ QUERIES = {
     "op1_decontamination": (op1_decontamination, None),
     "op3_chat_snapshots": (op3_chat_snapshots, OP3),
     "op4_warc_round_trip": (op4_warc_round_trip, OP4),
+    "op2_pii": (op2_pii, None),
+    "op7_toxicity": (op7_toxicity, None),
     "op5_near_duplicates": (op5_near_duplicates, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6),
     "op8_token_files": (op8_token_files, None),
