@@ -28,8 +28,8 @@ def _pieces(path: str, end_id: int, size: int):
         words, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             for start, texts in texts_of(b.column(1)):
-                for i, text in enumerate(texts):
-                    ids = words.encode(text) + end
+                for i, ids in enumerate(words.encode_all(texts)):
+                    ids += end
                     doc = b.column(0)[start + i].as_py()
                     for k, at in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[at : at + 4 * size]

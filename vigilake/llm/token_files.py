@@ -30,7 +30,7 @@ def _encode(path: str, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for start, texts in texts_of(b.column(1)):
-                coded = [words.encode(t) + end for t in texts]
+                coded = [ids + end for ids in words.encode_all(texts)]
                 n = np.array([len(c) // 4 for c in coded], np.int64)
                 ends = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))]))

@@ -2,50 +2,77 @@
 
 from __future__ import annotations
 
-import re
+from array import array
 from functools import lru_cache
+from unicodedata import is_normalized
 
-#: White space of str.split() that the tokenizer's pattern may see otherwise.
-_ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: White space of str.split() that the tokenizer's pattern may see otherwise, and a letter whose lower case depends on its place.
+_ODD = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x3A3)]
+#: A sign after a letter or digit, where the tokenizer always parts.
+_SIGN = r"([\pL\pN])([.,!?;:#$%&*|])"
 
 
 class WordEncoder:
-    """Encodes texts whose tokenizer drops white space and never joins what white space parts.
+    """Encodes texts by a tokenizer that composes, lowers case, drops white space and parts letters from signs.
 
-    Then the ids of a text are those of its white-space-free pieces in order, so each distinct piece
-    is encoded once and its ids are kept as little-endian 32-bit bytes. Texts with unusual white
-    space are given to the library whole. limit: pieces that are kept before the cache is emptied.
+    Then the ids of a text are those of its pieces in order, where it is lowered and cut at white
+    space and between a letter or digit and a sign; so each distinct piece is encoded once and its
+    ids are kept as little-endian 32-bit bytes. A text for which that may not hold is given to the
+    library whole. limit: pieces that are kept; beyond it those that have come up again stay.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.cache = Tokenizer.from_file(path), limit, {}
+        self.often: set[str] = set()
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if _ODD.search(text):
-            return self._ids([text])[0]
-        words, cache = text.split(), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            new = list({w for w in words if w not in cache})
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _low(text: str) -> str | None:
+        """The text in lower case, or None if it must be given to the library whole."""
+        if "<|" in text or any(c in text for c in (_ODD[:4] if text.isascii() else _ODD)):
+            return None
+        low = text.lower()
+        return low if low.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low) else None
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        cache = self.cache
+        new = [w for w in words if w not in cache]
         if len(cache) + len(new) > self.limit:
-            cache.clear()
-            new = list(set(words))
-        own = dict(zip(new, self._ids(new)))
-        if len(own) <= self.limit:
-            cache.update(own)
-            return b"".join(map(cache.__getitem__, words))
-        return b"".join(cache.get(w) or own[w] for w in words)
+            now = set(words)
+            self.often = {w for w in self.often if w in now} if len(self.often) > self.limit // 2 else self.often
+            self.cache = cache = {w: ids for w, ids in cache.items() if w in self.often or w in now}
+            new = [w for w in words if w not in cache]
+        if len(new) < len(words):
+            self.often.update(w for w in words if w in cache)
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            cache.update(zip(part, self._ids(part)))
+        return [cache[w] for w in words]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        low = [self._low(t) for t in texts]
+        rows = pc.ascii_split_whitespace(pc.replace_substring_regex(pa.array([t or "" for t in low], pa.string()), _SIGN, r"\1 \2"))
+        coded = rows.values.dictionary_encode()
+        parts = self._known(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        start, which = np.cumsum(size) - size, coded.indices.to_numpy()
+        n = size[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.repeat(start[which] - ends[:-1], n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(parts), "<u4")[place].tobytes() if len(parts) else b""
+        cuts = (4 * ends[rows.offsets.to_numpy()]).tolist()
+        return [self._ids([t])[0] if own is None else ids[i:j] for t, own, i, j in zip(texts, low, cuts[:-1], cuts[1:])]
 
 
 @lru_cache(maxsize=2)
