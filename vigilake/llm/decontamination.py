@@ -55,7 +55,7 @@ class Index:
             cuts = max(1, len(body) // piece)
             for k in range(cuts):
                 part = body[k * piece : (k + 1) * piece if k + 1 < cuts else len(body)]
-                edits = max(0, min(int(rate * len(part)), len(part) // q - 2))
+                edits = max(0, min(int(rate * len(part)), len(part) // q - 1))
                 self.pieces.append((item, part, edits, len(part) + 1 - q * (edits + 1)))
         hashes, owner, place = [], [], []
         for i, (_, part, _, _) in enumerate(self.pieces):
@@ -73,43 +73,41 @@ class Index:
         self.known[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         self.bound = min((p[3] for p in self.pieces), default=1)
         self.span = max((len(p[1]) + p[2] for p in self.pieces), default=q)
+        self.edits, self.least, self.length = (np.array([f(p) for p in self.pieces], np.int64) for f in (lambda p: p[2], lambda p: p[3], lambda p: len(p[1])))
 
-    def regions(self, grams: np.ndarray) -> list[tuple[int, int]]:
-        """Stretches [i, j) of q-gram places, merged, in which span places hold at least bound known q-grams."""
+    def candidates(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
+        """(piece, begin, end): stretches of a text with the given q-grams in which a band of diagonals reaches a piece's bound."""
         hit = self.known[(grams >> np.uint64(64 - _BITS)).astype(np.int64)]
-        total = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
         wide = min(self.span - self.q + 1, len(hit))
-        dense = np.flatnonzero(total[wide:] - total[:-wide] >= self.bound) if wide else []
-        if not len(dense):
+        total = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
+        dense = total[wide:] - total[:-wide] >= self.bound
+        if not dense.any():
             return []
-        breaks = np.flatnonzero(np.diff(dense) > wide)
-        return list(zip(dense[np.concatenate([[0], breaks + 1])].tolist(), (dense[np.concatenate([breaks, [len(dense) - 1]])] + wide).tolist()))
-
-    def search(self, body: str, grams: np.ndarray, first: int, last: int) -> Iterator[tuple[int, int, int, int]]:
-        """(item, begin, end, edits) of the pieces found in body around the q-gram places [first, last)."""
-        part = grams[first:last]
+        # a place stays if it lies in a stretch of the widest piece that has the least bound of hits
+        before = np.cumsum(np.concatenate([np.zeros(wide, bool), dense, np.zeros(wide - 1, bool)]), dtype=np.int32)
+        where = np.flatnonzero(hit & (before[wide:] > before[:-wide]))
+        part = grams[where]
         low, high = np.searchsorted(self.hashes, part, "left"), np.searchsorted(self.hashes, part, "right")
         n = high - low
-        if not n.sum():
-            return
-        where = np.repeat(np.arange(first, last), n)
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        owner, diagonal = self.owner[at], where - self.place[at]
-        for i in np.unique(owner).tolist():
-            item, piece, edits, bound = self.pieces[i]
-            mine = owner == i
-            if mine.sum() < bound:
-                continue
-            d, step = diagonal[mine], edits + 1
-            # bands are two steps wide, one step apart: any step + 1 neighbouring diagonals lie in one of them
-            band = np.concatenate([d // step, d // step - 1])
-            bands, counts = np.unique(band, return_counts=True)
-            for b in bands[counts >= bound].tolist():
-                begin, end = max(0, b * step - edits), min(len(body), (b + 2) * step + len(piece) + edits)
-                found = align(piece, body[begin:end], edits)
-                if found:
-                    yield item, begin + found[0], begin + found[1], found[2]
-                    break
+        where = np.repeat(where, n)
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        owner = self.owner[at]
+        step = self.edits[owner] + 1
+        # bands are two steps wide, one step apart: any step + 1 neighbouring diagonals lie in one of them
+        band = (where - self.place[at] + self.span) // step
+        key = (owner << 40) + band
+        keys, inside, counts = np.unique(np.concatenate([key, key - 1]), return_inverse=True, return_counts=True)
+        owner = keys >> 40
+        enough = counts >= self.least[owner]
+        # of these bands, hits count once for each place of the text, and once for each place of the piece
+        mine = enough[inside]
+        for place in (np.tile(where, 2), np.tile(self.place[at], 2)):
+            once = np.unique((inside[mine].astype(np.int64) << 32) + place[mine]) >> 32
+            enough &= np.bincount(once, minlength=len(keys)) >= self.least[owner]
+        keys, owner = keys[enough], owner[enough]
+        begin = (keys - (owner << 40)) * (self.edits[owner] + 1) - self.span - self.edits[owner]
+        end = begin + 2 * (self.edits[owner] + 1) + self.length[owner] + 2 * self.edits[owner]
+        return list(zip(owner.tolist(), begin.tolist(), end.tolist()))
 
 
 def align(piece: str, text: str, edits: int) -> tuple[int, int, int] | None:
@@ -148,22 +146,18 @@ def _scan(index: Index, texts: list[str]) -> Iterator[tuple[int, str, list[tuple
     grams = _grams(np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64), index.q)
     if not len(grams) or not index.pieces:
         return
-    starts = np.concatenate([[0], np.cumsum([len(b) + 1 for b in bodies])])
-    near: dict[int, list[tuple[int, int]]] = {}
-    for i, j in index.regions(grams):
-        for k in range(int(np.searchsorted(starts, i, "right")) - 1, int(np.searchsorted(starts, j, "left"))):
-            near.setdefault(k, []).append((i, j))
-    for k, spans in near.items():
-        own = grams[starts[k] : max(starts[k], starts[k + 1] - index.q)]
-        finds: dict[int, tuple[int, int, int, int]] = {}
-        for i, j in spans:
-            first, last = max(0, i - int(starts[k])), min(len(own), j - int(starts[k]))
-            if first < last:
-                for found in index.search(bodies[k], own, first, last):
-                    if found[0] not in finds or found[3] < finds[found[0]][3]:
-                        finds[found[0]] = found
-        if finds:
-            yield k, bodies[k], sorted(finds.values())
+    starts = np.cumsum([0, *(len(b) + 1 for b in bodies)])
+    finds: dict[int, dict[int, tuple[int, int, int, int]]] = {}
+    for i, begin, end in index.candidates(grams):
+        item, piece, edits, _ = index.pieces[i]
+        for k in range(max(0, int(np.searchsorted(starts, begin, "right")) - 1), min(len(bodies), int(np.searchsorted(starts, end, "left")))):
+            at = max(0, begin - int(starts[k]))
+            found = align(piece, bodies[k][at : max(0, end - int(starts[k]))], edits)
+            own = finds.setdefault(k, {}) if found else {}
+            if found and (item not in own or found[2] < own[item][3]):
+                own[item] = (item, at + found[0], at + found[1], found[2])
+    for k in sorted(finds):
+        yield k, bodies[k], sorted(finds[k].values())
 
 
 def _places(text: str) -> list[tuple[int, int]]:
@@ -191,7 +185,7 @@ def _blocks(benchmark: DataFrame, q: int, rate: float, piece: int, least: int, b
         yield Index([tuple(r) for r in rows], q, rate, piece, least)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 6, rate: float = 0.1, piece: int = 80, least: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, piece: int = 80, least: int = 40, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, begin, end, edits: the best find of each benchmark item in each row of docs.
 
     docs(doc_id, text, ...), benchmark(item_id, text, ...). Texts are compared as lower-case words;
@@ -221,7 +215,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 6, rate: float = 0.1,
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = 6, rate: float = 0.1, piece: int = 80, least: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, piece: int = 80, least: int = 40, block_chars: int = 4_000_000) -> DataFrame:
     """docs less the rows in which leaks finds a benchmark item; all columns stay as they are."""
     at = docs.columns.index("text")
 
