@@ -1 +1 @@
-
+"""Column expressions for findings, names, versions and vectors."""

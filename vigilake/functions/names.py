@@ -1,0 +1,87 @@
+"""Expressions over package names and free text."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Characters that stand in for others in look-alike names.
+CONFUSABLES = {"0": "o", "1": "l", "3": "e", "5": "s", "7": "t", "l": "i", "rn": "m"}
+#: Characters of the Unicode bidirectional controls, zero-width characters and the byte order mark.
+BIDI, ZERO_WIDTH, PRIVATE = "\\u202A-\\u202E\\u2066-\\u2069", "\\u200B\\u2060\\uFEFF", "\\uE000-\\uF8FF"
+INSTRUCTION_FILES = ["skill.md", "agents.md", "readme.md", "prompt.md"]
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """1 less the edit distance as a share of the longer length; 1 for two empty names."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
+
+
+def has_confusable(name: Column, target: Column) -> Column:
+    """Whether undoing one kind of look-alike brings the name within one edit of the target."""
+    cleaned = F.replace(F.replace(F.replace(name, target, F.lit("")), F.lit("-"), F.lit("")), F.lit("_"), F.lit(""))
+    tries = [name.contains(a) & (F.levenshtein(F.replace(name, F.lit(a), F.lit(b)), target) <= 1) for a, b in CONFUSABLES.items()]
+    return (F.length(cleaned) > 0) & reduce(lambda x, y: x | y, tries)
+
+
+def is_lookalike(name: Column, target: Column) -> Column:
+    low = F.replace(F.lower(name), F.lit("_"), F.lit("-"))
+    affixed = low.startswith(F.concat(target, F.lit("-"))) | low.endswith(F.concat(F.lit("-"), target))
+    return (low != target) & ((F.levenshtein(low, target) <= 2) | (affixed & has_confusable(low, target)))
+
+
+def lookalike_level(distance: Column, likeness: Column) -> Column:
+    """HIGH, MEDIUM, LOW or null."""
+    return F.when((distance <= 2) & (likeness >= 0.7), "HIGH").when((distance <= 3) & (likeness >= 0.6), "MEDIUM").when((distance <= 4) & (likeness >= 0.5), "LOW")
+
+
+def first_group(text: Column, groups: dict[str, list[str]], default: str) -> Column:
+    """The first group, in the order given, of which a word stands in the lower-case text."""
+    low = F.lower(text)
+    chain = F
+    for name, words in groups.items():
+        chain = chain.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), name)
+    return chain.otherwise(default)
+
+
+def all_groups(text: Column, groups: dict[str, list[str]]) -> Column:
+    """All groups, sorted by name, of which a word stands in the lower-case text."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in groups[g]]), F.lit(g)) for g in sorted(groups)]))
+
+
+def snippet(text: Column, limit: int = 200) -> Column:
+    """At most limit bytes of the trimmed text; a longer one is cut between characters and marked."""
+    whole = F.trim(text)
+    most = F.least(F.length(whole), F.lit(limit))
+    fits = F.filter(F.sequence(F.greatest(most - (limit - limit // 4), F.lit(0)), most), lambda n: F.octet_length(F.substring(whole, F.lit(1), n)) <= limit)
+    return F.when(F.octet_length(whole) <= limit, whole).otherwise(F.concat(F.trim(F.substring(whole, F.lit(1), F.array_max(fits))), F.lit(" ...")))
+
+
+def decloaked(text: Column) -> Column:
+    """Without bidirectional controls, zero-width characters and joiners between two ASCII characters."""
+    plain = F.regexp_replace(text, f"[{BIDI}{ZERO_WIDTH}]", "")
+    return F.regexp_replace(plain, "(?<=[\\x00-\\x7F])[\\u200C\\u200D](?=[\\x00-\\x7F])", "")
+
+
+def is_instruction_file(path: Column) -> Column:
+    low = F.lower(path)
+    return F.element_at(F.split(low, "/"), -1).isin(INSTRUCTION_FILES) | low.endswith(".prompt") | low.contains("/skills/") | low.contains("/prompts/")
+
+
+def is_declaration_file(path: Column) -> Column:
+    return F.lower(path).rlike(r"\.d\.[mc]?ts$|\.pyi$")
+
+
+def sanitized(target: Column) -> Column:
+    """Without script elements, script addresses and shell signs."""
+    out = F.regexp_replace(target, r"(?is)<script[^>]*>.*?</script>", "")
+    return F.regexp_replace(F.regexp_replace(out, r"(?i)javascript:", ""), r"[;&|`$<>]", "")
+
+
+def ecosystem(name: Column) -> Column:
+    low = F.lower(name)
+    return F.when(low.isin("clawhub", "skill"), "skills").when(low.isin("github", "mcp"), "mcps").otherwise(low)

@@ -1 +1 @@
-
+"""Operators: functions from frames to frames."""

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import registry, scoring, usage
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES: dict = scoring.QUERIES | registry.QUERIES | usage.QUERIES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and verdicts of every scan's findings."""
+    return scoring.a2_verdicts(spark, sf_dir)
