@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import registry, scoring, usage
+from . import matching, reconcile, registry, scoring, text, usage
 
-QUERIES: dict = scoring.QUERIES | registry.QUERIES | usage.QUERIES
+QUERIES: dict = scoring.QUERIES | registry.QUERIES | usage.QUERIES | reconcile.QUERIES | matching.QUERIES | text.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
