@@ -57,7 +57,7 @@ INPUTS = {
             "cost": "cast(value as decimal(10,2))",
             "tokens": "cast(regexp_extract(props, '[0-9]+', 0) as int)",
             "model": "case event_id % 3 when 0 then 'small' when 1 then 'medium' else 'large' end",
-            "confidence": "cast(event_id % 97 as double) / 96",
+            "confidence": "cast(event_id % 89 as double) / 89",
         },
     ),
     "tools": (

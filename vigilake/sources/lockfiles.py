@@ -10,7 +10,7 @@ from ..operators.scanning import lines_of
 
 def requirements(files: DataFrame) -> DataFrame:
     """Only == gives a version; blank lines, comments and options are passed over."""
-    rows = lines_of(files).select("path", "line", F.trim(F.regexp_replace("body", r"\s+#.*$", "")).alias("b")).where("b <> '' and b not like '#%' and b not like '-%'")
+    rows = lines_of(files).select("path", "line", F.regexp_replace("body", r"^\s+|\s+#.*$|\s+$", "").alias("b")).where("b <> '' and b not like '#%' and b not like '-%'")
     name = F.regexp_extract("b", r"^([A-Za-z0-9._-]+)", 1)
     version = F.nullif(F.regexp_extract("b", r"^[^=<>~!;]+==\s*([^\s;,]+)", 1), F.lit(""))
     return rows.where(name != "").select("path", name.alias("name"), version.alias("version"))
@@ -43,7 +43,7 @@ def go_mod(files: DataFrame) -> DataFrame:
     """Single and block requires, comments stripped."""
     blocks = F.regexp_extract_all("text", F.lit(r"(?s)\brequire\s*\((.*?)\)"), 1)
     single = F.regexp_extract_all("text", F.lit(r"(?m)^\s*require\s+([^\s(][^\n]*)$"), 1)
-    rows = files.select("path", F.explode(F.split(F.concat_ws("\n", blocks, single), "\n")).alias("b")).select("path", F.trim(F.regexp_replace("b", "//.*$", "")).alias("b"))
+    rows = files.select("path", F.explode(F.split(F.concat_ws("\n", blocks, single), "\n")).alias("b")).select("path", F.regexp_replace("b", r"//.*$|^\s+|\s+$|\s+//.*$", "").alias("b"))
     return rows.where(F.col("b").rlike(r"^\S+\s+v\S+$")).select("path", F.split("b", r"\s+")[0].alias("name"), F.split("b", r"\s+")[1].alias("version"))
 
 
