@@ -3,13 +3,13 @@
 Documents are sets of word shingles; equal sets are one. Each run hashes every shingle of a set and
 chooses those under 2 / (similarity * size), two or three of a set, and each chosen shingle is a
 bucket. Two sets that are similar enough share a chosen shingle with probability 1 - e^-2 at least,
-so runs are repeated until the target recall. A bucket over the limit is split again on further
-chosen shingles, by which sets that merely share a passage part. In the buckets that are left, sets
-are compared by bottom-k sketches with the bucket's leaders: a set that is like no leader becomes
-one, and edges lead to all leaders at a distance that the triangle inequality leaves to a similar
-pair. So a bucket of any size takes one pass and no pairs are listed. The components of
+so runs are repeated until the target recall. All pairs of like size of a small bucket are compared by bottom-k
+sketches. In a larger one sets are compared with the bucket's leaders: a set that is like no leader
+becomes one, and any set is tied to all leaders at a distance that the triangle inequality leaves
+to a pair alike, so a bucket full of near copies takes one pass. What is left when a bucket has too many
+leaders merely shares a passage and is split again on further chosen shingles. The components of
 these edges hold every candidate pair; inside each, whole shingle sets are compared exactly, in blocks
-of bounded size, and only links, sums of links and spanning edges leave a task.
+of bounded size, and only sums of links and spanning edges leave a task.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ RATE = 2.0
 DEPTH = 2
 #: Shingle hashes of a sketch.
 SKETCH = 48
-#: Estimated similarity at which a set joins a leader, and at which it is tied to other leaders.
-JOIN, TIE = 0.65, 0.28
+#: Estimated similarity at which two sets of a small bucket are alike; at which a set of a large one joins a leader, and is tied to any.
+ALIKE, JOIN, TIE = 0.54, 0.75, 0.42
 
 
 def runs_for(recall: float) -> int:
@@ -97,36 +98,11 @@ def _sets(docs: DataFrame, width: int, similarity: float, runs: int) -> DataFram
     return rows.select("doc_id", "code", "text").mapInArrow(_describe(width, similarity, runs), _SETS_SQL)
 
 
-def _buckets(reps: DataFrame, limit: int) -> DataFrame:
-    """path, sid of the sets of each bucket that more than one set is in, large ones split where a step is left."""
-    marks = F.slice("runs", 1, F.size("first"))
-    rows = reps.select("sid", F.explode(F.arrays_zip(marks.alias("run"), F.col("first").alias("path"))).alias("x")).select("sid", "x.run", "x.path")
-    out = None
-    for step in range(DEPTH):
-        many = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        held = rows.join(many, "path")
-        if step == DEPTH - 1:
-            leaf = held.select("path", "sid")
-        else:
-            held = cut(held, "near-buckets")
-            leaf = held.where(F.col("n") <= limit).select("path", "sid")
-            big = held.where(F.col("n") > limit).select("sid", "run", "path")
-            marks = F.slice("runs", F.size("first") + 1, F.size("later") + 1)
-            tokens = (
-                reps.select("sid", F.explode(F.arrays_zip(marks.alias("mark"), F.col("later").alias("token"))).alias("x"))
-                .where(F.col("x.mark") % DEPTH == step + 1)
-                .select("sid", F.floor(F.col("x.mark") / DEPTH).cast("int").alias("run"), "x.token")
-            )
-            rows = big.join(tokens, ["sid", "run"]).select("sid", "run", F.xxhash64("path", "token").alias("path"))
-        out = leaf if out is None else out.unionByName(leaf)
-    return out
-
-
 class _Sketch:
-    __slots__ = ("sid", "values", "set", "full")
+    __slots__ = ("sid", "values", "set", "full", "size")
 
-    def __init__(self, sid: bytes, data: bytes):
-        self.sid, self.values = sid, np.frombuffer(data, "<u4").tolist()
+    def __init__(self, sid: bytes, data: bytes, size: int):
+        self.sid, self.size, self.values = sid, size, np.frombuffer(data, "<u4").tolist()
         self.set, self.full = frozenset(self.values), len(self.values) >= SKETCH
 
     def like(self, other: _Sketch) -> float:
@@ -139,31 +115,89 @@ class _Sketch:
         return shared / max(1, n + m - shared)
 
 
-_EDGE = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_TIED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("run", pa.int32()), ("path", pa.int64())])
+
 
+class _Groups(dict):
+    """Disjoint sets: node -> a node nearer the root."""
+
+    def find(self, x):
+        self.setdefault(x, x)
+        while self[x] != x:
+            self[x] = x = self[self[x]]
+        return x
 
-def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges to leaders, in one pass over the sets of each bucket; only the leaders are held."""
+    def join(self, x, y) -> bool:
+        """Whether x and y were apart until now."""
+        x, y = self.find(x), self.find(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _tie(similarity: float, limit: int, most_leaders: int | None):
+    """Spanning edges of the alike sets of each bucket, and, without b, the sets that must be split further.
+
+    The sets of a bucket come by size, and those too small to be alike to the one at hand are let go.
+    """
 
-    def edges():
-        path, leaders = None, []
+    def rows(batches):
+        path, few, leaders, tied = None, deque(), deque(), _Groups()
         for b in batches:
-            for p, sid, data in zip(*(c.to_pylist() for c in b.columns)):
+            for p, n, size, sid, run, data in zip(*(c.to_pylist() for c in b.columns)):
                 if p != path:
-                    path, leaders = p, []
-                own, joins = _Sketch(sid, data), False
+                    path, few, leaders, tied = p, deque(), deque(), _Groups()
+                own = _Sketch(sid, data, size)
+                if n <= limit:
+                    while few and few[0].size < similarity * size - 1e-6:
+                        few.popleft()
+                    for other in few:
+                        if own.like(other) >= ALIKE and tied.join(sid, other.sid):
+                            yield sid, other.sid, run, p
+                    few.append(own)
+                    continue
+                while leaders and leaders[0].size < TIE * size:
+                    leaders.popleft()
+                joins = False
                 for leader in leaders:
-                    if leader.sid == sid:
-                        joins = True
-                        break
                     like = own.like(leader)
                     joins |= like >= JOIN
-                    if like >= TIE:
-                        yield own.sid, leader.sid
+                    if like >= TIE and tied.join(sid, leader.sid):
+                        yield sid, leader.sid, run, p
                 if not joins:
-                    leaders.append(own)
+                    if most_leaders is None or len(leaders) < most_leaders:
+                        leaders.append(own)
+                    else:
+                        yield sid, None, run, p
 
-    return batches_of(edges(), _EDGE)
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_of(rows(batches), _TIED)
+
+    return run_all
+
+
+def _candidates(reps: DataFrame, similarity: float, limit: int, most_leaders: int) -> DataFrame:
+    """a, b: edges whose components hold every candidate pair."""
+    marks = F.slice("runs", 1, F.size("first"))
+    rows = reps.select("sid", F.explode(F.arrays_zip(marks.alias("run"), F.col("first").alias("path"))).alias("x")).select("sid", "x.run", "x.path")
+    edges = None
+    for step in range(DEPTH):
+        many = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        held = rows.join(many, "path").join(reps.select("sid", "size", "sketch"), "sid").select("path", "n", "size", "sid", "run", "sketch")
+        held = held.repartition("path").sortWithinPartitions("path", "size", "sid")
+        last = step == DEPTH - 1
+        out = cut(held.mapInArrow(_tie(similarity, limit, None if last else most_leaders), "a binary, b binary, run int, path long"), "near-ties")
+        found = out.where("b is not null").select("a", "b")
+        edges = found if edges is None else edges.unionByName(found)
+        if not last:
+            marks = F.slice("runs", F.size("first") + 1, F.size("later") + 1)
+            tokens = (
+                reps.select("sid", F.explode(F.arrays_zip(marks.alias("mark"), F.col("later").alias("token"))).alias("x"))
+                .where(F.col("x.mark") % DEPTH == step + 1)
+                .select("sid", F.floor(F.col("x.mark") / DEPTH).cast("int").alias("run"), "x.token")
+            )
+            left = out.where("b is null").select(F.col("a").alias("sid"), "run", "path")
+            rows = left.join(tokens, ["sid", "run"]).select("sid", "run", F.xxhash64("path", "token").alias("path"))
+    return edges
 
 
 _FOUND = pa.schema([("sid", pa.binary()), ("peer", pa.binary()), ("links", pa.int64())])
@@ -223,24 +257,14 @@ def _verify(width: int, similarity: float):
 
 
 def _spanning(left: list[bytes], right: list[bytes], linked: np.ndarray) -> Iterator[tuple]:
-    """An edge from each linked set to the smallest one of its component in this block."""
-    root = {sid: sid for sid in [*left, *right]}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
+    """An edge wherever a link joins sets that no earlier one has joined."""
+    tied = _Groups()
     for i, j in zip(*np.nonzero(linked)):
-        x, y = find(left[i]), find(right[j])
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    for sid in root:
-        if find(sid) != sid:
-            yield sid, find(sid), 0
+        if tied.join(left[i], right[j]):
+            yield left[i], right[j], 0
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 128, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 512, most_leaders: int = 64, block: int = 256) -> DataFrame:
     """doc_id, code, class_id, n_links for every row of docs(doc_id, text, ...).
 
     Rows are linked when the Jaccard similarity of their sets of width-word shingles is at least
@@ -251,7 +275,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
     and text count as copies. A class whose ids are all null has a null class_id. No rows give no rows.
 
     recall: the least chance that a pair at the threshold is a candidate; limit: sets of a bucket
-    that is split no further; block: sets that are compared at once inside a component.
+    whose pairs of like size are all compared; most_leaders: leaders of a larger one before the rest is split
+    further, in all but the last step; block: sets that are compared at once inside a component.
     """
     told = cut(_sets(docs, width, similarity, runs_for(recall)), "near-sets")
     told_sets = told.where("sid is not null")
@@ -260,12 +285,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
         told_sets.join(counted.select("sid", "docs", "least", "rep"), "sid")
         .where(F.struct("doc_id", "code") == F.col("rep"))
         .dropDuplicates(["sid"])
-        .select("sid", "docs", "least", F.col("rep.doc_id").alias("rep_id"), F.col("rep.code").alias("rep_code"), "first", "later", "runs", "sketch"),
+        .select("sid", "size", "docs", "least", F.col("rep.doc_id").alias("rep_id"), F.col("rep.code").alias("rep_code"), "first", "later", "runs", "sketch"),
         "near-reps",
     )
-    paths = _buckets(reps, limit).join(reps.select("sid", "sketch"), "sid").select("path", "sid", "sketch")
-    edges = paths.repartition("path").sortWithinPartitions("path", "sid").mapInArrow(_tie, "a binary, b binary").distinct()
-    near = components(edges)
+    near = components(_candidates(reps, similarity, limit, most_leaders))
     roots = near.select(F.col("root").alias("sid"), "root").distinct()
     members = cut(near.select(F.col("node").alias("sid"), "root").unionByName(roots).join(reps.select("sid", "docs", "rep_id", "rep_code"), "sid"), "near-members")
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
