@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matching, reconcile, registry, scoring, streams, text, usage
+from . import context, matching, reconcile, registry, scoring, streams, text, usage
 
-QUERIES: dict = scoring.QUERIES | registry.QUERIES | usage.QUERIES | reconcile.QUERIES | matching.QUERIES | text.QUERIES | streams.QUERIES
+QUERIES: dict = scoring.QUERIES | registry.QUERIES | usage.QUERIES | reconcile.QUERIES | matching.QUERIES | text.QUERIES | streams.QUERIES | context.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
