@@ -27,7 +27,7 @@ def _pieces(path: str, end_id: int, size: int):
     def rows(batches):
         words, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for start, texts in texts_of(b.column(1)):
+            for start, texts in texts_of(b.column(1), 4_000_000):
                 for i, ids in enumerate(words.encode_all(texts)):
                     ids += end
                     doc = b.column(0)[start + i].as_py()

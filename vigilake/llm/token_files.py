@@ -29,7 +29,7 @@ def _encode(path: str, end_id: int):
         words, part, before = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for start, texts in texts_of(b.column(1)):
+            for start, texts in texts_of(b.column(1), 4_000_000):
                 coded = [ids + end for ids in words.encode_all(texts)]
                 n = np.array([len(c) // 4 for c in coded], np.int64)
                 ends = np.cumsum(n)

@@ -25,7 +25,7 @@ class WordEncoder:
     library whole. limit: pieces that are kept; beyond it those that have come up again stay.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.cache = Tokenizer.from_file(path), limit, {}
