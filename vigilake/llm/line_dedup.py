@@ -19,21 +19,25 @@ SPAN = 3
 def _windows(docs: DataFrame) -> DataFrame:
     """doc, code, pos, k1, k2 for each window. A text of fewer lines than a window is one window; blank windows are left out."""
     rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text_of()).alias("code"), F.split(text_of(), "\n").alias("lines"))
+    # a line is hashed once, not once in each window; null marks a blank one
+    hashed = rows.select(
+        "doc", "code",
+        F.transform("lines", lambda x: F.when(~F.trim(x).rlike(r"^\s*$"), F.xxhash64(x))).alias("a"),
+        F.transform("lines", lambda x: F.xxhash64(F.lit("second"), x)).alias("b"),
+    )
 
     def window(i):
-        parts = F.slice("lines", i + 1, SPAN)
-        body = F.concat_ws("\n", parts)
+        a, b = F.slice("a", i + 1, SPAN), F.slice("b", i + 1, SPAN)
         return F.struct(
             i.alias("pos"),
-            F.xxhash64(F.size(parts), body).alias("k1"),
-            F.xxhash64(F.lit("second"), body, F.size(parts)).alias("k2"),
-            (F.length(F.trim(F.regexp_replace(body, r"\s+", " "))) == 0).alias("blank"),
+            F.when(F.exists(a, lambda x: x.isNotNull()), F.xxhash64(a)).alias("k1"),
+            F.xxhash64(b).alias("k2"),
         )
 
-    starts = F.sequence(F.lit(0), F.greatest(F.size("lines") - SPAN, F.lit(0)))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("a") - SPAN, F.lit(0)))
     return (
-        rows.select("doc", "code", F.explode(F.transform(starts, window)).alias("w"))
-        .where(~F.col("w.blank"))
+        hashed.select("doc", "code", F.explode(F.transform(starts, window)).alias("w"))
+        .where(F.col("w.k1").isNotNull())
         .select("doc", "code", "w.pos", "w.k1", "w.k2")
     )
 
