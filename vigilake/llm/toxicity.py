@@ -128,49 +128,56 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.
     return result.T.reshape(-1)[at]
 
 
-def _toxic_words(texts: list[list[str]], toxic: list[int]) -> set[str]:
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+def _toxic_words(texts: list[np.ndarray], toxic: list[int], n_words: int) -> np.ndarray:
+    """Which words are toxic; texts hold word numbers below n_words."""
+    seen, side = [], n_words + 1
     for y in (0, 1):
-        contexts = {(u, w, v) for words, own in zip(texts, toxic) if own == y for u, w, v in zip(["", *words], words, [*words[1:], ""])}
-        seen[y].update(w for _, w, _ in contexts)
-    many = [max(1, sum(c.values())) for c in seen]
-    p, out = many[1] / sum(many), set()
-    for word, n in seen[1].items():
-        m = n + seen[0][word]
-        share = n / m
-        ratio = n * np.log(share / p) + (m - n) * np.log(max(1 - share, 1e-12) / (1 - p)) if 0 < p < 1 else 0.0
-        if n * many[0] >= LIFT * (m - n) * many[1] and ratio >= EVIDENCE:
-            out.add(word)
-    return out
+        own = [t for t, label in zip(texts, toxic) if label == y and len(t)]
+        if not own:
+            return np.zeros(n_words, bool)
+        here = np.concatenate(own).astype(np.int64)
+        ends = np.cumsum([len(t) for t in own])
+        left, right = np.concatenate([[0], here[:-1] + 1]), np.concatenate([here[1:] + 1, [0]])
+        left[ends[:-1]], right[ends - 1] = 0, 0
+        contexts = np.unique((left * side + here) * side + right)
+        seen.append(np.bincount(contexts // side % side, minlength=n_words).astype(float))
+    clean, bad = seen
+    p = bad.sum() / (bad.sum() + clean.sum())
+    m = bad + clean
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = bad * np.log(bad / (m * p)) + np.where(clean > 0, clean * np.log(clean / (m * (1 - p))), 0)
+    return (bad * clean.sum() >= LIFT * clean * bad.sum()) & (np.nan_to_num(ratio, nan=0.0) >= EVIDENCE)
 
 
 def _windows(texts, toxic, bad, reach, most, rng):
     """Runs of words with tags: around the toxic words of toxic texts, and anywhere in clean ones."""
     runs = []
     for words, y in zip(texts, toxic):
-        if y:
-            hits = [i for i, w in enumerate(words) if w in bad]
-        else:
-            hits = sorted({i for i, w in enumerate(words) if w in bad} | set(rng.integers(0, len(words), 3).tolist() if words else ()))
-        runs += [[(w, int(y and w in bad)) for w in words[max(0, i - reach) : i + reach + 1]] for i in hits[:20]]
+        hits = np.flatnonzero(bad[words])
+        if not y and len(words):
+            hits = np.union1d(hits, rng.integers(0, len(words), 3))
+        for i in hits[:20]:
+            part = words[max(0, i - reach) : i + reach + 1]
+            runs.append((part, bad[part] & bool(y)))
     rng.shuffle(runs)
     return runs[:most]
 
 
-def _fit_chain(runs, steps: int = 80, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights and moves by Adagrad on the mean log-likelihood of tagged runs."""
+def _fit_chain(runs, names: list[str], steps: int = 80, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Feature weights and moves by Adagrad on the mean log-likelihood of tagged runs of word numbers."""
     weights, moves = np.zeros(BUCKETS), np.zeros((2, 2))
     if not runs:
         weights += -1.0
         return weights, moves
-    width, n = max(map(len, runs)), len(runs)
+    width, n = max(len(words) for words, _ in runs), len(runs)
+    used, place = np.unique(np.concatenate([words for words, _ in runs]), return_inverse=True)
+    of_word = np.array([features(names[w]) for w in used], np.int64)[place]
     feats, tags, real = np.zeros((width, n, 3), np.int64), np.zeros((width, n), np.int64), np.zeros((width, n), bool)
-    known: dict[str, tuple] = {}
-    for r, run in enumerate(runs):
-        for j, (word, tag) in enumerate(run):
-            if word not in known:
-                known[word] = features(word)
-            feats[j, r], tags[j, r], real[j, r] = known[word], tag, True
+    at = 0
+    for r, (words, marks) in enumerate(runs):
+        k = len(words)
+        feats[:k, r], tags[:k, r], real[:k, r] = of_word[at : at + k], marks, True
+        at += k
     flat, size = feats.reshape(-1, 3), n
     g_w, g_m = np.full(BUCKETS, 1e-8), np.full((2, 2), 1e-8)
     gold_pairs = np.zeros((2, 2))
@@ -241,8 +248,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, reach: int
     """A field from labels(doc_id, toxic, ...) of docs(doc_id, text, ...).
 
     At most per_class toxic and per_class clean labels, those with the smallest hash of the id, pick
-    the documents whose whole texts come to the driver; at most most_runs runs of 2 reach + 1 words are
-    fitted. Rows whose label is not 0 or 1 or whose id is null are left out. The curve weighs the
+    the documents whose whole texts come to the driver, one for each id; at most most_runs runs of
+    2 reach + 1 words, and 20 of a document, are fitted. Rows whose label is not 0 or 1 or whose id is null are left out. The curve weighs the
     classes as the labels have them. With one class only, or none, every score is near that class's
     label, or near 0.
     """
@@ -250,20 +257,24 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, reach: int
     have = {r["__toxic"]: r["n"] for r in marked.groupBy("__toxic").agg(F.count("*").alias("n")).collect()}
     picked = [marked.where(F.col("__toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for y in (0, 1)]
     # two times per_class ids and labels: a proven bound
-    sample = docs.join(F.broadcast(picked[0].unionByName(picked[1])), F.col("doc_id") == F.col("__id")).select("doc_id", text_of().alias("text"), F.col("__toxic").alias("toxic")).collect()
+    joined = docs.join(F.broadcast(picked[0].unionByName(picked[1])), F.col("doc_id") == F.col("__id"))
+    sample = joined.groupBy("doc_id", F.col("__toxic").alias("toxic")).agg(F.min(text_of()).alias("text")).collect()
     sample.sort(key=lambda r: (r.doc_id, r.text, r.toxic))
-    texts, toxic = [WORD.findall(r.text.lower()) for r in sample], [r.toxic for r in sample]
+    toxic = [r.toxic for r in sample]
     if len(set(toxic)) < 2:
         share = 1.0 if have.get(1) else 0.0
         return Field(np.full(BUCKETS, -1.0), np.zeros((2, 2)), np.array([4.0 if share else -4.0, 0.0, 0.0]))
-    bad = _toxic_words(texts, toxic)
-    weights, moves = _fit_chain(_windows(texts, toxic, bad, reach, most_runs, np.random.default_rng(7)))
-    field = Field(weights, moves, np.zeros(3))
-    _, p, lengths = _score_texts(field, _Scores(weights), [r.text for r in sample])
-    y = np.array(toxic, float)
+    numbers: dict[str, int] = {}
+    texts = [np.array([numbers.setdefault(w, len(numbers)) for w in WORD.findall(r.text.lower())], np.int32) for r in sample]
+    bad = _toxic_words(texts, toxic, len(numbers))
+    weights, moves = _fit_chain(_windows(texts, toxic, bad, reach, most_runs, np.random.default_rng(7)), list(numbers))
+    field, scores, rows = Field(weights, moves, np.zeros(3)), _Scores(weights), []
+    for k in range(0, len(sample), 200):
+        _, p, lengths = _score_texts(field, scores, [r.text for r in sample[k : k + 200]])
+        rows.append(_summary(p, lengths))
     taken = Counter(toxic)
     weight = np.array([have[t] / taken[t] for t in toxic])
-    field.curve = _fit_curve(_summary(p, lengths), y, weight / weight.mean())
+    field.curve = _fit_curve(np.concatenate(rows), np.array(toxic, float), weight / weight.mean())
     return field
 
 
