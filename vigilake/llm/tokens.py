@@ -29,13 +29,33 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.cache = Tokenizer.from_file(path), limit, {}
-        self.often: set[str] = set()
+        self.again: dict[str, bytes] = {}
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        #: Which ids end a word, if the tokenizer marks that.
+        self.ends, mark = None, getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if mark:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(mark)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word. Words of letters only are encoded side by side and cut where the ids end words."""
+        plain = [w for w in words if w.isalpha()] if self.ends is not None else []
+        out = {}
+        if plain:
+            lines = [" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(plain):
+                coded = ids.tobytes()
+                out = dict(zip(plain, (coded[i:j] for i, j in zip([0, *cuts], cuts))))
+        rest = [w for w in words if w not in out]
+        return out | dict(zip(rest, self._ids(rest)))
+
     @staticmethod
     def _low(text: str) -> str | None:
         """The text in lower case, or None if it must be given to the library whole."""
@@ -45,19 +65,18 @@ class WordEncoder:
         return low if low.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low) else None
 
     def _known(self, words: list[str]) -> list[bytes]:
-        cache = self.cache
-        new = [w for w in words if w not in cache]
-        if len(cache) + len(new) > self.limit:
-            now = set(words)
-            self.often = {w for w in self.often if w in now} if len(self.often) > self.limit // 2 else self.often
-            self.cache = cache = {w: ids for w, ids in cache.items() if w in self.often or w in now}
-            new = [w for w in words if w not in cache]
-        if len(new) < len(words):
-            self.often.update(w for w in words if w in cache)
+        found = list(map(self.cache.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
+        if len(self.cache) + len(new) > self.limit:
+            # what has come up since the cache was last emptied, and then again, stays
+            self.cache = {w: ids for w, ids in zip(words, found) if ids is not None} | self.again
+            self.again = {}
+        elif len(self.cache) > self.limit // 2:
+            self.again.update((w, ids) for w, ids in zip(words, found) if ids is not None)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            cache.update(zip(part, self._ids(part)))
-        return [cache[w] for w in words]
+            self.cache.update(self._word_ids(part))
+        return list(map(self.cache.__getitem__, words)) if new else found
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -69,10 +88,11 @@ class WordEncoder:
         start, which = np.cumsum(size) - size, coded.indices.to_numpy()
         n = size[which]
         ends = np.concatenate([[0], np.cumsum(n)])
-        place = np.repeat(start[which] - ends[:-1], n) + np.arange(ends[-1])
-        ids = np.frombuffer(b"".join(parts), "<u4")[place].tobytes() if len(parts) else b""
-        cuts = (4 * ends[rows.offsets.to_numpy()]).tolist()
-        return [self._ids([t])[0] if own is None else ids[i:j] for t, own, i, j in zip(texts, low, cuts[:-1], cuts[1:])]
+        place = np.repeat(start[which] - ends[:-1], n)
+        place += np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(parts), "<u4")[place] if len(parts) else np.empty(0, "<u4")
+        cuts = ends[rows.offsets.to_numpy()].tolist()
+        return [self._ids([t])[0] if own is None else ids[i:j].tobytes() for t, own, i, j in zip(texts, low, cuts[:-1], cuts[1:])]
 
 
 @lru_cache(maxsize=2)
