@@ -33,7 +33,7 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), stride=20)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

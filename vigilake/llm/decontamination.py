@@ -1,11 +1,12 @@
 """Benchmark decontamination by q-gram counting in diagonal bands and banded alignment.
 
-Benchmark items are cut into pieces of 80 to 159 normalised characters, which a task holds as a
-sorted index of hashed character q-grams. A copy of a piece of n characters with at most e edits
+Benchmark items are cut into pieces of 80 to 159 normalised characters side by side and, with a stride, of 80
+that overlap, which a task holds as a sorted index of hashed character q-grams. A copy of a piece of n characters with at most e edits
 shares at least n + 1 - q (e + 1) q-grams with it (the q-gram lemma), and all lie within e diagonals of each other
 in a stretch of n + e characters. So a stretch of a document with fewer q-grams of the whole index
 is passed over; in the rest the hits of each piece are counted in overlapping bands of diagonals,
-and the bands that reach the piece's bound are aligned. Documents are never shuffled.
+and the bands that reach the piece's bound are aligned. Items too short for edits are looked up by their
+first characters and compared as whole words. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -43,20 +44,35 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     return mix(out)
 
 
+def _cut(body: str, piece: int, stride: int | None) -> list[str]:
+    """The pieces of an item side by side, the last one up to twice as long; with a stride also one every stride characters and one at its end."""
+    cuts = max(1, len(body) // piece)
+    parts = [body[k * piece : (k + 1) * piece if k + 1 < cuts else len(body)] for k in range(cuts)]
+    if stride is None:
+        return parts
+    last = max(0, len(body) - piece)
+    # the longer pieces stay, as their edits may stand closer than a piece allows
+    return list(dict.fromkeys([*parts, *(body[k : k + piece] for k in [*range(0, last, stride), last])]))
+
+
 class Index:
     """Pieces of benchmark items and their q-grams."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, rate: float, piece: int, least: int):
+    def __init__(self, items: list[tuple[int, str]], q: int, rate: float, piece: int, least: int, stride: int | None = None):
         self.q, self.pieces = q, []
+        short: dict[int, list[tuple[int, int, str]]] = {}
         for item, text in items:
             body = normal(text or "")
             if len(body) < least:
+                if body:
+                    m = min(len(body), q)
+                    short.setdefault(m, []).append((int(_grams(np.array([ord(c) for c in body[:m]], np.uint64), m)[0]), item, body))
                 continue
-            cuts = max(1, len(body) // piece)
-            for k in range(cuts):
-                part = body[k * piece : (k + 1) * piece if k + 1 < cuts else len(body)]
+            for part in _cut(body, piece, stride):
                 edits = max(0, min(int(rate * len(part)), len(part) // q - 1))
                 self.pieces.append((item, part, edits, len(part) + 1 - q * (edits + 1)))
+        #: length of a start -> sorted hashes of starts, (item, body) in the same order
+        self.short = {m: (np.array([r[0] for r in sorted(rows)], np.uint64), [r[1:] for r in sorted(rows)]) for m, rows in short.items()}
         hashes, owner, place = [], [], []
         for i, (_, part, _, _) in enumerate(self.pieces):
             h = _grams(np.array([ord(c) for c in part], np.uint64), q)
@@ -75,8 +91,24 @@ class Index:
         self.span = max((len(p[1]) + p[2] for p in self.pieces), default=q)
         self.edits, self.least, self.length = (np.array([f(p) for p in self.pieces], np.int64) for f in (lambda p: p[2], lambda p: p[3], lambda p: len(p[1])))
 
+    def exact(self, codes: np.ndarray, grams: np.ndarray, joined: str) -> Iterator[tuple[int, int, int]]:
+        """(item, begin, end): where the short items stand unchanged between word borders."""
+        for m, (hashes, items) in self.short.items():
+            own = grams if m == self.q else _grams(codes, m)
+            low = np.searchsorted(hashes, own)
+            where = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own)
+            for at, first in zip(where.tolist(), low[where].tolist()):
+                if at and joined[at - 1] not in " \0":
+                    continue
+                for item, body in items[first : int(np.searchsorted(hashes, own[at], "right"))]:
+                    end = at + len(body)
+                    if joined.startswith(body, at) and (end == len(joined) or joined[end] in " \0"):
+                        yield item, at, end
+
     def candidates(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
         """(piece, begin, end): stretches of a text with the given q-grams in which a band of diagonals reaches a piece's bound."""
+        if not len(grams) or not self.pieces:
+            return []
         hit = self.known[(grams >> np.uint64(64 - _BITS)).astype(np.int64)]
         wide = min(self.span - self.q + 1, len(hit))
         total = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
@@ -139,20 +171,26 @@ def align(piece: str, text: str, edits: int) -> tuple[int, int, int] | None:
     return (int(begin[end]), end, int(cost[end])) if cost[end] <= edits else None
 
 
-def _scan(index: Index, texts: list[str]) -> Iterator[tuple[int, str, list[tuple[int, int, int, int]]]]:
-    """(which text, its normal form, finds) for the texts with a find."""
+def _scan(index: Index, texts: list[str], any_find: bool = False) -> Iterator[tuple[int, str, list[tuple[int, int, int, int]]]]:
+    """(which text, its normal form, finds) for the texts with a find; the best of each item, or just one of a text."""
     bodies = [normal(t) for t in texts]
     joined = "\0".join(bodies)
-    grams = _grams(np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64), index.q)
-    if not len(grams) or not index.pieces:
-        return
+    codes = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64)
+    grams = _grams(codes, index.q)
     starts = np.cumsum([0, *(len(b) + 1 for b in bodies)])
     finds: dict[int, dict[int, tuple[int, int, int, int]]] = {}
+    for item, begin, end in index.exact(codes, grams, joined):
+        k = int(np.searchsorted(starts, begin, "right")) - 1
+        finds.setdefault(k, {}).setdefault(item, (item, begin - int(starts[k]), end - int(starts[k]), 0))
     for i, begin, end in index.candidates(grams):
         item, piece, edits, _ = index.pieces[i]
         for k in range(max(0, int(np.searchsorted(starts, begin, "right")) - 1), min(len(bodies), int(np.searchsorted(starts, end, "left")))):
+            if k in finds and (any_find or finds[k].get(item, (0, 0, 0, 1))[3] == 0):
+                continue
             at = max(0, begin - int(starts[k]))
-            found = align(piece, bodies[k][at : max(0, end - int(starts[k]))], edits)
+            window = bodies[k][at : max(0, end - int(starts[k]))]
+            same = window.find(piece)
+            found = (same, same + len(piece), 0) if same >= 0 else align(piece, window, edits)
             own = finds.setdefault(k, {}) if found else {}
             if found and (item not in own or found[2] < own[item][3]):
                 own[item] = (item, at + found[0], at + found[1], found[2])
@@ -175,25 +213,27 @@ def _places(text: str) -> list[tuple[int, int]]:
 _LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])
 
 
-def _blocks(benchmark: DataFrame, q: int, rate: float, piece: int, least: int, block_chars: int) -> Iterator[Index]:
-    """Indexes of the benchmark, each of about block_chars characters, which bounds what the driver and the tasks hold."""
+def _blocks(benchmark: DataFrame, q: int, rate: float, piece: int, least: int, stride: int | None, block_chars: int) -> Iterator[Index]:
+    """Indexes of the benchmark, each of about block_chars characters of pieces, which bounds what the driver and the tasks hold."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(chars / block_chars))
+    blocks = max(1, math.ceil(chars * (math.ceil(piece / stride) if stride else 1) / block_chars))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        yield Index([tuple(r) for r in rows], q, rate, piece, least)
+        yield Index([tuple(r) for r in rows], q, rate, piece, least, stride)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, piece: int = 80, least: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, piece: int = 80, least: int = 40, block_chars: int = 4_000_000, stride: int | None = None) -> DataFrame:
     """doc_id, item_id, begin, end, edits: the best find of each benchmark item in each row of docs.
 
     docs(doc_id, text, ...), benchmark(item_id, text, ...). Texts are compared as lower-case words;
     an item is found where one of its pieces of at least piece characters (a shorter item whole)
-    stands with at most rate edits a character. begin and end are code points of the document's own text. Items of
-    under least normalised characters are no evidence and are passed over, null texts too. Rows that
+    stands with at most rate edits a character. With a stride, further pieces of just piece characters begin that far apart, so any
+piece + stride - 1 characters of an item hold one; without, pieces only stand side by side, which costs less and
+misses parts that hold no piece. begin and end are code points of the document's own text. Items of
+    under least normalised characters are found unchanged and as whole words only; items without any are passed over. Rows that
     repeat an id and text are found each. Items that share an id are one item within a block of the benchmark.
-    A benchmark of over block_chars characters is searched in blocks. No rows give no rows.
+    A benchmark whose pieces have over block_chars characters is searched in blocks. No rows give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
@@ -209,25 +249,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1,
         return lambda batches: batches_of(find(batches), _LEAK)
 
     out = None
-    for index in _blocks(benchmark, q, rate, piece, least, block_chars):
+    for index in _blocks(benchmark, q, rate, piece, least, stride, block_chars):
         part = rows.mapInArrow(over(index), "doc_id long, item_id long, begin int, end int, edits int")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, piece: int = 80, least: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, piece: int = 80, least: int = 40, block_chars: int = 4_000_000, stride: int | None = None) -> DataFrame:
     """docs less the rows in which leaks finds a benchmark item; all columns stay as they are."""
     at = docs.columns.index("text")
 
     def over(index: Index):
         def keep(batches):
             for b in batches:
-                bad = {start + k for start, texts in texts_of(b.column(at), 500_000) for k, _, _ in _scan(index, texts)}
+                bad = {start + k for start, texts in texts_of(b.column(at), 500_000) for k, _, _ in _scan(index, texts, any_find=True)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)])) if bad else b
 
         return keep
 
     out = docs
-    for index in _blocks(benchmark, q, rate, piece, least, block_chars):
+    for index in _blocks(benchmark, q, rate, piece, least, stride, block_chars):
         out = out.mapInArrow(over(index), docs.schema)
     return out
