@@ -35,6 +35,41 @@ def shared_variables(tools: DataFrame, least: float = 0.3) -> DataFrame:
     return pairs.select("a", "b", F.round(F.col("shared") / F.col("size"), 6).alias("score")).where(F.col("score") >= least)
 
 
+def item_classes(tools: DataFrame, items: str) -> DataFrame:
+    """tool_id, class: tools with equal sets of items are one class, named by its sorted set as JSON; tools without items are left out."""
+    own = F.array_sort(F.array_distinct(items))
+    return tools.where(F.size(own) > 0).select("tool_id", F.to_json(own).alias("class"))
+
+
+def _classes(members: DataFrame) -> DataFrame:
+    """class, tools, size, item: a row for each item of each class of item_classes."""
+    own = F.from_json("class", "array<string>")
+    return members.groupBy("class").agg(F.count("*").alias("tools")).select("class", "tools", F.size(own).alias("size"), F.explode(own).alias("item"))
+
+
+def shared_variable_classes(members: DataFrame, least: float = 0.3) -> DataFrame:
+    """a, b (a <= b), score, tools_a, tools_b: shared_variables between classes of item_classes; with itself if a class has two tools.
+
+    Each tool of a matches each other tool of b. Work grows with the pairs of different sets, not of tools.
+    """
+    own = _classes(members)
+    a, b = own.alias("a"), own.alias("b")
+    own_pair = (F.col("a.class") < F.col("b.class")) | ((F.col("a.class") == F.col("b.class")) & (F.col("a.tools") > 1))
+    pairs = a.join(b, (F.col("a.item") == F.col("b.item")) & own_pair).groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(
+        (F.count("*") / F.max(F.greatest("a.size", "b.size"))).alias("s"), F.max("a.tools").alias("tools_a"), F.max("b.tools").alias("tools_b")
+    )
+    return pairs.where(F.col("s") >= least).select("a", "b", F.round("s", 6).alias("score"), "tools_a", "tools_b")
+
+
+def complementary_classes(members: DataFrame, fits: DataFrame, each: float = 0.3, most: float = 1.0) -> DataFrame:
+    """a, b, score, tools_a, tools_b: complementary between classes of item_classes; with itself if a class has two tools."""
+    own = _classes(members)
+    wants = own.join(F.broadcast(fits), F.col("item") == F.col("have")).select(F.col("class").alias("a"), F.col("tools").alias("tools_a"), "want")
+    pairs = wants.join(own, (F.col("want") == F.col("item")) & ((F.col("a") != F.col("class")) | (F.col("tools") > 1)))
+    pairs = pairs.groupBy("a", F.col("class").alias("b")).agg(F.count("*").alias("n"), F.max("tools_a").alias("tools_a"), F.max("tools").alias("tools_b"))
+    return pairs.select("a", "b", F.round(F.least(F.col("n") * each, F.lit(most)), 6).alias("score"), "tools_a", "tools_b")
+
+
 def complementary(tools: DataFrame, fits: DataFrame, each: float = 0.3, most: float = 1.0) -> DataFrame:
     """a, b, score: each pair of capabilities that the small table fits(have, want) names adds up."""
     own = tools.select("tool_id", F.explode(F.array_distinct("capabilities")).alias("c"))

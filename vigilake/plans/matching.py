@@ -47,6 +47,29 @@ def j14_j16_complementary(spark, sf):
     return M.best_matches(M.complementary(rows, fits), 20)
 
 
+def variable_members(spark, sf):
+    return M.item_classes(tools(spark, sf).select("tool_id", _own("tool_id", VARIABLES, 11).alias("variables")), "variables")
+
+
+def j12_variable_classes(spark, sf):
+    return M.shared_variable_classes(variable_members(spark, sf))
+
+
+def j14_capability_classes(spark, sf):
+    fits = spark.createDataFrame([("API_KEY", "TOKEN"), ("DB_URL", "HOST"), ("DB_URL", "PORT"), ("BUCKET", "REGION")], "have string, want string")
+    return M.complementary_classes(variable_members(spark, sf), fits)
+
+
+def protocol_members(spark, sf):
+    speaks = {"sql": ["database"], "smtp": ["email"], "http": ["browser", "cloud"]}
+    return M.item_classes(tools(spark, sf).select("tool_id", N.all_groups(F.col("description"), speaks).alias("protocols")), "protocols")
+
+
+def j13_protocol_classes(spark, sf):
+    fits = spark.createDataFrame([("sql", "http"), ("http", "smtp")], "have string, want string")
+    return M.complementary_classes(protocol_members(spark, sf), fits, 0.4, 0.8)
+
+
 def j15_category_match(spark, sf):
     related = F.broadcast(spark.createDataFrame([("data", "storage"), ("search", "data"), ("web", "communication")], "category string, related string"))
     t = tools(spark, sf)
@@ -158,6 +181,12 @@ SELECT x.tool_id AS a, y.tool_id AS b, round(count(*) / CAST(greatest(max(n.n),
 p AS (SELECT x.tool_id AS a, y.tool_id AS b, round(least(count(*) * 0.3::DOUBLE, 1), 6) AS score FROM o x JOIN f ON x.v = h JOIN o y ON y.v = w AND x.tool_id <> y.tool_id GROUP BY 1, 2)
 SELECT least(a, b) AS a, greatest(a, b) AS b, max(score) AS score FROM p GROUP BY 1, 2 ORDER BY score DESC, a, b LIMIT 20""",
     ),
+    # all tools, by classes; tests hold them against brute force
+    "variable_members": (variable_members, None),
+    "j12_variable_classes": (j12_variable_classes, None),
+    "j14_capability_classes": (j14_capability_classes, None),
+    "protocol_members": (protocol_members, None),
+    "j13_protocol_classes": (j13_protocol_classes, None),
     "j15_category_match": (
         j15_category_match,
         f"""WITH t AS (SELECT * FROM {TOOLS}), r(c, related) AS (VALUES ('data', 'storage'), ('search', 'data'), ('web', 'communication'))
