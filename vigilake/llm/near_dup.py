@@ -1,15 +1,16 @@
 """Near-duplicate classes by a chosen-path set-similarity join.
 
 Documents are sets of word shingles; equal sets are one. Each run hashes every shingle of a set and
-chooses those under 2 / (similarity * size), two or three of a set, and each chosen shingle is a
-bucket. Two sets that are similar enough share a chosen shingle with probability 1 - e^-2 at least,
-so runs are repeated until the target recall. All pairs of like size of a small bucket are compared by bottom-k
-sketches. In a larger one sets are compared with the bucket's leaders: a set that is like no leader
-becomes one, and any set is tied to all leaders at a distance that the triangle inequality leaves
-to a pair alike, so a bucket full of near copies takes one pass. What is left when a bucket has too many
-leaders merely shares a passage and is split again on further chosen shingles. The components of
-these edges hold every candidate pair; inside each, whole shingle sets are compared exactly, in blocks
-of bounded size, and only sums of links and spanning edges leave a task.
+chooses those under RATE / (similarity * size), so similar sets share RATE of them on average, and each
+chosen shingle is a bucket. All pairs of like size of a small bucket are compared by bottom-k
+sketches, which are uniform samples of the sets. A large one is split: each of its sets goes on to a bucket for each shingle
+that it chooses from its sketch by a hash of the path so far, until buckets are small. Sets that merely share a passage
+part ways after a few steps, while similar ones stay together with the chance that a branching process
+lives; runs are repeated until the target recall holds at any depth. Near copies would never part, so a large bucket
+first has leaders, found in a sample of it: a set close to one is tied to it, and to all leaders at a distance that
+the triangle inequality leaves to a pair alike, and isn't split. The components of these edges hold every candidate pair;
+inside each, whole shingle sets are compared exactly, in blocks of bounded size, and only sums of
+links and spanning edges leave a task.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_groups import batches_of, groups, texts_of
@@ -31,64 +31,70 @@ from .components import components
 from .shingles import mix, shingle_sets
 
 #: Chosen shingles of a set at each step, as a multiple of what a similar pair needs to share one on average.
-RATE = 2.0
-#: Steps of a path: the first bucket, and how often a large one is split.
-DEPTH = 2
+RATE = 1.5
+#: The least share of RATE that a similar pair keeps when shingles are chosen from sketches.
+KEPT = 0.9
+#: Steps of a path; what is left in large buckets after the last one is compared in pairs of blocks.
+DEPTH = 8
 #: Shingle hashes of a sketch.
 SKETCH = 48
-#: Estimated similarity at which two sets of a small bucket are alike; at which a set of a large one joins a leader, and is tied to any.
-ALIKE, JOIN, TIE = 0.54, 0.75, 0.42
+#: Sets of a large bucket among which leaders are sought, and how many must be close to one.
+SAMPLE, FOLLOWERS = 1024, 8
 
 
 def runs_for(recall: float) -> int:
-    """Runs after which a pair at the threshold is still unmet with probability under 1 - recall, even if every bucket is split."""
-    met = (1 - math.exp(-RATE)) ** DEPTH
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+    """Runs after which a pair at the threshold is still unmet with probability under 1 - recall, however often buckets are split."""
+    lives = 1.0
+    for _ in range(200):
+        lives = 1 - math.exp(-RATE * KEPT * lives)
+    return max(1, math.ceil(math.log(1 - recall) / (-RATE * lives)))
 
 
-_SETS = pa.schema(
-    [("doc_id", pa.int64()), ("code", pa.int64()), ("sid", pa.binary()), ("size", pa.int32()), ("first", pa.list_(pa.int64())), ("later", pa.list_(pa.int64())), ("runs", pa.list_(pa.int32())), ("sketch", pa.binary())]
-)
-_SETS_SQL = "doc_id long, code long, sid binary, size int, first array<long>, later array<long>, runs array<int>, sketch binary"
+def marks_for(similarity: float) -> tuple[float, float, float]:
+    """Estimated similarities at which sets are candidates, close to a leader, and tied to it, the first and last with a margin for the sketches' errors."""
+
+    def error(s: float) -> float:
+        return math.sqrt(max(0.0, s * (1 - s)) / SKETCH)
+
+    bound = 2 * similarity - 1
+    return similarity - 4.5 * error(similarity), similarity, bound - 3 * error(bound)
+
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("code", pa.int64()), ("sid", pa.binary()), ("size", pa.int32()), ("paths", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SETS_SQL = "doc_id long, code long, sid binary, size int, paths array<long>, sketch binary"
+
+
+def _limit(similarity: float, n: np.ndarray) -> np.ndarray:
+    """Hashes up to which shingles of sets of n are chosen."""
+    share = np.minimum(1.0, RATE / (similarity * np.maximum(n, 1)))
+    return np.where(share >= 1, np.uint64(2**64 - 1), (share * float(2**64 - 2048)).astype(np.uint64))
 
 
 def _describe(width: int, similarity: float, runs: int):
-    def chosen(flat, owner, limit, run, step):
-        seed = np.uint64(int.from_bytes(hashlib.blake2b(f"{run}/{step}".encode(), digest_size=8).digest(), "little"))
-        picked = np.flatnonzero(mix(flat ^ seed) <= limit)
-        return picked, owner[picked]
+    seeds = [np.uint64(int.from_bytes(hashlib.blake2b(str(run).encode(), digest_size=8).digest(), "little")) for run in range(runs)]
+
+    def told(ids: pa.Array, codes: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        sets = shingle_sets(texts, width)
+        n = np.array([len(s) for s in sets])
+        flat, owner, begins = np.concatenate(sets), np.repeat(np.arange(len(sets)), n), np.cumsum(n) - n
+        limit = _limit(similarity, n)[owner]
+        paths, whose = [], []
+        for run, seed in enumerate(seeds):
+            picked = np.flatnonzero(mix(flat ^ seed) <= limit)
+            paths.append(mix(flat[picked] + np.uint64(1 + run)).view(np.int64))
+            whose.append(owner[picked])
+        order = np.argsort(np.concatenate(whose), kind="stable")
+        ends = np.cumsum(np.bincount(np.concatenate(whose), minlength=len(sets)))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(paths)[order]))
+        sids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        hashes = (mix(flat ^ np.uint64(7)) >> np.uint64(32)).astype("<u4")
+        sketches = [np.sort(hashes[b : b + k])[:SKETCH].tobytes() for b, k in zip(begins.tolist(), n.tolist())]
+        return pa.RecordBatch.from_arrays([ids, codes, pa.array(sids, pa.binary()), pa.array(n.astype(np.int32)), lists, pa.array(sketches, pa.binary())], schema=_SETS)
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, texts in texts_of(b.column(2), 400_000):
-                sets = shingle_sets(texts, width)
-                n = np.array([len(s) for s in sets])
-                flat = np.concatenate(sets)
-                owner = np.repeat(np.arange(len(sets)), n)
-                share = np.minimum(1.0, RATE / (similarity * np.maximum(n, 1)))
-                limit = np.where(share >= 1, np.uint64(2**64 - 1), (share * float(2**64 - 2048)).astype(np.uint64))[owner]
-                first, later, which = ([[] for _ in sets] for _ in range(3))
-                for run in range(runs):
-                    for step in range(DEPTH):
-                        picked, whose = chosen(flat, owner, limit, run, step)
-                        token = mix(flat[picked] + np.uint64(1 + run * DEPTH + step)).view(np.int64)
-                        for t, d in zip(token.tolist(), whose.tolist()):
-                            if step == 0:
-                                first[d].append(t)
-                            else:
-                                later[d].append(t)
-                                which[d].append(run * DEPTH + step)
-                        if step == 0:
-                            for t, d in zip(token.tolist(), whose.tolist()):
-                                which[d].append(-1 - run)
-                # which: for each first token its run, as -1 - run, then for each later one its run and step
-                rows = []
-                for i, s in enumerate(sets):
-                    marks = [-1 - m for m in which[i] if m < 0] + [m for m in which[i] if m >= 0]
-                    sid = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                    sketch = np.sort(mix(s ^ np.uint64(7)) >> np.uint64(32)).astype("<u4")[:SKETCH].tobytes()
-                    rows.append((b.column(0)[start + i].as_py(), b.column(1)[start + i].as_py(), sid, len(s), first[i], later[i], marks, sketch))
-                yield from batches_of(iter(rows), _SETS)
+                yield told(b.column(0).slice(start, len(texts)), b.column(1).slice(start, len(texts)), texts)
 
     return run_all
 
@@ -99,10 +105,10 @@ def _sets(docs: DataFrame, width: int, similarity: float, runs: int) -> DataFram
 
 
 class _Sketch:
-    __slots__ = ("sid", "values", "set", "full", "size")
+    __slots__ = ("sid", "values", "set", "full", "size", "data")
 
-    def __init__(self, sid: bytes, data: bytes, size: int):
-        self.sid, self.size, self.values = sid, size, np.frombuffer(data, "<u4").tolist()
+    def __init__(self, size: int, sid: bytes, data: bytes):
+        self.sid, self.size, self.data, self.values = sid, size, data, np.frombuffer(data, "<u4").tolist()
         self.set, self.full = frozenset(self.values), len(self.values) >= SKETCH
 
     def like(self, other: _Sketch) -> float:
@@ -115,9 +121,6 @@ class _Sketch:
         return shared / max(1, n + m - shared)
 
 
-_TIED = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("run", pa.int32()), ("path", pa.int64())])
-
-
 class _Groups(dict):
     """Disjoint sets: node -> a node nearer the root."""
 
@@ -134,69 +137,157 @@ class _Groups(dict):
         return x != y
 
 
-def _tie(similarity: float, limit: int, most_leaders: int | None):
-    """Spanning edges of the alike sets of each bucket, and, without b, the sets that must be split further.
-
-    The sets of a bucket come by size, and those too small to be alike to the one at hand are let go.
-    """
+def _compare(members: list[tuple[int, bytes, bytes]], similarity: float, alike: float) -> Iterator[tuple[bytes, bytes]]:
+    """Spanning edges of the alike ones of (size, sid, sketch), which come by size; those of unlike size are passed over."""
+    if len(members) <= 40:
+        few, first, tied = [_Sketch(*m) for m in members], 0, _Groups()
+        for i, own in enumerate(few):
+            while few[first].size < similarity * own.size - 1e-6:
+                first += 1
+            for other in few[first:i]:
+                if own.like(other) >= alike and tied.join(own.sid, other.sid):
+                    yield own.sid, other.sid
+        return
+    # sets that share hashes are found by lists of the holders of each hash, all of a set's lists at once
+    lists = [np.frombuffer(data, "<u4") for _, _, data in members]
+    sizes, held = np.array([m[0] for m in members]), np.array([len(v) for v in lists])
+    ends = np.cumsum(held)
+    table = np.full((len(members), SKETCH), 2**32 - 1, np.uint32)
+    for i, v in enumerate(lists):
+        table[i, : len(v)] = v
+    last = np.where(held >= SKETCH, table[:, -1], np.uint32(2**32 - 1))
+    flat, row = np.concatenate(lists), np.repeat(np.arange(len(members)), held)
+    order = np.argsort(flat, kind="stable")
+    holders, place = row[order], np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    begin = np.searchsorted(flat[order], flat, "left")
+    lows = np.searchsorted(sizes, similarity * sizes - 1e-6, "left")
+    label = np.arange(len(members))
+    for i in range(1, len(members)):
+        low, mine = int(lows[i]), slice(ends[i] - held[i], ends[i])
+        n = place[mine] - begin[mine]
+        total = int(n.sum())
+        if low == i or not total:
+            continue
+        hits = holders[np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(total)]
+        shared = np.bincount(hits, minlength=i)[low:i]
+        near = np.flatnonzero(shared >= alike * np.maximum(held[low:i], held[i]) - 1e-9)
+        if not len(near):
+            continue
+        shared, near = shared[near], near + low
+        end = np.minimum(last[near], last[i])
+        both = np.searchsorted(lists[i], end, "right") + np.minimum((table[near] <= end[:, None]).sum(1), held[near])
+        near = near[shared >= alike * (both - shared)]
+        for group in np.unique(label[near]).tolist():
+            if group != label[i]:
+                yield members[i][1], members[int(near[label[near] == group][0])][1]
+                label[label == group] = label[i]
+
+
+def _choices(path: int, data: bytes, similarity: float) -> list[int]:
+    """The paths that a set with this sketch takes on from path."""
+    values, seed = np.frombuffer(data, "<u4").astype(np.uint64), np.uint64(path % 2**64)
+    picked = values[mix((values << np.uint64(32) | values) ^ seed) <= _limit(similarity, np.array([len(values)]))[0]]
+    return mix(mix(picked + seed) ^ seed).view(np.int64).tolist()
+
+
+_MET = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("path", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary())])
+_MET_SQL = "a binary, b binary, path long, size int, sketch binary"
+
+
+def _meet(similarity: float):
+    """a, b: edges between the alike sets of a small bucket, and between those of a large one and its leaders. Without b: a takes path on."""
+    alike, close, tie = marks_for(similarity)
 
     def rows(batches):
-        path, few, leaders, tied = None, deque(), deque(), _Groups()
-        for b in batches:
-            for p, n, size, sid, run, data in zip(*(c.to_pylist() for c in b.columns)):
-                if p != path:
-                    path, few, leaders, tied = p, deque(), deque(), _Groups()
-                own = _Sketch(sid, data, size)
-                if n <= limit:
-                    while few and few[0].size < similarity * size - 1e-6:
-                        few.popleft()
-                    for other in few:
-                        if own.like(other) >= ALIKE and tied.join(sid, other.sid):
-                            yield sid, other.sid, run, p
-                    few.append(own)
-                    continue
-                while leaders and leaders[0].size < TIE * size:
-                    leaders.popleft()
+        for (path, _, large), members in groups(batches, 3):
+            if not large:
+                for a, b in _compare([m[1:] for m in members], similarity, alike):
+                    yield a, b, None, None, None
+                continue
+            leaders = [_Sketch(*m[1:]) for m in members if m[0]]
+            for own in (_Sketch(*m[1:]) for m in members if not m[0]):
                 joins = False
                 for leader in leaders:
                     like = own.like(leader)
-                    joins |= like >= JOIN
-                    if like >= TIE and tied.join(sid, leader.sid):
-                        yield sid, leader.sid, run, p
+                    joins |= like >= close
+                    if like >= tie and own.sid != leader.sid:
+                        yield own.sid, leader.sid, None, None, None
                 if not joins:
-                    if most_leaders is None or len(leaders) < most_leaders:
-                        leaders.append(own)
-                    else:
-                        yield sid, None, run, p
+                    for on in _choices(path, own.data, similarity):
+                        yield own.sid, None, on, own.size, own.data
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches_of(rows(batches), _TIED)
+        return batches_of(rows(batches), _MET)
 
     return run_all
 
 
-def _candidates(reps: DataFrame, similarity: float, limit: int, most_leaders: int) -> DataFrame:
+_HELD = pa.schema([("path", pa.int64()), ("n", pa.int64()), ("size", pa.int32()), ("sid", pa.binary()), ("sketch", pa.binary())])
+_HELD_SQL = "path long, n long, size int, sid binary, sketch binary"
+
+
+def _lead(similarity: float, most: int):
+    """The leaders of each bucket: of a sample, at most so many sets to which enough others are close."""
+    _, close, _ = marks_for(similarity)
+
+    def rows(batches):
+        for (path, n), members in groups(batches, 2):
+            leaders: list[list] = []
+            for own in (_Sketch(*m) for m in members):
+                found = next((x for x in leaders if own.like(x[0]) >= close), None)
+                if found:
+                    found[1] += 1
+                elif len(leaders) < 4 * most:
+                    leaders.append([own, 1])
+            leaders.sort(key=lambda x: (-x[1], x[0].sid))
+            for own, followers in leaders[:most]:
+                if followers >= FOLLOWERS:
+                    yield path, n, own.size, own.sid, own.data
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches_of(rows(batches), _HELD)
+
+    return run_all
+
+
+def _dealt(held: DataFrame, salt: Column, large: Column, leader: Column) -> DataFrame:
+    return held.select("path", salt.cast("int").alias("salt"), large.alias("large"), leader.alias("leader"), "size", "sid", "sketch")
+
+
+def _candidates(reps: DataFrame, similarity: float, limit: int, most_leaders: int, depth: int) -> DataFrame:
     """a, b: edges whose components hold every candidate pair."""
-    marks = F.slice("runs", 1, F.size("first"))
-    rows = reps.select("sid", F.explode(F.arrays_zip(marks.alias("run"), F.col("first").alias("path"))).alias("x")).select("sid", "x.run", "x.path")
-    edges = None
-    for step in range(DEPTH):
-        many = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        held = rows.join(many, "path").join(reps.select("sid", "size", "sketch"), "sid").select("path", "n", "size", "sid", "run", "sketch")
-        held = held.repartition("path").sortWithinPartitions("path", "size", "sid")
-        last = step == DEPTH - 1
-        out = cut(held.mapInArrow(_tie(similarity, limit, None if last else most_leaders), "a binary, b binary, run int, path long"), "near-ties")
+    no, yes, edges = F.lit(False), F.lit(True), None
+    rows = reps.select("sid", F.explode("paths").alias("path")).distinct()
+    for step in range(depth):
+        many = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
+        held = rows.join(many, "path")
+        if not step:
+            held = held.join(reps.select("sid", "size", "sketch"), "sid")
+        held = held.select("path", "n", "size", "sid", "sketch")
+        dealt = _dealt(held.where(F.col("n") <= limit), F.lit(0), no, no)
+        hot = not many.where(F.col("n") > limit).isEmpty()
+        if hot:
+            large = cut(held.where(F.col("n") > limit), "near-large")
+            if step == depth - 1:
+                blocks = F.ceil(F.col("n") * 2 / limit)
+                pairs = large.withColumn("own", F.pmod(F.xxhash64("sid"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+                dealt = dealt.unionByName(_dealt(pairs, F.least("own", "other") * blocks + F.greatest("own", "other"), no, no))
+            else:
+                salts = F.ceil(F.col("n") / limit)
+                dealt = dealt.unionByName(_dealt(large, F.pmod(F.xxhash64("sid"), salts), yes, no))
+                if marks_for(similarity)[2] > 0:
+                    sample = large.where(F.pmod(F.xxhash64("path", "sid"), F.ceil(F.col("n") / SAMPLE)) == 0)
+                    leaders = sample.repartition("path").sortWithinPartitions("path", "size", "sid").mapInArrow(_lead(similarity, most_leaders), _HELD_SQL)
+                    shown = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+                    dealt = dealt.unionByName(_dealt(shown, F.col("salt"), yes, yes))
+        dealt = dealt.repartition("path", "salt").sortWithinPartitions("path", "salt", "size", "sid")
+        out = cut(dealt.mapInArrow(_meet(similarity), _MET_SQL), "near-met")
         found = out.where("b is not null").select("a", "b")
         edges = found if edges is None else edges.unionByName(found)
-        if not last:
-            marks = F.slice("runs", F.size("first") + 1, F.size("later") + 1)
-            tokens = (
-                reps.select("sid", F.explode(F.arrays_zip(marks.alias("mark"), F.col("later").alias("token"))).alias("x"))
-                .where(F.col("x.mark") % DEPTH == step + 1)
-                .select("sid", F.floor(F.col("x.mark") / DEPTH).cast("int").alias("run"), "x.token")
-            )
-            left = out.where("b is null").select(F.col("a").alias("sid"), "run", "path")
-            rows = left.join(tokens, ["sid", "run"]).select("sid", "run", F.xxhash64("path", "token").alias("path"))
+        if not hot:
+            break
+        rows = out.where("b is null").select(F.col("a").alias("sid"), "path", "size", "sketch")
     return edges
 
 
@@ -264,7 +355,7 @@ def _spanning(left: list[bytes], right: list[bytes], linked: np.ndarray) -> Iter
             yield left[i], right[j], 0
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 512, most_leaders: int = 64, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 4096, most_leaders: int = 32, block: int = 1024, depth: int = DEPTH) -> DataFrame:
     """doc_id, code, class_id, n_links for every row of docs(doc_id, text, ...).
 
     Rows are linked when the Jaccard similarity of their sets of width-word shingles is at least
@@ -275,8 +366,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
     and text count as copies. A class whose ids are all null has a null class_id. No rows give no rows.
 
     recall: the least chance that a pair at the threshold is a candidate; limit: sets of a bucket
-    whose pairs of like size are all compared; most_leaders: leaders of a larger one before the rest is split
-    further, in all but the last step; block: sets that are compared at once inside a component.
+    whose pairs of like size are all compared; most_leaders: leaders of a larger one; depth: steps after which a bucket that is still larger is
+    compared in pairs of blocks; block: sets, of 400 shingles on average at most, that are compared at once inside a component.
     """
     told = cut(_sets(docs, width, similarity, runs_for(recall)), "near-sets")
     told_sets = told.where("sid is not null")
@@ -285,16 +376,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
         told_sets.join(counted.select("sid", "docs", "least", "rep"), "sid")
         .where(F.struct("doc_id", "code") == F.col("rep"))
         .dropDuplicates(["sid"])
-        .select("sid", "size", "docs", "least", F.col("rep.doc_id").alias("rep_id"), F.col("rep.code").alias("rep_code"), "first", "later", "runs", "sketch"),
+        .select("sid", "size", "docs", "least", F.col("rep.doc_id").alias("rep_id"), F.col("rep.code").alias("rep_code"), "paths", "sketch"),
         "near-reps",
     )
-    near = components(_candidates(reps, similarity, limit, most_leaders))
+    near = components(_candidates(reps, similarity, limit, most_leaders, depth))
     roots = near.select(F.col("root").alias("sid"), "root").distinct()
-    members = cut(near.select(F.col("node").alias("sid"), "root").unionByName(roots).join(reps.select("sid", "docs", "rep_id", "rep_code"), "sid"), "near-members")
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = cut(near.select(F.col("node").alias("sid"), "root").unionByName(roots).join(reps.select("sid", "size", "docs", "rep_id", "rep_code"), "sid"), "near-members")
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*"), F.sum("size") / 400) / block).cast("int").alias("blocks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), text_of().alias("text")).withColumn("rep_code", F.xxhash64("text"))
     same = members.rep_id.eqNullSafe(texts.rep_id) & (members.rep_code == texts.rep_code)
-    full = members.join(texts, same).dropDuplicates(["sid"]).join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    full = members.drop("size").join(texts, same).dropDuplicates(["sid"]).join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     dealt = full.select("root", "sid", "block", "docs", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "sid", "block", "docs", "text"
     )
