@@ -31,7 +31,7 @@ from .components import components
 from .shingles import mix, shingle_sets
 
 #: Chosen shingles of a set at each step, as a multiple of what a similar pair needs to share one on average.
-RATE = 1.5
+RATE = 1.75
 #: The least share of RATE that a similar pair keeps when shingles are chosen from sketches.
 KEPT = 0.9
 #: Steps of a path; what is left in large buckets after the last one is compared in pairs of blocks.
@@ -205,13 +205,13 @@ def _meet(similarity: float):
                 for a, b in _compare([m[1:] for m in members], similarity, alike):
                     yield a, b, None, None, None
                 continue
-            leaders = [_Sketch(*m[1:]) for m in members if m[0]]
+            leaders, tied = [_Sketch(*m[1:]) for m in members if m[0]], _Groups()
             for own in (_Sketch(*m[1:]) for m in members if not m[0]):
                 joins = False
                 for leader in leaders:
                     like = own.like(leader)
                     joins |= like >= close
-                    if like >= tie and own.sid != leader.sid:
+                    if like >= tie and tied.join(own.sid, leader.sid):
                         yield own.sid, leader.sid, None, None, None
                 if not joins:
                     for on in _choices(path, own.data, similarity):
@@ -258,7 +258,7 @@ def _dealt(held: DataFrame, salt: Column, large: Column, leader: Column) -> Data
 def _candidates(reps: DataFrame, similarity: float, limit: int, most_leaders: int, depth: int) -> DataFrame:
     """a, b: edges whose components hold every candidate pair."""
     no, yes, edges = F.lit(False), F.lit(True), None
-    rows = reps.select("sid", F.explode("paths").alias("path")).distinct()
+    rows = reps.select("sid", F.explode("paths").alias("path"))
     for step in range(depth):
         many = cut(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
         held = rows.join(many, "path")
