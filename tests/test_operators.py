@@ -52,9 +52,22 @@ def test_snippet_cuts_between_characters(spark):
     assert got == "é" * 100 + " ..." and one(spark, N.snippet(F.col("t")), t="  short ") == "short"
 
 
-def test_commands_follow_their_order(spark):
-    rows = spark.createDataFrame([("vigilake pip requests",), ("cd x; vigilake npm y",), ("npm install --save-dev",), ("npm install -D jest",), ("echo hi",)], "c string")
-    assert [r.d for r in rows.select(scanning.command_decision(F.col("c")).alias("d")).collect()] == ["allow", "allow", "ask", "deny", "allow"]
+@pytest.mark.parametrize(
+    "command, decision",
+    [("vigilake pip requests", "allow"), ("cd x; vigilake npm y", "allow"), ("npm install --save-dev", "ask"), ("npm install -D jest", "deny"), ("echo hi", "allow"), ("git -C d clone u", "deny"), ("a;npm i b", "deny"), ("npm --prefix d ci", "ask"), ("sh -c 'pip install q'", "deny"), ("pip install -r r.txt", "ask"), ("pip install for-r", "deny"), ("VIGILAKE_BYPASS=1 pip install q", "allow")],
+)
+def test_commands_follow_their_order(spark, command, decision):
+    assert one(spark, scanning.command_decision(F.col("c")), c=command) == decision
+
+
+@pytest.mark.parametrize("path, steers", [("CLAUDE.md", True), ("x/Gemini.md", True), ("team.windsurfrules", True), (".cursor/rules/a", True), (".github/instructions/b.md", True), ("readme.md", False), ("skills/a.md", False), ("prompt.md", False)])
+def test_instruction_files(spark, path, steers):
+    assert one(spark, N.is_instruction_file(F.col("p")), p=path) == steers
+
+
+@pytest.mark.parametrize("text, left", [("a" + chr(0x180E) + chr(0x200D) + "b", "a" + chr(0x200D) + "b"), ("a" + chr(0x200C) + "b" + chr(0x200F), "ab"), (chr(0xFEFF) + "x", "x"), (chr(0xE000) + "y", chr(0xE000) + "y")])
+def test_decloaked_looks_at_the_text_as_it_was(spark, text, left):
+    assert one(spark, N.decloaked(F.col("t")), t=text) == left
 
 
 def test_lines_and_nearby(spark):
@@ -108,9 +121,11 @@ def test_upsert_and_merge(spark):
     assert sorted(map(tuple, registry.merge_add(t, u, ["k"], ["v"]).collect())) == [("a", 12), ("b", 2), ("c", 7)]
 
 
-def test_best_matches_drop_mirrored_pairs(spark):
-    m = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.9), (3, 1, 0.9)], "a long, b long, score double")
-    assert [tuple(r) for r in matching.best_matches(m, 5).collect()] == [(1, 2, 0.9), (1, 3, 0.9)]
+def test_best_matches_take_each_pair_once(spark):
+    rows = [(1, 90.0, "Search", "npm", ["A", "B"], ["HTTP"], []), (2, 50.0, "Database", "npm", ["A"], ["HTTP", "REST"], None), (3, 70.0, "Database", "mcps", None, [], ["reads_files"])]
+    tools = spark.createDataFrame(rows, "tool_id long, trust double, category string, ecosystem string, variables array<string>, protocols array<string>, capabilities array<string>")
+    got = [tuple(r) for r in matching.best_matches(tools, matching.PROTOCOL_FITS, matching.CAPABILITY_FITS, matching.CATEGORY_FITS).where("a = 1").orderBy("rank").collect()]
+    assert got == [(1, 2, 56.0, 1), (1, 3, 48.0, 2)]
 
 
 # --- sources

@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 # Characters that stand in for others in look-alike names.
 CONFUSABLES = {"0": "o", "1": "l", "3": "e", "5": "s", "7": "t", "l": "i", "rn": "m"}
-#: Characters of the Unicode bidirectional controls, zero-width characters and the byte order mark.
-BIDI, ZERO_WIDTH, PRIVATE = "\\u202A-\\u202E\\u2066-\\u2069", "\\u200B\\u2060\\uFEFF", "\\uE000-\\uF8FF"
-INSTRUCTION_FILES = ["skill.md", "agents.md", "readme.md", "prompt.md"]
+#: Bidirectional controls; characters without width that are suspicious anywhere; private-use characters of planes 0, 15 and 16.
+BIDI = "\\u202A-\\u202E\\u2066-\\u2069\\u200E\\u200F\\u061C"
+ZERO_WIDTH = "\\u200B\\u2060\\u180E"
+PRIVATE = "\\uE000-\\uF8FF\\x{F0000}-\\x{FFFFD}\\x{100000}-\\x{10FFFD}"
+#: A joiner between two ASCII characters; elsewhere joiners belong to emoji and scripts.
+JOINER = "(?<=[\\x00-\\x7F])[\\u200C\\u200D](?=[\\x00-\\x7F])"
+BYTE_ORDER_MARK = "\ufeff"
+#: Files that steer agents: by name, by the end of the name, by a folder on the way.
+INSTRUCTION_FILES = ["claude.md", "agents.md", "skill.md", "gemini.md", "copilot-instructions.md"]
+INSTRUCTION_ENDS = [".cursorrules", ".windsurfrules"]
+INSTRUCTION_FOLDERS = [".claude/", ".cursor/", ".github/instructions/"]
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -62,14 +70,18 @@ def snippet(text: Column, limit: int = 200) -> Column:
 
 
 def decloaked(text: Column) -> Column:
-    """Without bidirectional controls, zero-width characters and joiners between two ASCII characters."""
-    plain = F.regexp_replace(text, f"[{BIDI}{ZERO_WIDTH}]", "")
-    return F.regexp_replace(plain, "(?<=[\\x00-\\x7F])[\\u200C\\u200D](?=[\\x00-\\x7F])", "")
+    """Without bidirectional controls, zero-width characters, byte order marks and joiners between two ASCII characters.
+
+    One pattern looks at the neighbours as they stand in the text, before anything is taken out.
+    """
+    return F.regexp_replace(text, f"[{BIDI}{ZERO_WIDTH}{BYTE_ORDER_MARK}]|{JOINER}", "")
 
 
 def is_instruction_file(path: Column) -> Column:
     low = F.lower(path)
-    return F.element_at(F.split(low, "/"), -1).isin(INSTRUCTION_FILES) | low.endswith(".prompt") | low.contains("/skills/") | low.contains("/prompts/")
+    name = F.element_at(F.split(low, "/"), -1)
+    tests = [name.isin(INSTRUCTION_FILES), *[name.endswith(x) for x in INSTRUCTION_ENDS], *[low.contains(x) for x in INSTRUCTION_FOLDERS]]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def is_declaration_file(path: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import contains_any
+from .matching import similar_sets
 
 _QUOTED = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`"
 _COMMENT = r"/\*[\s\S]*?(?:\*/|$)|//[^\n]*|#[^\n]*"
@@ -145,13 +146,23 @@ def remediation(violations: DataFrame, top: int = 20) -> DataFrame:
 
 
 def recent_correlations(scans: DataFrame, days: int = 30, least: float = 0.3, top: int = 5) -> DataFrame:
-    """a, b, jaccard: for each scan the most similar ones of the same user in the days before; scans have scan_id, user_id, seen_at, items (array).
+    """a, b, jaccard: for each scan the most similar earlier ones of the same user in the days before, the latest of equals first; scans have scan_id, user_id, seen_at, items (array).
 
-    Pairs come from an equi-join on user and item, so only scans with something in common meet.
+    Earlier is by time, then by scan_id. Scans of equal items are one class, and only classes are compared. A scan asks for the last few scans
+    of each class like its own: they have running numbers within user and class, and a scan looks them up by
+    number, so work is in proportion to the scans however many a user has.
     """
-    own = scans.select("scan_id", "user_id", "seen_at", F.size(F.array_distinct("items")).alias("n"), F.explode(F.array_distinct("items")).alias("item"))
-    a, b = own.alias("a"), own.alias("b")
-    near = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.item") == F.col("b.item")) & (F.col("a.scan_id") != F.col("b.scan_id")) & (F.col("b.seen_at") <= F.col("a.seen_at")) & (F.datediff("a.seen_at", "b.seen_at") <= days)
-    pairs = a.join(b, near).groupBy(F.col("a.scan_id").alias("a"), F.col("b.scan_id").alias("b")).agg(F.count("*").alias("s"), F.max(F.col("a.n") + F.col("b.n")).alias("n"))
-    rows = pairs.select("a", "b", F.round(F.col("s") / (F.col("n") - F.col("s")), 6).alias("jaccard")).where(F.col("jaccard") > least)
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("jaccard"), "b"))).where(F.col("k") <= top).drop("k")
+    rows = scans.select("scan_id", "user_id", "seen_at", F.array_sort(F.array_distinct("items")).alias("items")).where(F.size("items") > 0).withColumn("class", F.to_json("items"))
+    sets = rows.select(F.col("class").alias("id"), "items").distinct()
+    pairs = similar_sets(sets, least)
+    alike = pairs.select(F.col("a").alias("class"), F.col("b").alias("near"), "jaccard").unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("near"), "jaccard"))
+    alike = alike.unionByName(sets.select(F.col("id").alias("class"), F.col("id").alias("near"), F.lit(1.0).alias("jaccard")))
+    asks = rows.join(alike, "class").select("user_id", "near", "seen_at", "scan_id", "jaccard", F.lit(0).alias("is_scan"))
+    held = rows.select("user_id", F.col("class").alias("near"), "seen_at", "scan_id", F.lit(None).cast("double").alias("jaccard"), F.lit(1).alias("is_scan"))
+    so_far = Window.partitionBy("user_id", "near").orderBy("seen_at", "scan_id", "is_scan").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = asks.unionByName(held).withColumn("n", F.sum("is_scan").over(so_far))
+    past = numbered.where("is_scan = 1").select(F.col("user_id").alias("u"), F.col("near").alias("c"), F.col("n").alias("at"), F.col("seen_at").alias("then"), F.col("scan_id").alias("b"))
+    wanted = numbered.where("is_scan = 0 and n > 0").withColumn("at", F.explode(F.sequence(F.greatest(F.col("n") - top + 1, F.lit(1).cast("long")), "n")))
+    met = wanted.join(past, wanted.user_id.eqNullSafe(past.u) & (wanted.near == past.c) & (wanted["at"] == past["at"])).where(F.datediff("seen_at", "then") <= days)
+    order = Window.partitionBy("scan_id").orderBy(F.desc("jaccard"), F.desc("then"), F.desc("b"))
+    return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top).select(F.col("scan_id").alias("a"), "b", F.round("jaccard", 6).alias("jaccard"))

@@ -136,14 +136,23 @@ def detection_delta(scans: DataFrame, third_party: list[str]) -> DataFrame:
     return rows
 
 
-def policy_evaluation(scans: DataFrame, policies: DataFrame) -> DataFrame:
-    """policy, scan_id, allowed, auto_approved, violations; scans have phases (array), policies their lists. Policies are few."""
-    p = F.broadcast(policies)
-    rows = scans.crossJoin(p)
-    blocked = F.array_contains("blocklist", F.col("package"))
-    unlisted = (F.size("allowlist") > 0) & ~F.array_contains("allowlist", F.col("package"))
-    missing = F.size(F.array_except("required_phases", "phases")) > 0
-    found = F.array_compact(F.array(F.when(blocked, "blocked"), F.when(unlisted, "not_allowed"), F.when(missing, "missing_phase")))
-    rows = rows.withColumn("violations", found)
-    allowed = F.size("violations") == 0
-    return rows.select("policy", "scan_id", allowed.alias("allowed"), (allowed & (F.col("risk_score") <= F.col("auto_approve"))).alias("auto_approved"), F.concat_ws(",", "violations").alias("violations"))
+def policy_evaluation(scans: DataFrame, policies: list[dict]) -> DataFrame:
+    """policy, scan_id, allowed, auto_approved, violations for each scan and each of a short list of policies; scans have scan_id, package, risk_score, phases (array).
+
+    A policy has policy, blocklist, allowlist (none: all are allowed), auto_approve (the highest risk) and required_phases.
+    """
+    package, risk, phases = F.col("package"), F.col("risk_score"), F.col("phases")
+
+    def verdict(p: dict) -> Column:
+        def listed(items) -> Column:
+            return F.array(*[F.lit(x) for x in items]).cast("array<string>")
+
+        broken = [F.when(package.isin(p["blocklist"]), "blocked")] if p["blocklist"] else []
+        broken += [F.when(~F.coalesce(package.isin(p["allowlist"]), F.lit(False)), "not_allowed")] if p["allowlist"] else []
+        broken += [F.when(F.size(F.array_except(listed(p["required_phases"]), F.coalesce(phases, listed([])))) > 0, "missing_phase")] if p["required_phases"] else []
+        found = F.concat_ws(",", *broken) if broken else F.lit("")
+        return F.struct(F.lit(p["policy"]).alias("policy"), found.alias("violations"), (risk <= p["auto_approve"]).alias("low"))
+
+    rows = scans.select("scan_id", F.explode(F.array(*map(verdict, policies))).alias("v")).select("scan_id", "v.*")
+    allowed = F.col("violations") == ""
+    return rows.select("policy", "scan_id", allowed.alias("allowed"), (allowed & F.col("low")).alias("auto_approved"), "violations")

@@ -87,9 +87,11 @@ def scan_lines_join(files: DataFrame, rules: DataFrame, path: str = "path", text
 def hidden_characters(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """path, rule, severity, weight, line: the first line with private-use, bidirectional or zero-width characters, one row each."""
     rows = lines_of(files, text)
-    joined = "[\\x00-\\x7F][\\u200C\\u200D][\\x00-\\x7F]"
-    classes = {"UNICODE-1": f"[{N.PRIVATE}]", "UNICODE-2": f"[{N.BIDI}]", "UNICODE-3": f"[{N.ZERO_WIDTH}]|{joined}"}
-    hits = F.array_compact(F.array(*[F.when(F.col("body").rlike(p), F.lit(k)) for k, p in classes.items()]))
+    body = F.col("body")
+    # a byte order mark may open the file
+    marked = F.when(F.col("line") == 1, F.substring(body, 2, 2**31 - 1)).otherwise(body).contains(N.BYTE_ORDER_MARK)
+    classes = {"UNICODE-1": body.rlike(f"[{N.PRIVATE}]"), "UNICODE-2": body.rlike(f"[{N.BIDI}]"), "UNICODE-3": body.rlike(f"[{N.ZERO_WIDTH}]|{N.JOINER}") | marked}
+    hits = F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, test in classes.items()]))
     first = rows.select(path, "line", F.explode(hits).alias("rule")).groupBy(path, "rule").agg(F.min("line").alias("line"))
     strong = N.is_instruction_file(F.col(path))
     return first.select(path, "rule", F.when(strong, "HIGH").otherwise("MEDIUM").alias("severity"), F.when(strong, 5).otherwise(2).alias("weight"), "line")
@@ -120,44 +122,93 @@ def first_per_bucket(rows: DataFrame, bucket: str, order: list[str], n: int) ->
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
 
 
-# Commands that fetch and run code, in the order in which they are tried.
+def timeline(changes: DataFrame, key: str, at: str, ties: list[str]) -> DataFrame:
+    """changes with position from 1: by the time told as text, which counts as empty where it is missing, so those come first."""
+    order = Window.partitionBy(key).orderBy(F.coalesce(at, F.lit("")), *ties)
+    return changes.withColumn("position", F.row_number().over(order))
+
+
+def directory(servers: DataFrame, key: str, page: int) -> DataFrame:
+    """The first page by most stars, then least risk, with the position; the limit runs before the window."""
+    order = [F.desc("stars"), F.asc("risk_score"), F.asc(key)]
+    return servers.orderBy(*order).limit(page).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
+# Commands that fetch and run code, in the order in which they are tried. A tool and its verbs may be parted by options
+# where the third entry says so; the last tells what must follow: a package, a blank, or the end of the word.
+BORDER, OPTIONS, PACKAGE, END = r"""(^|[\s;&|("'])""", r"(\s+-\S+(\s+[^-\s]\S*)?)*", r"(\s+-\S+)*\s+[^-\s]", r"(\s|$)"
+PIPED = r"(curl|wget)[^|]*\|\s*(sudo\s+)?(\S*/)?(sh|bash|zsh)(\s|$)"
+REQUIREMENTS = r"(^|\s)(-r|--requirement)(\s|$)"
 COMMANDS = [
-    ("deny", r"(^|\s)(curl|wget)[^|]*\|\s*(sudo\s+)?(\S*/)?(sh|bash|zsh)(\s|$)"),
-    ("deny", r"(^|\s)git\s+clone(\s|$)"),
-    ("deny", r"(^|\s)gh\s+repo\s+clone(\s|$)"),
-    ("deny", r"(^|\s)npm\s+(install|i|add)(\s+-\S+)*\s+[^-\s]"),
-    ("ask", r"(^|\s)npm\s+(install|i|add|ci)(\s|$)"),
-    ("deny", r"(^|\s)(yarn|pnpm|bun)(\s+global)?\s+add(\s+-\S+)*\s+[^-\s]"),
-    ("ask", r"(^|\s)(pnpm|yarn)\s+(dlx|install)(\s|$)"),
-    ("ask", r"(^|\s)(pip[0-9.]*|python[0-9.]*\s+-m\s+pip|uv\s+pip)\s+install\s.*(-r|--requirement)(\s|$)"),
-    ("deny", r"(^|\s)(pip[0-9.]*|python[0-9.]*\s+-m\s+pip|uv\s+pip)\s+install(\s+-\S+)*\s+[^-\s]"),
-    ("ask", r"(^|\s)(pip[0-9.]*|python[0-9.]*\s+-m\s+pip|uv\s+pip)\s+install(\s|$)"),
-    ("deny", r"(^|\s)(uv\s+add|cargo\s+(install|add)|gem\s+install|go\s+(install|get))(\s+-\S+)*\s+[^-\s]"),
-    ("ask", r"(^|\s)(bundle\s+install(\s|$)|(npx|bunx|uvx)\s|pipx\s+run\s)"),
+    ("deny", "git", True, "clone", END),
+    ("deny", "gh", True, r"repo\s+clone", END),
+    ("deny", "npm", True, "(install|i|add)", PACKAGE),
+    ("ask", "npm", True, "(install|i|add|ci)", END),
+    ("deny", "(yarn|pnpm|bun)", True, r"(global\s+)?add", PACKAGE),
+    ("ask", "(pnpm|yarn)", True, "dlx", r"\s"),
+    ("ask", "(yarn|pnpm)", True, "install", END),
+    ("pip", "pip[0-9.]*", True, "install", END),
+    ("pip", r"(python[0-9.]*\s+-m|uv)\s+pip", False, "install", END),
+    ("deny", "uv", True, "add", PACKAGE),
+    ("deny", "cargo", True, "(install|add)", PACKAGE),
+    ("deny", "gem", True, "install", PACKAGE),
+    ("deny", "go", True, "(install|get)", PACKAGE),
+    ("ask", "bundle", False, "install", END),
+    ("ask", "(npx|bunx|uvx)", False, None, r"\s"),
+    ("ask", "pipx", False, "run", r"\s"),
 ]
 
 
+def _invokes(tool: str, options: bool, verb: str | None, end: str) -> str:
+    return BORDER + tool + (OPTIONS if options else "") + (r"\s+" + verb if verb else "") + end
+
+
 def command_decision(command: Column, scanner: str = "vigilake") -> Column:
-    """allow, ask or deny: the first rule that matches decides. A command that goes through the scanner itself is allowed."""
-    chain = F.when(command.rlike(rf"(^\s*|[;&|]\s*){scanner}\s"), "allow")
-    for decision, pattern in COMMANDS:
-        chain = chain.when(command.rlike(pattern), decision)
+    """allow, ask or deny: the first rule that matches decides.
+
+    A command that goes through the scanner itself, or sets SCANNER_BYPASS=1 (its name in capitals), is allowed. An
+    install of Python packages is asked for where it reads a requirements file or names none, else denied.
+    """
+    chain = F.when(command.rlike(rf"(^\s*|[;&|]\s*){scanner}\s") | command.rlike(BORDER + scanner.upper() + "_BYPASS=1" + END), "allow")
+    chain = chain.when(command.rlike(BORDER + PIPED), "deny")
+    for decision, tool, options, verb, end in COMMANDS:
+        met = command.rlike(_invokes(tool, options, verb, end))
+        if decision == "pip":
+            named = command.rlike(_invokes(tool, options, verb, PACKAGE))
+            chain = chain.when(met, F.when(named & ~command.rlike(REQUIREMENTS), "deny").otherwise("ask"))
+        else:
+            chain = chain.when(met, decision)
     return chain.otherwise("allow")
 
 
+# What a finding's lower-case snippet says of permissions. A category is looked for where its words stand in the
+# rule's name (any rule without words); items are what the patterns find, or the one item that stands for any find.
 PERMISSIONS = {
-    "network": r"(https?://[a-z0-9./-]+)",
-    "files": r"(?:open|read|write)\(['\"]([^'\"]+)",
-    "environment": r"(?:environ|process\.env)[.\[]['\"]?([a-z0-9_]+)",
-    "commands": r"(?:exec|system|spawn)\(['\"]([^'\"]+)",
+    "environment": ([], [r"process\.env\.([a-z_][a-z0-9_]*)", r"os\.environ\[?['\"]([a-z_][a-z0-9_]*)['\"]?\]?", r"getenv\(['\"]([a-z_][a-z0-9_]*)['\"]?\)", r"\$\{?([a-z_][a-z0-9_]*)\}?"]),
+    "filesystem": (["file", "path", "directory", "read", "write"], [r"([~/]\S+\.\w+)", r"(/[a-zA-Z0-9/_.-]+)", r"(\./[a-zA-Z0-9/_.-]+)"]),
+    "network": (["network", "http", "url", "request"], [r"https?://([^/\s]+)", r"localhost:(\d+)", r":(\d+)"]),
+    "process": (["exec", "process", "spawn", "command"], [r"exec\(['\"]([^'\"]+)['\"]", r"spawn\(['\"]([^'\"]+)['\"]", r"system\(['\"]([^'\"]+)['\"]"]),
 }
-PERMISSION_WEIGHTS = {"commands": 10, "network": 8, "environment": 6, "files": 6}
+DATABASE_WORDS, DATABASE_ITEM = ["database", "sql", "postgres", "mysql", "mongodb", "redis", "sqlite"], "Database connection required"
+CREDENTIALS, CREDENTIALS_ITEM = r"api[_-]?key|access[_-]?token|secret[_-]?key|password|token|credential", "Requires authentication"
+PERMISSION_WEIGHTS = {"process": 10, "credentials": 8, "filesystem": 6, "database": 6, "network": 4, "environment": 2}
 
 
 def permissions(findings: DataFrame) -> DataFrame:
-    """scan_id, category, items (sorted, distinct) from the snippets of findings(scan_id, snippet)."""
-    low = F.lower("snippet")
-    rows = findings.select("scan_id", F.explode(F.map_concat(*[F.create_map(F.lit(k), F.regexp_extract_all(low, F.lit(p), 1)) for k, p in PERMISSIONS.items()])).alias("category", "found"))
+    """scan_id, category, items (sorted, distinct) from the rules and snippets of findings(scan_id, rule, snippet); variables in capitals. Null counts as empty."""
+    low, rule = F.lower(F.coalesce("snippet", F.lit(""))), F.lower(F.coalesce("rule", F.lit("")))
+
+    def any_in(text: Column, words: list[str]) -> Column:
+        return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+    none = F.array().cast("array<string>")
+    found = {}
+    for category, (words, patterns) in PERMISSIONS.items():
+        items = F.concat(*[F.regexp_extract_all(low, F.lit(p), 1) for p in patterns])
+        found[category] = F.when(any_in(rule, words), items).otherwise(none) if words else F.transform(items, F.upper)
+    found["database"] = F.when(any_in(rule, DATABASE_WORDS) | any_in(low, DATABASE_WORDS), F.array(F.lit(DATABASE_ITEM))).otherwise(none)
+    found["credentials"] = F.when(low.rlike(CREDENTIALS), F.array(F.lit(CREDENTIALS_ITEM))).otherwise(none)
+    rows = findings.select("scan_id", F.explode(F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)])).alias("category", "found"))
     return rows.select("scan_id", "category", F.explode("found").alias("item")).distinct().groupBy("scan_id", "category").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
@@ -165,7 +216,7 @@ def permission_risk(granted: DataFrame) -> DataFrame:
     """scan_id, score, level: weight of the category times its items."""
     from ..functions.severity import lookup
 
-    scored = granted.groupBy("scan_id").agg(F.sum(lookup(F.col("category"), PERMISSION_WEIGHTS, 2) * F.size("items")).cast("long").alias("score"))
+    scored = granted.groupBy("scan_id").agg(F.sum(lookup(F.col("category"), PERMISSION_WEIGHTS, 0) * F.size("items")).cast("long").alias("score"))
     return scored.withColumn("level", F.when(F.col("score") >= 20, "HIGH").when(F.col("score") >= 10, "MEDIUM").otherwise("LOW"))
 
 

@@ -88,8 +88,8 @@ def t8_remediation(spark, sf):
     return C.remediation(rows)
 
 
-def j30_r8_correlations(spark, sf):
-    rows = frame(spark, sf, "scans").where("user_id < 30").select("scan_id", "user_id", F.col("scanned_at").alias("seen_at"), F.expr("array(concat('v', verdict), concat('e', ecosystem), concat('f', cast(findings_count % 5 as string)))").alias("items"))
+def j30_r8_u6_correlations(spark, sf):
+    rows = frame(spark, sf, "scans").select("scan_id", "user_id", F.col("scanned_at").alias("seen_at"), F.expr("array(concat('v', verdict), concat('e', ecosystem), concat('f', cast(findings_count % 5 as string)))").alias("items"))
     return C.recent_correlations(rows)
 
 
@@ -217,10 +217,10 @@ SELECT tool_id, round(greatest(0, least(1, 0.5::DOUBLE - CASE WHEN k = 1 THEN 0.
         f"""WITH v AS (SELECT scan_id % 3 + 1 AS priority, CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END AS rank, rule AS pattern, file, coalesce(line, 0) AS line FROM {FINDINGS})
 SELECT pattern, file, priority, CAST(rank AS INTEGER) AS rank, line FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY pattern, file ORDER BY priority, rank DESC, line) = 1) ORDER BY priority, rank DESC, pattern, file LIMIT 20""",
     ),
-    "j30_r8_correlations": (
-        j30_r8_correlations,
-        f"""WITH s AS (SELECT * FROM {SCANS} WHERE user_id < 30), p AS (SELECT x.scan_id AS a, y.scan_id AS b, (x.verdict = y.verdict)::INT + (x.ecosystem = y.ecosystem)::INT + (x.findings_count % 5 = y.findings_count % 5)::INT AS s FROM s x JOIN s y ON x.user_id = y.user_id AND x.scan_id <> y.scan_id AND y.scanned_at <= x.scanned_at AND date_diff('day', CAST(y.scanned_at AS DATE), CAST(x.scanned_at AS DATE)) <= 30)
-SELECT a, b, round(s / CAST(6 - s AS DOUBLE), 6) AS jaccard FROM p WHERE s / CAST(6 - s AS DOUBLE) > 0.3::DOUBLE QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5""",
+    "j30_r8_u6_correlations": (
+        j30_r8_u6_correlations,
+        f"""WITH s AS (SELECT * FROM {SCANS}), p AS (SELECT x.scan_id AS a, y.scan_id AS b, y.scanned_at AS t, (x.verdict = y.verdict)::INT + (x.ecosystem = y.ecosystem)::INT + (x.findings_count % 5 = y.findings_count % 5)::INT AS s FROM s x JOIN s y ON x.user_id = y.user_id AND (y.scanned_at, y.scan_id) < (x.scanned_at, x.scan_id) AND date_diff('day', CAST(y.scanned_at AS DATE), CAST(x.scanned_at AS DATE)) <= 30)
+SELECT a, b, round(s / CAST(6 - s AS DOUBLE), 6) AS jaccard FROM p WHERE s / CAST(6 - s AS DOUBLE) > 0.3::DOUBLE QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, t DESC, b DESC) <= 5""",
     ),
     "a38_signature_stats": (a38_signature_stats, f"WITH d AS (SELECT DISTINCT rule, severity, phase FROM {FINDINGS}) SELECT 'severity' AS by, severity AS value, count(*) AS n FROM d GROUP BY severity UNION ALL SELECT 'phase', phase, count(*) FROM d GROUP BY phase"),
     "a39_r15_u4_signature_merge": (

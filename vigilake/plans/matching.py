@@ -10,9 +10,15 @@ from ..operators import matching as M
 from .inputs import frame, read, source
 
 TOOLS, FINDINGS, USAGE = source("tools"), source("findings"), source("usage")
+#: What findings say, as an expression for Spark and DuckDB.
+DESCRIPTION = "concat(case scan_id % 3 when 0 then 'This was the dynamic call' when 1 then 'Network access from that file' else 'Dynamic code' end, case line % 2 when 0 then ' with network' else ' and install' end)"
+EVIDENCE = "case when line = 5 then null else concat('run(', file, ') as ', phase, case scan_id % 2 when 0 then ' eval' else ' exec' end) end"
 TARGETS = ["red-widget-1", "small-ring-12", "blue-gear", "large-bolt-3", "green-widget"]
 _TARGETS = "(VALUES " + ", ".join(f"('{t}')" for t in TARGETS) + ") g(target)"
 VARIABLES = ["API_KEY", "DB_URL", "TOKEN", "HOST", "PORT", "REGION", "BUCKET"]
+PROTOCOLS = ["HTTP", "REST", "WebSocket", "gRPC", "GraphQL", "Webhook"]
+CAPABILITIES = ["accesses_database", "reads_files", "processes_user_input", "makes_network_calls", "handles_credentials", "generates_content"]
+CATEGORIES = {"data": "Database", "search": "Search", "web": "API Integration", "communication": "Communication", "storage": "File System", "code": "Code Tools"}
 GROUPS = {"database": ["database", "quer"], "communication": ["email", "chat"], "search": ["search", "file"], "testing": ["test", "browser"], "cloud": ["cloud", "deploy"]}
 
 
@@ -37,54 +43,54 @@ def _own_sql(tool, items, spread):
     return "SELECT tool_id, v FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in enumerate(items)) + f") x(k, v), (SELECT p_partkey AS tool_id FROM part) WHERE ({tool} * (k + 3) + k) % {spread} < 2"
 
 
-def j12_shared_variables(spark, sf):
-    return M.shared_variables(tools(spark, sf).where("tool_id < 400").select("tool_id", _own("tool_id", VARIABLES, 11).alias("variables")), 0.5)
+def variable_members(spark, sf):
+    return M.item_classes(tools(spark, sf).select("tool_id", _own("tool_id", VARIABLES, 11).alias("variables")), "variables")
 
 
-def j14_j16_complementary(spark, sf):
-    fits = spark.createDataFrame([("API_KEY", "TOKEN"), ("DB_URL", "HOST"), ("DB_URL", "PORT"), ("BUCKET", "REGION")], "have string, want string")
-    rows = tools(spark, sf).where("tool_id < 400").select("tool_id", _own("tool_id", VARIABLES, 11).alias("capabilities"))
-    return M.best_matches(M.complementary(rows, fits), 20)
+def protocol_members(spark, sf):
+    return M.item_classes(tools(spark, sf).select("tool_id", _own("tool_id", PROTOCOLS, 13).alias("protocols")), "protocols")
 
 
-def variable_members(spark, sf):
-    return M.item_classes(tools(spark, sf).select("tool_id", _own("tool_id", VARIABLES, 11).alias("variables")), "variables")
+def capability_members(spark, sf):
+    return M.item_classes(tools(spark, sf).select("tool_id", _own("tool_id", CAPABILITIES, 17).alias("capabilities")), "capabilities")
 
 
 def j12_variable_classes(spark, sf):
     return M.shared_variable_classes(variable_members(spark, sf))
 
 
+def j12_shared_variables(spark, sf):
+    return M.matches_per_tool(variable_members(spark, sf), M.both_ways(j12_variable_classes(spark, sf)))
+
+
+def j13_protocol_classes(spark, sf):
+    return M.complementary_classes(protocol_members(spark, sf), M.PROTOCOL_FITS, 0.4, 0.8)
+
+
+def j13_protocols(spark, sf):
+    return M.matches_per_tool(protocol_members(spark, sf), j13_protocol_classes(spark, sf))
+
+
 def j14_capability_classes(spark, sf):
-    fits = spark.createDataFrame([("API_KEY", "TOKEN"), ("DB_URL", "HOST"), ("DB_URL", "PORT"), ("BUCKET", "REGION")], "have string, want string")
-    return M.complementary_classes(variable_members(spark, sf), fits)
+    return M.complementary_classes(capability_members(spark, sf), M.CAPABILITY_FITS)
 
 
-def protocol_members(spark, sf):
-    speaks = {"sql": ["database"], "smtp": ["email"], "http": ["browser", "cloud"]}
-    return M.item_classes(tools(spark, sf).select("tool_id", N.all_groups(F.col("description"), speaks).alias("protocols")), "protocols")
+def j14_complementary(spark, sf):
+    return M.matches_per_tool(capability_members(spark, sf), j14_capability_classes(spark, sf))
 
 
-def j13_protocol_classes(spark, sf):
-    fits = spark.createDataFrame([("sql", "http"), ("http", "smtp")], "have string, want string")
-    return M.complementary_classes(protocol_members(spark, sf), fits, 0.4, 0.8)
+def _named(spark, sf):
+    category = F.element_at(F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair]), F.col("category"))
+    return tools(spark, sf).select("tool_id", "ecosystem", category.alias("category"), "risk_score")
 
 
 def j15_category_match(spark, sf):
-    related = F.broadcast(spark.createDataFrame([("data", "storage"), ("search", "data"), ("web", "communication")], "category string, related string"))
-    t = tools(spark, sf)
-    a = t.where("tool_id % 50 = 0").join(related, "category").select(F.col("tool_id").alias("a"), F.col("ecosystem").alias("ea"), "related")
-    top = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))
-    pairs = a.join(t, F.col("related") == F.col("category")).select("a", F.col("tool_id").alias("b"), F.when(F.col("ea") != F.col("ecosystem"), 0.6).otherwise(0.4).alias("score"))
-    return pairs.withColumn("n", top).where("n <= 10").select("a", "b", "score")
+    return M.category_matches(_named(spark, sf), M.CATEGORY_FITS)
 
 
-def j13_protocols(spark, sf):
-    speaks = {"database": "sql", "email": "smtp", "browser": "http", "cloud": "http"}
-    fits = F.broadcast(spark.createDataFrame([("sql", "http"), ("http", "smtp")], "p string, q string"))
-    own = tools(spark, sf).where("tool_id < 300").select("tool_id", F.explode(N.all_groups(F.col("description"), {v: [k for k in speaks if speaks[k] == v] for v in set(speaks.values())})).alias("protocol"))
-    pairs = own.join(fits, F.col("protocol") == F.col("p")).alias("x").join(own.alias("y"), (F.col("x.q") == F.col("y.protocol")) & (F.col("x.tool_id") != F.col("y.tool_id")))
-    return pairs.groupBy(F.col("x.tool_id").alias("a"), F.col("y.tool_id").alias("b")).agg(F.round(F.least(F.lit(0.8), F.count("*") * 0.4), 6).alias("score"))
+def j16_best_matches(spark, sf):
+    rows = _named(spark, sf).select("tool_id", "ecosystem", "category", F.greatest(F.lit(0.0), 100.0 - F.col("risk_score") * 5).alias("trust"), _own("tool_id", VARIABLES, 11).alias("variables"), _own("tool_id", PROTOCOLS, 13).alias("protocols"), _own("tool_id", CAPABILITIES, 17).alias("capabilities"))
+    return M.best_matches(rows, M.PROTOCOL_FITS, M.CAPABILITY_FITS, M.CATEGORY_FITS)
 
 
 def j17_tool_matches(spark, sf):
@@ -111,18 +117,20 @@ def w3_w8_ranks(spark, sf):
     return top.select("tool_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _described(spark, sf):
+    return frame(spark, sf, "findings").selectExpr("*", f"{DESCRIPTION} as description", f"{EVIDENCE} as evidence")
+
+
 def a35_pattern_groups(spark, sf):
-    return M.pattern_groups(frame(spark, sf, "findings"))
+    return M.pattern_groups(_described(spark, sf))
 
 
-def j29_j30_u6_similar_scans(spark, sf):
-    rows = frame(spark, sf, "findings").where("scan_id < 400").groupBy(F.col("scan_id").alias("id")).agg(F.collect_set("rule").alias("items"))
-    return M.similar_sets(rows, 0.3)
+def j29_root_cause(spark, sf):
+    return M.root_cause_similarity(_described(spark, sf), ["scan_id", "phase"])
 
 
 def a52_best_category(spark, sf):
-    dim = spark.createDataFrame([(g, k, w) for k, (g, w) in enumerate(GROUPS.items())], "category string, position int, words array<string>")
-    return M.best_category(tools(spark, sf).select("tool_id", F.lower("description").alias("text")), dim)
+    return M.best_category(tools(spark, sf).select("tool_id", F.lower("description").alias("text")), GROUPS)
 
 
 def p28_p42_tool_category(spark, sf):
@@ -150,7 +158,11 @@ def p30_p31_p32_map(spark, sf):
 
 
 def trust_scores(spark, sf):
-    return tools(spark, sf).select("tool_id", F.greatest(F.lit(0), 100 - 5 * F.col("risk_score")).alias("strict"), F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.col("risk_score"))).alias("plain"), F.least(F.lit(100), F.floor(F.col("stars") / 2) + F.when(F.col("downloads") > 50_000, 40).when(F.col("downloads") > 10_000, 25).otherwise(10)).cast("int").alias("popular"))
+    rows = tools(spark, sf).selectExpr("*", "cast(tool_id % 14 as int) as forks", "case tool_id % 4 when 0 then null when 1 then 'unknown' else '1.0' end as version", "cast(tool_id % 9 as int) as issues")
+    return rows.select(
+        "tool_id", F.greatest(F.lit(0), 100 - 5 * F.col("risk_score")).alias("strict"), F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.col("risk_score"))).alias("plain"),
+        F.round(M.collected_trust(*map(F.col, ("stars", "downloads", "forks", "version", "issues"))), 6).alias("collected"),
+    )
 
 
 _LOOKALIKE = """low <> target AND (levenshtein(low, target) <= 2 OR ((starts_with(low, target || '-') OR ends_with(low, '-' || target)) AND length(replace(replace(replace(low, target, ''), '-', ''), '_', '')) > 0 AND ({tries})))""".format(
@@ -163,6 +175,25 @@ _TRENDING = f"""WITH p AS (SELECT tool_id, avg(downloads) FILTER (ts >= TIMESTAM
 g AS (SELECT p.*, 100 - risk_score AS trust, CASE WHEN b = 0 THEN CASE WHEN n > 0 THEN 100 ELSE 0 END WHEN n = 0 THEN -100 ELSE (n - b) * 100 / b END AS g FROM p JOIN {TOOLS} t ON p.tool_id = t.tool_id WHERE n IS NOT NULL),
 r AS (SELECT tool_id, round((n / max(n) OVER () * 0.4::DOUBLE + greatest(0, least(1, (g + 100) / 600::DOUBLE)) * 0.3::DOUBLE + s / max(s) OVER () * 0.2::DOUBLE + trust / 100::DOUBLE * 0.1::DOUBLE) * 100, 4) AS score, round(g, 4) AS growth FROM g)"""
 
+_VARS, _PROTS, _CAPS = _own_sql("tool_id", VARIABLES, 11), _own_sql("tool_id", PROTOCOLS, 13), _own_sql("tool_id", CAPABILITIES, 17)
+_CATEGORY = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORIES.items()) + " END"
+
+
+def _pairs_sql(fits):
+    return ", ".join(f"('{have}', '{want}')" for have, wants in fits.items() for want in wants)
+
+
+_SETS = "WITH o AS ({of}), s AS (SELECT tool_id, list_sort(list(v)) AS s FROM o GROUP BY 1), c AS (SELECT CAST(to_json(s) AS VARCHAR) AS class, s, count(*) AS tools FROM s GROUP BY 2)"
+_FITTING = """SELECT a.class AS a, b.class AS b, round(least(count(*) * {each}::DOUBLE, {most}::DOUBLE), 6) AS score, max(a.tools) AS tools_a, max(b.tools) AS tools_b
+FROM c a JOIN c b ON a.class <> b.class OR a.tools > 1 JOIN (VALUES {fits}) f(have, want) ON list_contains(a.s, have) AND list_contains(b.s, want) GROUP BY 1, 2"""
+_SHARED = f"""SELECT a, b, round(n / CAST(greatest(na.n0, nb.n0) AS DOUBLE), 6) AS score FROM (SELECT x.tool_id AS a, y.tool_id AS b, count(*) AS n FROM ({_VARS}) x JOIN ({_VARS}) y ON x.v = y.v AND x.tool_id <> y.tool_id GROUP BY 1, 2)
+JOIN (SELECT tool_id, count(*) AS n0 FROM ({_VARS}) GROUP BY 1) na ON na.tool_id = a JOIN (SELECT tool_id, count(*) AS n0 FROM ({_VARS}) GROUP BY 1) nb ON nb.tool_id = b WHERE n / CAST(greatest(na.n0, nb.n0) AS DOUBLE) >= 0.3"""
+
+
+def _fits(of, fits, each, most):
+    return f"SELECT x.tool_id AS a, y.tool_id AS b, round(least(count(*) * {each}::DOUBLE, {most}::DOUBLE), 6) AS score FROM ({of}) x JOIN (VALUES {_pairs_sql(fits)}) f(have, want) ON x.v = have JOIN ({of}) y ON y.v = want AND x.tool_id <> y.tool_id GROUP BY 1, 2"
+
+
 QUERIES = {
     "j25_lookalikes": (j25_lookalikes, f"SELECT tool_id, target FROM (SELECT tool_id, replace(lower(name), '_', '-') AS low FROM {TOOLS}), {_TARGETS} WHERE {_LOOKALIKE}"),
     "j26_t9_lookalike_alerts": (
@@ -170,32 +201,32 @@ QUERIES = {
         f"""WITH d AS (SELECT DISTINCT name, target, levenshtein(lower(name), target) AS d, round(1 - levenshtein(lower(name), target) / CAST(greatest(length(name), length(target)) AS DOUBLE), 6) AS s FROM {TOOLS}, {_TARGETS} WHERE lower(name) <> target)
 SELECT name, target, CAST(d AS INTEGER) AS distance, s AS similarity, CASE WHEN d <= 2 AND s >= 0.7::DOUBLE THEN 'HIGH' WHEN d <= 3 AND s >= 0.6::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS level FROM d WHERE d <= 4 AND s >= 0.5::DOUBLE""",
     ),
-    "j12_shared_variables": (
-        j12_shared_variables,
-        f"""WITH o AS (SELECT * FROM ({_own_sql("tool_id", VARIABLES, 11)}) WHERE tool_id < 400), n AS (SELECT tool_id, count(*) AS n FROM o GROUP BY 1)
-SELECT x.tool_id AS a, y.tool_id AS b, round(count(*) / CAST(greatest(max(n.n), max(m.n)) AS DOUBLE), 6) AS score FROM o x JOIN o y ON x.v = y.v AND x.tool_id < y.tool_id JOIN n ON n.tool_id = x.tool_id JOIN n m ON m.tool_id = y.tool_id GROUP BY 1, 2 HAVING count(*) / CAST(greatest(max(n.n), max(m.n)) AS DOUBLE) >= 0.5""",
+    "variable_members": (variable_members, f"SELECT tool_id, CAST(to_json(list_sort(list(v))) AS VARCHAR) AS class FROM ({_VARS}) GROUP BY 1"),
+    "protocol_members": (protocol_members, f"SELECT tool_id, CAST(to_json(list_sort(list(v))) AS VARCHAR) AS class FROM ({_PROTS}) GROUP BY 1"),
+    "capability_members": (capability_members, f"SELECT tool_id, CAST(to_json(list_sort(list(v))) AS VARCHAR) AS class FROM ({_CAPS}) GROUP BY 1"),
+    "j12_variable_classes": (
+        j12_variable_classes,
+        f"""{_SETS.format(of=_VARS)}
+SELECT a.class AS a, b.class AS b, round(len(list_intersect(a.s, b.s)) / CAST(greatest(len(a.s), len(b.s)) AS DOUBLE), 6) AS score, a.tools AS tools_a, b.tools AS tools_b
+FROM c a JOIN c b ON a.class <= b.class AND (a.class < b.class OR a.tools > 1) WHERE len(list_intersect(a.s, b.s)) / CAST(greatest(len(a.s), len(b.s)) AS DOUBLE) >= 0.3""",
     ),
-    "j14_j16_complementary": (
-        j14_j16_complementary,
-        f"""WITH o AS (SELECT * FROM ({_own_sql("tool_id", VARIABLES, 11)}) WHERE tool_id < 400), f(h, w) AS (VALUES ('API_KEY', 'TOKEN'), ('DB_URL', 'HOST'), ('DB_URL', 'PORT'), ('BUCKET', 'REGION')),
-p AS (SELECT x.tool_id AS a, y.tool_id AS b, round(least(count(*) * 0.3::DOUBLE, 1), 6) AS score FROM o x JOIN f ON x.v = h JOIN o y ON y.v = w AND x.tool_id <> y.tool_id GROUP BY 1, 2)
-SELECT least(a, b) AS a, greatest(a, b) AS b, max(score) AS score FROM p GROUP BY 1, 2 ORDER BY score DESC, a, b LIMIT 20""",
+    "j12_shared_variables": (j12_shared_variables, f"WITH p AS ({_SHARED}) SELECT a AS tool_id, count(*) AS matches, max(score) AS best FROM p GROUP BY 1"),
+    "j13_protocol_classes": (j13_protocol_classes, f"{_SETS.format(of=_PROTS)} SELECT * FROM ({_FITTING.format(fits=_pairs_sql(M.PROTOCOL_FITS), each=0.4, most=0.8)})"),
+    "j13_protocols": (j13_protocols, f"WITH p AS ({_fits(_PROTS, M.PROTOCOL_FITS, 0.4, 0.8)}) SELECT a AS tool_id, count(*) AS matches, max(score) AS best FROM p GROUP BY 1"),
+    "j14_capability_classes": (j14_capability_classes, f"{_SETS.format(of=_CAPS)} SELECT * FROM ({_FITTING.format(fits=_pairs_sql(M.CAPABILITY_FITS), each=0.3, most=1.0)})"),
+    "j14_complementary": (j14_complementary, f"WITH p AS ({_fits(_CAPS, M.CAPABILITY_FITS, 0.3, 1.0)}) SELECT a AS tool_id, count(*) AS matches, max(score) AS best FROM p GROUP BY 1"),
+    "j16_best_matches": (
+        j16_best_matches,
+        f"""WITH t AS (SELECT tool_id, ecosystem, {_CATEGORY} AS category, greatest(0, 100 - risk_score * 5)::DOUBLE AS trust FROM {TOOLS}), r(c, related) AS (VALUES {_pairs_sql(M.CATEGORY_FITS)}),
+p AS ({_SHARED} UNION ALL {_fits(_PROTS, M.PROTOCOL_FITS, 0.4, 0.8)} UNION ALL {_fits(_CAPS, M.CAPABILITY_FITS, 0.3, 1.0)}
+ UNION ALL SELECT x.tool_id, y.tool_id, CAST(CASE WHEN x.ecosystem <> y.ecosystem THEN 0.6 ELSE 0.4 END AS DOUBLE) FROM t x JOIN r ON x.category = c JOIN t y ON y.category = related),
+v AS (SELECT a, b, max(round(score * (x.trust + y.trust) / 2, 6)) AS value FROM p JOIN t x ON x.tool_id = a JOIN t y ON y.tool_id = b WHERE a <> b GROUP BY 1, 2)
+SELECT a, b, value, CAST(row_number() OVER (PARTITION BY a ORDER BY value DESC, b) AS INTEGER) AS rank FROM v QUALIFY rank <= 20""",
     ),
-    # all tools, by classes; tests hold them against brute force
-    "variable_members": (variable_members, None),
-    "j12_variable_classes": (j12_variable_classes, None),
-    "j14_capability_classes": (j14_capability_classes, None),
-    "protocol_members": (protocol_members, None),
-    "j13_protocol_classes": (j13_protocol_classes, None),
     "j15_category_match": (
         j15_category_match,
-        f"""WITH t AS (SELECT * FROM {TOOLS}), r(c, related) AS (VALUES ('data', 'storage'), ('search', 'data'), ('web', 'communication'))
-SELECT x.tool_id AS a, y.tool_id AS b, CAST(CASE WHEN x.ecosystem <> y.ecosystem THEN 0.6 ELSE 0.4 END AS DOUBLE) AS score FROM t x JOIN r ON x.category = c JOIN t y ON y.category = related WHERE x.tool_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY x.tool_id ORDER BY CASE WHEN x.ecosystem <> y.ecosystem THEN 0.6 ELSE 0.4 END DESC, y.tool_id) <= 10""",
-    ),
-    "j13_protocols": (
-        j13_protocols,
-        f"""WITH o AS (SELECT DISTINCT tool_id, p FROM {TOOLS}, (VALUES ('database', 'sql'), ('email', 'smtp'), ('browser', 'http'), ('cloud', 'http')) s(w, p) WHERE tool_id < 300 AND contains(description, w)), f(p, q) AS (VALUES ('sql', 'http'), ('http', 'smtp'))
-SELECT x.tool_id AS a, y.tool_id AS b, CAST(round(least(0.8, count(*) * 0.4), 6) AS DOUBLE) AS score FROM o x JOIN f ON x.p = f.p JOIN o y ON y.p = f.q AND x.tool_id <> y.tool_id GROUP BY 1, 2""",
+        f"""WITH t AS (SELECT tool_id, ecosystem, {_CATEGORY} AS category FROM {TOOLS}), r(c, related) AS (VALUES {_pairs_sql(M.CATEGORY_FITS)})
+SELECT x.tool_id AS a, y.tool_id AS b, CAST(CASE WHEN x.ecosystem <> y.ecosystem THEN 0.6 ELSE 0.4 END AS DOUBLE) AS score FROM t x JOIN r ON x.category = c JOIN t y ON y.category = related AND x.tool_id <> y.tool_id QUALIFY row_number() OVER (PARTITION BY x.tool_id ORDER BY CASE WHEN x.ecosystem <> y.ecosystem THEN 0.6 ELSE 0.4 END DESC, y.tool_id) <= 10""",
     ),
     "j17_tool_matches": (
         j17_tool_matches,
@@ -211,13 +242,17 @@ SELECT category, tool_id, trust FROM f WHERE trust >= 70 QUALIFY row_number() OV
     "w3_w8_ranks": (w3_w8_ranks, f"{_TRENDING} SELECT tool_id, score, row_number() OVER (ORDER BY score DESC, tool_id) AS rank FROM r ORDER BY score DESC, tool_id LIMIT 30"),
     "a35_pattern_groups": (
         a35_pattern_groups,
-        f"""WITH s AS (SELECT rule, severity, count(*) AS n, CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END AS k FROM {FINDINGS} GROUP BY 1, 2), f AS (SELECT rule, count(DISTINCT file) AS files FROM {FINDINGS} GROUP BY 1)
-SELECT s.rule, CAST(sum(n) AS BIGINT) AS findings, max(files) AS files, arg_max(severity, k) AS worst, string_agg(severity || '=' || CAST(n AS VARCHAR), ',' ORDER BY k DESC) AS severities FROM s JOIN f ON s.rule = f.rule GROUP BY 1""",
+        f"""WITH d AS (SELECT *, {DESCRIPTION} AS description FROM {FINDINGS}), s AS (SELECT rule, severity, count(*) AS n, CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END AS k FROM d GROUP BY 1, 2), f AS (SELECT rule, count(DISTINCT file) AS files, count(*) AS total FROM d GROUP BY 1),
+w AS (SELECT rule, word, count(*) AS n FROM (SELECT rule, unnest(list_distinct(regexp_extract_all(lower(description), '\\w+'))) AS word FROM d) WHERE length(word) >= 4 AND word NOT IN ({", ".join(f"'{x}'" for x in M.STOP_WORDS)}) GROUP BY 1, 2),
+c AS (SELECT w.rule, string_agg(word, ',' ORDER BY word) AS common FROM w JOIN f ON f.rule = w.rule WHERE n >= total * 0.5 GROUP BY 1)
+SELECT s.rule, CAST(sum(n) AS BIGINT) AS findings, max(files) AS files, arg_max(severity, k) AS worst, coalesce(max(common), '') AS common, string_agg(severity || '=' || CAST(n AS VARCHAR), ',' ORDER BY k DESC) AS severities FROM s JOIN f ON s.rule = f.rule LEFT JOIN c ON c.rule = s.rule GROUP BY 1""",
     ),
-    "j29_j30_u6_similar_scans": (
-        j29_j30_u6_similar_scans,
-        f"""WITH s AS (SELECT DISTINCT scan_id AS id, rule FROM {FINDINGS} WHERE scan_id < 400), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1)
-SELECT x.id AS a, y.id AS b, round(count(*) / CAST(max(n.n) + max(m.n) - count(*) AS DOUBLE), 6) AS jaccard FROM s x JOIN s y ON x.rule = y.rule AND x.id < y.id JOIN n ON n.id = x.id JOIN n m ON m.id = y.id GROUP BY 1, 2 HAVING round(count(*) / CAST(max(n.n) + max(m.n) - count(*) AS DOUBLE), 6) > 0.3::DOUBLE""",
+    "j29_root_cause": (
+        j29_root_cause,
+        f"""WITH f AS (SELECT *, row_number() OVER () AS i, list_distinct(regexp_extract_all(lower({EVIDENCE}), '\\w+')) AS words FROM {FINDINGS}),
+p AS (SELECT x.scan_id, x.phase, CASE WHEN x.file = y.file THEN 0.3 ELSE 0 END::DOUBLE + CASE WHEN abs(x.line - y.line) < 50 THEN 0.2 ELSE 0 END::DOUBLE + CASE WHEN x.severity = y.severity THEN 0.1 ELSE 0 END::DOUBLE
+  + 0.4::DOUBLE * coalesce(len(list_intersect(x.words, y.words)) / CAST(len(x.words) + len(y.words) - len(list_intersect(x.words, y.words)) AS DOUBLE), 0) AS s FROM f x JOIN f y ON x.scan_id = y.scan_id AND x.phase = y.phase AND x.i < y.i)
+SELECT g.scan_id, g.phase, n AS findings, coalesce(round(CASE WHEN m > 1 THEN 1 ELSE m END, 6), 0) AS similarity FROM (SELECT scan_id, phase, count(*) AS n FROM f GROUP BY 1, 2) g LEFT JOIN (SELECT scan_id, phase, avg(s) AS m FROM p GROUP BY 1, 2) p ON p.scan_id = g.scan_id AND p.phase = g.phase""",
     ),
     "a52_best_category": (
         a52_best_category,
@@ -237,6 +272,8 @@ SELECT CASE WHEN l.tool_id IS NOT NULL THEN 'critical' WHEN ecosystem = 'skills'
     ),
     "trust_scores": (
         trust_scores,
-        f"SELECT tool_id, greatest(0, 100 - 5 * risk_score) AS strict, greatest(0, least(100, 100 - risk_score)) AS plain, CAST(least(100, stars // 2 + CASE WHEN downloads > 50000 THEN 40 WHEN downloads > 10000 THEN 25 ELSE 10 END) AS INTEGER) AS popular FROM {TOOLS}",
+        f"""WITH t AS (SELECT tool_id, risk_score, stars, downloads, tool_id % 14 AS forks, tool_id % 9 AS issues, tool_id % 4 > 1 AS told FROM {TOOLS})
+SELECT tool_id, greatest(0, 100 - 5 * risk_score) AS strict, greatest(0, least(100, 100 - risk_score)) AS plain,
+ round(least(100, least(30, stars / 10::DOUBLE) + least(25, downloads / 100::DOUBLE) + least(20, forks * 2) + CASE WHEN told THEN 15 ELSE 0 END + CASE WHEN stars > 0 AND issues / stars::DOUBLE < 0.1 THEN 10 ELSE 0 END), 6) AS collected FROM t""",
     ),
 }

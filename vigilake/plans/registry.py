@@ -104,11 +104,12 @@ def p39_detection_delta(spark, sf):
 
 
 def p43_policies(spark, sf):
-    policies = spark.createDataFrame(
-        [("open", [], [], 100, []), ("strict", ["pkg-7", "pkg-8"], [], 20, ["install_hooks", "code_patterns"]), ("listed", [], [f"pkg-{k}" for k in range(0, 60, 2)], 40, ["code_patterns"])],
-        "policy string, blocklist array<string>, allowlist array<string>, auto_approve int, required_phases array<string>",
-    )
-    rows = scans(spark, sf).where("user_id < 40").select("scan_id", "package", "risk_score", F.expr("case when scan_id % 2 = 0 then array('install_hooks', 'code_patterns') else array('code_patterns') end").alias("phases"))
+    policies = [
+        {"policy": "open", "blocklist": [], "allowlist": [], "auto_approve": 100, "required_phases": []},
+        {"policy": "strict", "blocklist": ["pkg-7", "pkg-8"], "allowlist": [], "auto_approve": 20, "required_phases": ["install_hooks", "code_patterns"]},
+        {"policy": "listed", "blocklist": [], "allowlist": [f"pkg-{k}" for k in range(0, 60, 2)], "auto_approve": 40, "required_phases": ["code_patterns"]},
+    ]
+    rows = scans(spark, sf).select("scan_id", "package", "risk_score", F.expr("case when scan_id % 2 = 0 then array('install_hooks', 'code_patterns') else array('code_patterns') end").alias("phases"))
     return R.policy_evaluation(rows, policies)
 
 
@@ -205,7 +206,7 @@ SELECT day, scans, CAST(sum(scans) OVER (ORDER BY day) AS BIGINT) AS total, roun
     "p39_detection_delta": (p39_detection_delta, f"SELECT scan_id, verdict FROM {SCANS} WHERE verdict IN ('HIGH_RISK', 'CRITICAL_RISK') AND scan_id % 3 <> 2 AND scan_id % 5 <> 0"),
     "p43_policies": (
         p43_policies,
-        f"""WITH s AS (SELECT scan_id, package, risk_score, scan_id % 2 = 0 AS hooks, CAST(substr(package, 5) AS INTEGER) AS k FROM {SCANS} WHERE user_id < 40),
+        f"""WITH s AS (SELECT scan_id, package, risk_score, scan_id % 2 = 0 AS hooks, CAST(substr(package, 5) AS INTEGER) AS k FROM {SCANS}),
 v AS (SELECT 'open' AS policy, scan_id, '' AS violations, risk_score <= 100 AS low FROM s
  UNION ALL SELECT 'strict', scan_id, array_to_string(list_filter([CASE WHEN k IN (7, 8) THEN 'blocked' END, CASE WHEN NOT hooks THEN 'missing_phase' END], lambda x: x IS NOT NULL), ','), risk_score <= 20 FROM s
  UNION ALL SELECT 'listed', scan_id, CASE WHEN k < 60 AND k % 2 = 0 THEN '' ELSE 'not_allowed' END, risk_score <= 40 FROM s)

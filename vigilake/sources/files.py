@@ -9,9 +9,13 @@ from pyspark.sql import types as T
 from ..operators.scanning import RULES
 
 # Folders that are never read, and the largest file that is.
-EXCLUDED = ["node_modules", ".git", "target", "dist", "build", ".next", "__pycache__", ".venv", "venv", ".tox", "vendor", ".cache"]
+EXCLUDED = ["node_modules", ".git", "target", "dist", "build", ".next", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache"]
 MOST_BYTES = 10_000_000
-TEXT_EXTENSIONS = ["py", "js", "ts", "jsx", "tsx", "mjs", "cjs", "sh", "bash", "rb", "go", "rs", "json", "yaml", "yml", "toml", "md", "txt", "cfg", "ini"]
+#: Endings of names that are text, as they are written.
+TEXT_EXTENSIONS = [
+    ".py", ".js", ".ts", ".jsx", ".tsx", ".json", ".yml", ".yaml", ".toml", ".cfg", ".ini", ".sh", ".bash", ".zsh", ".md", ".rst", ".txt", ".html", ".css", ".scss", ".xml", ".csv", ".env", ".lock",
+    ".conf", ".rb", ".go", ".rs", ".java", ".c", ".h", ".cpp", ".hpp", ".cs", ".php", ".pl", ".lua", ".r", ".R", ".swift", ".kt", ".gradle", ".cmake", ".make", ".Makefile",
+]
 
 
 def source_tree(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
@@ -34,9 +38,9 @@ def excluded(path: Column, ignore: list[str]) -> Column:
 
 
 def scannable(path: Column, length: Column) -> Column:
-    """A known text extension, or none and under a million bytes."""
-    name = F.element_at(F.split(path, "/"), -1)
-    return F.when(name.contains("."), F.element_at(F.split(F.lower(name), r"\."), -1).isin(TEXT_EXTENSIONS)).otherwise(length < 1_000_000)
+    """A known ending of the name, or none and under a million bytes; a dot that opens a name begins no ending."""
+    ending = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^.+(\.[^.]+)$", 1)
+    return ending.isin(TEXT_EXTENSIONS) | ((ending == "") & (length < 1_000_000))
 
 
 def rule_pack(spark: SparkSession, path: str) -> DataFrame:
