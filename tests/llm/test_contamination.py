@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_models import DOCS, found_by_hand, least_cost, noisy
@@ -82,3 +83,37 @@ def test_a_stride_loses_no_find(spark):
     frame, bench = spark.createDataFrame([(1, noisy_text)], DOCS), spark.createDataFrame([(7, text)], "item_id long, text string")
     for stride in (None, STRIDE):
         assert [(r.doc_id, r.item_id, r.edits) for r in decontamination.leaks(frame, bench, stride=stride).collect()] == [(1, 7, 11)]
+
+
+def test_blocks_change_nothing(spark):
+    """Items that share an id, repeated rows, items without an id and hot grams, in one block and in many."""
+    rng = random.Random(4)
+    items = [(1, words(rng, 40)), (1, words(rng, 60)), (None, words(rng, 30)), (2, "the same phrase again and again " * 9), (3, "tiny item"), (3, "tiny one")]
+    body = " ".join([words(rng, 9), items[0][1], words(rng, 9), items[1][1], items[2][1], "tiny one, tiny item", items[3][1]])
+    rows = [(7, body, "x"), (7, body, "y"), (7, words(rng, 50), "z"), (None, noisy(rng, body, 4), "n"), (8, body, None), (9, None, "e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    got = [sorted(map(str, decontamination.leaks(frame, bench, block_chars=n, stride=STRIDE).collect())) for n in (4_000_000, 3000, 100)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 3 * 4
+    for n in (4_000_000, 100):
+        assert sorted(r.item_id for r in decontamination.decontaminate(frame, bench, block_chars=n, stride=STRIDE).collect()) == ["e", "z"]
+
+
+def test_grams_with_many_holders_are_taken_in_ranges(monkeypatch):
+    rng = random.Random(6)
+    stem = words(rng, 12)
+    items = [(i, f"{stem} {words(rng, 6)} {stem}") for i in range(60)]
+    texts = [f"{words(rng, 30)} {items[k][1]} {words(rng, 30)}" for k in (0, 7, 33)] + [stem]
+    index = decontamination.Index(items, 8, 0.1, PIECE, 40, STRIDE)
+    whole = [list(decontamination._scan(index, [t])) for t in texts]
+    monkeypatch.setattr(decontamination, "_ENTRIES", 500)
+    assert [list(decontamination._scan(index, [t])) for t in texts] == whole and [len(w) for w in whole][:3] == [1, 1, 1]
+
+
+def test_a_text_of_a_million_characters(spark):
+    rng = random.Random(8)
+    item = words(rng, 40)
+    text = words(rng, 90_000) + " " + item + " " + words(rng, 90_000)
+    assert len(text) > 1_000_000
+    got = decontamination.leaks(spark.createDataFrame([(1, text), (2, "a " * 600_000)], DOCS), spark.createDataFrame([(5, item)], "item_id long, text string"), stride=STRIDE).collect()
+    assert [(r.doc_id, r.item_id, r.edits, decontamination.normal(text[r.begin : r.end]) in decontamination.normal(item)) for r in got] == [(1, 5, 0, True)]

@@ -17,15 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_groups import batches_of, texts_of
-from .common import text_of
+from .common import cut, text_of
 from .shingles import mix
 
 _WORD = re.compile(r"[^\W_]+")
 _BITS = 22
+#: Hits of grams that are held at once.
+_ENTRIES = 4_000_000
+#: Cells of the table of first counts, a power of two.
+_CELLS = 1 << 20
 
 
 def normal(text: str) -> str:
@@ -60,19 +65,18 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float, piece: int, least: int, stride: int | None = None):
         self.q, self.pieces = q, []
-        short: dict[int, list[tuple[int, int, str]]] = {}
+        short: dict[int, dict[str, list[int]]] = {}
         for item, text in items:
             body = normal(text or "")
             if len(body) < least:
                 if body:
-                    m = min(len(body), q)
-                    short.setdefault(m, []).append((int(_grams(np.array([ord(c) for c in body[:m]], np.uint64), m)[0]), item, body))
+                    short.setdefault(min(len(body), q), {}).setdefault(body, []).append(item)
                 continue
             for part in _cut(body, piece, stride):
                 edits = max(0, min(int(rate * len(part)), len(part) // q - 1))
                 self.pieces.append((item, part, edits, len(part) + 1 - q * (edits + 1)))
-        #: length of a start -> sorted hashes of starts, (item, body) in the same order
-        self.short = {m: (np.array([r[0] for r in sorted(rows)], np.uint64), [r[1:] for r in sorted(rows)]) for m, rows in short.items()}
+        #: length of a start -> sorted hashes of starts, the bodies with their items, the lengths of the bodies
+        self.short = {m: (self._starts(bodies, m), bodies, sorted(set(map(len, bodies)))) for m, bodies in short.items()}
         hashes, owner, place = [], [], []
         for i, (_, part, _, _) in enumerate(self.pieces):
             h = _grams(np.array([ord(c) for c in part], np.uint64), q)
@@ -84,26 +88,38 @@ class Index:
         order = np.argsort(h, kind="stable")
         self.hashes = h[order]
         self.owner = np.concatenate(owner)[order] if owner else none
+        #: hashes as numbers from 0, where the entries of each begin, and each entry's number and owner as one key, for ranges of owners
+        self.distinct, numbers, counts = np.unique(self.hashes, return_inverse=True, return_counts=True)
+        self.begin = np.concatenate([[0], np.cumsum(counts)])
+        self.key = numbers.astype(np.int64) * (len(self.pieces) + 1) + self.owner
+        #: the first number of each leading part of a hash
+        self.slot = np.searchsorted(self.distinct >> np.uint64(64 - _BITS), np.arange((1 << _BITS) + 1, dtype=np.uint64)).astype(np.int32)
         self.place = np.concatenate(place)[order] if place else none
-        self.known = np.zeros(1 << _BITS, bool)
-        self.known[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.known = self.slot[1:] > self.slot[:-1]
         self.bound = min((p[3] for p in self.pieces), default=1)
         self.span = max((len(p[1]) + p[2] for p in self.pieces), default=q)
         self.edits, self.least, self.length = (np.array([f(p) for p in self.pieces], np.int64) for f in (lambda p: p[2], lambda p: p[3], lambda p: len(p[1])))
 
+    @staticmethod
+    def _starts(bodies: dict[str, list[int]], m: int) -> np.ndarray:
+        return np.unique(np.array([_grams(np.array([ord(c) for c in body[:m]], np.uint64), m)[0] for body in bodies], np.uint64))
+
     def exact(self, codes: np.ndarray, grams: np.ndarray, joined: str) -> Iterator[tuple[int, int, int]]:
-        """(item, begin, end): where the short items stand unchanged between word borders."""
-        for m, (hashes, items) in self.short.items():
+        """(item, begin, end): where the short items stand unchanged between word borders.
+
+        A place where one may begin is looked up once for each length of an item, however many items begin alike.
+        """
+        for m, (hashes, bodies, lengths) in self.short.items():
             own = grams if m == self.q else _grams(codes, m)
             low = np.searchsorted(hashes, own)
-            where = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own)
-            for at, first in zip(where.tolist(), low[where].tolist()):
+            for at in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own).tolist():
                 if at and joined[at - 1] not in " \0":
                     continue
-                for item, body in items[first : int(np.searchsorted(hashes, own[at], "right"))]:
-                    end = at + len(body)
-                    if joined.startswith(body, at) and (end == len(joined) or joined[end] in " \0"):
-                        yield item, at, end
+                for n in lengths:
+                    end = at + n
+                    if end == len(joined) or joined[end : end + 1] in (" ", "\0"):
+                        for item in bodies.get(joined[at:end], ()):
+                            yield item, at, end
 
     def candidates(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
         """(piece, begin, end): stretches of a text with the given q-grams in which a band of diagonals reaches a piece's bound."""
@@ -118,8 +134,32 @@ class Index:
         # a place stays if it lies in a stretch of the widest piece that has the least bound of hits
         before = np.cumsum(np.concatenate([np.zeros(wide, bool), dense, np.zeros(wide - 1, bool)]), dtype=np.int32)
         where = np.flatnonzero(hit & (before[wide:] > before[:-wide]))
-        part = grams[where]
-        low, high = np.searchsorted(self.hashes, part, "left"), np.searchsorted(self.hashes, part, "right")
+        number = self._numbers(grams[where])
+        where, number = where[number >= 0], number[number >= 0]
+        total = int((self.begin[number + 1] - self.begin[number]).sum())
+        # grams with many holders are taken in ranges of pieces, so what is held at once is bounded
+        steps = max(1, -(-total // _ENTRIES))
+        bounds = np.linspace(0, len(self.pieces), steps + 1).astype(np.int64)
+        return [c for k in range(steps) for c in self._banded(where, number, int(bounds[k]), int(bounds[k + 1]))]
+
+    def _numbers(self, part: np.ndarray) -> np.ndarray:
+        """The numbers of hashes, -1 for those that no piece has."""
+        head = (part >> np.uint64(64 - _BITS)).astype(np.int64)
+        number = self.slot[head].astype(np.int64)
+        same = self.distinct[np.minimum(number, len(self.distinct) - 1)] == part
+        more = np.flatnonzero(~same & (self.slot[head + 1] > number + 1))
+        if len(more):
+            number[more] = np.minimum(np.searchsorted(self.distinct, part[more]), len(self.distinct) - 1)
+            same[more] = self.distinct[number[more]] == part[more]
+        return np.where(same, number, -1)
+
+    def _banded(self, where: np.ndarray, number: np.ndarray, first: int, end: int) -> list[tuple[int, int, int]]:
+        """candidates among the pieces from first to end, given the places and numbers of known grams."""
+        if first == 0 and end == len(self.pieces):
+            low, high = self.begin[number], self.begin[number + 1]
+        else:
+            span = len(self.pieces) + 1
+            low, high = np.searchsorted(self.key, number * span + first), np.searchsorted(self.key, number * span + end)
         n = high - low
         where = np.repeat(where, n)
         at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -127,6 +167,13 @@ class Index:
         step = self.edits[owner] + 1
         # bands are two steps wide, one step apart: any step + 1 neighbouring diagonals lie in one of them
         band = (where - self.place[at] + self.span) // step
+        # first counts in a small table, in which bands may share a cell: what is too few there is too few
+        cell = (owner * 1_000_003 + band) & (_CELLS - 1)
+        table = np.bincount(cell, minlength=_CELLS)
+        few = table[cell] + np.maximum(table[(cell + 1) & (_CELLS - 1)], table[(cell - 1) & (_CELLS - 1)]) < self.least[owner]
+        where, at, owner, band = where[~few], at[~few], owner[~few], band[~few]
+        if not len(at):
+            return []
         key = (owner << 40) + band
         keys, inside, counts = np.unique(np.concatenate([key, key - 1]), return_inverse=True, return_counts=True)
         owner = keys >> 40
@@ -172,30 +219,37 @@ def align(piece: str, text: str, edits: int) -> tuple[int, int, int] | None:
 
 
 def _scan(index: Index, texts: list[str], any_find: bool = False) -> Iterator[tuple[int, str, list[tuple[int, int, int, int]]]]:
-    """(which text, its normal form, finds) for the texts with a find; the best of each item, or just one of a text."""
+    """(which text, its normal form, finds) for the texts with a find; the best of each item, or just one of a text.
+
+    The best has the fewest edits and, of equals, begins and then ends first.
+    """
     bodies = [normal(t) for t in texts]
     joined = "\0".join(bodies)
     codes = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64)
     grams = _grams(codes, index.q)
     starts = np.cumsum([0, *(len(b) + 1 for b in bodies)])
-    finds: dict[int, dict[int, tuple[int, int, int, int]]] = {}
+    finds: dict[int, dict[int, tuple[int, int, int]]] = {}
+
+    def told(k: int, item: int, find: tuple[int, int, int]) -> None:
+        own = finds.setdefault(k, {})
+        own[item] = min(find, own.get(item, find))
+
     for item, begin, end in index.exact(codes, grams, joined):
         k = int(np.searchsorted(starts, begin, "right")) - 1
-        finds.setdefault(k, {}).setdefault(item, (item, begin - int(starts[k]), end - int(starts[k]), 0))
-    for i, begin, end in index.candidates(grams):
+        told(k, item, (0, begin - int(starts[k]), end - int(starts[k])))
+    for i, begin, end in sorted(index.candidates(grams), key=lambda c: c[1]):
         item, piece, edits, _ = index.pieces[i]
         for k in range(max(0, int(np.searchsorted(starts, begin, "right")) - 1), min(len(bodies), int(np.searchsorted(starts, end, "left")))):
-            if k in finds and (any_find or finds[k].get(item, (0, 0, 0, 1))[3] == 0):
-                continue
             at = max(0, begin - int(starts[k]))
+            if k in finds and (any_find or item in finds[k] and finds[k][item] < (0, at)):
+                continue
             window = bodies[k][at : max(0, end - int(starts[k]))]
             same = window.find(piece)
             found = (same, same + len(piece), 0) if same >= 0 else align(piece, window, edits)
-            own = finds.setdefault(k, {}) if found else {}
-            if found and (item not in own or found[2] < own[item][3]):
-                own[item] = (item, at + found[0], at + found[1], found[2])
+            if found:
+                told(k, item, (found[2], at + found[0], at + found[1]))
     for k in sorted(finds):
-        yield k, bodies[k], sorted(finds[k].values())
+        yield k, bodies[k], [(item, begin, end, edits) for item, (edits, begin, end) in finds[k].items()]
 
 
 def _places(text: str) -> list[tuple[int, int]]:
@@ -210,64 +264,75 @@ def _places(text: str) -> list[tuple[int, int]]:
     return out
 
 
-_LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])
+_LEAK = pa.schema([("doc_id", pa.int64()), ("code", pa.int64()), ("item_id", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])
 
 
-def _blocks(benchmark: DataFrame, q: int, rate: float, piece: int, least: int, stride: int | None, block_chars: int) -> Iterator[Index]:
-    """Indexes of the benchmark, each of about block_chars characters of pieces, which bounds what the driver and the tasks hold."""
+def _blocks(benchmark: DataFrame, q: int, rate: float, piece: int, least: int, stride: int | None, block_chars: int) -> Iterator[Broadcast]:
+    """Indexes of the benchmark, each of about block_chars characters of pieces, as broadcasts.
+
+    One is built at a time, and what the driver keeps of it is its file; a task loads the one it needs.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars * (math.ceil(piece / stride) if stride else 1) / block_chars))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        yield Index([tuple(r) for r in rows], q, rate, piece, least, stride)
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in rows], q, rate, piece, least, stride))
+
+
+_LEAK_SQL = "doc_id long, code long, item_id long, begin int, end int, edits int"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, piece: int = 80, least: int = 40, block_chars: int = 4_000_000, stride: int | None = None) -> DataFrame:
-    """doc_id, item_id, begin, end, edits: the best find of each benchmark item in each row of docs.
+    """doc_id, item_id, begin, end, edits: the best find of each benchmark item in each document.
 
     docs(doc_id, text, ...), benchmark(item_id, text, ...). Texts are compared as lower-case words;
     an item is found where one of its pieces of at least piece characters (a shorter item whole)
-    stands with at most rate edits a character. With a stride, further pieces of just piece characters begin that far apart, so any
-piece + stride - 1 characters of an item hold one; without, pieces only stand side by side, which costs less and
-misses parts that hold no piece. begin and end are code points of the document's own text. Items of
-    under least normalised characters are found unchanged and as whole words only; items without any are passed over. Rows that
-    repeat an id and text are found each. Items that share an id are one item within a block of the benchmark.
-    A benchmark whose pieces have over block_chars characters is searched in blocks. No rows give no rows.
+    stands with at most rate edits a character. With a stride, further pieces of just piece characters begin that far
+    apart, so any piece + stride - 1 characters of an item hold one; without, pieces only stand side by side, which costs
+    less and misses parts that hold no piece. begin and end are code points of the document's own text. Items of
+    under least normalised characters are found unchanged and as whole words only; items without any are passed over. Rows
+    that repeat an id and text are one document and give one find; rows of one id with other texts give one each. Items that
+    share an id are one item. The best find has the fewest edits and begins first. A benchmark whose pieces have over
+    block_chars characters is searched in blocks, a pass over docs for each, and finds the same. No rows give no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("code", F.xxhash64("text"))
 
-    def over(index: Index):
+    def over(held: Broadcast):
         def find(batches):
             for b in batches:
                 for start, texts in texts_of(b.column(1), 500_000):
-                    for k, _, finds in _scan(index, texts):
+                    for k, _, finds in _scan(held.value, texts):
                         places = _places(texts[k])
                         for item, begin, end, edits in finds:
-                            yield b.column(0)[start + k].as_py(), item, places[begin][0], places[end - 1][1], edits
+                            yield b.column(0)[start + k].as_py(), b.column(2)[start + k].as_py(), item, places[begin][0], places[end - 1][1], edits
 
         return lambda batches: batches_of(find(batches), _LEAK)
 
     out = None
-    for index in _blocks(benchmark, q, rate, piece, least, stride, block_chars):
-        part = rows.mapInArrow(over(index), "doc_id long, item_id long, begin int, end int, edits int")
+    for held in _blocks(benchmark, q, rate, piece, least, stride, block_chars):
+        part = rows.mapInArrow(over(held), _LEAK_SQL)
         out = part if out is None else out.unionByName(part)
-    return out
+    best = out.groupBy("doc_id", "code", "item_id").agg(F.min(F.struct("edits", "begin", "end")).alias("best"))
+    return best.select("doc_id", "item_id", "best.begin", "best.end", "best.edits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, piece: int = 80, least: int = 40, block_chars: int = 4_000_000, stride: int | None = None) -> DataFrame:
-    """docs less the rows in which leaks finds a benchmark item; all columns stay as they are."""
+    """docs less the rows in which leaks finds a benchmark item; all columns stay as they are.
+
+    A benchmark of many blocks is searched one block after the other, and what is left is written to the shared folder in between.
+    """
     at = docs.columns.index("text")
 
-    def over(index: Index):
+    def over(held: Broadcast):
         def keep(batches):
             for b in batches:
-                bad = {start + k for start, texts in texts_of(b.column(at), 500_000) for k, _, _ in _scan(index, texts, any_find=True)}
+                bad = {start + k for start, texts in texts_of(b.column(at), 500_000) for k, _, _ in _scan(held.value, texts, any_find=True)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)])) if bad else b
 
         return keep
 
-    out = docs
-    for index in _blocks(benchmark, q, rate, piece, least, stride, block_chars):
-        out = out.mapInArrow(over(index), docs.schema)
+    out = None
+    for held in _blocks(benchmark, q, rate, piece, least, stride, block_chars):
+        out = (docs if out is None else cut(out, "decontaminated")).mapInArrow(over(held), docs.schema)
     return out
