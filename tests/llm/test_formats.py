@@ -2,12 +2,14 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vigilake.llm import chat, packing, token_files, tokens, warc
@@ -140,10 +142,18 @@ def test_packing_whole_table_is_tight(spark):
 
 def test_packing_edge_cases(spark):
     docs = spark.createDataFrame(ROWS, DOCS)
-    check_packing(packing.pack(docs, PATH, 1, size=64, group_docs=3).collect(), ROWS, 64, 1)
+    check_packing(packing.pack(docs, PATH, 1, size=64, group_pieces=3).collect(), ROWS, 64, 1)
     assert packing.pack(spark.createDataFrame([], DOCS), PATH, 1).count() == 0
 
 
+def test_packing_shares_out_repeated_rows_and_pieces(spark):
+    rows = spark.range(3000).selectExpr("cast(7 as long) as doc_id", "'same text' as text").unionByName(spark.createDataFrame([(1, "w " * 20_000)], DOCS)).repartition(3)
+    got = packing.pack(rows.withColumn("group", F.lit("clash")).withColumn("piece", F.lit(1)), PATH, 1, size=64, group_pieces=200).collect()
+    check_packing(got, [(7, "same text")] * 3000 + [(1, "w " * 20_000)], 64, 1)
+    groups = Counter(r.sequence_id >> 32 for r in got)
+    assert len(groups) == -(-len(got) // 200) and max(groups.values()) < 2 * 200
+
+
 PAGES = "page_id long, url string, html string"
 
 

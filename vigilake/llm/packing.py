@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_groups import batches_of, groups, texts_of
-from .common import text_of
+from .common import cut, text_of
 from .tokens import encoder
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -84,17 +84,19 @@ def _pack(size: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, group_docs: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, group_pieces: int = 20_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of docs(doc_id, text, ...).
 
     A document is its text's ids and end_id; one longer than size is cut into pieces of size, the
-    last one shorter. tokenizer: the path of a tokenizers file on every executor. About group_docs
-    documents are packed together; each group leaves a few bins part empty. Null texts count as
+    last one shorter. tokenizer: the path of a tokenizers file on every executor. About group_pieces
+    pieces are packed together, repeated rows shared out like others; each group leaves a few bins part empty. Null texts count as
     empty and are one end id; repeated rows are packed each; a null doc_id stays null. No rows give no rows.
     """
-    many = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    pieces = rows.mapInArrow(_pieces(tokenizer, end_id, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    dealt = pieces.select(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(many)).alias("group"), *pieces.columns)
-    dealt = dealt.repartition("group").sortWithinPartitions("group")
+    # written once, so the groups can be counted and a lost executor costs no text
+    pieces = cut(rows.mapInArrow(_pieces(tokenizer, end_id, size), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    many = max(1, -(-pieces.count() // group_pieces))
+    # the place in the written table tells repeated rows apart, and is the same when a task runs again
+    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(many))
+    dealt = pieces.select(group.alias("group"), *pieces.columns).repartition("group").sortWithinPartitions("group")
     return dealt.mapInArrow(_pack(size), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
