@@ -3,8 +3,9 @@
 Every input task feeds the full UTF-8 bytes of its rows to a compressed radix trie, whose terminal
 nodes hold the owner and the number of rows of one text; so a text that fills a third of the table
 leaves each task as one row. A task whose trie outgrows its budget sends the heaviest subtree on
-and forgets it. What the tasks send is dealt by byte length and content hash and merged by tries
-again, one for each length and hash, so equality is decided by the bytes, never by the hash.
+and forgets it. What the tasks send is dealt by byte length and content hash, and each part is merged by one trie
+again, so equality is decided by the bytes, never by the hash. A part comes in the order of its bytes, so
+a trie that outgrows its budget lets go of all subtrees left of the current text, which are complete.
 """
 
 from __future__ import annotations
@@ -90,6 +91,40 @@ class PatriciaTrie:
         self.total -= self.weight.pop(first)
         yield from self._terminals(self.root.kids.pop(first), b"")
 
+    def pass_by(self, key: bytes) -> Iterator[tuple[bytes, object, int]]:
+        """Takes out all texts that sort before key, whole subtrees and those on the way to it, and gives them."""
+        node, at, freed = self.root, 0, 0
+        while True:
+            if node.count and at < len(key):
+                yield key[:at], node.owner, node.count
+                node.owner, node.count = None, 0
+            if at >= len(key):
+                break
+            for first in [c for c in node.kids if c < key[at]]:
+                kid = node.kids.pop(first)
+                freed += self._size(kid)
+                yield from self._terminals(kid, key[:at])
+            kid = node.kids.get(key[at])
+            if kid is None:
+                break
+            if not key.startswith(kid.label, at):
+                if key[at:] > kid.label:
+                    del node.kids[key[at]]
+                    freed += self._size(kid)
+                    yield from self._terminals(kid, key[:at])
+                break
+            node, at = kid, at + len(kid.label)
+        self.total -= freed
+
+    @staticmethod
+    def _size(node: _Node) -> int:
+        total, stack = 0, [node]
+        while stack:
+            node = stack.pop()
+            total += len(node.label) + 200
+            stack.extend(node.kids.values())
+        return total
+
     def drain(self) -> Iterator[tuple[bytes, object, int]]:
         yield from self._terminals(self.root, b"")
         self.root, self.weight, self.total = _Node(b""), {}, 0
@@ -132,30 +167,27 @@ def _combine(keep: str, budget: int):
     return run
 
 
-def _merge(keep: str):
-    """Reduce side: rows come sorted by length and hash; one trie for each."""
+def _merge(keep: str, budget: int):
+    """Reduce side: the rows of a part come in the order of their bytes and go into one trie."""
     schema = pa.schema([("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, now, out = PatriciaTrie(keep), None, []
-
-        def close():
-            out.extend((hashlib.sha256(key).hexdigest(), owner, n) for key, owner, n in trie.drain())
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, out = PatriciaTrie(keep), []
         for b in batches:
-            length, code, body, owner, n = b.columns
-            for i in range(b.num_rows):
-                key = (length[i].as_py(), code[i].as_py())
-                if key != now:
-                    close()
-                    now = key
-                trie.insert(body[i].as_py(), owner[i].as_py(), n[i].as_py())
+            for body, owner, n in zip(*(b.column(k) for k in range(3))):
+                key = body.as_py()
+                trie.insert(key, owner.as_py(), n.as_py())
+                if trie.total > budget:
+                    out.extend((hashlib.sha256(text).hexdigest(), o, m) for text, o, m in trie.pass_by(key))
             if len(out) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                yield batch(out)
                 out = []
-        close()
+        out.extend((hashlib.sha256(text).hexdigest(), o, m) for text, o, m in trie.drain())
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            yield batch(out)
 
     return run
 
@@ -163,13 +195,12 @@ def _merge(keep: str):
 def owners(docs: DataFrame, keep: str = "smallest", budget: int = 48_000_000) -> DataFrame:
     """One row for each distinct text: text_sha256, keep_id, group_size.
 
-    budget: bytes that a task's trie may hold before it spills a subtree.
+    budget: bytes that a task's trie may hold before it spills a subtree, or, when merging, lets go of complete ones.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("owner"), text_of().alias("body"))
     parts = rows.mapInArrow(_combine(keep, budget), _PARTIAL)
-    parts = parts.select(F.octet_length("body").alias("__len"), F.xxhash64("body").alias("__code"), "body", "owner", "n")
-    parts = parts.repartition("__len", "__code").sortWithinPartitions("__len", "__code")
-    return parts.mapInArrow(_merge(keep), _OWNERS)
+    parts = parts.repartition(F.octet_length("body"), F.xxhash64("body")).sortWithinPartitions("body")
+    return parts.mapInArrow(_merge(keep, budget), _OWNERS)
 
 
 def exact_dedup(docs: DataFrame, keep: str = "smallest", budget: int = 48_000_000) -> DataFrame:
