@@ -1,7 +1,10 @@
 import hashlib
+import random
+import time
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigilake.llm import exact_dedup, line_dedup, near_dup
 from vigilake.llm.shingles import WORD
@@ -24,6 +27,22 @@ def test_trie_spills_whole_subtrees():
     assert {(k, o, n) for k, o, n in spilled + rest} == {(t, i + len(texts), 2) for i, t in enumerate(texts)}
 
 
+def test_trie_lets_go_of_what_comes_before():
+    rng = random.Random(2)
+    texts = sorted({bytes(rng.choice(b"ab\xff\x00") for _ in range(rng.randrange(12))) for _ in range(400)} | {b"", b"a" * 500, b"a" * 499 + b"b"})
+    for every in (1, 7):
+        trie, got, most = exact_dedup.PatriciaTrie(), [], 0
+        for k, t in enumerate(x for t in texts for x in (t, t)):
+            trie.insert(t, k)
+            if k % every == 0:
+                let = list(trie.pass_by(t))
+                assert all(x < t for x, _, _ in let)
+                got += let
+                most = max(most, trie.total)
+        got += trie.drain()
+        assert sorted(got) == [(t, 2 * i, 2) for i, t in enumerate(texts)] and most < 40 * 400
+
+
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 @pytest.mark.parametrize("budget", [48_000_000, 300])
 def test_exact_dedup_by_hand(spark, keep, budget):
@@ -71,6 +90,25 @@ def test_line_dedup_by_hand(spark):
     assert len(out) == len(rows) and out[0].lang is None
 
 
+def test_line_dedup_of_very_long_texts_is_linear(spark):
+    def seconds(n):
+        text = "\n".join(f"line {k}" for k in range(n))
+        began = time.time()
+        got = {r.doc_id: (r.text, r.n) for r in line_dedup.line_dedup(docs_of(spark, [(1, text), (2, text + "\nend"), (3, "a")])).select("doc_id", "text", F.size("removed").alias("n")).collect()}
+        assert got == {1: (text, 0), 2: ("end", n), 3: ("a", 0)}
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(160_000) < 8 * max(2, seconds(40_000))
+
+
+def test_line_dedup_tells_the_most_frequent_windows(spark, monkeypatch):
+    rows = [(i, f"top\nof\npage\nown {i}\nend {i % 5}\nx\ny") for i in range(60)]
+    for n in (1, 3, 1000):
+        monkeypatch.setattr(line_dedup, "HOT", n)
+        assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs_of(spark, rows).repartition(4)).collect()} == lines_by_hand(rows)
+
+
 def test_line_dedup_repeated_rows_empty_and_clashing_names(spark):
     assert [r.text for r in line_dedup.line_dedup(docs_of(spark, [(1, "a\nb\nc"), (1, "a\nb\nc")])).collect()] == ["a\nb\nc"] * 2
     assert line_dedup.line_dedup(docs_of(spark, [])).count() == 0

@@ -1,4 +1,6 @@
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from vigilake.llm import toxicity
 from vigilake.llm.common import cut, table
@@ -41,3 +43,20 @@ def test_empty_documents(spark):
         assert docs.count() == 0
         if "text" in docs.columns:
             docs = cut(docs, "none")
+
+
+def test_stages_with_null_ids_repeated_rows_and_clashing_names(spark, tmp_path):
+    long = " ".join(f"word{k}" for k in range(80))
+    rows = [(None, long, 1, "a", "x", 0.5, None), (1, long, 2, "a", "y", 0.1, 9), (1, long, 2, "a", "y", 0.1, 9), (2, "top\nof\npage\none", 3, None, "z", None, 1), (3, "top\nof\npage\ntwo", 4, "b", "z", None, 1), (4, None, 5, "b", "z", None, 1), (5, "", 6, "b", "z", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, removed string, sid string, score double, class_id long")
+    table(spark, SF01, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table(spark, SF01, "labels").withColumn("doc_id", F.col("doc_id") + 1_000_000).write.parquet(f"{tmp_path}/labels.parquet")
+    held, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held = cut(stage(spark, held, str(tmp_path)), f"odd-{name}")
+        assert held.columns == docs.columns
+        kept[name] = sorted(((r.doc_id or 0, r.text, r.n_lines) for r in held.collect()), key=str)
+    assert len(kept["toxicity"]) == len(rows)
+    assert [r[:2] for r in kept["line_dedup"]] == [(0, long), (2, "top\nof\npage\none"), (3, "two"), (4, None), (5, "")]
+    packed = corpus_pipeline.STAGES[-1][1](spark, held, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {i or None for i, *_ in kept["decontamination"]}

@@ -244,12 +244,12 @@ def _score_texts(field: Field, scores: _Scores, texts: list[str]) -> tuple[np.nd
     return 1 / (1 + np.exp(-np.clip(_summary(p, lengths) @ field.curve, -30, 30))), p, lengths
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, reach: int = 8, most_runs: int = 12_000) -> Field:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, reach: int = 8, most_runs: int = 12_000, sample_chars: int = 20_000) -> Field:
     """A field from labels(doc_id, toxic, ...) of docs(doc_id, text, ...).
 
     At most per_class toxic and per_class clean labels, those with the smallest hash of the id, pick
-    the documents whose whole texts come to the driver, one for each id; at most most_runs runs of
-    2 reach + 1 words, and 20 of a document, are fitted. Rows whose label is not 0 or 1 or whose id is null are left out. The curve weighs the
+    the documents whose texts come to the driver, one for each id, of a longer one a stretch of sample_chars characters that begins
+    where the id's hash says; at most most_runs runs of 2 reach + 1 words, and 20 of a document, are fitted. Rows whose label is not 0 or 1 or whose id is null are left out. The curve weighs the
     classes as the labels have them. With one class only, or none, every score is near that class's
     label, or near 0.
     """
@@ -258,11 +258,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, reach: int
     picked = [marked.where(F.col("__toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for y in (0, 1)]
     # two times per_class ids and labels: a proven bound
     joined = docs.join(F.broadcast(picked[0].unionByName(picked[1])), F.col("doc_id") == F.col("__id"))
-    sample = joined.groupBy("doc_id", F.col("__toxic").alias("toxic")).agg(F.min(text_of()).alias("text")).collect()
+    sample = joined.groupBy("doc_id", F.col("__toxic").alias("toxic")).agg(F.min(text_of()).alias("text"))
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - sample_chars, F.lit(0)) + 1).cast("int") + 1
+    sample = sample.select("doc_id", "toxic", F.substring("text", start, sample_chars).alias("text")).collect()
     sample.sort(key=lambda r: (r.doc_id, r.text, r.toxic))
     toxic = [r.toxic for r in sample]
     if len(set(toxic)) < 2:
-        share = 1.0 if have.get(1) else 0.0
+        share = 1.0 if 1 in toxic else 0.0
         return Field(np.full(BUCKETS, -1.0), np.zeros((2, 2)), np.array([4.0 if share else -4.0, 0.0, 0.0]))
     numbers: dict[str, int] = {}
     texts = [np.array([numbers.setdefault(w, len(numbers)) for w in WORD.findall(r.text.lower())], np.int32) for r in sample]
