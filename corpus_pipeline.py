@@ -22,8 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less their repeated passages, with n_chars counted anew; those that lose all their lines go."""
-    out = line_dedup.line_dedup(docs).where(F.size("removed") < F.col("n_lines")).drop("n_lines", "removed")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = line_dedup.line_dedup(docs, "__n_lines", "__removed").where(F.size("__removed") < F.col("__n_lines"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
