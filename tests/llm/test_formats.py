@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -6,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -180,6 +182,68 @@ def test_warc_long_chain_least_size_and_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def record(ident, body, kind=b"response", length=None, digest=None):
+    digest = base64.b32encode(hashlib.sha1(body).digest()) if digest is None else digest
+    return b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, ident, digest, len(body) if length is None else length, body)
+
+
+def read_file(spark, tmp_path, data, **options):
+    path = f"{tmp_path}/{hashlib.sha1(data).hexdigest()}.warc"
+    with open(path, "wb") as out:
+        out.write(data)
+    got = warc.read_archives(spark, path, **options).collect()
+    return sorted((r.page_id, r.payload_bytes, r.intact) for r in got), [(r.begin, r.end) for r in warc.damaged(spark, path).orderBy("begin").collect()]
+
+
+def test_damaged_archives_are_told_and_taken_up_again(spark, tmp_path, monkeypatch):
+    a, b, c = record(1, b"first body"), record(2, record(77, b"inner")), record(3, b"x" * 300)
+    whole = [(1, 10, True), (2, len(record(77, b"inner")), True), (3, 300, True)]
+    assert read_file(spark, tmp_path, a + b + c) == (whole, [])
+    for data, rows, gaps in [
+        (a + b + c[:-70], whole[:2], [(len(a + b), len(a + b + c) - 70)]),
+        (a + b"123456789" + b + c, whole, [(len(a), len(a) + 9)]),
+        (b"junk" + a + c, [whole[0], whole[2]], [(0, 4)]),
+        (a + record(5, b"cut", length=11) + c, [whole[0], whole[2]], [(len(a), len(a + record(5, b"cut", length=11)))]),
+        (b"nothing here", [], [(0, 12)]),
+    ]:
+        with pytest.raises(ValueError, match="damaged"):
+            read_file(spark, tmp_path, data)
+        assert read_file(spark, tmp_path, data, on_damage="skip") == (rows, gaps)
+    with pytest.raises(Exception, match="payload without its digest"):
+        read_file(spark, tmp_path, a + record(4, b"abc", digest=b"A" * 32))
+    assert read_file(spark, tmp_path, a + record(4, b"abc", digest=b"A" * 32), on_damage="skip") == ([whole[0], (4, 3, False)], [])
+    packed = gzip.compress(a) + gzip.compress(b + c)
+    assert read_file(spark, tmp_path, packed) == (whole, [])
+    with pytest.raises(ValueError, match="damaged"):
+        read_file(spark, tmp_path, packed[:-3])
+    assert read_file(spark, tmp_path, b"") == ([], [])
+
+
+def test_chains_over_many_chunks_and_blocks(spark, tmp_path, monkeypatch):
+    rng = random.Random(1)
+    bodies = [rng.randbytes(rng.randrange(3000)) + record(500 + k, b"inner") * (k % 3) for k in range(120)]
+    data = b"".join(record(k, body) for k, body in enumerate(bodies))
+    own = list(warc._nodes([pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([data])], ["a", "b"])]))
+    monkeypatch.setattr(warc, "CHUNK", 100)
+    monkeypatch.setattr(warc, "HEAD", 300)
+    small = list(warc._nodes([pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([data])], ["a", "b"])]))
+    assert sorted(map(str, pa.Table.from_batches(small).to_pylist())) == sorted(map(str, pa.Table.from_batches(own).to_pylist()))
+    monkeypatch.undo()
+    # a task sees the module as it is imported there, so many blocks need a long file
+    big = [record(k, rng.randbytes(60_000)) for k in range(300)]
+    rows, gaps = read_file(spark, tmp_path, b"".join(big))
+    assert len(b"".join(big)) > 4 * warc.BLOCK and [r[0] for r in rows] == list(range(300)) and all(r[2] for r in rows) and not gaps
+    packed = gzip.compress(b"".join(big[:100]))
+    assert [r[0] for r in read_file(spark, tmp_path, packed)[0]] == list(range(100))
+
+
+def test_warc_repeated_rows_and_extra_columns(spark):
+    rows = [(1, "u", "same", 5, "x"), (1, "u", "same", 5, "x"), (2, "v", "same", 6, "y"), (3, "w", "own", None, None)]
+    frame = spark.createDataFrame(rows, PAGES + ", payload_bytes int, code string")
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(frame).collect())
+    assert got == [(1, "revisit", 2, 4), (1, "revisit", 2, 4), (2, "response", None, 4), (3, "response", None, 3)]
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 
 
