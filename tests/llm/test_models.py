@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -134,7 +135,8 @@ def tagger():
 
 def test_tagger_on_held_out_spans(tagger):
     x, y = pii.examples(lines_of(3), 400, seed=77)
-    tags = pii.viterbi(pii._emissions(tagger, x), tagger.moves)
+    told = pii._emissions(tagger, x).transpose(1, 0, 2)
+    tags = pii.viterbi(told.reshape(-1, 5), np.full(400, pii.WINDOW), tagger.moves).reshape(400, -1).T
     assert (tags == y).mean() > 0.97
     for k in range(1, 5):
         assert (tags[y == k] == k).mean() > 0.85
@@ -147,7 +149,7 @@ def test_viterbi_and_crf_match_enumeration():
     e, moves = rng.normal(size=(4, 2, 3)), rng.normal(size=(3, 3))
     for row in range(2):
         score = {p: sum(e[t, row, p[t]] for t in range(4)) + sum(moves[p[t - 1], p[t]] for t in range(1, 4)) for p in product(range(3), repeat=4)}
-        assert tuple(pii.viterbi(e, moves)[:, row]) == max(score, key=score.get)
+        assert tuple(pii.viterbi(e[:, row], np.array([4]), moves)) == max(score, key=score.get)
     tags = np.array([[0, 1], [2, 2], [1, 0], [1, 1]])
     loss, de, dm = pii._crf(e, tags, moves)
     for at in [(0, 0, 1), (3, 1, 2)]:
@@ -159,6 +161,72 @@ def test_viterbi_and_crf_match_enumeration():
     assert abs((pii._crf(e, tags, up)[0] - loss) / 1e-5 - dm[1, 2]) < 1e-4
 
 
+def test_viterbi_of_long_sequences_matches_the_plain_recursion():
+    rng = np.random.default_rng(3)
+    lengths, moves = np.array([0, 1, 63, 64, 65, 0, 128, 129, 1000]), rng.normal(size=(5, 5)) * 2
+    e = rng.normal(size=(lengths.sum(), 5))
+    got, at = pii.viterbi(e, lengths, moves), 0
+    for n in lengths:
+        own, ways = e[at : at + n], []
+        if n:
+            best = own[0]
+            for t in range(1, n):
+                every = best[:, None] + moves
+                ways.append(every.argmax(0))
+                best = every.max(0) + own[t]
+            tags = [int(best.argmax())]
+            for w in ways[::-1]:
+                tags.append(int(w[tags[-1]]))
+            assert got[at : at + n].tolist() == tags[::-1]
+        at += n
+
+
+def test_windows_are_joined_by_their_emissions(tagger):
+    """One decode of the mean emissions of all windows of a text, spelled out."""
+    rng = random.Random(9)
+    text = "".join(rng.choice(["call (415) 555-0137 ", "some words ", "a@b.de ", "12 ", "\n", "10.0.0.1 "]) for _ in range(90))
+    coded, step = pii.symbols(text), pii.WINDOW - pii.OVERLAP
+    total, weight = np.zeros((len(text), 5)), np.zeros(len(text))
+    for w in range(0, max(1, -(-(len(text) - pii.WINDOW) // step) + 1)):
+        row = np.zeros(pii.WINDOW, np.uint8)
+        part = coded[w * step : w * step + pii.WINDOW]
+        row[: len(part)] = part
+        own = pii._emissions(tagger, row[:, None])[:, 0]
+        for j in range(len(part)):
+            inside = min(j + 1, pii.WINDOW - j)
+            total[w * step + j] += inside * own[j]
+            weight[w * step + j] += inside
+    want = pii.viterbi((total / weight[:, None]).astype(np.float32), np.array([len(text)]), tagger.moves)
+    got = pii.tag_texts(tagger, ["", text, "no sign"])
+    assert (got[1] == want).mean() > 0.999 and (got[1] > 0).any() and not got[0].any() and not got[2].any()
+
+
+def test_pii_query_matches_the_patterns_row_by_row(spark, tmp_path):
+    """All columns of the contract beside plain patterns, and what may be added."""
+    filler = "nothing to see in this line, "
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(900_001, None), (900_002, ""), (900_003, filler * 9000 + "x@y.zz 10.0.0.1"), (900_004, "a@b.c"), (900_004, "a@b.c"), (None, "+1 (415) 555-0100"), (900_005, "4111 1111 1111 1111 é 😀 a@b.de")]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], DOCS + ", spans int, kind string")
+    frame.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in queries.op2_pii(spark, str(tmp_path)).collect()), key=str)
+
+    def listed(spans):
+        return ",".join(f"{pii.KINDS[k]}:{i}:{j}" for i, j, k in spans)
+
+    want = []
+    for i, t in rows:
+        spans = plain_base(t or "")
+        want.append((i, *[sum(k == n for _, _, k in spans) for n in range(4)], hashlib.sha256(listed(spans).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    texts = {i: t or "" for i, t in rows}
+    for r in queries.op2_pii(spark, str(tmp_path)).collect():
+        spans = [(int(b), int(e), pii.KINDS.index(k)) for k, b, e in (x.split(":") for x in r.spans.split(",") if x)]
+        base = plain_base(texts[r.doc_id])
+        assert spans == sorted(spans, key=lambda s: (s[0], s[2])) and set(base) <= set(spans) and r.n_added == len(spans) - len(base)
+        for b, e, k in set(spans) - set(base):
+            assert pii.acceptable(k, texts[r.doc_id][b:e]) and all(e <= i or j <= b for i, j, _ in base)
+
+
 def test_spans_added_and_base_kept(spark, tagger):
     filler = "the words go on and on in this line of text that says nothing at all, "
     rows = [(1, "mail john.smith@example.com or call +1 (415) 555-0100 today"), (2, filler * 5 + "reach me at (415) 555-0137 or at mary (at) example (dot) org please. " + filler * 5)]

@@ -2,8 +2,8 @@
 
 The base spans are those of fixed patterns. The network, trained in numpy from labelled spans set
 into lines of the corpus, adds spans that are written otherwise. Texts are read by windows that
-overlap; each window is decoded by Viterbi's algorithm, and every character takes the tag of the
-window in which it stands furthest inside, so runs of tags go on across windows of the whole text.
+overlap. A character's emissions are the mean of those of its windows, weighted by how far inside of each it stands, and
+Viterbi's algorithm then finds the best tags of each whole stretch of windows at once.
 An added span must pass a check of its kind and may not touch a base span. Every
 span that can pass has a digit or an at sign, so only windows near one are decoded.
 """
@@ -101,6 +101,10 @@ def acceptable(kind: int, text: str) -> bool:
 
 #: Characters of a window, and how many two neighbouring windows share.
 WINDOW, OVERLAP = 128, 32
+#: Positions of a chunk of a sequence that is decoded.
+CHUNK = 64
+#: The weight of a character's emissions by its place in a window.
+_INSIDE = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)
 _SYMBOLS = 102  # 0: none, 1-95: ASCII from space, 96: line break, 97: tab, 98: other letter, 99: other digit, 100: other sign, 101: control
 
 
@@ -126,70 +130,124 @@ def symbols(text: str) -> np.ndarray:
 
 @dataclass
 class Tagger:
-    """Of each direction: input rows, recurrent weights; then output weights, bias and tag moves. Tags: 0 none, 1-4 KINDS."""
+    """Input rows and recurrent weights of the two directions; then output weights, bias and tag moves. Tags: 0 none, 1-4 KINDS."""
 
-    inputs: list[np.ndarray]
-    recurrent: list[np.ndarray]
+    inputs: np.ndarray
+    recurrent: np.ndarray
     output: np.ndarray
     bias: np.ndarray
     moves: np.ndarray
 
 
 def _lstm(x: np.ndarray, inputs: np.ndarray, recurrent: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """Hidden states (steps, rows, size) over symbols x (steps, rows); gates stand in order in, forget, out, cell."""
-    size = recurrent.shape[0]
-    h = c = np.zeros((x.shape[1], size), np.float32)
+    """Hidden states (steps, directions, rows, size) over symbols x (steps, directions, rows), each direction with its own weights; gates stand in order in, forget, out, cell."""
+    size, ways = recurrent.shape[1], np.arange(len(recurrent))[:, None]
+    h = c = np.zeros((*x.shape[1:], size), np.float32)
     out = np.empty((*x.shape, size), np.float32)
     for t in range(len(x)):
-        z = inputs[x[t]] + h @ recurrent
-        gates = 0.5 * np.tanh(0.5 * z[:, : 3 * size]) + 0.5
-        cell = np.tanh(z[:, 3 * size :])
+        z = inputs[ways, x[t]] + h @ recurrent
+        gates = 0.5 * np.tanh(0.5 * z[..., : 3 * size]) + 0.5
+        cell = np.tanh(z[..., 3 * size :])
         last = c
-        c = gates[:, size : 2 * size] * last + gates[:, :size] * cell
+        c = gates[..., size : 2 * size] * last + gates[..., :size] * cell
         squashed = np.tanh(c)
         if keep is not None:
             keep.append((gates, cell, last, squashed, h))
-        h = gates[:, 2 * size :] * squashed
+        h = gates[..., 2 * size :] * squashed
         out[t] = h
     return out
 
 
 def _lstm_back(x, recurrent, kept, d_out):
     """Gradients of the input rows and recurrent weights."""
-    size = recurrent.shape[0]
-    d_inputs, d_recurrent = np.zeros((_SYMBOLS, 4 * size), np.float32), np.zeros_like(recurrent)
-    dh = dc = np.zeros((x.shape[1], size), np.float32)
+    size, turned = recurrent.shape[1], recurrent.transpose(0, 2, 1)
+    d_recurrent, every = np.zeros_like(recurrent), np.empty((*x.shape, 4 * size), np.float32)
+    dh = dc = np.zeros(d_out.shape[1:], np.float32)
     for t in range(len(x) - 1, -1, -1):
         gates, cell, last, squashed, h = kept[t]
-        i, f, o = gates[:, :size], gates[:, size : 2 * size], gates[:, 2 * size :]
+        i, f, o = gates[..., :size], gates[..., size : 2 * size], gates[..., 2 * size :]
         dh = dh + d_out[t]
         dc = dc + dh * o * (1 - squashed**2)
-        dz = np.concatenate([dc * cell * i * (1 - i), dc * last * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - cell**2)], 1)
-        np.add.at(d_inputs, x[t], dz)
-        d_recurrent += h.T @ dz
-        dh, dc = dz @ recurrent.T, dc * f
+        dz = every[t]
+        dz[..., :size], dz[..., size : 2 * size] = dc * cell * i * (1 - i), dc * last * f * (1 - f)
+        dz[..., 2 * size : 3 * size], dz[..., 3 * size :] = dh * squashed * o * (1 - o), dc * i * (1 - cell**2)
+        d_recurrent += h.transpose(0, 2, 1) @ dz
+        dh, dc = dz @ turned, dc * f
+    d_inputs = np.zeros((len(recurrent), _SYMBOLS, 4 * size), np.float32)
+    for way in range(len(recurrent)):
+        codes, grads = x[:, way].reshape(-1), every[:, way].reshape(-1, 4 * size)
+        order = np.argsort(codes, kind="stable")
+        used, begins = np.unique(codes[order], return_index=True)
+        d_inputs[way, used] = np.add.reduceat(grads[order], begins)
     return d_inputs, d_recurrent
 
 
+def _both(x: np.ndarray) -> np.ndarray:
+    """Symbols (steps, rows) in either direction."""
+    return np.stack([x, x[::-1]], 1)
+
+
 def _emissions(tagger: Tagger, x: np.ndarray) -> np.ndarray:
-    ahead = _lstm(x, tagger.inputs[0], tagger.recurrent[0])
-    back = _lstm(x[::-1], tagger.inputs[1], tagger.recurrent[1])[::-1]
-    return np.concatenate([ahead, back], 2) @ tagger.output + tagger.bias
-
-
-def viterbi(emissions: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """The best tags (steps, rows) of emissions (steps, rows, tags)."""
-    best, back = emissions[0], np.zeros(emissions.shape, np.int8)
-    for t in range(1, len(emissions)):
-        every = best[:, :, None] + moves
-        back[t] = every.argmax(1)
-        best = every.max(1) + emissions[t]
-    tags = np.empty(emissions.shape[:2], np.int8)
-    tags[-1] = best.argmax(1)
-    rows = np.arange(emissions.shape[1])
-    for t in range(len(emissions) - 1, 0, -1):
-        tags[t - 1] = back[t][rows, tags[t]]
-    return tags
+    h = _lstm(_both(x), tagger.inputs, tagger.recurrent)
+    return np.concatenate([h[:, 0], h[::-1, 1]], 2) @ tagger.output + tagger.bias
+
+
+def _ways(start: np.ndarray, grid: np.ndarray, real: np.ndarray, moves: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
+    """The best ways from start (chunks, ways, tags) through emissions grid (steps, chunks, tags) to each last tag; steps that are not real change nothing."""
+    best, same = start + grid[0][:, None, :], np.arange(moves.shape[0], dtype=np.int8)
+    for t in range(1, len(grid)):
+        every, alive = best[..., None] + moves, real[t][:, None, None]
+        if back is not None:
+            back[t] = np.where(alive, every.argmax(2), same)[:, 0]
+        best = np.where(alive, every.max(2) + grid[t][:, None, :], best)
+    return best
+
+
+def viterbi(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The best tags of sequences of the given lengths that stand one after another in emissions (positions, tags).
+
+    Sequences are cut into chunks of equal length. For each chunk and each tag before it the best score of each last tag is
+    found, many side by side; the chunks of a sequence are joined in order, which fixes the tags at their ends; and the ways in between are then
+    read back, many side by side again.
+    """
+    k, total = moves.shape[0], int(lengths.sum())
+    if not total:
+        return np.empty(0, np.int8)
+    chunks = -(-lengths // CHUNK)
+    n, first = int(chunks.sum()), np.cumsum(chunks) - chunks
+    at = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first * CHUNK, lengths)
+    grid, real = np.zeros((n * CHUNK, k), emissions.dtype), np.zeros(n * CHUNK, bool)
+    grid[at], real[at] = emissions, True
+    grid, real = grid.reshape(n, CHUNK, k), real.reshape(n, CHUNK)
+    opens = np.zeros(n, bool)
+    opens[first[lengths > 0]] = True
+    parts = [slice(i, i + 4096) for i in range(0, n, 4096)]
+    start = np.where(opens[:, None, None], 0, moves[None]).astype(emissions.dtype)
+    best = np.concatenate([_ways(start[p], grid[p].transpose(1, 0, 2), real[p].T, moves) for p in parts])
+    before, last = np.zeros(n, np.int8), np.zeros(n, np.int8)
+    for s, m in zip(first.tolist(), chunks.tolist()):
+        if not m:
+            continue
+        value, ways = best[s, 0], []
+        for c in range(s + 1, s + m):
+            every = value[:, None] + best[c]
+            ways.append(every.argmax(0))
+            value = every.max(0)
+        tag = int(value.argmax())
+        for c in range(s + m - 1, s, -1):
+            last[c], before[c] = tag, ways[c - s - 1][tag]
+            tag = int(before[c])
+        last[s] = tag
+    tags = np.empty((n, CHUNK), np.int8)
+    for p in parts:
+        own = np.where(opens[p, None], 0, moves[before[p]]).astype(emissions.dtype)[:, None, :]
+        back = np.zeros((CHUNK, len(own), k), np.int8)
+        _ways(own, grid[p].transpose(1, 0, 2), real[p].T, moves, back)
+        tag, rows = last[p], np.arange(len(own))
+        for t in range(CHUNK - 1, -1, -1):
+            tags[p, t] = tag
+            tag = back[t][rows, tag]
+    return tags.reshape(-1)[at]
 
 
 def _crf(emissions: np.ndarray, tags: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -290,26 +348,24 @@ def train(lines: list[str], size: int = 20, windows: int = 6000, steps: int = 32
     def draw(*shape):
         return (rng.normal(size=shape) * 0.15).astype(np.float32)
 
-    p = [draw(_SYMBOLS, 4 * size), draw(_SYMBOLS, 4 * size), draw(size, 4 * size), draw(size, 4 * size), draw(2 * size, k), np.zeros(k, np.float32), np.zeros((k, k), np.float32)]
-    p[0][:, size : 2 * size] += 1
-    p[1][:, size : 2 * size] += 1
+    p = [draw(2, _SYMBOLS, 4 * size), draw(2, size, 4 * size), draw(2 * size, k), np.zeros(k, np.float32), np.zeros((k, k), np.float32)]
+    p[0][..., size : 2 * size] += 1
     first, second = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for step in range(1, steps + 1):
         rows = rng.integers(0, windows, batch)
-        bx, by = x[:, rows], y[:, rows]
-        kept = [[], []]
-        h = np.concatenate([_lstm(bx, p[0], p[2], kept[0]), _lstm(bx[::-1], p[1], p[3], kept[1])[::-1]], 2)
-        _, de, dm = _crf(h @ p[4] + p[5], by, p[6])
-        dh = de @ p[4].T
-        gi, gr = _lstm_back(bx, p[2], kept[0], dh[:, :, :size])
-        hi, hr = _lstm_back(bx[::-1], p[3], kept[1], dh[::-1, :, size:])
-        grads = [gi, hi, gr, hr, np.einsum("tbh,tbk->hk", h, de), de.sum((0, 1)), dm]
+        bx, by, kept = _both(x[:, rows]), y[:, rows], []
+        each = _lstm(bx, p[0], p[1], kept)
+        h = np.concatenate([each[:, 0], each[::-1, 1]], 2)
+        _, de, dm = _crf(h @ p[2] + p[3], by, p[4])
+        dh = de @ p[2].T
+        d_inputs, d_recurrent = _lstm_back(bx, p[1], kept, np.stack([dh[:, :, :size], dh[::-1, :, size:]], 1))
+        grads = [d_inputs, d_recurrent, np.einsum("tbh,tbk->hk", h, de), de.sum((0, 1)), dm]
         rate = 0.02 * min(1, step / 20) * (1 - 0.9 * step / steps)
         for a, g, m, v in zip(p, grads, first, second):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             a -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Tagger(p[:2], p[2:4], p[4], p[5], p[6])
+    return Tagger(*p)
 
 
 def train_on(docs: DataFrame, sample: int = 200, **options) -> Tagger:
@@ -325,33 +381,60 @@ def train_on(docs: DataFrame, sample: int = 200, **options) -> Tagger:
     return train([line for r in taken for line in r.lines], **options)
 
 
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """(first, last) of each run of neighbouring windows that lie within 64 characters of a sign."""
+    step, out = WINDOW - OVERLAP, []
+    most = max(0, -(-(len(text) - WINDOW) // step))
+    for found in _SIGN.finditer(text):
+        low, high = max(0, (found.start() - 64 - WINDOW) // step + 1), min(most, (found.end() + 64) // step)
+        if out and low <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        elif low <= high:
+            out.append((low, high))
+    return out
+
+
 def tag_texts(tagger: Tagger, texts: list[str]) -> list[np.ndarray]:
-    """The tag of every character; windows without a sign nearby are all 0."""
-    step, edge = WINDOW - OVERLAP, OVERLAP // 2
-    out, rows, places = [np.zeros(len(t), np.int8) for t in texts], [], []
+    """The tag of every character; those of windows without a sign nearby are all 0."""
+    step, out = WINDOW - OVERLAP, [np.zeros(len(t), np.int8) for t in texts]
+    rows, spots, held, total = [], [], [], 0
     for k, text in enumerate(texts):
-        last, coded = -1, None
-        for found in _SIGN.finditer(text):
-            # all windows within 64 characters of the sign, each once
-            for w in range(max(last + 1, (found.start() - 64 - WINDOW) // step + 1, 0), (found.end() + 64) // step + 1):
-                if w * step >= len(text):
-                    break
-                coded = symbols(text) if coded is None else coded
+        runs = _stretches(text)
+        coded = symbols(text) if runs else None
+        for low, high in runs:
+            begin, end = low * step, min(len(text), high * step + WINDOW)
+            for w in range(low, high + 1):
                 row = np.zeros(WINDOW, np.uint8)
                 part = coded[w * step : w * step + WINDOW]
                 row[: len(part)] = part
                 rows.append(row)
-                places.append((k, w * step))
-                last = w
-    for at in range(0, len(rows), 1024):
-        tags = viterbi(_emissions(tagger, np.stack(rows[at : at + 1024]).T), tagger.moves).T
-        for (k, begin), row in zip(places[at : at + 1024], tags):
-            low = 0 if begin == 0 else edge
-            high = min(WINDOW if begin + WINDOW >= len(texts[k]) else WINDOW - edge, len(texts[k]) - begin)
-            out[k][begin + low : begin + high] = row[low:high]
+                spots.append((total + w * step - begin, len(part)))
+            held.append((k, begin, end))
+            total += end - begin
+            if len(rows) >= 2048:
+                _decode(tagger, rows, spots, held, out)
+                rows, spots, held, total = [], [], [], 0
+    if rows:
+        _decode(tagger, rows, spots, held, out)
     return out
 
 
+def _decode(tagger: Tagger, rows: list[np.ndarray], spots: list[tuple[int, int]], held: list[tuple[int, int, int]], out: list[np.ndarray]) -> None:
+    """Writes the tags of stretches; rows are their windows, spots where in the line of stretches these stand and how long they are."""
+    lengths = np.array([end - begin for _, begin, end in held])
+    total = int(lengths.sum())
+    mean, weight = np.zeros((total, tagger.moves.shape[0]), np.float32), np.zeros((total, 1), np.float32)
+    for at in range(0, len(rows), 1024):
+        told = _emissions(tagger, np.stack(rows[at : at + 1024]).T).transpose(1, 0, 2) * _INSIDE[:, None]
+        for (begin, n), own in zip(spots[at : at + 1024], told):
+            mean[begin : begin + n] += own[:n]
+            weight[begin : begin + n, 0] += _INSIDE[:n]
+    tags, at = viterbi(mean / weight, lengths, tagger.moves), 0
+    for (k, begin, end), n in zip(held, lengths.tolist()):
+        out[k][begin:end] = tags[at : at + n]
+        at += n
+
+
 def all_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The base spans and the runs of equal tags that pass the check and touch no base span."""
     if not tags.any():
