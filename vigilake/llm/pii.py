@@ -289,10 +289,10 @@ def _example(rng) -> tuple[int, str]:
     """(tag, text): personal data of a kind, or with tag 0 something like it."""
 
     def digits(n):
-        return "".join(map(str, rng.integers(0, 10, n)))
+        return f"{rng.integers(10 ** int(n)):0{n}d}"
 
     def word(low=2, high=9):
-        return "".join(rng.choice(list("abcdefghijklmnoprstuvwz"), rng.integers(low, high)))
+        return "".join(["abcdefghijklmnoprstuvwz"[i] for i in rng.integers(0, 23, rng.integers(low, high)).tolist()])
 
     def pick(*options):
         return options[rng.integers(len(options))]
