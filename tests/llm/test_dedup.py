@@ -3,6 +3,7 @@ import random
 import time
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,71 @@ def test_near_duplicates_in_one_large_group_and_split_buckets(spark):
     assert got == near_by_hand(rows)
 
 
+def test_near_duplicates_of_similar_texts_in_buckets_over_the_limit(spark):
+    """Pairs near the threshold, all of them with one long passage, so that every bucket is split; and a large class of near copies."""
+    rng = random.Random(12)
+    passage, rows, want = [f"p{k}" for k in range(90)], [], set()
+    for i in range(300):
+        own = [f"u{i}x{k}" for k in range(110)]
+        other = list(own)
+        for k in rng.sample(range(2), 2)[: 1 + i % 2]:
+            other[10 + 50 * k] = f"changed{i}x{k}"
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + other))]
+    base = [f"b{k}" for k in range(150)]
+    for i in range(200):
+        own = list(base)
+        own[rng.randrange(150)] = f"n{i}"
+        rows.append((10_000 + i, " ".join(own)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_duplicates(docs_of(spark, rows).repartition(6), limit=64).collect()}
+    assert got == near_by_hand(rows)
+    assert sum(c != i for i, (c, _) in got.items()) >= 300 + 199
+
+
+def test_large_buckets_compare_all_pairs_after_the_last_step(spark):
+    """No step but the last: what is over the limit is compared in pairs of blocks."""
+    rows = [(i, " ".join([f"s{k}" for k in range(30)] + [f"t{i // 2}x{k}" for k in range(200)] + [f"e{i}"])) for i in range(200)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_duplicates(docs_of(spark, rows), limit=16, depth=1).collect()}
+    assert got == near_by_hand(rows)
+
+
+def test_vector_compare_matches_the_plain_one():
+    rng = random.Random(3)
+    members = []
+    for i in range(120):
+        n = rng.choice([5, 30, 48, 48, 48])
+        values = sorted({rng.randrange(2**32) if rng.random() < 0.3 else 7919 * (k + i % 4) * 50_000 % 2**32 for k in range(n)})
+        members.append((len(values) * rng.choice([1, 1, 2]) if len(values) == 48 else len(values), bytes([i]), np.array(values, "<u4").tobytes()))
+    members.sort()
+    alike = near_dup.marks_for(0.8)[0]
+    groups = near_dup._Groups()
+    for a, b in near_dup._compare(members, 0.8, alike):
+        groups.join(a, b)
+    plain, few = near_dup._Groups(), [near_dup._Sketch(*m) for m in members]
+    for i, x in enumerate(few):
+        for y in few[:i]:
+            if y.size >= 0.8 * x.size - 1e-6 and x.like(y) >= alike:
+                plain.join(x.sid, y.sid)
+    assert {m[1]: groups.find(m[1]) for m in members} == {m[1]: plain.find(m[1]) for m in members} and len(set(map(plain.find, [m[1] for m in members]))) < 120
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.9])
+def test_near_duplicates_at_other_similarities(spark, similarity):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        own = [f"u{i}x{k}" for k in range(60)]
+        for j in range(4):
+            rows.append((4 * i + j, " ".join(w if rng.random() > 0.02 * j else f"c{i}{j}{k}" for k, w in enumerate(own))))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_duplicates(docs_of(spark, rows), similarity=similarity).collect()}
+    assert got == near_by_hand(rows, similarity)
+
+
+def test_near_duplicates_repeated_rows(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "other words are here now"), (2, "A b c d e f g!")]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in near_dup.near_duplicates(docs_of(spark, rows)).collect())
+    assert got == [(1, 1, 0), (1, 1, 2), (1, 1, 2), (2, 1, 2)]
+
+
 def test_near_duplicates_edge_cases(spark):
     assert near_dup.near_duplicates(docs_of(spark, [])).count() == 0
     rows = [(1, None), (2, ""), (3, "!!"), (4, "one two"), (5, "One, two."), (6, "one"), (7, "a " * 50_000), (8, "a " * 60_000), (None, "one two")]

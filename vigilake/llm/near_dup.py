@@ -355,6 +355,19 @@ def _spanning(left: list[bytes], right: list[bytes], linked: np.ndarray) -> Iter
             yield left[i], right[j], 0
 
 
+#: Bits of the table that tells which texts may be needed, and bits of a row of it.
+_BITS, _ROW = 1 << 25, 1 << 15
+
+
+def _maybe_held(texts: DataFrame, code: str, members: DataFrame, member: str) -> DataFrame:
+    """texts less rows whose hash surely is none of the members'; a table of 4 MB, whatever their number, is sent to all tasks."""
+    row, place = f"pmod({{0}}, {_BITS}) div {_ROW}", f"pmod({{0}}, {_ROW})"
+    marks = members.select(F.expr(row.format(member)).alias("__row"), F.expr(place.format(member)).alias("__place")).groupBy("__row").agg(F.bitmap_construct_agg("__place").alias("__marks"))
+    told = texts.join(F.broadcast(marks), F.expr(row.format(code)) == F.col("__row"))
+    bit = F.expr(f"shiftright(cast(conv(hex(substring(__marks, cast({place.format(code)} div 8 as int) + 1, 1)), 16, 10) as int), cast({place.format(code)} % 8 as int)) & 1")
+    return told.where(bit == 1).drop("__row", "__marks")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 4096, most_leaders: int = 32, block: int = 1024, depth: int = DEPTH) -> DataFrame:
     """doc_id, code, class_id, n_links for every row of docs(doc_id, text, ...).
 
@@ -384,6 +397,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
     members = cut(near.select(F.col("node").alias("sid"), "root").unionByName(roots).join(reps.select("sid", "size", "docs", "rep_id", "rep_code"), "sid"), "near-members")
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*"), F.sum("size") / 400) / block).cast("int").alias("blocks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep_id"), text_of().alias("text")).withColumn("rep_code", F.xxhash64("text"))
+    texts = _maybe_held(texts, "rep_code", members, "rep_code")
     same = members.rep_id.eqNullSafe(texts.rep_id) & (members.rep_code == texts.rep_code)
     full = members.drop("size").join(texts, same).dropDuplicates(["sid"]).join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     dealt = full.select("root", "sid", "block", "docs", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
