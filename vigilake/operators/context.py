@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.severity import contains_any
 from .matching import similar_sets
 
-_QUOTED = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`"
-_COMMENT = r"/\*[\s\S]*?(?:\*/|$)|//[^\n]*|#[^\n]*"
+QUOTED = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`"
+COMMENT = r"/\*[\s\S]*?(?:\*/|$)|//[^\n]*|#[^\n]*"
 _DECODE = r"(?:base64\.(?:b64decode|decodebytes)|atob)"
 SAFE_MARKS = ["webpackBootstrap", "!function(", "(function (global, factory)", "core-js", "polyfill"]
 
@@ -22,7 +22,7 @@ def live_calls(text: Column, call: str = r"\beval\s*\(") -> Column:
     One pattern takes strings and comments as whole pieces, so a call inside one is never a piece
     of its own; this replaces a scan of every character with a state.
     """
-    pieces = F.regexp_extract_all(text, F.lit(f"{_QUOTED}|{_COMMENT}|{call}"), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(f"{QUOTED}|{COMMENT}|{call}"), F.lit(0))
     return F.size(F.filter(pieces, lambda x: x.rlike(f"^(?:{call})")))
 
 

@@ -197,8 +197,14 @@ def _rule_sql(r):
 
 
 _FOUND = f"WITH {_LINES}, f AS (" + " UNION ALL ".join(_rule_sql(r) for r in RULES) + ")"
+def _literal(x):
+    if x is None:
+        return "NULL"
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+
+
 def _values(rows, columns):
-    return f"(VALUES {', '.join('(' + ', '.join('NULL' if x is None else repr(x) for x in r) + ')' for r in rows)}) {columns}"
+    return f"(VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) {columns}"
 
 
 _ITEMS = f"SELECT DISTINCT l_orderkey AS scan_id, category, item FROM lineitem JOIN {{}} ON (l_orderkey + l_linenumber * l_linenumber) % {len(GRANTED)} = k".format(
