@@ -121,18 +121,23 @@ def iso_week(time: Column) -> Column:
     return F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), time).cast("int"), F.weekofyear(time))
 
 
-SIMPLE_WORDS, COMPLEX_WORDS, QUESTIONS = ["list", "show", "count"], ["investigate", "correlate", "root cause", "trace"], ["why", "how", "analyze", "investigate", "trace"]
+# What makes a question simple or demanding.
+SIMPLE_WORDS = ["is this safe", "what is", "explain", "describe", "list", "show", "tell me", "how many", "yes or no", "true or false", "quick check", "brief", "summary", "basic"]
+COMPLEX_WORDS = ["trace", "attack chain", "deep dive", "exhaustive", "comprehensive", "analyze all", "full investigation", "root cause", "exploit chain", "kill chain", "advanced", "detailed analysis", "complete audit"]
+COMPLEX_PATTERNS = ["how.*exploit", "trace.*attack", "analyze.*flow", "investigate.*thoroughly", "deep.*analysis", "comprehensive.*review", "full.*audit"]
+QUESTIONS = ["why", "how", "analyze", "investigate", "trace"]
 
 
 def complexity(query: Column, base: Column, findings: Column) -> Column:
-    """How demanding a question is, 0 to 1, by its words, length and the findings it is about."""
+    """How demanding a question is, 0 to 1, by its words, patterns, length and the findings it is about."""
     low = F.lower(query)
 
     def found(words):
         return reduce(lambda a, b: a + b, [low.contains(w).cast("int") for w in words])
 
+    patterns = reduce(lambda a, b: a + b, [low.rlike(p).cast("int") for p in COMPLEX_PATTERNS])
     words = F.size(F.split(F.trim(query), r"\s+"))
-    score = base - 0.1 * found(SIMPLE_WORDS) + 0.2 * found(COMPLEX_WORDS) + F.when(words < 10, -0.05).when(words > 50, 0.1).otherwise(0.0) + F.when(found(QUESTIONS) >= 2, 0.1).otherwise(0.0) + F.when(findings > 20, 0.1).otherwise(0.0)
+    score = base - 0.1 * found(SIMPLE_WORDS) + 0.2 * found(COMPLEX_WORDS) + 0.15 * patterns + F.when(words < 10, -0.05).when(words > 50, 0.1).otherwise(0.0) + F.when(found(QUESTIONS) >= 2, 0.1).otherwise(0.0) + F.when(findings > 20, 0.1).otherwise(0.0)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
 
 

@@ -191,7 +191,7 @@ def trending(metrics: DataFrame, tools: DataFrame, split: Column) -> DataFrame:
 
     grown = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("growth") + 100) / 600))
     score = (norm(F.col("now"), F.col("__d")) * 0.4 + grown * 0.3 + norm(F.col("stars"), F.col("__s")) * 0.2 + F.col("trust") / 100.0 * 0.1) * 100
-    rows = rows.crossJoin(F.broadcast(most)).select("tool_id", F.round(score, 4).alias("score"), F.round("growth", 4).alias("growth"))
+    rows = rows.crossJoin(F.broadcast(most)).select("tool_id", F.round(score, 4).alias("score"), F.round("growth", 4).alias("growth"), F.col("then").alias("before"), "now")
     direction = F.when(F.col("growth") >= 25, "up").when(F.col("growth") <= -25, "down").otherwise("stable")
     return rows.withColumn("direction", direction)
 
@@ -202,6 +202,26 @@ def top_ranked(scored: DataFrame, n: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "tool_id")))
 
 
+def previous_ranks(cache: DataFrame, now: Column) -> DataFrame:
+    """tool_id, previous: the rank in the oldest entry of cache(tool_id, rank, created_at, expires_at) that expired no more than a day ago and is over an hour old; of equally old ones the least."""
+    kept = cache.where((F.col("expires_at") > now - F.expr("interval 24 hours")) & (F.col("created_at") < now - F.expr("interval 1 hour")))
+    return kept.groupBy("tool_id").agg(F.min(F.struct("created_at", "rank")).getField("rank").alias("previous"))
+
+
+def rank_changes(ranked: DataFrame, previous: DataFrame) -> DataFrame:
+    """ranked(tool_id, rank, growth, before, now, ...) with change (places gained since the previous rank, 0 without one) and direction: new, up, down or stable."""
+    rows = ranked.join(previous, "tool_id", "left").withColumn("change", F.coalesce(F.col("previous") - F.col("rank"), F.lit(0)))
+    new = (F.col("before") == 0) & (F.col("now") > 0)
+    up, down = (F.col("growth") >= 25) | (F.col("change") > 0), (F.col("growth") <= -25) | (F.col("change") < 0)
+    return rows.withColumn("direction", F.when(new, "new").when(up, "up").when(down, "down").otherwise("stable"))
+
+
+def latest_metrics(metrics: DataFrame) -> DataFrame:
+    """The newest row of each tool of metrics(tool_id, date, ...); of equally new ones the largest by the other columns. A maximum of structs combines before the shuffle."""
+    rest = [c for c in metrics.columns if c not in ("tool_id", "date")]
+    return metrics.groupBy("tool_id").agg(F.max(F.struct("date", *rest)).alias("m")).select("tool_id", "m.*")
+
+
 def pattern_groups(findings: DataFrame) -> DataFrame:
     """rule, findings, files, worst severity, severities as 'name=count' in order, common: the words of four letters or more in at least half of the descriptions, in order.
 

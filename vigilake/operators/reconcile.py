@@ -149,3 +149,15 @@ def reputation(scans: DataFrame, start: float = 100.0) -> DataFrame:
     chain = F.array_sort(F.collect_list(F.struct("block", "f")))
     trust = F.aggregate(chain, F.lit(start), lambda x, b: F.least(b["f"]["hi"], F.greatest(b["f"]["lo"], x + b["f"]["add"])))
     return blocks.groupBy("publisher").agg(F.count("*").alias("months"), trust.alias("trust"))
+
+
+def verification(requests: DataFrame, threats: DataFrame, publishers: DataFrame) -> DataFrame:
+    """The requests(artifact_hash, publisher_id, ...) with score and verdict: 50 for a known threat, 5 for each flagged package of the publisher, 10 if its trust is under 30.
+
+    threats have hash, publishers publisher_id, flagged and trust; either may lack what is asked for, a null trust is 50.
+    """
+    known = threats.select(F.col("hash").alias("__hash")).distinct()
+    own = publishers.select(F.col("publisher_id").alias("__publisher"), F.coalesce("flagged", F.lit(0)).alias("__flagged"), F.coalesce("trust", F.lit(50.0)).alias("__trust"))
+    rows = requests.join(known, F.col("artifact_hash") == F.col("__hash"), "left").join(own, F.col("publisher_id") == F.col("__publisher"), "left")
+    score = F.when(F.col("__hash").isNotNull(), 50.0).otherwise(0.0) + F.coalesce(F.greatest("__flagged", F.lit(0)) * 5.0, F.lit(0.0)) + F.when(F.col("__trust") < 30, 10.0).otherwise(0.0)
+    return rows.withColumn("score", score).withColumn("verdict", S.verdict(F.col("score"))).drop("__hash", "__publisher", "__flagged", "__trust")

@@ -37,6 +37,51 @@ def rescan_priority(verdict: Column, findings: Column, downloads: Column, days:
     return F.greatest(base + many + known - old, F.lit(0.0))
 
 
+def rescan_candidates(scans: DataFrame, now: Column, limit: int = 200, cooldown_hours: int = 24) -> DataFrame:
+    """scan_id, verdict, priority: the most urgent of two kinds of scans by an old scanner that were not scanned again within the cooldown, half the limit of each.
+
+    Risky ones of the last 30 days, worst, with most findings and newest first; and ones of medium risk of the last 14 days with at least
+    5 findings and over 1000 downloads, with most findings, most downloads and newest first. scans have scan_id, verdict, findings_count,
+    downloads, scanner, scanned_at, rescanned_at.
+    """
+    old = scans.where(F.coalesce("scanner", F.lit("1.0.0")).startswith("1.") & (F.col("rescanned_at").isNull() | (F.col("rescanned_at") < now - F.make_dt_interval(hours=F.lit(cooldown_hours)))))
+    since = lambda days: F.col("scanned_at") > now - F.make_dt_interval(F.lit(days))
+    risky = old.where(F.col("verdict").isin("HIGH_RISK", "CRITICAL_RISK") & since(30)).orderBy(F.desc(F.col("verdict") == "CRITICAL_RISK"), F.desc("findings_count"), F.desc("scanned_at"), "scan_id").limit(limit // 2)
+    popular = old.where((F.col("verdict") == "MEDIUM_RISK") & (F.col("findings_count") >= 5) & (F.col("downloads") > 1000) & since(14)).orderBy(F.desc("findings_count"), F.desc("downloads"), F.desc("scanned_at"), "scan_id").limit(limit // 2)
+    priority = rescan_priority(F.col("verdict"), F.col("findings_count"), F.col("downloads"), F.datediff(now, "scanned_at"))
+    return risky.unionByName(popular).select("scan_id", "verdict", priority.alias("priority")).orderBy(F.desc("priority"), "scan_id").limit(limit)
+
+
+#: Orders of a list of an ecosystem's scans.
+LIST_ORDERS = {"recent": F.desc, "risk": F.desc, "name": F.asc}
+_LIST_COLUMNS = {"recent": "scanned_at", "risk": "risk_score", "name": "package"}
+
+
+def ecosystem_page(scans: DataFrame, ecosystem: str, order: str, page: int, per_page: int) -> DataFrame:
+    """A page of an ecosystem's scans without errors, with position on the page from 1 and has_more; one row more is read to tell whether there are more."""
+    by = [LIST_ORDERS[order](_LIST_COLUMNS[order]), F.asc("scan_id")]
+    rows = scans.where((F.col("ecosystem") == ecosystem) & (F.col("verdict") != "ERROR")).orderBy(*by).offset((page - 1) * per_page).limit(per_page + 1)
+    # at most per_page + 1 rows reach the windows
+    rows = rows.withColumn("position", F.row_number().over(Window.orderBy(*by))).withColumn("has_more", F.count("*").over(Window.partitionBy()) > per_page)
+    return rows.where(F.col("position") <= per_page)
+
+
+def sorted_tools(tools: DataFrame, mode: str, page: int = 50) -> DataFrame:
+    """The first tools(tool_id, downloads, stars, trust, updated_at) by trending (0.4 downloads, 0.3 stars, 0.3 trust), downloads, stars or newest, highest first, with position; null counts as 0, or as before all times."""
+    def whole(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0))
+
+    keys = {"trending": whole("downloads") * 0.4 + whole("stars") * 0.3 + whole("trust") * 0.3, "downloads": whole("downloads"), "stars": whole("stars"), "newest": F.col("updated_at")}
+    by = [keys[mode].desc_nulls_last(), F.asc("tool_id")]
+    return tools.orderBy(*by).limit(page).withColumn("position", F.row_number().over(Window.orderBy(*by)))
+
+
+def trust_changes(tools: DataFrame, since: Column, until: Column, least: int = 10, top: int = 5) -> DataFrame:
+    """tool_id, change: the largest changes of trust of at least so many points between two times; tools have tool_id, trust, previous_trust, trust_at."""
+    rows = tools.where((F.col("trust_at") >= since) & (F.col("trust_at") < until)).select("tool_id", (F.col("trust") - F.col("previous_trust")).alias("change"))
+    return rows.where(F.abs("change") >= least).orderBy(F.desc(F.abs("change")), "tool_id").limit(top)
+
+
 def registry_stats(scans: DataFrame) -> DataFrame:
     """One row: scans without errors, distinct packages, and threats."""
     return scans.agg(

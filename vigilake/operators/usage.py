@@ -47,18 +47,42 @@ def usage_report(usage: DataFrame) -> DataFrame:
 
 
 def churn_risk(users: DataFrame, usage: DataFrame, now: Column) -> DataFrame:
-    """user_id, score, level: points for silence, few events, few insights and errors; 90 for users that did nothing."""
-    seen = usage.groupBy("user_id").agg(
-        F.datediff(now, F.max("seen_at")).alias("silent"), F.count("*").alias("n"), F.count_if(F.col("kind") == "purchase").alias("bought"), F.count_if(F.col("kind") == "error").alias("errors")
-    )
+    """user_id, score, level of users(user_id) from their usage(user_id, seen_at, hit, minutes) in the 30 days before now.
+
+    Points: 25 for under 4 events, 35 for over 14 days of silence or 20 for over 7, 20 for hits in under a tenth of the events, 15 for sessions of under
+    5 minutes on average; 90 for users that did nothing. HIGH_RISK from 60, MEDIUM_RISK from 35, else LOW_ENGAGEMENT with hits in under a fifth.
+    """
+    recent = usage.where((F.col("seen_at") > now - F.expr("interval 30 days")) & (F.col("seen_at") <= now))
+    seen = recent.groupBy("user_id").agg(F.datediff(now, F.max("seen_at")).alias("silent"), F.count("*").alias("n"), F.avg(F.col("hit").cast("double")).alias("hits"), F.coalesce(F.avg("minutes"), F.lit(0.0)).alias("minutes"))
     points = (
-        F.when(F.col("silent") > 14, 25).otherwise(0)
-        + F.when(F.col("n") < 5, 35).when(F.col("n") < 20, 20).otherwise(0)
-        + F.when(F.col("bought") == 0, 20).otherwise(0)
-        + F.when(F.col("errors") * 4 > F.col("n"), 15).otherwise(0)
-    )
+        F.when(F.col("n") < 4, 25).otherwise(0) + F.when(F.col("silent") > 14, 35).when(F.col("silent") > 7, 20).otherwise(0)
+        + F.when(F.col("hits") < 0.1, 20).otherwise(0) + F.when(F.col("minutes") < 5, 15).otherwise(0)
+    )
     score = F.when(F.col("n").isNull(), 90).otherwise(points)
-    return users.join(seen, "user_id", "left").select("user_id", score.alias("score"), F.when(score >= 60, "HIGH").when(score >= 35, "MEDIUM").otherwise("LOW").alias("level"))
+    level = F.when(score >= 60, "HIGH_RISK").when(score >= 35, "MEDIUM_RISK").when(F.col("hits") < 0.2, "LOW_ENGAGEMENT").otherwise("HEALTHY")
+    return users.join(seen, "user_id", "left").select("user_id", score.alias("score"), level.alias("level"))
+
+
+def credit_summary(entries: DataFrame, now: Column) -> DataFrame:
+    """One row of entries(created_at, kind, amount, metadata) of the twelve months before now: credits consumed and purchased, their ratio (0 without any), revenue and number of purchases.
+
+    Amounts below 0 are consumption; metadata is JSON with price_usd.
+    """
+    rows = entries.where(F.col("created_at") >= F.add_months(now, -12))
+    price = F.get_json_object("metadata", "$.price_usd").cast("double")
+    bought, used = F.col("kind") == "purchase", F.col("amount") < 0
+    out = rows.agg(
+        F.coalesce(F.sum(F.when(used, F.abs("amount"))), F.lit(0)).cast("double").alias("consumed"), F.coalesce(F.sum(F.when(bought, F.col("amount"))), F.lit(0)).cast("double").alias("purchased"),
+        F.round(F.sum(F.when(bought, price)), 4).alias("revenue"), F.count_if(bought).alias("purchases"),
+    )
+    return out.withColumn("monetization", F.when(F.col("consumed") > 0, F.round(F.col("purchased") / F.col("consumed"), 6)).otherwise(0.0))
+
+
+def top_features(entries: DataFrame, now: Column, top: int = 10) -> DataFrame:
+    """feature, credits, uses: the features that used most credits in the 30 days before now."""
+    rows = entries.where((F.col("amount") < 0) & (F.col("created_at") >= now - F.expr("interval 30 days")))
+    by = rows.groupBy(F.get_json_object("metadata", "$.feature_type").alias("feature")).agg(F.sum(F.abs("amount")).cast("double").alias("credits"), F.count("*").alias("uses"))
+    return by.orderBy(F.desc("credits"), "feature").limit(top)
 
 
 def top_per_user(usage: DataFrame, n: int = 5) -> DataFrame:

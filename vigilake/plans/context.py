@@ -79,7 +79,7 @@ def iso_weeks(spark, sf):
 
 
 def complexity_scores(spark, sf):
-    rows = frame(spark, sf, "tools").select("tool_id", F.expr("concat(case tool_id % 4 when 0 then 'Why and how did we investigate ' when 1 then 'list ' when 2 then 'Trace the root cause of ' else '' end, description)").alias("q"))
+    rows = frame(spark, sf, "tools").select("tool_id", F.expr("concat(case tool_id % 5 when 0 then 'Why and how did we investigate ' when 1 then 'list ' when 2 then 'Trace the root cause of ' when 3 then 'Explain how to exploit, with a full audit of ' else '' end, description)").alias("q"))
     return rows.select("tool_id", C.complexity(F.col("q"), F.lit(0.5), F.col("tool_id") % 30).alias("score"))
 
 
@@ -133,7 +133,7 @@ def a59_improvement(spark, sf):
 def j21_j31_recent_threats(spark, sf):
     s = frame(spark, sf, "scans")
     campaigns = s.where("scan_id % 5 = 0").groupBy("user_id").agg(F.count("*").alias("campaign"))
-    return s.where("verdict = 'CRITICAL_RISK'").orderBy(F.desc("scanned_at"), F.desc("scan_id")).limit(60).join(campaigns, "user_id", "left").select("scan_id", "user_id", "campaign")
+    return s.where("verdict = 'CRITICAL_RISK' and scanned_at >= timestamp_ntz'2001-07-03 00:00:00'").join(campaigns, "user_id", "left").select("scan_id", "user_id", "campaign")
 
 
 def j28_false_positives(spark, sf):
@@ -142,7 +142,9 @@ def j28_false_positives(spark, sf):
 
 
 def t2_ecosystem_list(spark, sf):
-    return frame(spark, sf, "scans").groupBy("ecosystem", "package").agg(F.max("scanned_at").alias("recent"), F.max("risk_score").alias("risk")).orderBy(F.desc("risk"), F.desc("recent"), "package").limit(50)
+    rows = frame(spark, sf, "scans")
+    pages = [registry.ecosystem_page(rows, "npm", mode, 2, 25).withColumn("mode", F.lit(mode)) for mode in registry.LIST_ORDERS]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).select("mode", "position", "scan_id", "package", "has_more")
 
 
 def t6_pending_rescans(spark, sf):
@@ -209,8 +211,8 @@ SELECT rule, CASE WHEN f <= 0.7::DOUBLE THEN CASE severity WHEN 'CRITICAL' THEN
     "iso_weeks": (iso_weeks, f"SELECT strftime(scanned_at, '%G-W%V') AS week, count(*) AS scans FROM {SCANS} GROUP BY 1"),
     "complexity_scores": (
         complexity_scores,
-        f"""WITH q AS (SELECT tool_id, tool_id % 4 AS k, CASE tool_id % 4 WHEN 0 THEN 'Why and how did we investigate ' WHEN 1 THEN 'list ' WHEN 2 THEN 'Trace the root cause of ' ELSE '' END || description AS q FROM {TOOLS})
-SELECT tool_id, round(greatest(0, least(1, 0.5::DOUBLE - CASE WHEN k = 1 THEN 0.1::DOUBLE ELSE 0 END + CASE k WHEN 0 THEN 0.2::DOUBLE WHEN 2 THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN len(string_split(q, ' ')) < 10 THEN -0.05::DOUBLE ELSE 0 END + CASE WHEN k = 0 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN tool_id % 30 > 20 THEN 0.1::DOUBLE ELSE 0 END)), 6) AS score FROM q""",
+        f"""WITH q AS (SELECT tool_id, tool_id % 5 AS k, CASE tool_id % 5 WHEN 0 THEN 'Why and how did we investigate ' WHEN 1 THEN 'list ' WHEN 2 THEN 'Trace the root cause of ' WHEN 3 THEN 'Explain how to exploit, with a full audit of ' ELSE '' END || description AS q FROM {TOOLS})
+SELECT tool_id, round(greatest(0, least(1, 0.5::DOUBLE + CASE k WHEN 0 THEN 0.1::DOUBLE WHEN 1 THEN -0.1::DOUBLE WHEN 2 THEN 0.4::DOUBLE WHEN 3 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN len(string_split(q, ' ')) < 10 THEN -0.05::DOUBLE ELSE 0 END + CASE WHEN tool_id % 30 > 20 THEN 0.1::DOUBLE ELSE 0 END)), 6) AS score FROM q""",
     ),
     "t8_remediation": (
         t8_remediation,
@@ -238,13 +240,16 @@ SELECT * FROM (SELECT *, 'built' AS origin FROM b WHERE id NOT IN (SELECT id FRO
     "a59_improvement": (a59_improvement, f"SELECT user_id, round(greatest(0, least(1, count(*) FILTER (kind IN ('error', 'purchase')) / CAST(count(*) AS DOUBLE) / 2)), 4) AS improvement FROM {USAGE} GROUP BY 1"),
     "j21_j31_recent_threats": (
         j21_j31_recent_threats,
-        f"WITH c AS (SELECT user_id, count(*) AS campaign FROM {SCANS} WHERE scan_id % 5 = 0 GROUP BY 1), t AS (SELECT scan_id, user_id FROM {SCANS} WHERE verdict = 'CRITICAL_RISK' ORDER BY scanned_at DESC, scan_id DESC LIMIT 60) SELECT t.scan_id, t.user_id, campaign FROM t LEFT JOIN c ON t.user_id = c.user_id",
+        f"WITH c AS (SELECT user_id, count(*) AS campaign FROM {SCANS} WHERE scan_id % 5 = 0 GROUP BY 1), t AS (SELECT scan_id, user_id FROM {SCANS} WHERE verdict = 'CRITICAL_RISK' AND scanned_at >= TIMESTAMP '2001-07-03 00:00:00') SELECT t.scan_id, t.user_id, campaign FROM t LEFT JOIN c ON t.user_id = c.user_id",
     ),
     "j28_false_positives": (
         j28_false_positives,
         f"SELECT scanner, count(DISTINCT f.scan_id) FILTER (severity = 'CRITICAL') AS critical, count(DISTINCT f.scan_id) FILTER (severity = 'LOW') AS low, count(*) AS findings FROM {FINDINGS} f JOIN {SCANS} s ON f.scan_id = s.scan_id GROUP BY 1",
     ),
-    "t2_ecosystem_list": (t2_ecosystem_list, f"SELECT ecosystem, package, max(scanned_at) AS recent, max(risk_score) AS risk FROM {SCANS} GROUP BY 1, 2 ORDER BY risk DESC, recent DESC, package LIMIT 50"),
+    "t2_ecosystem_list": (
+        t2_ecosystem_list,
+        " UNION ALL ".join(f"SELECT '{mode}' AS mode, CAST(n - 25 AS INTEGER) AS position, scan_id, package, total > 50 AS has_more FROM (SELECT *, row_number() OVER (ORDER BY {order}, scan_id) AS n, count(*) OVER () AS total FROM {SCANS} WHERE ecosystem = 'npm' AND verdict <> 'ERROR') WHERE n BETWEEN 26 AND 50" for mode, order in (("recent", "scanned_at DESC"), ("risk", "risk_score DESC"), ("name", "package"))),
+    ),
     "t6_pending_rescans": (t6_pending_rescans, f"SELECT scan_id, verdict, CAST(CASE verdict WHEN 'CRITICAL_RISK' THEN 1 WHEN 'HIGH_RISK' THEN 2 WHEN 'MEDIUM_RISK' THEN 3 ELSE 4 END AS INTEGER) AS rank FROM {SCANS} WHERE scanner LIKE '1.%' ORDER BY rank, scan_id LIMIT 80"),
     "t14_newest_then_filter": (
         t14_newest_then_filter,

@@ -108,13 +108,24 @@ def _metrics(spark, sf):
     return read(spark, sf, "events").select((F.col("user_id") % 200 + 1).alias("tool_id"), F.col("ts").alias("seen_at"), F.expr("cast(regexp_extract(props, '[0-9]+', 0) as int)").alias("downloads"), (F.col("event_id") % 13).alias("stars"))
 
 
-def j11_w4_trending(spark, sf):
+def _trending(spark, sf):
     return M.trending(_metrics(spark, sf), tools(spark, sf), F.expr("timestamp_ntz'2024-01-16 00:00:00'"))
 
 
+def j11_w4_trending(spark, sf):
+    return _trending(spark, sf).select("tool_id", "score", "growth", "direction")
+
+
 def w3_w8_ranks(spark, sf):
-    top = M.top_ranked(j11_w4_trending(spark, sf), 30)
-    return top.select("tool_id", "score", F.col("rank").cast("long").alias("rank"))
+    now = F.expr("timestamp_ntz'2024-02-01 00:00:00'")
+    cache = read(spark, sf, "events").select((F.col("user_id") % 200 + 1).alias("tool_id"), (F.col("event_id") * 7 % 40 + 1).alias("rank"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("interval 12 days")).alias("expires_at"))
+    top = M.top_ranked(_trending(spark, sf).drop("direction"), 30)
+    return M.rank_changes(top, M.previous_ranks(cache, now)).select("tool_id", "score", F.col("rank").cast("long").alias("rank"), "previous", "change", "direction")
+
+
+def w11_latest_metrics(spark, sf):
+    rows = _metrics(spark, sf).select("tool_id", F.to_date("seen_at").alias("date"), "downloads", "stars")
+    return M.latest_metrics(rows)
 
 
 def _described(spark, sf):
@@ -173,7 +184,7 @@ _SIGNALS = ", ".join("CASE WHEN " + " OR ".join(f"contains(t, '{w}')" for w in G
 _METRICS = "(SELECT user_id % 200 + 1 AS tool_id, ts, CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS downloads, event_id % 13 AS stars FROM events)"
 _TRENDING = f"""WITH p AS (SELECT tool_id, avg(downloads) FILTER (ts >= TIMESTAMP '2024-01-16') AS n, coalesce(avg(downloads) FILTER (ts < TIMESTAMP '2024-01-16'), 0) AS b, coalesce(avg(stars) FILTER (ts >= TIMESTAMP '2024-01-16'), 0) AS s FROM {_METRICS} GROUP BY 1),
 g AS (SELECT p.*, 100 - risk_score AS trust, CASE WHEN b = 0 THEN CASE WHEN n > 0 THEN 100 ELSE 0 END WHEN n = 0 THEN -100 ELSE (n - b) * 100 / b END AS g FROM p JOIN {TOOLS} t ON p.tool_id = t.tool_id WHERE n IS NOT NULL),
-r AS (SELECT tool_id, round((n / max(n) OVER () * 0.4::DOUBLE + greatest(0, least(1, (g + 100) / 600::DOUBLE)) * 0.3::DOUBLE + s / max(s) OVER () * 0.2::DOUBLE + trust / 100::DOUBLE * 0.1::DOUBLE) * 100, 4) AS score, round(g, 4) AS growth FROM g)"""
+r AS (SELECT tool_id, round((n / max(n) OVER () * 0.4::DOUBLE + greatest(0, least(1, (g + 100) / 600::DOUBLE)) * 0.3::DOUBLE + s / max(s) OVER () * 0.2::DOUBLE + trust / 100::DOUBLE * 0.1::DOUBLE) * 100, 4) AS score, round(g, 4) AS growth, b, n FROM g)"""
 
 _VARS, _PROTS, _CAPS = _own_sql("tool_id", VARIABLES, 11), _own_sql("tool_id", PROTOCOLS, 13), _own_sql("tool_id", CAPABILITIES, 17)
 _CATEGORY = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORIES.items()) + " END"
@@ -239,7 +250,14 @@ SELECT b, a, score, x.name AS primary_name, y.name AS secondary_name FROM m JOIN
 SELECT category, tool_id, trust FROM f WHERE trust >= 70 QUALIFY row_number() OVER (PARTITION BY category ORDER BY trust DESC, tool_id) = 1""",
     ),
     "j11_w4_trending": (j11_w4_trending, f"{_TRENDING} SELECT tool_id, score, growth, CASE WHEN growth >= 25 THEN 'up' WHEN growth <= -25 THEN 'down' ELSE 'stable' END AS direction FROM r"),
-    "w3_w8_ranks": (w3_w8_ranks, f"{_TRENDING} SELECT tool_id, score, row_number() OVER (ORDER BY score DESC, tool_id) AS rank FROM r ORDER BY score DESC, tool_id LIMIT 30"),
+    "w3_w8_ranks": (
+        w3_w8_ranks,
+        f"""{_TRENDING}, t AS (SELECT tool_id, score, growth, b, n, row_number() OVER (ORDER BY score DESC, tool_id) AS rank FROM r QUALIFY rank <= 30),
+c AS (SELECT user_id % 200 + 1 AS tool_id, event_id * 7 % 40 + 1 AS previous FROM events WHERE ts + INTERVAL 12 DAY > TIMESTAMP '2024-01-31' AND ts < TIMESTAMP '2024-01-31 23:00:00' QUALIFY row_number() OVER (PARTITION BY user_id % 200 + 1 ORDER BY ts, event_id * 7 % 40) = 1),
+d AS (SELECT t.*, previous, coalesce(previous - rank, 0) AS change FROM t LEFT JOIN c ON c.tool_id = t.tool_id)
+SELECT tool_id, score, rank, previous, change, CASE WHEN b = 0 AND n > 0 THEN 'new' WHEN growth >= 25 OR change > 0 THEN 'up' WHEN growth <= -25 OR change < 0 THEN 'down' ELSE 'stable' END AS direction FROM d""",
+    ),
+    "w11_latest_metrics": (w11_latest_metrics, f"SELECT tool_id, CAST(ts AS DATE) AS date, downloads, stars FROM {_METRICS} QUALIFY row_number() OVER (PARTITION BY tool_id ORDER BY CAST(ts AS DATE) DESC, downloads DESC, stars DESC) = 1"),
     "a35_pattern_groups": (
         a35_pattern_groups,
         f"""WITH d AS (SELECT *, {DESCRIPTION} AS description FROM {FINDINGS}), s AS (SELECT rule, severity, count(*) AS n, CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END AS k FROM d GROUP BY 1, 2), f AS (SELECT rule, count(DISTINCT file) AS files, count(*) AS total FROM d GROUP BY 1),

@@ -83,9 +83,11 @@ def j10_hash_hits(spark, sf):
 
 
 def a53_verification(spark, sf):
-    rows = registry.latest_scan(frame(spark, sf, "scans"))
-    score = F.when(F.col("scan_id") % 17 == 0, 50).otherwise(0) + 5 * (F.col("findings_count") % 5) + F.when(F.col("risk_score") > 70, 10).otherwise(0)
-    return rows.select("package", "ecosystem", score.cast("long").alias("score"), S.verdict(score).alias("verdict"))
+    rows = frame(spark, sf, "scans")
+    requests = rows.select("scan_id", F.concat(F.lit("h"), (F.col("scan_id") % 301).cast("string")).alias("artifact_hash"), F.when(F.col("scan_id") % 4 > 0, F.col("user_id")).alias("publisher_id"))
+    threats = rows.where("verdict = 'CRITICAL_RISK' and scan_id % 20 = 1").select(F.concat(F.lit("h"), (F.col("scan_id") % 301).cast("string")).alias("hash"))
+    publishers = rows.where("user_id % 3 > 0").groupBy(F.col("user_id").alias("publisher_id")).agg((F.count_if(F.col("verdict") == "ERROR") % 4).alias("flagged"), F.min(100.0 - F.col("risk_score")).alias("trust"))
+    return R.verification(requests, threats, publishers).select("scan_id", "score", "verdict")
 
 
 def r6_reputation(spark, sf):
@@ -176,8 +178,9 @@ SELECT id, scan_id FROM s JOIN a ON s.ecosystem = a.ecosystem AND s.package = a.
     "j10_hash_hits": (j10_hash_hits, f"SELECT scan_id, count(DISTINCT file) * 10 AS added FROM {FINDINGS} WHERE file IN (SELECT file FROM {FINDINGS} WHERE scan_id % 97 = 0) GROUP BY 1"),
     "a53_verification": (
         a53_verification,
-        f"""WITH l AS (SELECT package, ecosystem, CAST(CASE WHEN scan_id % 17 = 0 THEN 50 ELSE 0 END + 5 * (findings_count % 5) + CASE WHEN risk_score > 70 THEN 10 ELSE 0 END AS BIGINT) AS score FROM {SCANS} QUALIFY row_number() OVER (PARTITION BY ecosystem, package ORDER BY scanned_at DESC, scan_id DESC) = 1)
-SELECT package, ecosystem, score, CASE WHEN score >= 50 THEN 'CRITICAL_RISK' WHEN score >= 25 THEN 'HIGH_RISK' WHEN score >= 10 THEN 'MEDIUM_RISK' ELSE 'LOW_RISK' END AS verdict FROM l""",
+        f"""WITH t AS (SELECT DISTINCT scan_id % 301 AS h FROM {SCANS} WHERE verdict = 'CRITICAL_RISK' AND scan_id % 20 = 1), p AS (SELECT user_id, count(*) FILTER (verdict = 'ERROR') % 4 AS flagged, min(100 - risk_score) AS trust FROM {SCANS} WHERE user_id % 3 > 0 GROUP BY 1),
+s AS (SELECT scan_id, CASE WHEN h IS NOT NULL THEN 50::DOUBLE ELSE 0 END + coalesce(flagged * 5, 0) + CASE WHEN trust < 30 THEN 10 ELSE 0 END AS score FROM {SCANS} r LEFT JOIN t ON h = scan_id % 301 LEFT JOIN p ON p.user_id = r.user_id AND scan_id % 4 > 0)
+SELECT scan_id, score, CASE WHEN score >= 50 THEN 'CRITICAL_RISK' WHEN score >= 25 THEN 'HIGH_RISK' WHEN score >= 10 THEN 'MEDIUM_RISK' ELSE 'LOW_RISK' END AS verdict FROM s""",
     ),
     "r6_reputation": (
         r6_reputation,

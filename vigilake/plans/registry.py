@@ -45,9 +45,8 @@ def t3_best_scans(spark, sf):
 
 
 def t5_rescan_candidates(spark, sf):
-    rows = scans(spark, sf).where("scanner like '1.%' and verdict <> 'ERROR'")
-    score = R.rescan_priority(F.col("verdict"), F.col("findings_count"), F.col("user_id") * 700, F.datediff(_now(), "scanned_at"))
-    return rows.select("scan_id", "verdict", score.alias("priority")).orderBy(F.desc("priority"), "scan_id").limit(200)
+    rows = scans(spark, sf).withColumns({"downloads": F.col("user_id") * 700, "rescanned_at": F.expr("case scan_id % 5 when 0 then null when 1 then timestamp_ntz'2001-08-01 12:00:00' else scanned_at end")})
+    return R.rescan_candidates(rows, _now(), 40)
 
 
 def p38_t1_search_page(spark, sf):
@@ -118,9 +117,9 @@ def t12_limit_then_filter(spark, sf):
 
 
 def t4_tool_order(spark, sf):
-    rows = frame(spark, sf, "tools")
-    score = F.col("downloads") * 0.4 / 100_003 + F.col("stars") * 0.3 / 97 + (100 - F.col("risk_score")) * 0.3 / 100
-    return rows.select("tool_id", "category", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "tool_id").limit(50)
+    rows = frame(spark, sf, "tools").select("tool_id", F.when(F.col("tool_id") % 7 > 0, F.col("downloads")).alias("downloads"), "stars", (100 - F.col("risk_score")).alias("trust"), F.expr("case when tool_id % 11 = 0 then null else timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(tool_id * 37 % 1000) end").alias("updated_at"))
+    pages = [R.sorted_tools(rows, mode, 50).select(F.lit(mode).alias("mode"), "position", "tool_id") for mode in ("trending", "downloads", "stars", "newest")]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
 
 
 def u2_u3_own_and_team(spark, sf):
@@ -140,6 +139,11 @@ def a47_weekly_digest(spark, sf):
     return s.groupBy("ecosystem").agg(F.count("*").alias("scans"), F.round(F.avg("risk_score"), 4).alias("risk")).orderBy(F.desc("scans"), "ecosystem").limit(5)
 
 
+def a47_trust_changes(spark, sf):
+    rows = frame(spark, sf, "tools").select("tool_id", (100 - F.col("risk_score")).alias("trust"), (100 - F.col("tool_id") % 23).alias("previous_trust"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(tool_id % 14)").alias("trust_at"))
+    return R.trust_changes(rows, F.expr("timestamp_ntz'2024-01-02 00:00:00'"), F.expr("timestamp_ntz'2024-01-09 00:00:00'"))
+
+
 QUERIES = {
     "a8_registry_stats": (a8_registry_stats, f"SELECT count(*) FILTER (verdict <> 'ERROR') AS total_scans, count(DISTINCT ecosystem || ':' || package) AS packages, count(*) FILTER (verdict IN ('HIGH_RISK', 'CRITICAL_RISK')) AS threats FROM {SCANS}"),
     "a9_trust_histogram": (
@@ -159,9 +163,11 @@ SELECT ecosystem, package, scan_id, CAST(date_diff('day', CAST(scanned_at AS DAT
     "t3_best_scans": (t3_best_scans, f"SELECT ecosystem, package, scan_id, verdict FROM {SCANS} QUALIFY row_number() OVER (PARTITION BY ecosystem, package ORDER BY verdict = 'ERROR', scanned_at DESC, scan_id DESC) = 1"),
     "t5_rescan_candidates": (
         t5_rescan_candidates,
-        f"""WITH d AS (SELECT *, date_diff('day', CAST(scanned_at AS DATE), DATE '2001-08-02') AS days, user_id * 700 AS downloads FROM {SCANS} WHERE scanner LIKE '1.%' AND verdict <> 'ERROR')
+        f"""WITH d AS (SELECT *, date_diff('day', CAST(scanned_at AS DATE), DATE '2001-08-02') AS days, user_id * 700 AS downloads FROM {SCANS} WHERE scanner LIKE '1.%' AND scan_id % 5 <> 1 AND (scan_id % 5 = 0 OR scanned_at < TIMESTAMP '2001-08-01 00:00:00')),
+c AS ((SELECT * FROM d WHERE verdict IN ('HIGH_RISK', 'CRITICAL_RISK') AND scanned_at > TIMESTAMP '2001-07-03 00:00:00' ORDER BY CASE verdict WHEN 'CRITICAL_RISK' THEN 4 ELSE 3 END DESC, findings_count DESC, scanned_at DESC, scan_id LIMIT 20)
+ UNION ALL (SELECT * FROM d WHERE verdict = 'MEDIUM_RISK' AND findings_count >= 5 AND downloads > 1000 AND scanned_at > TIMESTAMP '2001-07-19 00:00:00' ORDER BY findings_count DESC, downloads DESC, scanned_at DESC, scan_id LIMIT 20))
 SELECT scan_id, verdict, CAST(greatest(CASE verdict WHEN 'CRITICAL_RISK' THEN 100 WHEN 'HIGH_RISK' THEN 75 WHEN 'MEDIUM_RISK' THEN 50 ELSE 25 END + CASE WHEN findings_count >= 20 THEN 25 WHEN findings_count >= 10 THEN 15 WHEN findings_count >= 5 THEN 10 ELSE 0 END
- + CASE WHEN downloads > 100000 THEN 15 WHEN downloads > 10000 THEN 10 WHEN downloads > 1000 THEN 5 ELSE 0 END - CASE WHEN days > 7 THEN least(days - 7, 20) ELSE 0 END, 0) AS DOUBLE) AS priority FROM d ORDER BY priority DESC, scan_id LIMIT 200""",
+ + CASE WHEN downloads > 100000 THEN 15 WHEN downloads > 10000 THEN 10 WHEN downloads > 1000 THEN 5 ELSE 0 END - CASE WHEN days > 7 THEN least(days - 7, 20) ELSE 0 END, 0) AS DOUBLE) AS priority FROM c ORDER BY priority DESC, scan_id LIMIT 40""",
     ),
     "p38_t1_search_page": (p38_t1_search_page, f"SELECT scan_id, package, verdict, scanned_at FROM {SCANS} WHERE verdict <> 'ERROR' AND contains(lower(package), 'kg-1') AND ecosystem = 'npm' ORDER BY scanned_at DESC, scan_id DESC LIMIT 21 OFFSET 20"),
     "s17_upsert": (
@@ -215,9 +221,11 @@ SELECT policy, scan_id, violations = '' AS allowed, violations = '' AND low AS a
     "t12_limit_then_filter": (t12_limit_then_filter, f"SELECT scan_id, verdict FROM (SELECT * FROM {SCANS} ORDER BY scanned_at DESC, scan_id DESC LIMIT 100) WHERE verdict IN ('HIGH_RISK', 'CRITICAL_RISK')"),
     "t4_tool_order": (
         t4_tool_order,
-        f"SELECT tool_id, category, round(CAST(downloads AS DOUBLE) * 0.4::DOUBLE / 100003 + stars * 0.3::DOUBLE / 97 + (100 - risk_score) * 0.3::DOUBLE / 100, 6) AS score FROM {TOOLS} ORDER BY score DESC, tool_id LIMIT 50",
+        f"WITH t AS (SELECT tool_id, CASE WHEN tool_id % 7 > 0 THEN downloads ELSE 0 END AS d, stars AS s, 100 - risk_score AS t, CASE WHEN tool_id % 11 > 0 THEN tool_id * 37 % 1000 END AS u FROM {TOOLS}) "
+        + " UNION ALL ".join(f"SELECT '{mode}' AS mode, CAST(row_number() OVER (ORDER BY {key} DESC NULLS LAST, tool_id) AS INTEGER) AS position, tool_id FROM t QUALIFY position <= 50" for mode, key in (("trending", "round(d * 0.4::DOUBLE + s * 0.3::DOUBLE + t * 0.3::DOUBLE, 9)"), ("downloads", "d"), ("stars", "s"), ("newest", "u"))),
     ),
     "u2_u3_own_and_team": (u2_u3_own_and_team, f"SELECT user_id, count(*) AS scans, max(risk_score) AS worst FROM {SCANS} WHERE user_id IN (3, 5, 8) OR (ecosystem = 'npm' AND user_id < 9) GROUP BY user_id"),
     "a41_dashboard_stats": (a41_dashboard_stats, f"SELECT count(*) AS scans, count(*) FILTER (verdict IN ('HIGH_RISK', 'CRITICAL_RISK')) AS threats, count(DISTINCT package) AS packages FROM {SCANS} WHERE user_id BETWEEN 3 AND 6"),
+    "a47_trust_changes": (a47_trust_changes, f"SELECT tool_id, tool_id % 23 - risk_score AS change FROM {TOOLS} WHERE tool_id % 14 BETWEEN 1 AND 7 AND abs(tool_id % 23 - risk_score) >= 10 ORDER BY abs(tool_id % 23 - risk_score) DESC, tool_id LIMIT 5"),
     "a47_weekly_digest": (a47_weekly_digest, f"SELECT ecosystem, count(*) AS scans, round(avg(risk_score), 4) AS risk FROM {SCANS} WHERE scanned_at >= TIMESTAMP '2001-05-01 00:00:00' GROUP BY ecosystem ORDER BY scans DESC, ecosystem LIMIT 5"),
 }

@@ -33,7 +33,7 @@ def a14_usage_report(spark, sf):
 
 def a12_a15_churn_risk(spark, sf):
     users = read(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
-    return U.churn_risk(users, usage(spark, sf), _at("2024-01-31 00:00:00"))
+    return U.churn_risk(users, usage(spark, sf).select("user_id", "seen_at", (F.col("confidence") > 0.85).alias("hit"), (F.col("tokens") % 11).alias("minutes")), _at("2024-01-31 00:00:00"))
 
 
 def a16_t10_top_per_user(spark, sf):
@@ -86,6 +86,20 @@ def a23_monthly_credits(spark, sf):
     return rows.groupBy(F.date_format("seen_at", "yyyy-MM").alias("month"), "kind").agg(F.sum(F.abs("cost")).cast("double").alias("credits"), F.count_distinct("user_id").alias("users"))
 
 
+def _credits(spark, sf):
+    amount = F.when(F.col("kind") == "purchase", F.col("cost")).otherwise(-F.col("cost"))
+    meta = F.to_json(F.struct(F.when(F.col("kind") == "purchase", F.col("tokens") / 4).alias("price_usd"), F.concat(F.lit("f"), (F.col("event_id") % 17).cast("string")).alias("feature_type")))
+    return usage(spark, sf).select(F.col("seen_at").alias("created_at"), "kind", amount.alias("amount"), meta.alias("metadata"))
+
+
+def a23_credit_summary(spark, sf):
+    return U.credit_summary(_credits(spark, sf), _at("2024-12-31 00:00:00"))
+
+
+def a23_top_features(spark, sf):
+    return U.top_features(_credits(spark, sf), _at("2024-01-31 00:00:00"))
+
+
 def a24_j23_billing(spark, sf):
     return subs(spark, sf).groupBy("status").agg(F.count("*").alias("subscriptions"), F.count_distinct("user_id").alias("users"), F.sum("price_cents").cast("long").alias("cents"), F.round(F.coalesce(F.sum("price_cents") / F.nullif(F.count_distinct("user_id"), F.lit(0)), F.lit(0.0)), 4).alias("per_user"))
 
@@ -128,11 +142,11 @@ def r9_retention(spark, sf):
     from pyspark.sql import Window
 
     rank = Window.partitionBy("kind").orderBy(F.desc("seen_at"), F.desc("event_id"))
-    return usage(spark, sf).select("kind", "event_id", "seen_at", F.row_number().over(rank).alias("n")).where("n <= 25").select("kind", "event_id")
+    return usage(spark, sf).select("kind", "event_id", "seen_at", F.row_number().over(rank).alias("n")).where("n <= 1000").select("kind", "event_id")
 
 
 def r14_trim(spark, sf):
-    return usage(spark, sf).orderBy(F.desc("seen_at"), F.desc("event_id")).limit(500).select("event_id", "user_id")
+    return usage(spark, sf).orderBy(F.desc("seen_at"), F.desc("event_id")).limit(10_000).select("event_id", "user_id")
 
 
 def t16_time_range(spark, sf):
@@ -185,9 +199,9 @@ QUERIES = {
     ),
     "a12_a15_churn_risk": (
         a12_a15_churn_risk,
-        f"""WITH s AS (SELECT user_id, date_diff('day', CAST(max(seen_at) AS DATE), DATE '2024-01-31') AS silent, count(*) AS n, count(*) FILTER (kind = 'purchase') AS bought, count(*) FILTER (kind = 'error') AS errors FROM {USAGE} GROUP BY 1),
-p AS (SELECT c_custkey AS user_id, CAST(CASE WHEN n IS NULL THEN 90 ELSE CASE WHEN silent > 14 THEN 25 ELSE 0 END + CASE WHEN n < 5 THEN 35 WHEN n < 20 THEN 20 ELSE 0 END + CASE WHEN bought = 0 THEN 20 ELSE 0 END + CASE WHEN errors * 4 > n THEN 15 ELSE 0 END END AS INTEGER) AS score FROM customer LEFT JOIN s ON c_custkey = user_id)
-SELECT user_id, score, CASE WHEN score >= 60 THEN 'HIGH' WHEN score >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM p""",
+        f"""WITH s AS (SELECT user_id, date_diff('day', CAST(max(seen_at) AS DATE), DATE '2024-01-31') AS silent, count(*) AS n, avg(CASE WHEN confidence > 0.85::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS hits, avg(tokens % 11) AS minutes FROM {USAGE} WHERE seen_at > TIMESTAMP '2024-01-01 00:00:00' AND seen_at <= TIMESTAMP '2024-01-31 00:00:00' GROUP BY 1),
+p AS (SELECT c_custkey AS user_id, hits, CAST(CASE WHEN n IS NULL THEN 90 ELSE CASE WHEN n < 4 THEN 25 ELSE 0 END + CASE WHEN silent > 14 THEN 35 WHEN silent > 7 THEN 20 ELSE 0 END + CASE WHEN hits < 0.1 THEN 20 ELSE 0 END + CASE WHEN minutes < 5 THEN 15 ELSE 0 END END AS INTEGER) AS score FROM customer LEFT JOIN s ON c_custkey = user_id)
+SELECT user_id, score, CASE WHEN score >= 60 THEN 'HIGH_RISK' WHEN score >= 35 THEN 'MEDIUM_RISK' WHEN hits < 0.2 THEN 'LOW_ENGAGEMENT' ELSE 'HEALTHY' END AS level FROM p""",
     ),
     "a16_t10_top_per_user": (a16_t10_top_per_user, f"SELECT user_id, kind, events, CAST(rank AS INTEGER) AS rank FROM (SELECT user_id, kind, count(*) AS events, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, kind) AS rank FROM {USAGE} GROUP BY 1, 2) WHERE rank <= 3"),
     "a17_llm_cost": (a17_llm_cost, f"SELECT user_id, model, CAST(sum({_TOKENS}) AS DOUBLE) AS cents, count(*) FILTER (confidence > 0.7::DOUBLE) AS threats FROM {USAGE} GROUP BY 1, 2"),
@@ -223,6 +237,12 @@ SELECT count(*) AS users, count(p) AS paying, round(count(p) / CAST(count(*) AS
 SELECT plan, round(price, 2) AS price, round(tenure, 2) AS tenure, round(price * tenure / 30, 2) AS value, round(price * tenure / 30 / 5000, 2) AS ratio FROM p""",
     ),
     "a23_monthly_credits": (a23_monthly_credits, f"SELECT strftime(seen_at, '%Y-%m') AS month, kind, CAST(sum(abs(cost)) AS DOUBLE) AS credits, count(DISTINCT user_id) AS users FROM {USAGE} GROUP BY 1, 2"),
+    "a23_credit_summary": (
+        a23_credit_summary,
+        f"""WITH t AS (SELECT CAST(coalesce(sum(CASE WHEN kind <> 'purchase' AND cost > 0 THEN cost END), 0) AS DOUBLE) AS consumed, CAST(coalesce(sum(CASE WHEN kind = 'purchase' THEN cost END), 0) AS DOUBLE) AS purchased, round(sum(CASE WHEN kind = 'purchase' THEN tokens / 4::DOUBLE END), 4) AS revenue, count(*) FILTER (kind = 'purchase') AS purchases FROM {USAGE} WHERE seen_at >= TIMESTAMP '2023-12-31')
+SELECT *, CASE WHEN consumed > 0 THEN round(purchased / consumed, 6) ELSE 0 END AS monetization FROM t""",
+    ),
+    "a23_top_features": (a23_top_features, f"SELECT 'f' || CAST(event_id % 17 AS VARCHAR) AS feature, CAST(sum(cost) AS DOUBLE) AS credits, count(*) AS uses FROM {USAGE} WHERE kind <> 'purchase' AND cost > 0 AND seen_at >= TIMESTAMP '2024-01-01' GROUP BY 1 ORDER BY credits DESC, feature LIMIT 10"),
     "a24_j23_billing": (a24_j23_billing, f"SELECT status, count(*) AS subscriptions, count(DISTINCT user_id) AS users, CAST(sum(price_cents) AS BIGINT) AS cents, round(sum(price_cents) / CAST(count(DISTINCT user_id) AS DOUBLE), 4) AS per_user FROM {SUBS} GROUP BY status"),
     "j19_users_subscriptions": (
         j19_users_subscriptions,
@@ -244,8 +264,8 @@ SELECT p.user_id, cents, late, last FROM p LEFT JOIN l ON p.user_id = l.user_id
         f"""WITH s AS (SELECT user_id, CAST(floor(epoch(seen_at)) AS BIGINT) AS s, count(*) AS n FROM {USAGE} GROUP BY 1, 2), b AS (SELECT user_id, n, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 86399 PRECEDING AND 1 PRECEDING) AS before FROM s)
 SELECT user_id, CAST(sum(n) AS BIGINT) AS requests, CAST(coalesce(sum(n) FILTER (before >= 2), 0) AS BIGINT) AS rejected FROM b GROUP BY 1""",
     ),
-    "r9_retention": (r9_retention, f"SELECT kind, event_id FROM {USAGE} QUALIFY row_number() OVER (PARTITION BY kind ORDER BY seen_at DESC, event_id DESC) <= 25"),
-    "r14_trim": (r14_trim, f"SELECT event_id, user_id FROM {USAGE} ORDER BY seen_at DESC, event_id DESC LIMIT 500"),
+    "r9_retention": (r9_retention, f"SELECT kind, event_id FROM {USAGE} QUALIFY row_number() OVER (PARTITION BY kind ORDER BY seen_at DESC, event_id DESC) <= 1000"),
+    "r14_trim": (r14_trim, f"SELECT event_id, user_id FROM {USAGE} ORDER BY seen_at DESC, event_id DESC LIMIT 10000"),
     "t16_time_range": (t16_time_range, f"SELECT kind, CAST(hour(seen_at) AS INTEGER) AS hour, CAST(sum(cost) AS DOUBLE) AS cost FROM {USAGE} WHERE seen_at >= TIMESTAMP '2024-01-10 00:00:00' AND seen_at < TIMESTAMP '2024-01-12 00:00:00' GROUP BY 1, 2"),
     "a43_accuracy": (
         a43_accuracy,

@@ -45,5 +45,31 @@ def feed(scans: DataFrame, items: int = 50) -> DataFrame:
     return newest.agg(F.reverse(F.array_sort(F.collect_list(F.struct("scanned_at", "scan_id", item.alias("i"))))).alias("f")).select(F.to_json(F.struct(F.lit("https://jsonfeed.org/version/1.1").alias("version"), F.transform("f", lambda x: x["i"]).alias("items"))).alias("feed"))
 
 
+def xml_escaped(text: Column) -> Column:
+    for sign, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(code))
+    return text
+
+
+def rss(scans: DataFrame, site: str, title: str = "Scans", items: int = 100) -> DataFrame:
+    """One RSS 2.0 feed of the newest scans(scan_id, ecosystem, package, version, verdict, score, findings (array of severity and description), scanned_at).
+
+    An item tells the verdict, the score, the number of findings and the first five of them; the limit runs before rows are gathered.
+    """
+    newest = scans.orderBy(F.desc("scanned_at"), F.desc("scan_id")).limit(items)
+    link = F.concat(F.lit(f"{site}/scans/"), "ecosystem", F.lit("/"), "package")
+    said = F.array_join(F.transform(F.slice("findings", 1, 5), lambda f: F.concat(f["severity"], F.lit(": "), f["description"])), "; ")
+    about = F.concat(F.lit("Risk score: "), F.format_string("%.0f", F.col("score").cast("double")), F.lit(". "), F.size("findings").cast("string"), F.lit(" finding(s). "), F.when(said == "", "No notable findings").otherwise(said), F.lit("."))
+    head = F.concat(F.lit("["), "verdict", F.lit("] "), "package", F.lit("@"), "version", F.lit(" ("), F.upper("ecosystem"), F.lit(")"))
+
+    def tag(name: str, body: Column) -> Column:
+        return F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name}>"))
+
+    item = tag("item", F.concat(tag("title", xml_escaped(head)), tag("link", xml_escaped(link)), tag("description", xml_escaped(about)), tag("pubDate", F.date_format("scanned_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")), tag("guid", F.concat(xml_escaped(link), F.lit("?v="), xml_escaped(F.col("version")))), tag("category", xml_escaped(F.col("ecosystem"))), tag("category", xml_escaped(F.col("verdict")))))
+    gathered = newest.agg(F.reverse(F.array_sort(F.collect_list(F.struct("scanned_at", "scan_id", item.alias("i"))))).alias("f"))
+    body = F.array_join(F.transform("f", lambda x: x["i"]), "")
+    return gathered.select(F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><rss version="2.0"><channel><title>{title}</title><link>{site}</link>'), body, F.lit("</channel></rss>")).alias("feed"))
+
+
 def badge_colour(verdict: Column) -> Column:
     return lookup(verdict, BADGE_COLOURS, "#9f9f9f")
