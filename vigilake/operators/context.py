@@ -128,8 +128,8 @@ COMPLEX_PATTERNS = ["how.*exploit", "trace.*attack", "analyze.*flow", "investiga
 QUESTIONS = ["why", "how", "analyze", "investigate", "trace"]
 
 
-def complexity(query: Column, base: Column, findings: Column) -> Column:
-    """How demanding a question is, 0 to 1, by its words, patterns, length and the findings it is about."""
+def complexity(query: Column, base: Column, findings: Column, files: Column, critical: Column) -> Column:
+    """How demanding a question is, 0 to 1, by its words, patterns and length, and the findings, files and critical findings that it is about."""
     low = F.lower(query)
 
     def found(words):
@@ -137,7 +137,7 @@ def complexity(query: Column, base: Column, findings: Column) -> Column:
 
     patterns = reduce(lambda a, b: a + b, [low.rlike(p).cast("int") for p in COMPLEX_PATTERNS])
     words = F.size(F.split(F.trim(query), r"\s+"))
-    score = base - 0.1 * found(SIMPLE_WORDS) + 0.2 * found(COMPLEX_WORDS) + 0.15 * patterns + F.when(words < 10, -0.05).when(words > 50, 0.1).otherwise(0.0) + F.when(found(QUESTIONS) >= 2, 0.1).otherwise(0.0) + F.when(findings > 20, 0.1).otherwise(0.0)
+    score = base - 0.1 * found(SIMPLE_WORDS) + 0.2 * found(COMPLEX_WORDS) + 0.15 * patterns + F.when(words < 10, -0.05).when(words > 50, 0.1).otherwise(0.0) + F.when(found(QUESTIONS) >= 2, 0.1).otherwise(0.0) + F.when(findings > 20, 0.1).otherwise(0.0) + F.when(files > 10, 0.05).otherwise(0.0) + F.when(critical > 0, 0.1).otherwise(0.0)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
 
 

@@ -80,7 +80,7 @@ def iso_weeks(spark, sf):
 
 def complexity_scores(spark, sf):
     rows = frame(spark, sf, "tools").select("tool_id", F.expr("concat(case tool_id % 5 when 0 then 'Why and how did we investigate ' when 1 then 'list ' when 2 then 'Trace the root cause of ' when 3 then 'Explain how to exploit, with a full audit of ' else '' end, description)").alias("q"))
-    return rows.select("tool_id", C.complexity(F.col("q"), F.lit(0.5), F.col("tool_id") % 30).alias("score"))
+    return rows.select("tool_id", C.complexity(F.col("q"), F.lit(0.5), F.col("tool_id") % 30, F.col("tool_id") % 13, F.col("tool_id") % 3).alias("score"))
 
 
 def t8_remediation(spark, sf):
@@ -212,7 +212,7 @@ SELECT rule, CASE WHEN f <= 0.7::DOUBLE THEN CASE severity WHEN 'CRITICAL' THEN
     "complexity_scores": (
         complexity_scores,
         f"""WITH q AS (SELECT tool_id, tool_id % 5 AS k, CASE tool_id % 5 WHEN 0 THEN 'Why and how did we investigate ' WHEN 1 THEN 'list ' WHEN 2 THEN 'Trace the root cause of ' WHEN 3 THEN 'Explain how to exploit, with a full audit of ' ELSE '' END || description AS q FROM {TOOLS})
-SELECT tool_id, round(greatest(0, least(1, 0.5::DOUBLE + CASE k WHEN 0 THEN 0.1::DOUBLE WHEN 1 THEN -0.1::DOUBLE WHEN 2 THEN 0.4::DOUBLE WHEN 3 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN len(string_split(q, ' ')) < 10 THEN -0.05::DOUBLE ELSE 0 END + CASE WHEN tool_id % 30 > 20 THEN 0.1::DOUBLE ELSE 0 END)), 6) AS score FROM q""",
+SELECT tool_id, round(greatest(0, least(1, 0.5::DOUBLE + CASE k WHEN 0 THEN 0.1::DOUBLE WHEN 1 THEN -0.1::DOUBLE WHEN 2 THEN 0.4::DOUBLE WHEN 3 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN len(string_split(q, ' ')) < 10 THEN -0.05::DOUBLE ELSE 0 END + CASE WHEN tool_id % 30 > 20 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN tool_id % 13 > 10 THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN tool_id % 3 > 0 THEN 0.1::DOUBLE ELSE 0 END)), 6) AS score FROM q""",
     ),
     "t8_remediation": (
         t8_remediation,

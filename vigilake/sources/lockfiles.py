@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,18 +20,29 @@ def requirements(files: DataFrame) -> DataFrame:
     return rows.where(name != "").select("path", name.alias("name"), version.alias("version"))
 
 
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, name, version of all dependencies of dependencies, each file parsed once."""
+    for b in batches:
+        rows = []
+        for path, text in zip(*(c.to_pylist() for c in b.columns)):
+            stack = [json.loads(text)]
+            while stack:
+                for name, own in stack.pop().items():
+                    if isinstance(own, dict):
+                        rows.append((path, name, own.get("version") if isinstance(own.get("version"), str) else None))
+                        if isinstance(own.get("dependencies"), dict):
+                            stack.append(own["dependencies"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["path", "name", "version"])
+
+
 def package_lock(files: DataFrame) -> DataFrame:
-    """The packages map of versions 2 and 3, or the nested dependencies of version 1, level by level to any depth."""
+    """The packages map of versions 2 and 3, or the nested dependencies of version 1, to any depth. Files that cannot be parsed give nothing."""
     plain = "map<string,struct<version:string>>"
     doc = files.select("path", F.from_json(F.get_json_object("text", "$.packages"), plain).alias("packages"), F.get_json_object("text", "$.dependencies").alias("nested"))
     flat = doc.where("packages is not null").select("path", F.explode("packages").alias("k", "v")).where("k <> ''")
     out = flat.select("path", F.element_at(F.split("k", "node_modules/"), -1).alias("name"), F.col("v.version").alias("version"))
-    level = doc.where("packages is null and nested is not null").select("path", "nested")
-    while not level.isEmpty():
-        entries = level.select("path", F.explode(F.from_json("nested", "map<string,string>")).alias("name", "body"))
-        out = out.unionByName(entries.select("path", "name", F.get_json_object("body", "$.version").alias("version")))
-        level = entries.select("path", F.get_json_object("body", "$.dependencies").alias("nested")).where("nested is not null")
-    return out
+    nested = doc.where("packages is null and nested like '{%'").select("path", "nested")
+    return out.unionByName(nested.mapInArrow(_nested, "path string, name string, version string"))
 
 
 def cargo_lock(files: DataFrame) -> DataFrame:
