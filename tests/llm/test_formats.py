@@ -1,4 +1,5 @@
 import base64
+import glob
 import gzip
 import hashlib
 import random
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -54,7 +56,7 @@ def test_token_files_round_trip(spark):
     path = scratch(spark, "t")
     token_files.write_tokens(spark.createDataFrame(ROWS, DOCS).repartition(4), path, PATH, 2)
     got = token_files.checksums(token_files.read_tokens(spark, path)).orderBy("start").collect()
-    at, order = 0, sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    at, order = 0, sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest(r[1] or "", seed=42)).view(np.int64)))
     for r, (doc, text) in zip(got, order, strict=True):
         ids = ids_of(text, 2)
         assert tuple(r) == (doc, at, len(ids), zlib.crc32(ids.tobytes()))
@@ -64,6 +66,37 @@ def test_token_files_round_trip(spark):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)" in one._jdf.queryExecution().toString()
 
 
+def test_token_files_have_stripes_indexes_and_bloom_filters(spark):
+    path = scratch(spark, "t")
+    rows = spark.range(30_000).selectExpr("id as doc_id", "concat(uuid(), ' ', uuid()) as text", "'clash' as part", "1 as before")
+    token_files.write_tokens(rows.coalesce(2), path, PATH, 2, stripe_bytes=200_000, index_rows=1000)
+    hadoop, stripes, kinds = spark._jvm.org.apache.hadoop.fs.Path, 0, set()
+    for name in glob.glob(f"{path}/*.orc"):
+        reader = spark._jvm.org.apache.orc.OrcFile.createReader(hadoop(name), spark._jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        assert reader.getRowIndexStride() == 1000
+        lines = reader.rows()
+        for k in range(reader.getStripes().size()):
+            stripes += 1
+            footer = lines.readStripeFooter(reader.getStripes().get(k))
+            kinds |= {(s.getColumn(), s.getKind().toString()) for s in (footer.getStreams(j) for j in range(footer.getStreamsCount()))}
+            assert footer.getColumns(6).getKind().toString() == "DIRECT_V2"  # run-length encoding of the ids
+    assert stripes > len(glob.glob(f"{path}/*.orc")) and {(1, "BLOOM_FILTER_UTF8"), (1, "ROW_INDEX")} <= kinds
+    plan = token_files.read_tokens(spark, path).where("doc_id = 5")._jdf.queryExecution().toString()
+    assert plan.count("FileScan orc") == 1
+
+
+def test_token_files_spread_an_id_that_many_rows_share(spark):
+    path = scratch(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(9000).selectExpr("if(id % 3 = 0, id, 7L) as doc_id", "if(id % 2 = 0, 'same', concat('t', id)) as text")
+    token_files.write_tokens(rows.repartition(4), path, PATH, 2)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.orc(path).groupBy("part").count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 4500
+    got = token_files.read_tokens(spark, path).orderBy("start").collect()
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist() and [r.doc_id for r in got] == sorted(r.doc_id for r in got) and len(got) == 9000
+
+
 def test_token_files_whole_table(spark):
     path = scratch(spark, "t")
     docs = spark.read.parquet(f"{SF01}/documents.parquet")

@@ -3,7 +3,8 @@
 ORC stores the ids in stripes by integer run-length encoding, with a row index and a Bloom filter
 of the document ids, so a reader prunes stripes and row groups by id and reads stripes in parallel.
 Documents are dealt out by ranges of doc_id and tokenized after that, once; each file holds the
-counts of its own range, and the places of the ranges are added up when the files are read.
+counts of its own range, and a small table beside the files the number of ids of each range, from which the places are added up
+when the files are read.
 """
 
 from __future__ import annotations
@@ -45,21 +46,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe
     """Writes the ids of docs(doc_id, text, ...), each text's followed by end_id, as ORC below path in ascending doc_id order.
 
     tokenizer: the path of a tokenizers file on every executor. Null texts count as empty and have
-    the end id only; a null doc_id comes first; rows of one id go by their texts, and repeated rows
-    are written each. No rows give no documents.
+    the end id only; a null doc_id comes first; rows of one id go by the hashes of their texts, and repeated rows
+    are written each, so an id that many rows share is spread over ranges. No rows give no documents.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the last key tells repeated rows apart; it is the same whenever a task of the scan runs
+    keys = {"code": F.xxhash64("text"), "row": F.monotonically_increasing_id()}
+    rows = rows.withColumns(keys).repartitionByRange("doc_id", *keys).sortWithinPartitions("doc_id", *keys).select("doc_id", "text")
     coded = rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, part int, before long, n_tokens long, ids array<int>")
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(index_rows)}
     coded.write.options(**options).orc(path)
+    written = docs.sparkSession.read.schema(_FILE_SQL).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    written.coalesce(1).write.parquet(_parts(path))
+
+
+_FILE_SQL = "doc_id long, part int, before long, n_tokens long, ids array<int>"
+
+
+def _parts(path: str) -> str:
+    return f"{path.rstrip('/')}-parts"
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids of the documents below path. Filters on doc_id reach the files."""
-    files = spark.read.schema("doc_id long, part int, before long, n_tokens long, ids array<int>").orc(path)
+    """doc_id, start (ids of all documents before it), n_tokens, ids of the documents that write_tokens wrote below path. Filters on doc_id reach the files, and only theirs are read."""
+    files = spark.read.schema(_FILE_SQL).orc(path)
     # one row for each file that was written, whatever its documents
-    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = spark.read.schema("part int, n long").parquet(_parts(path))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(F.col("part").alias("__part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__base"))
     return files.join(F.broadcast(starts), F.col("part") == F.col("__part")).select("doc_id", (F.col("before") + F.col("__base")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
