@@ -81,10 +81,13 @@ def advisory_severity(identifier: Column, label: Column, base: Column) -> Column
 
 def cvss3(vector: Column) -> Column:
     """The base score of a CVSS 3 vector, rounded up to a tenth; null where a metric is missing or unknown."""
-    parts = F.try_element_at
+    # the vector is parsed once; the score is computed from the parsed parts
+    return F.transform(F.array(F.str_to_map(vector, F.lit("/"), F.lit(":"))), lambda parts: _cvss3(vector, parts))[0]
 
+
+def _cvss3(vector: Column, parts: Column) -> Column:
     def metric(name, values):
-        return lookup(parts(F.str_to_map(vector, F.lit("/"), F.lit(":")), F.lit(name)), values)
+        return lookup(F.try_element_at(parts, F.lit(name)), values)
 
     # The metric weights of the CVSS 3 specification.
     impact = {"H": 0.56, "L": 0.22, "N": 0.0}

@@ -171,3 +171,18 @@ def recent_correlations(scans: DataFrame, days: int = 30, least: float = 0.3, to
     met = wanted.join(past, wanted.user_id.eqNullSafe(past.u) & (wanted.near == past.c) & (wanted["at"] == past["at"])).where(F.datediff("seen_at", "then") <= days)
     order = Window.partitionBy("scan_id").orderBy(F.desc("jaccard"), F.desc("then"), F.desc("b"))
     return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top).select(F.col("scan_id").alias("a"), "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def improvement(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """key, improvement: the mean of how many likely false findings went, as a share of all before, and the share of confirmed ones after, from 0 to 1; keys without findings before have 0.
+
+    before and after have key and description, which tells false and confirmed ones.
+    """
+    def told(rows: DataFrame, name: str) -> DataFrame:
+        low = F.lower(F.coalesce("description", F.lit("")))
+        return rows.groupBy(key).agg(F.count("*").alias(name), F.count_if(low.contains("false")).alias(f"{name}_false"), F.count_if(low.contains("confirmed")).alias(f"{name}_confirmed"))
+
+    rows = told(before, "b").join(told(after, "a"), key, "full").na.fill(0)
+    gone = F.when(F.col("b") > 0, (F.col("b_false") - F.col("a_false")) / F.col("b"))
+    sure = F.when(F.col("a") > 0, F.col("a_confirmed") / F.col("a")).otherwise(0.0)
+    return rows.select(key, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((gone + sure) / 2, F.lit(0.0)))), 6).alias("improvement"))

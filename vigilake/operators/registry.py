@@ -201,3 +201,23 @@ def policy_evaluation(scans: DataFrame, policies: list[dict]) -> DataFrame:
     rows = scans.select("scan_id", F.explode(F.array(*map(verdict, policies))).alias("v")).select("scan_id", "v.*")
     allowed = F.col("violations") == ""
     return rows.select("policy", "scan_id", allowed.alias("allowed"), (allowed & F.col("low")).alias("auto_approved"), "violations")
+
+
+def merged_scans(own: DataFrame, public: DataFrame, paid: bool, page: int = 50, free: int = 10) -> DataFrame:
+    """The newest of own and public scans by scanned_at, each scan_id once and the own row of those in both; a page, or a few without a plan."""
+    rows = own.withColumn("origin", F.lit("own")).unionByName(public.join(own.select("scan_id"), "scan_id", "left_anti").withColumn("origin", F.lit("public")))
+    return rows.orderBy(F.desc("scanned_at"), F.desc("scan_id")).limit(page if paid else free)
+
+
+def forge_stats(scans: DataFrame) -> DataFrame:
+    """One row: tools in all, servers, skills and packages by ecosystem, and trust by risk (up to 25, 60, 85 and over), errors taken from the high one."""
+    risk = F.coalesce("risk_score", F.lit(0))
+
+    def of(*names: str) -> Column:
+        return F.count_if(F.col("ecosystem").isin(*names))
+
+    high = F.greatest(F.count_if(risk <= 25) - F.count_if(F.col("verdict") == "ERROR"), F.lit(0))
+    return scans.agg(
+        F.count("*").alias("tools"), of("mcp", "github").alias("servers"), of("skill", "clawhub").alias("skills"), of("npm").alias("npm"), of("pypi").alias("pypi"),
+        high.alias("high"), F.count_if((risk > 25) & (risk <= 60)).alias("medium"), F.count_if((risk > 60) & (risk <= 85)).alias("low"), F.count_if(risk > 85).alias("very_low"),
+    )

@@ -77,11 +77,17 @@ def scan_lines(files: DataFrame, rules: list[dict], path: str = "path", text: st
     return hits.select(*[c for c in keep if c != "body"], "__f.rule", "__f.phase", "__f.severity", "__f.weight", F.concat_ws(": ", "__f.description", N.snippet(F.col("body"))).alias("snippet"))
 
 
-def scan_lines_join(files: DataFrame, rules: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """The same matches, without filters and suppression, for rules that are data of bounded size: a broadcast pattern join."""
-    rows = lines_of(files, text).drop("nearby", "header")
-    r = F.broadcast(rules.select("id", "phase", "severity", "pattern"))
-    return rows.join(r, F.expr("body rlike pattern")).select(*[c for c in rows.columns if c != "body"], F.col("id").alias("rule"), "phase", "severity")
+def scan_lines_join(files: DataFrame, rules: DataFrame, path: str = "path", text: str = "text", most: int = 10_000) -> DataFrame:
+    """The same matches, without filters and suppression, for rules that are data: rules(id, phase, severity, pattern) of at most so many rows.
+
+    They are read once and become literal tests, so each pattern is compiled once a task and lines are read once; a join on rlike would compile
+    a pattern anew for each pair. More rows are an error.
+    """
+    own = rules.select("id", "phase", "severity", "pattern").limit(most + 1).collect()
+    if len(own) > most:
+        raise ValueError(f"over {most} rules")
+    found = scan_lines(files, [r.asDict() for r in own], path, text)
+    return found.drop("weight", "snippet")
 
 
 def hidden_characters(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

@@ -177,3 +177,30 @@ def sliding_rejections(usage: DataFrame, seconds: int, limit: int) -> DataFrame:
     ahead = Window.partitionBy("user_id").orderBy("s").rangeBetween(-seconds + 1, -1)
     held = rows.withColumn("before", F.count("*").over(ahead))
     return held.groupBy("user_id").agg(F.sum("n").cast("long").alias("requests"), F.sum(F.when(F.col("before") >= limit, F.col("n")).otherwise(0)).cast("long").alias("rejected"))
+
+
+def insights(rows: DataFrame, least: float = 0.7) -> DataFrame:
+    """user_id, threats, confidence of rows(user_id, insights (array of confidences)): those over least, and the mean of each row's, 0 for none."""
+    own = F.coalesce("insights", F.array().cast("array<double>"))
+    mean = F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) / F.size(own)).otherwise(0.0)
+    return rows.select("user_id", F.size(F.filter(own, lambda x: x > least)).alias("n"), mean.alias("m")).groupBy("user_id").agg(F.sum("n").alias("threats"), F.round(F.avg("m"), 6).alias("confidence"))
+
+
+def personal_activity(events: DataFrame, top: int = 10) -> DataFrame:
+    """user_id, what, value, n: events by type, the most viewed and tracked tools (the first of equals by name), sources of searches, categories, ecosystems, weekdays (Monday 0) and hours.
+
+    events have user_id, kind, tool, source, category, ecosystem, at. One pass explodes what an event counts for; null values count for nothing, a search
+    without a source for "unknown".
+    """
+    def entry(what: str, value: Column, when: Column | None = None) -> Column:
+        found = F.struct(F.lit(what).alias("what"), value.cast("string").alias("value"))
+        return F.when(value.isNotNull() if when is None else when & value.isNotNull(), found)
+
+    kind = F.col("kind")
+    parts = F.array_compact(F.array(
+        entry("type", kind), entry("viewed", F.col("tool"), kind == "tool_viewed"), entry("tracked", F.col("tool"), kind == "tool_tracked"), entry("source", F.coalesce("source", F.lit("unknown")), kind == "search_performed"),
+        entry("category", F.col("category")), entry("ecosystem", F.col("ecosystem")), entry("weekday", F.weekday("at")), entry("hour", F.hour("at")),
+    ))
+    counted = events.select("user_id", F.explode(parts).alias("p")).groupBy("user_id", "p.what", "p.value").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("user_id", "what").orderBy(F.desc("n"), "value"))
+    return counted.withColumn("rank", rank).where(~F.col("what").isin("viewed", "tracked") | (F.col("rank") <= top)).drop("rank")

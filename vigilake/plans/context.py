@@ -126,8 +126,9 @@ def a61_weighted_trust(spark, sf):
 
 
 def a59_improvement(spark, sf):
-    rows = frame(spark, sf, "usage").groupBy("user_id").agg(F.count_if(F.col("kind") == "error").alias("f"), F.count_if(F.col("kind") == "purchase").alias("c"), F.count("*").alias("n"))
-    return rows.select("user_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("f") + F.col("c")) / F.col("n") / 2)), 4).alias("improvement"))
+    said = F.expr("case weight when 1 then 'Likely FALSE positive' when 2 then 'Confirmed threat' else 'Unclear' end")
+    rows = frame(spark, sf, "findings").select((F.col("scan_id") % 5000).alias("scan_id"), "line", said.alias("description"))
+    return C.improvement(rows.where("line is null or line < 5"), rows.where("line > 2 and scan_id % 9 > 0"), "scan_id")
 
 
 def j21_j31_recent_threats(spark, sf):
@@ -237,7 +238,12 @@ SELECT * FROM (SELECT *, 'built' AS origin FROM b WHERE id NOT IN (SELECT id FRO
     ),
     "a34_timespan": (a34_timespan, f"SELECT user_id, CAST(date_diff('day', CAST(min(scanned_at) AS DATE), CAST(max(scanned_at) AS DATE)) AS INTEGER) AS days, round(avg(confidence) * least(count(*) / 5::DOUBLE, 1), 4) AS strength FROM {SCANS} GROUP BY 1"),
     "a61_weighted_trust": (a61_weighted_trust, f"SELECT scan_id, CAST(greatest(0, least(100, floor(sum(CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 5 END * weight) * 20 / CAST(sum(weight) AS DOUBLE)))) AS INTEGER) AS trust FROM {FINDINGS} GROUP BY 1"),
-    "a59_improvement": (a59_improvement, f"SELECT user_id, round(greatest(0, least(1, count(*) FILTER (kind IN ('error', 'purchase')) / CAST(count(*) AS DOUBLE) / 2)), 4) AS improvement FROM {USAGE} GROUP BY 1"),
+    "a59_improvement": (
+        a59_improvement,
+        f"""WITH f AS (SELECT scan_id % 5000 AS scan_id, line, weight FROM {FINDINGS}), b AS (SELECT scan_id, count(*) AS n, count(*) FILTER (weight = 1) AS wrong FROM f WHERE line IS NULL OR line < 5 GROUP BY 1),
+a AS (SELECT scan_id, count(*) AS n, count(*) FILTER (weight = 1) AS wrong, count(*) FILTER (weight = 2) AS sure FROM f WHERE line > 2 AND scan_id % 9 > 0 GROUP BY 1)
+SELECT coalesce(a.scan_id, b.scan_id) AS scan_id, CASE WHEN b.n IS NULL THEN 0 ELSE round(greatest(0, least(1, ((b.wrong - coalesce(a.wrong, 0)) / b.n::DOUBLE + coalesce(a.sure / a.n::DOUBLE, 0)) / 2)), 6) END AS improvement FROM b FULL JOIN a ON a.scan_id = b.scan_id""",
+    ),
     "j21_j31_recent_threats": (
         j21_j31_recent_threats,
         f"WITH c AS (SELECT user_id, count(*) AS campaign FROM {SCANS} WHERE scan_id % 5 = 0 GROUP BY 1), t AS (SELECT scan_id, user_id FROM {SCANS} WHERE verdict = 'CRITICAL_RISK' AND scanned_at >= TIMESTAMP '2001-07-03 00:00:00') SELECT t.scan_id, t.user_id, campaign FROM t LEFT JOIN c ON t.user_id = c.user_id",

@@ -128,6 +128,17 @@ def u2_u3_own_and_team(spark, sf):
     return both.groupBy("user_id").agg(F.count("*").alias("scans"), F.max("risk_score").alias("worst"))
 
 
+def u2_merged_scans(spark, sf):
+    s = scans(spark, sf)
+    own, public = s.where("user_id = 3"), s.where("ecosystem = 'npm'")
+    both = R.merged_scans(own, public, False).withColumn("plan", F.lit("free")).unionByName(R.merged_scans(own, public, True).withColumn("plan", F.lit("paid")))
+    return both.select("plan", "scan_id", "origin")
+
+
+def a9_forge_stats(spark, sf):
+    return R.forge_stats(scans(spark, sf))
+
+
 def a41_dashboard_stats(spark, sf):
     s = scans(spark, sf)
     both = s.where("user_id = 3").unionByName(s.where("user_id between 3 and 6")).dropDuplicates(["scan_id"])
@@ -226,6 +237,16 @@ SELECT policy, scan_id, violations = '' AS allowed, violations = '' AND low AS a
     ),
     "u2_u3_own_and_team": (u2_u3_own_and_team, f"SELECT user_id, count(*) AS scans, max(risk_score) AS worst FROM {SCANS} WHERE user_id IN (3, 5, 8) OR (ecosystem = 'npm' AND user_id < 9) GROUP BY user_id"),
     "a41_dashboard_stats": (a41_dashboard_stats, f"SELECT count(*) AS scans, count(*) FILTER (verdict IN ('HIGH_RISK', 'CRITICAL_RISK')) AS threats, count(DISTINCT package) AS packages FROM {SCANS} WHERE user_id BETWEEN 3 AND 6"),
+    "u2_merged_scans": (
+        u2_merged_scans,
+        f"""WITH m AS (SELECT scan_id, CASE WHEN user_id = 3 THEN 'own' ELSE 'public' END AS origin, row_number() OVER (ORDER BY scanned_at DESC, scan_id DESC) AS n FROM {SCANS} WHERE user_id = 3 OR ecosystem = 'npm')
+SELECT plan, scan_id, origin FROM m JOIN (VALUES ('free', 10), ('paid', 50)) p(plan, most) ON n <= most""",
+    ),
+    "a9_forge_stats": (
+        a9_forge_stats,
+        f"""SELECT count(*) AS tools, count(*) FILTER (ecosystem IN ('mcp', 'github')) AS servers, count(*) FILTER (ecosystem IN ('skill', 'clawhub')) AS skills, count(*) FILTER (ecosystem = 'npm') AS npm, count(*) FILTER (ecosystem = 'pypi') AS pypi,
+ greatest(count(*) FILTER (risk_score <= 25) - count(*) FILTER (verdict = 'ERROR'), 0) AS high, count(*) FILTER (risk_score > 25 AND risk_score <= 60) AS medium, count(*) FILTER (risk_score > 60 AND risk_score <= 85) AS low, count(*) FILTER (risk_score > 85) AS very_low FROM {SCANS}""",
+    ),
     "a47_trust_changes": (a47_trust_changes, f"SELECT tool_id, tool_id % 23 - risk_score AS change FROM {TOOLS} WHERE tool_id % 14 BETWEEN 1 AND 7 AND abs(tool_id % 23 - risk_score) >= 10 ORDER BY abs(tool_id % 23 - risk_score) DESC, tool_id LIMIT 5"),
     "a47_weekly_digest": (a47_weekly_digest, f"SELECT ecosystem, count(*) AS scans, round(avg(risk_score), 4) AS risk FROM {SCANS} WHERE scanned_at >= TIMESTAMP '2001-05-01 00:00:00' GROUP BY ecosystem ORDER BY scans DESC, ecosystem LIMIT 5"),
 }

@@ -72,14 +72,27 @@ QUERIES = {
  UNION ALL SELECT n.key, n.id, n.k, CASE WHEN n.us >= r.begin + 86400000000 THEN n.us ELSE r.begin END, CASE WHEN n.us >= r.begin + 86400000000 THEN 1 ELSE r.n + 1 END FROM r JOIN n ON n.key = r.key AND n.k = r.k + 1)
 SELECT key, id, n, n <= 3 AS allowed FROM r""",
     ),
-    "r19_token_bucket": (r19_token_bucket, None),
+    "r19_token_bucket": (
+        r19_token_bucket,
+        f"""WITH RECURSIVE {_ROWS}, r AS (SELECT key, id, k, us / 1000000::DOUBLE AS sec, 2.0::DOUBLE AS tokens, true AS allowed FROM n WHERE k = 1
+ UNION ALL SELECT key, id, k, sec, filled - CASE WHEN filled >= 1 THEN 1 ELSE 0 END, filled >= 1 FROM (SELECT n.key, n.id, n.k, n.us / 1000000::DOUBLE AS sec, least(3.0::DOUBLE, r.tokens + (n.us / 1000000::DOUBLE - r.sec) * (1 / 40000::DOUBLE)) AS filled FROM r JOIN n ON n.key = r.key AND n.k = r.k + 1))
+SELECT key, id, round(tokens, 6) AS tokens, allowed FROM r""",
+    ),
     "r10_alerts": (
         r10_alerts,
         f"""WITH RECURSIVE {_ROWS}, r AS (SELECT key, id, k, value, value >= 100 AS fired, CASE WHEN value >= 100 THEN us END AS last FROM n WHERE k = 1
  UNION ALL SELECT n.key, n.id, n.k, n.value, n.value >= 100 AND (r.last IS NULL OR n.us >= r.last + 86400000000), CASE WHEN n.value >= 100 AND (r.last IS NULL OR n.us >= r.last + 86400000000) THEN n.us ELSE r.last END FROM r JOIN n ON n.key = r.key AND n.k = r.k + 1)
 SELECT key, id, value FROM r WHERE fired""",
     ),
-    "r20_breaker": (r20_breaker, None),
+    "r20_breaker": (
+        r20_breaker,
+        f"""WITH RECURSIVE {_ROWS}, r AS (SELECT DISTINCT key, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS k, false AS called, 'CLOSED' AS kind, 0::DOUBLE AS since, CAST([] AS STRUCT(t DOUBLE, f BOOLEAN)[]) AS calls FROM n
+ UNION ALL SELECT key, id, k, NOT waits, CASE WHEN waits THEN 'OPEN' WHEN kind = 'OPEN' THEN CASE WHEN failed THEN 'OPEN' ELSE 'CLOSED' END WHEN trips THEN 'OPEN' ELSE 'CLOSED' END,
+  CASE WHEN waits THEN since WHEN kind = 'OPEN' OR trips THEN sec ELSE since END, CASE WHEN waits THEN calls WHEN kind = 'OPEN' OR trips THEN CAST([] AS STRUCT(t DOUBLE, f BOOLEAN)[]) ELSE recent END
+ FROM (SELECT *, kind = 'OPEN' AND sec < since + 50000 AS waits, len(recent) >= 4 AND len(list_filter(recent, lambda c: c.f)) >= 0.5 * len(recent) AS trips FROM
+  (SELECT n.key, n.id, n.k, n.failed, n.us / 1000000::DOUBLE AS sec, r.kind, r.since, r.calls, list_append(list_filter(r.calls, lambda c: c.t > n.us / 1000000::DOUBLE - 200000), CAST(row(n.us / 1000000::DOUBLE, n.failed) AS STRUCT(t DOUBLE, f BOOLEAN))) AS recent FROM r JOIN n ON n.key = r.key AND n.k = r.k + 1)))
+SELECT key, id, kind AS state, called FROM r WHERE k > 0""",
+    ),
     "r6_trust_steps": (
         r6_trust_steps,
         f"""WITH RECURSIVE n AS (SELECT user_id AS key, scan_id AS id, risk_score >= 88 AS flagged, row_number() OVER (PARTITION BY user_id ORDER BY scanned_at, scan_id) AS k FROM {source("scans")}),

@@ -53,6 +53,18 @@ def a60_activity(spark, sf):
     return U.activity_profile(usage(spark, sf))
 
 
+def a60_personal_activity(spark, sf):
+    rows = usage(spark, sf)
+    kind = F.expr("case kind when 'view' then 'tool_viewed' when 'click' then 'tool_tracked' when 'purchase' then 'search_performed' else 'stack_created' end")
+    events = rows.select("user_id", kind.alias("kind"), F.concat(F.lit("t"), (F.col("event_id") % 23).cast("string")).alias("tool"), F.when(F.col("event_id") % 3 > 0, F.col("model")).alias("source"), F.when(F.col("event_id") % 2 > 0, F.col("kind")).alias("category"), F.when(F.col("event_id") % 5 > 0, F.lit("npm")).alias("ecosystem"), F.col("seen_at").alias("at"))
+    return U.personal_activity(events)
+
+
+def a18_insights(spark, sf):
+    found = F.expr("transform(sequence(1, cast(event_id % 5 as int) + 1), k -> (confidence + k / 10.0D) % 1)")
+    return U.insights(usage(spark, sf).select("user_id", F.slice(found, F.lit(1), (F.col("event_id") % 5).cast("int")).alias("insights")))
+
+
 def a13_threat_trends(spark, sf):
     return usage(spark, sf).groupBy(F.to_date("seen_at").alias("day"), "kind", "model").agg(F.count("*").alias("events"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
@@ -174,10 +186,10 @@ def a54_consensus(spark, sf):
 
 
 def a55_share(spark, sf):
-    from pyspark.sql import Window
-
     by = usage(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"))
-    return by.select("user_id", F.round(F.col("n") * 100 / F.sum("n").over(Window.partitionBy()), 1).alias("share"))
+    # one row
+    total = usage(spark, sf).agg(F.count("*").alias("total"))
+    return by.join(F.broadcast(total)).select("user_id", F.round(F.col("n") * 100 / F.col("total"), 1).alias("share"))
 
 
 def a56_a58_status_counts(spark, sf):
@@ -209,6 +221,19 @@ SELECT user_id, score, CASE WHEN score >= 60 THEN 'HIGH_RISK' WHEN score >= 35 T
         a42_w9_model_routing,
         f"""WITH m AS (SELECT model, count(*) AS events, round(avg(confidence), 4) AS confidence, CAST(sum({_TOKENS}) AS DOUBLE) AS cents, CAST(sum(round(CAST(tokens AS DECIMAL(18,0)) * CAST(3.00 AS DECIMAL(10,2)) * CAST(0.001 AS DECIMAL(4,3)), 4)) AS DOUBLE) AS f FROM {USAGE} GROUP BY 1)
 SELECT model, events, round(events * 100 / CAST(sum(events) OVER () AS DOUBLE), 4) AS share, confidence, round(cents, 2) AS cents, round(f - cents, 2) AS saved FROM m""",
+    ),
+    "a60_personal_activity": (
+        a60_personal_activity,
+        f"""WITH e AS (SELECT user_id, CASE kind WHEN 'view' THEN 'tool_viewed' WHEN 'click' THEN 'tool_tracked' WHEN 'purchase' THEN 'search_performed' ELSE 'stack_created' END AS k, 't' || CAST(event_id % 23 AS VARCHAR) AS tool, kind, model, event_id, seen_at FROM {USAGE}),
+c AS (SELECT user_id, 'type' AS what, k AS value, count(*) AS n FROM e GROUP BY 1, 3 UNION ALL SELECT user_id, CASE k WHEN 'tool_viewed' THEN 'viewed' ELSE 'tracked' END, tool, count(*) FROM e WHERE k IN ('tool_viewed', 'tool_tracked') GROUP BY 1, 2, 3
+ UNION ALL SELECT user_id, 'source', CASE WHEN event_id % 3 > 0 THEN model ELSE 'unknown' END, count(*) FROM e WHERE k = 'search_performed' GROUP BY 1, 3 UNION ALL SELECT user_id, 'category', kind, count(*) FROM e WHERE event_id % 2 > 0 GROUP BY 1, 3
+ UNION ALL SELECT user_id, 'ecosystem', 'npm', count(*) FROM e WHERE event_id % 5 > 0 GROUP BY 1 UNION ALL SELECT user_id, 'weekday', CAST(isodow(seen_at) - 1 AS VARCHAR), count(*) FROM e GROUP BY 1, 3 UNION ALL SELECT user_id, 'hour', CAST(hour(seen_at) AS VARCHAR), count(*) FROM e GROUP BY 1, 3)
+SELECT * FROM c QUALIFY what NOT IN ('viewed', 'tracked') OR row_number() OVER (PARTITION BY user_id, what ORDER BY n DESC, value) <= 10""",
+    ),
+    "a18_insights": (
+        a18_insights,
+        f"""WITH e AS (SELECT user_id, list_transform(range(1, CAST(event_id % 5 AS INTEGER) + 1), lambda k: (confidence + k / 10::DOUBLE) % 1) AS found FROM {USAGE})
+SELECT user_id, CAST(sum(len(list_filter(found, lambda x: x > 0.7::DOUBLE))) AS BIGINT) AS threats, round(avg(coalesce(list_avg(found), 0)), 6) AS confidence FROM e GROUP BY 1""",
     ),
     "a60_activity": (a60_activity, f"SELECT CAST(isodow(seen_at) - 1 AS INTEGER) AS weekday, CAST(hour(seen_at) AS INTEGER) AS hour, count(*) AS events FROM {USAGE} GROUP BY 1, 2"),
     "a13_threat_trends": (a13_threat_trends, f"SELECT CAST(seen_at AS DATE) AS day, kind, model, count(*) AS events, round(avg(confidence), 4) AS confidence FROM {USAGE} GROUP BY 1, 2, 3"),
