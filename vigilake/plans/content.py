@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import signals as G
 from ..operators import content as C
 from ..operators import scanning as P
 from ..operators import scoring
@@ -126,6 +127,55 @@ def p32_compliance(spark, sf):
     return rows.groupBy("rule", "phase", T.compliance_pattern(F.col("rule"), F.col("phase")).alias("pattern")).agg(F.count("*").alias("n"))
 
 
+#: Text, its kinds, providers and infrastructure, and whether it is about AI.
+SIGNALS = [
+    ("An MCP server for OpenAI", ["mcp_server", "llm_wrapper"], ["openai"], [], True),
+    ("set REDIS_URL and boto3", [], [], ["redis", "aws"], False),
+    ("Fine-tuning with LoRA, gemini and cohere", ["llm_wrapper", "fine_tuning"], ["google", "cohere"], [], True),
+    ("plain text tool", [], [], [], False),
+    ("vector store on pinecone, Azure.x", ["rag_pipeline"], [], ["pinecone", "azure"], True),
+    ("evaluation of plugins", ["skill_plugin", "evaluation"], [], [], True),
+]
+SCOPED = [("@openai/x", True), ("@openai", False), ("@langchain/core", True), ("@other/openai", False)]
+#: Rule, evidence, description, phase and pattern type.
+TYPED = [
+    ("my-sqli-1", None, "", "x", "SQL_INJECTION"), ("R", "el.onClick = f", "", "x", "XSS"), ("R", "eval(x)", "", "x", "COMMAND_INJECTION"), ("R", "x", "uses ../ here", "x", "PATH_TRAVERSAL"),
+    ("R", "x", "x", "network", "NETWORK_EXFIL"), ("R", "x", "x", "network_exfil", None), ("pickle-use", "x", "x", "x", "DESERIALIZATION"), ("R", "Math.RANDOM()", "", "x", "WEAK_CRYPTO"), ("R", None, "fetch it", "credentials", "NETWORK_EXFIL"),
+]
+#: Description, variables, imports; category, confidence, others.
+CLASSED = [
+    ("A postgres mysql client", ["DB_HOST", "DATABASE_URL"], ["psycopg2"], "database", 0.666667, ["api"]),
+    ("nothing", [], None, "other", 0.1, []),
+    ("A tool", ["SLACK_TOKEN"], ["Slack_sdk", "discord"], "communication", 0.333333, []),
+    ("jwt oauth", ["AUTH_TOKEN"], ["jwt"], "security", 0.566667, []),
+    ("docker deploy with pandas json csv", ["DOCKER_HOST", "DATA_DIR"], ["docker", "pandas"], "data", 0.533333, ["devops"]),
+]
+
+
+def p25_signals(spark, sf):
+    rows = read(spark, sf, "events").select("event_id", _pick([t for t, *_ in SIGNALS], "event_id").alias("text"))
+    return rows.select("event_id", *[F.array_join(G.detected(F.col("text"), t), ",").alias(n) for n, t in (("kinds", G.KINDS), ("providers", G.PROVIDERS), ("infrastructure", G.INFRASTRUCTURE))])
+
+
+def p26_ai_packages(spark, sf):
+    rows = read(spark, sf, "events").select("event_id", _pick([t for t, *_ in SIGNALS], "event_id").alias("text"), _pick([n for n, _ in SCOPED], "event_id").alias("name"))
+    return rows.select("event_id", G.about_ai(F.col("text")).alias("ai"), G.in_scope(F.col("name")).alias("scoped"))
+
+
+def p31_pattern_types(spark, sf):
+    rows = read(spark, sf, "events").select("event_id", *[_pick([x[k] for x in TYPED], "event_id").alias(n) for k, n in enumerate(("rule", "evidence", "description", "phase"))])
+    return rows.select("event_id", G.pattern_type(*map(F.col, ("rule", "evidence", "description", "phase"))).alias("type"))
+
+
+def a52_categories(spark, sf):
+    def array(items):
+        return F.lit(None).cast("array<string>") if items is None else F.array(*map(F.lit, items)).cast("array<string>")
+
+    rows = read(spark, sf, "events").select("event_id", _pick([x[0] for x in CLASSED], "event_id").alias("d"), *[F.element_at(F.array(*[array(x[k]) for x in CLASSED]), (F.col("event_id") % len(CLASSED) + 1).cast("int")).alias(n) for k, n in ((1, "v"), (2, "i"))])
+    best = rows.select("event_id", G.best_of(G.category_scores(F.col("d"), F.col("v"), F.col("i"))).alias("b"))
+    return best.select("event_id", "b.category", "b.confidence", F.array_join("b.secondary", ",").alias("secondary"))
+
+
 def canonical_json(spark, sf):
     rows = frame(spark, sf, "tools").select("tool_id", F.struct("category", F.when(F.col("tool_id") % 3 > 0, F.concat("name", F.lit(' "é"'))).alias("name"), "stars").alias("v"))
     return rows.select("tool_id", F.sha2(T.canonical_json(F.col("v")), 256).alias("digest"))
@@ -192,5 +242,9 @@ SELECT tool_id, concat_ws(';', 'env_vars:' || names, CASE WHEN endpoints > 0 THE
         ),
     ),
     "p32_compliance": (p32_compliance, f"SELECT rule, phase, pattern, count(*) AS n FROM events JOIN {_values([(i, *x) for i, x in enumerate(PATTERNS)], 'f(i, rule, phase, pattern)')} ON event_id % {len(PATTERNS)} = i GROUP BY 1, 2, 3"),
+    "p25_signals": (p25_signals, f"SELECT event_id, kinds, providers, infrastructure FROM events JOIN {_values([(i, *map(_listed, x[1:4])) for i, x in enumerate(SIGNALS)], 'f(i, kinds, providers, infrastructure)')} ON event_id % {len(SIGNALS)} = i"),
+    "p26_ai_packages": (p26_ai_packages, f"SELECT event_id, ai, scoped FROM events JOIN {_values([(i, x[4]) for i, x in enumerate(SIGNALS)], 'f(i, ai)')} ON event_id % {len(SIGNALS)} = i JOIN {_values([(i, x) for i, (_, x) in enumerate(SCOPED)], 'g(j, scoped)')} ON event_id % {len(SCOPED)} = j"),
+    "p31_pattern_types": (p31_pattern_types, f"SELECT event_id, type FROM events JOIN {_values([(i, x[4]) for i, x in enumerate(TYPED)], 'f(i, type)')} ON event_id % {len(TYPED)} = i"),
+    "a52_categories": (a52_categories, f"SELECT event_id, category, CAST(confidence AS DOUBLE) AS confidence, secondary FROM events JOIN {_values([(i, x[3], x[4], _listed(x[5])) for i, x in enumerate(CLASSED)], 'f(i, category, confidence, secondary)')} ON event_id % {len(CLASSED)} = i"),
     "canonical_json": (canonical_json, f"""SELECT tool_id, sha256('{{"category":"' || category || '","name":' || CASE WHEN tool_id % 3 > 0 THEN '"' || name || ' \\"é\\""' ELSE 'null' END || ',"stars":' || CAST(stars AS VARCHAR) || '}}') AS digest FROM {TOOLS}"""),
 }

@@ -61,7 +61,7 @@ def p45_normalized(spark, sf):
     return frame(spark, sf, "findings").groupBy(C.snake_phase(name).alias("phase"), F.upper(F.lower("severity")).alias("severity")).agg(F.count("*").alias("n"))
 
 
-def p29_p41_signals(spark, sf):
+def risk_rules(spark, sf):
     rows = frame(spark, sf, "findings").groupBy("scan_id").agg(*[F.array_sort(F.collect_set(F.when(c, v))).alias(n) for n, c, v in (("code", F.col("phase") == "code_patterns", F.col("rule")), ("risks", F.col("severity").isin("MEDIUM", "HIGH", "CRITICAL"), F.col("rule")))])
     return rows.select("scan_id", F.array_join("code", ",").alias("code"), F.array_join("risks", ",").alias("risks"))
 
@@ -200,8 +200,8 @@ SELECT rule, CASE WHEN f <= 0.7::DOUBLE THEN CASE severity WHEN 'CRITICAL' THEN
  CASE WHEN f <= 0.7::DOUBLE THEN CASE WHEN scan_id % 2 = 0 THEN 'MEDIUM' ELSE 'LOW' END ELSE CASE WHEN scan_id % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END END AS confidence, count(*) AS n, round(sum(weight * f), 4) AS weight FROM r WHERE f > 0.3::DOUBLE GROUP BY 1, 2, 3""",
     ),
     "p45_normalized": (p45_normalized, f"SELECT phase, severity, count(*) AS n FROM {FINDINGS} GROUP BY 1, 2"),
-    "p29_p41_signals": (
-        p29_p41_signals,
+    "risk_rules": (
+        risk_rules,
         f"SELECT scan_id, coalesce(string_agg(DISTINCT rule, ',' ORDER BY rule) FILTER (phase = 'code_patterns'), '') AS code, coalesce(string_agg(DISTINCT rule, ',' ORDER BY rule) FILTER (severity <> 'LOW'), '') AS risks FROM {FINDINGS} GROUP BY 1",
     ),
     "p47_capabilities": (p47_capabilities, f"SELECT plan, CAST(CASE plan WHEN 'free' THEN 50 WHEN 'pro' THEN 500 WHEN 'team' THEN 2000 ELSE 1000000 END AS INTEGER) AS scans, plan IN ('team', 'enterprise') AS shared, count(*) AS n FROM {SUBS} GROUP BY plan"),

@@ -97,7 +97,7 @@ def j17_tool_matches(spark, sf):
     t = tools(spark, sf).select("tool_id", "name")
     m = read(spark, sf, "lineitem").select((F.col("l_partkey") % 500).alias("a"), (F.col("l_suppkey") * 7 % 500).alias("b"), F.round(F.col("l_discount") * 10, 4).alias("score")).where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score"))
     rows = m.join(t.select(F.col("tool_id").alias("a"), F.col("name").alias("primary_name")), "a").join(t.select(F.col("tool_id").alias("b"), F.col("name").alias("secondary_name")), "b")
-    return rows.orderBy(F.desc("score"), "a", "b").limit(40)
+    return rows
 
 
 def t11_stack(spark, sf):
@@ -162,7 +162,7 @@ def p26_p27_priority(spark, sf):
     return rows.groupBy(priority.alias("priority"), (F.col("description").contains("chat") | F.col("description").contains("browser")).alias("ai")).agg(F.count("*").alias("tools"))
 
 
-def p30_p31_p32_map(spark, sf):
+def p30_ecosystems(spark, sf):
     rows = frame(spark, sf, "findings")
     kind = F.when(F.col("rule").endswith("1"), "execution").when(F.col("file").contains("test"), "testing").otherwise(F.element_at(F.create_map(F.lit("install_hooks"), F.lit("install"), F.lit("code_patterns"), F.lit("code"), F.lit("network_exfil"), F.lit("network")), F.col("phase")))
     return rows.groupBy(kind.alias("pattern"), N.ecosystem(F.when(F.col("scan_id") % 2 == 0, "ClawHub").otherwise("GitHub")).alias("ecosystem")).agg(F.count("*").alias("findings"))
@@ -242,7 +242,7 @@ SELECT x.tool_id AS a, y.tool_id AS b, CAST(CASE WHEN x.ecosystem <> y.ecosystem
     "j17_tool_matches": (
         j17_tool_matches,
         f"""WITH m AS (SELECT l_partkey % 500 AS a, l_suppkey * 7 % 500 AS b, max(round(l_discount * 10, 4)) AS score FROM lineitem WHERE l_partkey % 500 <> l_suppkey * 7 % 500 GROUP BY 1, 2)
-SELECT b, a, score, x.name AS primary_name, y.name AS secondary_name FROM m JOIN {TOOLS} x ON x.tool_id = a JOIN {TOOLS} y ON y.tool_id = b ORDER BY score DESC, a, b LIMIT 40""",
+SELECT b, a, score, x.name AS primary_name, y.name AS secondary_name FROM m JOIN {TOOLS} x ON x.tool_id = a JOIN {TOOLS} y ON y.tool_id = b""",
     ),
     "t11_stack": (
         t11_stack,
@@ -284,8 +284,8 @@ SELECT tool_id, category, round(least(0.9::DOUBLE, score / 3), 6) AS confidence
         f"""WITH l AS (SELECT DISTINCT tool_id FROM (SELECT tool_id, replace(lower(name), '_', '-') AS low FROM {TOOLS}), {_TARGETS} WHERE {_LOOKALIKE})
 SELECT CASE WHEN l.tool_id IS NOT NULL THEN 'critical' WHEN ecosystem = 'skills' OR starts_with(name, 'red-') OR downloads > 50000 THEN 'high' ELSE 'normal' END AS priority, contains(description, 'chat') OR contains(description, 'browser') AS ai, count(*) AS tools FROM {TOOLS} t LEFT JOIN l ON l.tool_id = t.tool_id GROUP BY 1, 2""",
     ),
-    "p30_p31_p32_map": (
-        p30_p31_p32_map,
+    "p30_ecosystems": (
+        p30_ecosystems,
         f"SELECT CASE WHEN ends_with(rule, '1') THEN 'execution' WHEN contains(file, 'test') THEN 'testing' WHEN phase = 'install_hooks' THEN 'install' WHEN phase = 'code_patterns' THEN 'code' ELSE 'network' END AS pattern, CASE WHEN scan_id % 2 = 0 THEN 'skills' ELSE 'mcps' END AS ecosystem, count(*) AS findings FROM {FINDINGS} GROUP BY 1, 2",
     ),
     "trust_scores": (
