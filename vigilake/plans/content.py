@@ -147,7 +147,7 @@ CLASSED = [
     ("A postgres mysql client", ["DB_HOST", "DATABASE_URL"], ["psycopg2"], "database", 0.666667, ["api"]),
     ("nothing", [], None, "other", 0.1, []),
     ("A tool", ["SLACK_TOKEN"], ["Slack_sdk", "discord"], "communication", 0.333333, []),
-    ("jwt oauth", ["AUTH_TOKEN"], ["jwt"], "security", 0.566667, []),
+    ("jwt oauth", ["AUTH_TOKEN"], ["jwt"], "security", 0.666667, []),
     ("docker deploy with pandas json csv", ["DOCKER_HOST", "DATA_DIR"], ["docker", "pandas"], "data", 0.533333, ["devops"]),
 ]
 
