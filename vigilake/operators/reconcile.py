@@ -161,3 +161,17 @@ def verification(requests: DataFrame, threats: DataFrame, publishers: DataFrame)
     rows = requests.join(known, F.col("artifact_hash") == F.col("__hash"), "left").join(own, F.col("publisher_id") == F.col("__publisher"), "left")
     score = F.when(F.col("__hash").isNotNull(), 50.0).otherwise(0.0) + F.coalesce(F.greatest("__flagged", F.lit(0)) * 5.0, F.lit(0.0)) + F.when(F.col("__trust") < 30, 10.0).otherwise(0.0)
     return rows.withColumn("score", score).withColumn("verdict", S.verdict(F.col("score"))).drop("__hash", "__publisher", "__flagged", "__trust")
+
+
+def cached_results(files: DataFrame, cache: DataFrame, engine: str) -> DataFrame:
+    """artifact, key, result of files(artifact, path, hash) whose contents are in cache(key, engine, result): a result is null where the key is missing or another engine made it.
+
+    The key is the start of the digest of all paths and contents of an artifact.
+    """
+    keys = content_digests(files).select("artifact", F.substring("digest", 1, 16).alias("key"))
+    return keys.join(cache.where(F.col("engine") == engine).select("key", "result"), "key", "left").select("artifact", "key", "result")
+
+
+def pruned_cache(cache: DataFrame, keep: int = 100) -> DataFrame:
+    """The newest entries by stored_at, then by key."""
+    return cache.orderBy(F.desc("stored_at"), "key").limit(keep)

@@ -123,6 +123,17 @@ def provenance(files: DataFrame, rules: list[dict]) -> DataFrame:
     return files.select("path", F.explode(F.array_compact(F.array(*tests))).alias("f")).select("path", "f.*")
 
 
+def tree_provenance(paths: DataFrame) -> DataFrame:
+    """tree, rule, severity, weight of paths(tree, path) as a whole: PROV-5 for a shallow clone, PROV-6 for a manifest without a .git folder."""
+    has = lambda test: F.bool_or(test)
+    p = F.col("path")
+    by = paths.groupBy("tree").agg(has(p == ".git/shallow").alias("shallow"), has(p.startswith(".git/") | (p == ".git")).alias("git"), has(p.isin("package.json", "setup.py")).alias("manifest"))
+    found = F.when(F.col("shallow"), F.struct(F.lit("PROV-5").alias("rule"), F.lit("LOW").alias("severity"), F.lit(1).alias("weight"))).when(
+        ~F.col("git") & F.col("manifest"), F.struct(F.lit("PROV-6").alias("rule"), F.lit("MEDIUM").alias("severity"), F.lit(2).alias("weight"))
+    )
+    return by.select("tree", found.alias("f")).where("f is not null").select("tree", "f.*")
+
+
 def first_per_bucket(rows: DataFrame, bucket: str, order: list[str], n: int) -> DataFrame:
     """The first n rows of each bucket."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).where(F.col("__n") <= n).drop("__n")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import signals as G
 from ..operators import content as C
 from ..operators import scanning as P
+from ..operators import reconcile as R
 from ..operators import scoring
 from ..operators import tagging as T
+from ..sources import files
 from .inputs import frame, read, source
 from .text import RULES, _FOUND, _LINES, _PATH, _files, _pick, _values
 
@@ -152,6 +154,31 @@ CLASSED = [
 ]
 
 
+#: Files of trees, and the rule that the tree breaks.
+TREES = [(["package.json", "a.js"], "PROV-6"), ([".git/HEAD", "setup.py"], None), ([".git/shallow", ".git/HEAD"], "PROV-5"), (["sub/package.json"], None), (["setup.py"], "PROV-6"), (["git/x", ".gitignore", "package.json"], "PROV-6")]
+IGNORE = [("", "# all logs"), ("", "*.log"), ("", "!keep.log"), ("", "/out"), ("", "tmp/"), ("", "docs/**/x.md"), ("a", "only.txt"), ("", "b?r"), ("", "n[0-9]"), ("", "")]
+#: Paths, and whether the lines ignore them.
+IGNORED = [
+    ("x.log", True), ("a/x.log", True), ("a/keep.log", False), ("out/f", True), ("a/out/f", False), ("tmp/f", True), ("a/tmp/g/f", True), ("tmp", False), ("docs/x.md", True), ("docs/a/b/x.md", True), ("x.md", False),
+    ("a/only.txt", True), ("a/c/only.txt", True), ("only.txt", False), ("bar", True), ("bar/f", True), ("baar", False), ("n7/f", True), ("nx", False), ("x.logs", False),
+]
+
+
+def p12_tree_provenance(spark, sf):
+    own = F.element_at(F.array(*[F.array(*map(F.lit, paths)) for paths, _ in TREES]), (F.col("event_id") % len(TREES) + 1).cast("int"))
+    return P.tree_provenance(read(spark, sf, "events").select(F.col("event_id").alias("tree"), F.explode(own).alias("path"))).select("tree", "rule", "severity", "weight")
+
+
+def s1_ignored(spark, sf):
+    return read(spark, sf, "events").select("event_id", files.ignored(_pick([p for p, _ in IGNORED], "event_id"), IGNORE).alias("ignored"))
+
+
+def s23_result_cache(spark, sf):
+    rows = frame(spark, sf, "findings").select((F.col("scan_id") % 3000).alias("artifact"), F.concat_ws(":", "scan_id", "file", "line", "rule", "severity").alias("path"), F.md5(F.col("severity").cast("binary")).alias("hash")).distinct()
+    stored = R.content_digests(rows.where("artifact % 2 = 0")).select(F.substring("digest", 1, 16).alias("key"), F.when(F.col("artifact") % 3 == 0, "1.0").otherwise("2.0").alias("engine"), F.concat(F.lit("r"), F.col("artifact").cast("string")).alias("result"))
+    return R.cached_results(rows, stored, "2.0").select("artifact", "result")
+
+
 def p25_signals(spark, sf):
     rows = read(spark, sf, "events").select("event_id", _pick([t for t, *_ in SIGNALS], "event_id").alias("text"))
     return rows.select("event_id", *[F.array_join(G.detected(F.col("text"), t), ",").alias(n) for n, t in (("kinds", G.KINDS), ("providers", G.PROVIDERS), ("infrastructure", G.INFRASTRUCTURE))])
@@ -242,6 +269,9 @@ SELECT tool_id, concat_ws(';', 'env_vars:' || names, CASE WHEN endpoints > 0 THE
         ),
     ),
     "p32_compliance": (p32_compliance, f"SELECT rule, phase, pattern, count(*) AS n FROM events JOIN {_values([(i, *x) for i, x in enumerate(PATTERNS)], 'f(i, rule, phase, pattern)')} ON event_id % {len(PATTERNS)} = i GROUP BY 1, 2, 3"),
+    "p12_tree_provenance": (p12_tree_provenance, f"SELECT event_id AS tree, rule, CASE rule WHEN 'PROV-5' THEN 'LOW' ELSE 'MEDIUM' END AS severity, CASE rule WHEN 'PROV-5' THEN 1 ELSE 2 END AS weight FROM events JOIN {_values([(i, r) for i, (_, r) in enumerate(TREES) if r], 'f(i, rule)')} ON event_id % {len(TREES)} = i"),
+    "s1_ignored": (s1_ignored, f"SELECT event_id, ignored FROM events JOIN {_values([(i, x) for i, (_, x) in enumerate(IGNORED)], 'f(i, ignored)')} ON event_id % {len(IGNORED)} = i"),
+    "s23_result_cache": (s23_result_cache, f"SELECT DISTINCT scan_id % 3000 AS artifact, CASE WHEN scan_id % 3000 % 2 = 0 AND scan_id % 3000 % 3 > 0 THEN 'r' || CAST(scan_id % 3000 AS VARCHAR) END AS result FROM {source('findings')}"),
     "p25_signals": (p25_signals, f"SELECT event_id, kinds, providers, infrastructure FROM events JOIN {_values([(i, *map(_listed, x[1:4])) for i, x in enumerate(SIGNALS)], 'f(i, kinds, providers, infrastructure)')} ON event_id % {len(SIGNALS)} = i"),
     "p26_ai_packages": (p26_ai_packages, f"SELECT event_id, ai, scoped FROM events JOIN {_values([(i, x[4]) for i, x in enumerate(SIGNALS)], 'f(i, ai)')} ON event_id % {len(SIGNALS)} = i JOIN {_values([(i, x) for i, (_, x) in enumerate(SCOPED)], 'g(j, scoped)')} ON event_id % {len(SCOPED)} = j"),
     "p31_pattern_types": (p31_pattern_types, f"SELECT event_id, type FROM events JOIN {_values([(i, x[4]) for i, x in enumerate(TYPED)], 'f(i, type)')} ON event_id % {len(TYPED)} = i"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,15 +20,16 @@ TEXT_EXTENSIONS = [
 ]
 
 
-def source_tree(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """path (below root), length, text of the files below root that are text: no excluded folder, no NUL byte, not too large.
+def source_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, rules: list[tuple[str, str]] | None = None) -> DataFrame:
+    """path (below root), length, text of the files below root that are text: no excluded folder, no NUL byte, not too large, not ignored.
 
-    Folders and sizes are tested on the listing, before contents are read into columns.
+    ignore: further folder names; rules: as for ignored(). Folders, rules and sizes are tested on the listing, before contents are read into
+    columns. Spark's listing passes over names that begin with a dot or an underscore.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z]+:/*", "/")
     path = F.regexp_replace(F.col("path"), F.concat(F.lit(r"^[a-z]*:?/*\Q"), F.ltrim(base, F.lit("/")), F.lit(r"\E/")), F.lit(""))
-    rows = files.withColumn("path", path).where((F.col("length") <= MOST_BYTES) & ~excluded(F.col("path"), ignore or []))
+    rows = files.withColumn("path", path).where((F.col("length") <= MOST_BYTES) & ~excluded(F.col("path"), ignore or []) & ~ignored(F.col("path"), rules or []))
     return rows.where(~F.contains(F.col("content"), F.lit(b"\x00"))).select("path", "length", F.try_validate_utf8(F.col("content").cast("string")).alias("__ok"), "content").select(
         "path", "length", F.coalesce("__ok", F.make_valid_utf8(F.col("content").cast("string"))).alias("text")
     )
@@ -37,6 +40,35 @@ def excluded(path: Column, ignore: list[str]) -> Column:
     return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), F.array(*[F.lit(x) for x in [*EXCLUDED, *ignore]])) & (F.size(parts) > 1)
 
 
+def ignore_pattern(base: str, line: str) -> tuple[bool, str] | None:
+    """(kept, pattern) of a line of an ignore file that stands in folder base ("" for the root); None for blank lines and comments.
+
+    A leading ! keeps what earlier lines ignored; a trailing slash means folders; a slash elsewhere ties the line to base; * and ? stop at
+    slashes, ** does not; a folder takes all that is below it.
+    """
+    body = line.rstrip()
+    if not body or body.startswith("#"):
+        return None
+    kept, body = body.startswith("!"), body.removeprefix("!")
+    folder, body = body.endswith("/"), body.rstrip("/")
+    tied, body = "/" in body, body.lstrip("/")
+    signs = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    parts = re.split(r"(/\*\*/|\*\*/|/\*\*|\*\*|\*|\?|\[[^\]/]+\])", body)
+    glob = "".join(signs.get(x) or (x.replace("[!", "[^") if x.startswith("[") else re.escape(x)) for x in parts if x)
+    start = "^" + (re.escape(base.rstrip("/") + "/") if base else "")
+    return kept, start + ("" if tied else "(?:.*/)?") + glob + ("/.*$" if folder else "(?:/.*)?$")
+
+
+def ignored(path: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whether the last of the lines (folder, line) of ignore files that matches a path ignores it."""
+    out = F.lit(False)
+    for base, line in rules:
+        found = ignore_pattern(base, line)
+        if found:
+            out = F.when(path.rlike(found[1]), not found[0]).otherwise(out)
+    return out
+
+
 def scannable(path: Column, length: Column) -> Column:
     """A known ending of the name, or none and under a million bytes; a dot that opens a name begins no ending."""
     ending = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^.+(\.[^.]+)$", 1)
