@@ -306,6 +306,13 @@ def test_chat_by_hand(spark):
     assert got == chats_by_hand(rows)
 
 
+def test_chat_of_very_long_texts_and_repeated_rows(spark):
+    long = "words and more " * 100_000
+    rows = [(1, 0, "user", long), (2, 0, "user", long), (2, 1, "assistant", "b"), (2, 1, "assistant", "b"), (3, 0, "user", long + "x")]
+    got = {r.conv_id: r.chat for r in chat.render(spark.createDataFrame(rows, TURNS).repartition(3)).collect()}
+    assert got == chats_by_hand(rows) and set(got) == {2, 3}
+
+
 def test_chat_empty_and_clashing_names(spark):
     assert chat.render(spark.createDataFrame([], TURNS)).count() == 0
     odd = spark.createDataFrame([(1, 0, "user", "a", "p", 3)], TURNS + ", conv string, pos int")

@@ -303,6 +303,24 @@ def test_toxicity_learns_and_marks(spark):
     assert toxicity.score(spark.createDataFrame([], DOCS), field).count() == 0
 
 
+def test_toxicity_of_repeated_rows_and_clashing_names(spark):
+    rows, labels = toy(spark)
+    docs = spark.createDataFrame([(i, t, "clash", 1, i) for i, t in rows + rows[:9]], DOCS + ", score string, spans int, label int")
+    field = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = [(r.doc_id, r.score >= 0.5) for r in toxicity.score(docs, field).collect()]
+    assert sorted(got) == sorted((i, bool(bad)) for i, bad in labels + labels[:9])
+    assert toxicity.drop_toxic(docs, field).columns == docs.columns
+
+
+def test_toxicity_learns_from_a_stretch_of_a_long_text(spark):
+    rows, labels = toy(spark)
+    long = [(1000 + k, "alpha1 beta2 " * 5000 + t) for k, (_, t) in enumerate(rows[:40])]
+    docs = spark.createDataFrame(rows + long, DOCS)
+    field = toxicity.train(docs, spark.createDataFrame(labels + [(1000 + k, labels[k][1]) for k in range(40)], "doc_id long, toxic int"), sample_chars=2000)
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(docs, field).collect()}
+    assert sum(got[i] == bool(bad) for i, bad in labels) >= 0.99 * len(labels)
+
+
 def test_toxicity_with_one_class(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], DOCS)
     for labels, high in (([], False), ([(1, 0)], False), ([(1, 1)], True)):
