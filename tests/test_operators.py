@@ -184,3 +184,31 @@ def test_reports(spark):
     s = spark.createDataFrame([(k, "npm", "p", "1", "LOW_RISK") for k in range(5)], "scan_id long, ecosystem string, package string, version string, verdict string").withColumn("scanned_at", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
     assert [i["id"] for i in json.loads(reports.feed(s, 3).first().feed)["items"]] == ["4", "3", "2"]
     assert one(spark, reports.badge_colour(F.col("v")), v="LOW_RISK") == "#4c1"
+
+
+# --- contents
+
+
+def test_content_findings_of_null_and_empty_files(spark):
+    from vigilake.operators import content
+
+    rules = [{"id": "code-eval", "phase": "code_patterns", "severity": "HIGH", "pattern": r"\beval\("}, {"id": "novel-version-hijack", "phase": "obfuscation", "severity": "LOW", "pattern": "hijack"}]
+    rows = [("a.js", None), ("b.js", ""), ("c.js", "x\r\neval(1)\n// eval(2)"), ("d.js", "hijack"), ("e.js", "hijack\n||"), ("f.js", "s = 'it' + eval(z) + `${eval(q)}`")]
+    got = sorted((r.path, r.line, r.rule, r.snippet) for r in content.content_findings(spark.createDataFrame(rows, "path string, text string"), rules).collect())
+    assert got == [("c.js", 2, "code-eval", "x\neval(1)\n// eval(2)"), ("e.js", 1, "novel-version-hijack", "hijack\n||"), ("f.js", 1, "code-eval", "s = 'it' + eval(z) + `${eval(q)}`")]
+    assert content.prompt_findings(spark.createDataFrame([(1, None), (2, "")], "prompt_id long, text string"), [{"id": "p", "severity": "CRITICAL", "pattern": "x", "weight": 1}]).count() == 0
+
+
+def test_rules_that_are_data_are_bounded(spark):
+    rules = spark.createDataFrame([(f"R{k}", "p", "LOW", "x") for k in range(4)], "id string, phase string, severity string, pattern string")
+    files_ = spark.createDataFrame([("a", "x")], "path string, text string")
+    assert scanning.scan_lines_join(files_, rules).count() == 4
+    with pytest.raises(ValueError, match="over 3 rules"):
+        scanning.scan_lines_join(files_, rules, most=3)
+
+
+def test_verification_without_hash_or_publisher(spark):
+    requests = spark.createDataFrame([(1, "h", "p"), (2, None, None), (3, "x", "q")], "id long, artifact_hash string, publisher_id string")
+    threats = spark.createDataFrame([("h",), ("h",)], "hash string")
+    publishers = spark.createDataFrame([("p", 2, None), ("q", None, 10.0)], "publisher_id string, flagged int, trust double")
+    assert sorted((r.id, r.score, r.verdict) for r in reconcile.verification(requests, threats, publishers).collect()) == [(1, 60.0, "CRITICAL_RISK"), (2, 0.0, "LOW_RISK"), (3, 10.0, "MEDIUM_RISK")]
