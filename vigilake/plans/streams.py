@@ -59,6 +59,37 @@ def r4_retries(spark, sf):
     return folds.fold_batch(_keyed(spark, sf), "key", ["at", "id"], folds.retries(), "key long, id long, outcome string, next double").groupBy("outcome").agg(F.count("*").alias("events"))
 
 
+def r4_due_retries(spark, sf):
+    """Retries whose time has come by the end of the month."""
+    out = folds.fold_batch(_keyed(spark, sf), "key", ["at", "id"], folds.retries(), "key long, id long, outcome string, next double")
+    return out.where("outcome = 'retry' and next <= 1706700000").select("key", "id", F.round("next", 3).alias("next"))
+
+
+def r7_drift(spark, sf):
+    signs = "scan_id % 3 > 0 as attested", "case scan_id % 4 when 0 then null when 1 then 'b' else 'a' end as signer", "case scan_id % 5 when 0 then null when 1 then 'q' else 'r' end as repo"
+    rows = frame(spark, sf, "scans").selectExpr("user_id as key", "scan_id as id", "scanned_at as t", *signs)
+    return folds.fold_batch(rows, "key", ["t", "id"], folds.drift(), "key long, id long, drift string")
+
+
+def _jobs(spark, sf):
+    return frame(spark, sf, "scans").selectExpr("scan_id as id", "ecosystem", "package", "version", "case scan_id % 5 when 0 then 'critical' when 1 then 'high' when 2 then 'normal' when 3 then 'low' end as priority", "scanned_at as enqueued_at")
+
+
+def r3_priority_queue(spark, sf):
+    """The next hundred jobs."""
+    return relational.by_priority(_jobs(spark, sf)).limit(100).select("id", "priority")
+
+
+def r5_worker(spark, sf):
+    """Jobs that come as a stream, each once, handed on by priority and stored with what was found."""
+    schema = read(spark, sf, "orders").schema
+    jobs = runs.watch(spark, f"{sf}/[o]rders.parquet", schema, "parquet").selectExpr("cast(o_orderkey % 5000 as string) as id", "case o_custkey % 5 when 0 then 'critical' else 'normal' end as priority", "cast(0 as int) as enqueued_at")
+    out, checkpoint = runs.shared_path(spark, "worker"), runs.shared_path(spark, "worker-checkpoint")
+    found = lambda df: df.withColumn("score", F.col("id").cast("int") % 7)
+    relational.process(relational.deduplicated(jobs, ["id"]), found, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("id", "score")
+
+
 #: Recursion over each key's events, numbered in order.
 _ROWS = f"n AS (SELECT user_id AS key, event_id AS id, epoch_us(seen_at) AS us, CAST(cost AS DOUBLE) AS value, kind = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY seen_at, event_id) AS k FROM {USAGE})"
 
@@ -99,6 +130,20 @@ SELECT key, id, kind AS state, called FROM r WHERE k > 0""",
 r AS (SELECT key, id, k, CASE WHEN flagged THEN 85.0::DOUBLE ELSE 100.0::DOUBLE END AS trust FROM n WHERE k = 1 UNION ALL SELECT n.key, n.id, n.k, CASE WHEN n.flagged THEN greatest(0::DOUBLE, r.trust - 15) ELSE least(100::DOUBLE, r.trust + 1) END FROM r JOIN n ON n.key = r.key AND n.k = r.k + 1)
 SELECT key, id, trust FROM r""",
     ),
+    "r4_due_retries": (
+        r4_due_retries,
+        f"""WITH RECURSIVE {_ROWS}, r AS (SELECT key, id, k, us, CASE WHEN failed THEN 1 ELSE 0 END AS tries, CASE WHEN failed THEN 60 END AS wait FROM n WHERE k = 1
+ UNION ALL SELECT n.key, n.id, n.k, n.us, CASE WHEN NOT n.failed OR r.tries >= 3 THEN 0 ELSE r.tries + 1 END, CASE WHEN NOT n.failed OR r.tries >= 3 THEN NULL ELSE CASE r.tries WHEN 0 THEN 60 WHEN 1 THEN 300 ELSE 1800 END END FROM r JOIN n ON n.key = r.key AND n.k = r.k + 1)
+SELECT key, id, round(us / 1000000::DOUBLE + wait, 3) AS next FROM r WHERE wait IS NOT NULL AND us / 1000000::DOUBLE + wait <= 1706700000""",
+    ),
+    "r7_drift": (
+        r7_drift,
+        f"""WITH s AS (SELECT user_id AS key, scan_id AS id, scanned_at AS t, scan_id % 3 > 0 AS attested, CASE scan_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'b' ELSE 'a' END AS signer, CASE scan_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'q' ELSE 'r' END AS repo FROM {source("scans")}),
+l AS (SELECT *, lag(attested) OVER w AS was_attested, lag(signer) OVER w AS was_signer, lag(repo) OVER w AS was_repo FROM s WINDOW w AS (PARTITION BY key ORDER BY t, id))
+SELECT key, id, 'lost_attestation' AS drift FROM l WHERE was_attested AND NOT attested UNION ALL SELECT key, id, 'signer_changed' FROM l WHERE was_signer <> signer UNION ALL SELECT key, id, 'repo_changed' FROM l WHERE was_repo <> repo""",
+    ),
+    "r3_priority_queue": (r3_priority_queue, f"SELECT id, priority FROM (SELECT scan_id AS id, CASE scan_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'normal' WHEN 3 THEN 'low' END AS priority, scanned_at FROM {source('scans')}) ORDER BY CASE priority WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 3 END, scanned_at, id LIMIT 100"),
+    "r5_worker": (r5_worker, "SELECT DISTINCT CAST(o_orderkey % 5000 AS VARCHAR) AS id, CAST(o_orderkey % 5000 % 7 AS INTEGER) AS score FROM orders"),
     "r4_retries": (
         r4_retries,
         f"""WITH RECURSIVE {_ROWS}, r AS (SELECT key, id, k, CASE WHEN failed THEN 1 ELSE 0 END AS tries, CASE WHEN failed THEN 'retry' ELSE 'done' END AS outcome FROM n WHERE k = 1
