@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import files as S
 from ..sources import lockfiles as L
 from ..sources import reports as R
+from ..streaming import runs
 from .inputs import frame, read, source
 
 FINDINGS, SCANS = source("findings"), source("scans")
@@ -36,6 +38,48 @@ def s11_go_mod(spark, sf):
     return L.go_mod(_files(spark, sf, text))
 
 
+def _written(spark, texts, name):
+    """A folder with one file for each row of texts(value)."""
+    path = runs.shared_path(spark, name)
+    texts.write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def _by_nation(spark, sf, entry, name):
+    rows = read(spark, sf, "supplier").selectExpr("s_nationkey", f"{entry} as e").groupBy("s_nationkey").agg(F.collect_list("e").alias("es"))
+    return rows.select(F.to_json(F.struct(F.col("es").alias(name))).alias("value"))
+
+
+def s13_kev(spark, sf):
+    texts = _by_nation(spark, sf, "named_struct('cveID', concat('CVE-', s_suppkey % 40), 'product', s_name)", "vulnerabilities")
+    return S.kev(spark, _written(spark, texts, "kev"))
+
+
+def s14_epss(spark, sf):
+    texts = _by_nation(spark, sf, "named_struct('cve', concat('CVE-', s_suppkey), 'epss', case s_suppkey % 3 when 0 then 'none' else concat('0.', s_suppkey % 9) end)", "data")
+    return S.epss(spark, _written(spark, texts, "epss")).select("cve", F.round("epss", 4).cast("double").alias("epss"))
+
+
+def s7_signatures(spark, sf):
+    entry = "named_struct('id', concat('S-', s_suppkey), 'phase', if(s_suppkey % 2 = 0, 'credentials', null), 'severity', if(s_suppkey % 3 = 0, 'HIGH', null), 'pattern', if(s_suppkey % 5 = 0, null, 'x+'), 'description', s_name)"
+    whole = _by_nation(spark, sf, entry, "signatures")
+    plain = whole.select(F.get_json_object("value", "$.signatures").alias("value"))
+    both = whole.where("length(value) % 2 = 0").unionByName(plain.join(whole.where("length(value) % 2 = 1").select(F.get_json_object("value", "$.signatures").alias("value")), "value", "left_semi"))
+    return S.signatures(spark, _written(spark, both, "signatures")).select("id", "phase", "severity", "pattern")
+
+
+def s5_rule_pack(spark, sf):
+    rules = F.collect_list(F.struct(F.concat(F.lit("R-"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("credentials").alias("phase"), F.lit("HIGH").alias("severity"), F.lit("x+").alias("pattern"), (F.col("s_suppkey") % 4).cast("int").alias("weight")))
+    packs = read(spark, sf, "supplier").groupBy("s_nationkey").agg(rules.alias("rules"))
+    texts = packs.select(F.when(F.col("s_nationkey") == 3, "{broken").otherwise(F.to_json(F.struct(F.struct(F.concat(F.lit("pack-"), F.col("s_nationkey").cast("string")).alias("id"), F.lit("1").alias("version")).alias("meta"), "rules"))).alias("value"))
+    return S.rule_pack(spark, _written(spark, texts, "packs")).select("pack", "id", "phase", "severity", "pattern", "weight")
+
+
+def s2_text_gate(spark, sf):
+    texts = read(spark, sf, "nation").select(F.concat("n_name", F.when(F.col("n_nationkey") % 4 == 0, F.expr("char(0)")).otherwise(""), F.lit(" é")).alias("value"))
+    return S.source_tree(spark, _written(spark, texts, "tree")).select("length", F.rtrim(F.regexp_replace("text", "\n", "")).alias("text"))
+
+
 def _components(spark, sf):
     return s8_package_lock(spark, sf).withColumn("threat_severity", F.when(F.col("name").isin("a", "d"), "HIGH"))
 
@@ -72,6 +116,11 @@ def s21_json_feed(spark, sf):
 _LOCK = "(SELECT 'p' || CAST(s_suppkey AS VARCHAR) AS path, name, version FROM supplier JOIN (VALUES (0, 'a', NULL), (0, '@s/b', '2.0'), (1, 'c', NULL), (1, 'd', '4.0'), (1, 'e', NULL), (1, 'f', '5')) v(k, name, fixed) ON s_suppkey % 3 = k, LATERAL (SELECT coalesce(fixed, CASE name WHEN 'a' THEN '1.' || CAST(s_suppkey AS VARCHAR) WHEN 'c' THEN '3.' || CAST(s_suppkey AS VARCHAR) END) AS version))"
 
 QUERIES = {
+    "s13_kev": (s13_kev, "SELECT DISTINCT 'CVE-' || CAST(s_suppkey % 40 AS VARCHAR) AS cve FROM supplier"),
+    "s14_epss": (s14_epss, "SELECT 'CVE-' || CAST(s_suppkey AS VARCHAR) AS cve, round(CAST(('0.' || CAST(s_suppkey % 9 AS VARCHAR)) AS FLOAT), 4)::DOUBLE AS epss FROM supplier WHERE s_suppkey % 3 > 0"),
+    "s7_signatures": (s7_signatures, "SELECT 'S-' || CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'credentials' ELSE 'code_patterns' END AS phase, CASE WHEN s_suppkey % 3 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity, 'x+' AS pattern FROM supplier WHERE s_suppkey % 5 > 0"),
+    "s5_rule_pack": (s5_rule_pack, "SELECT 'pack-' || CAST(s_nationkey AS VARCHAR) AS pack, 'R-' || CAST(s_suppkey AS VARCHAR) AS id, 'credentials' AS phase, 'HIGH' AS severity, 'x+' AS pattern, CAST(s_suppkey % 4 AS INTEGER) AS weight FROM supplier WHERE s_nationkey <> 3"),
+    "s2_text_gate": (s2_text_gate, "SELECT CAST(octet_length(encode(n_name || ' é')) + 1 AS BIGINT) AS length, n_name || ' é' AS text FROM nation WHERE n_nationkey % 4 > 0"),
     "s8_package_lock": (s8_package_lock, f"SELECT * FROM {_LOCK}"),
     "s9_requirements": (s9_requirements, "SELECT 'p' || CAST(s_suppkey AS VARCHAR) AS path, name, CASE name WHEN 'alpha' THEN '1.' || CAST(s_suppkey AS VARCHAR) WHEN 'gamma' THEN '3.0' END AS version FROM supplier, (VALUES ('alpha'), ('beta'), ('gamma'), ('delta')) v(name) WHERE name <> 'delta' OR s_suppkey % 2 = 0"),
     "s10_cargo_lock": (s10_cargo_lock, "SELECT 'p' || CAST(s_suppkey AS VARCHAR) AS path, name, CASE name WHEN 'a' THEN '1.' || CAST(s_suppkey AS VARCHAR) ELSE '2' END AS version, CASE name WHEN 'a' THEN md5(CAST(s_suppkey AS VARCHAR)) END AS checksum FROM supplier, (VALUES ('a'), ('b')) v(name)"),
