@@ -208,7 +208,8 @@ def test_pii_query_matches_the_patterns_row_by_row(spark, tmp_path):
     rows += [(900_001, None), (900_002, ""), (900_003, filler * 9000 + "x@y.zz 10.0.0.1"), (900_004, "a@b.c"), (900_004, "a@b.c"), (None, "+1 (415) 555-0100"), (900_005, "4111 1111 1111 1111 é 😀 a@b.de")]
     frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], DOCS + ", spans int, kind string")
     frame.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in queries.op2_pii(spark, str(tmp_path)).collect()), key=str)
+    found = queries.op2_pii(spark, str(tmp_path)).collect()
+    got = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in found), key=str)
 
     def listed(spans):
         return ",".join(f"{pii.KINDS[k]}:{i}:{j}" for i, j, k in spans)
@@ -219,7 +220,7 @@ def test_pii_query_matches_the_patterns_row_by_row(spark, tmp_path):
         want.append((i, *[sum(k == n for _, _, k in spans) for n in range(4)], hashlib.sha256(listed(spans).encode()).hexdigest()))
     assert got == sorted(want, key=str)
     texts = {i: t or "" for i, t in rows}
-    for r in queries.op2_pii(spark, str(tmp_path)).collect():
+    for r in found:
         spans = [(int(b), int(e), pii.KINDS.index(k)) for k, b, e in (x.split(":") for x in r.spans.split(",") if x)]
         base = plain_base(texts[r.doc_id])
         assert spans == sorted(spans, key=lambda s: (s[0], s[2])) and set(base) <= set(spans) and r.n_added == len(spans) - len(base)
