@@ -128,11 +128,12 @@ def reputation(scans: DataFrame, start: float = 100.0) -> DataFrame:
     """publisher, trust after its scans in order of seen_at, id: 15 less when flagged, down to 0, 1 more when clean, up to 100.
 
     Each scan is a map x -> min(hi, max(lo, x + add)), and such maps compose, so a running
-    composition over blocks replaces an ordered fold over a publisher's whole history.
+    composition over blocks replaces an ordered fold over a publisher's whole history. A block has at most a thousand scans of one month.
     """
     step = F.when(F.col("flagged"), F.lit(-15.0)).otherwise(F.lit(1.0))
     ordered = Window.partitionBy("publisher", "block").orderBy("seen_at", "id")
-    rows = scans.withColumn("block", F.date_trunc("month", "seen_at")).select("publisher", "block", F.struct(F.row_number().over(ordered).alias("n"), step.alias("step")).alias("s"))
+    rows = scans.withColumn("block", F.date_trunc("month", "seen_at")).withColumn("n", F.row_number().over(ordered))
+    rows = rows.select("publisher", F.struct("block", F.floor(F.col("n") / 1000).alias("part")).alias("block"), F.struct("n", step.alias("step")).alias("s"))
 
     def fold(steps):
         begin = F.struct(F.lit(0.0).alias("add"), F.lit(0.0).alias("lo"), F.lit(100.0).alias("hi"))
@@ -148,7 +149,7 @@ def reputation(scans: DataFrame, start: float = 100.0) -> DataFrame:
     blocks = rows.groupBy("publisher", "block").agg(fold(F.array_sort(F.collect_list("s"))).alias("f"))
     chain = F.array_sort(F.collect_list(F.struct("block", "f")))
     trust = F.aggregate(chain, F.lit(start), lambda x, b: F.least(b["f"]["hi"], F.greatest(b["f"]["lo"], x + b["f"]["add"])))
-    return blocks.groupBy("publisher").agg(F.count("*").alias("months"), trust.alias("trust"))
+    return blocks.groupBy("publisher").agg(F.count_distinct("block.block").alias("months"), trust.alias("trust"))
 
 
 def verification(requests: DataFrame, threats: DataFrame, publishers: DataFrame) -> DataFrame:
