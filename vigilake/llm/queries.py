@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, line_dedup, near_dup, packing, pii, token_files, toxicity, warc
+from . import chat, conversation_repair, decontamination, exact_dedup, line_dedup, near_dup, neighbours, packing, pii, token_files, toxicity, warc, whitening
 from .common import scratch, table
 
 
@@ -131,6 +131,28 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    told, turns = conversation_repair.repair(conversation_repair.damage(rows))
+    prints = conversation_repair.fingerprints(turns).select("conv_id", "sha256")
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    out = every.join(told, F.col("id").eqNullSafe(told["conv_id"]), "left").drop("conv_id").join(prints, F.col("id").eqNullSafe(prints["conv_id"]), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in numbers], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(neighbours.index(rows), rows.where("vec_id % 20 = 0"), 20)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.vectors(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
 QUERIES = {
     "op1_decontamination": (op1_decontamination, None),
     "op3_chat_snapshots": (op3_chat_snapshots, OP3),
@@ -142,4 +164,7 @@ QUERIES = {
     "op8_token_files": (op8_token_files, None),
     "op9_packing": (op9_packing, None),
     "op10_line_dedup": (op10_line_dedup, OP10),
+    "op11_conversation_repair": (op11_conversation_repair, None),
+    "op12_nearest_neighbours": (op12_nearest_neighbours, None),
+    "op13_whitening": (op13_whitening, None),
 }
