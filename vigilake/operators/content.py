@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import severity as S
-from .context import COMMENT, QUOTED
+from .context import COMMENT, QUOTED, bundled
+from .rulescan import content_matched
 
 # Words of which one must stand in a file before a costly rule is tried on it.
 TOKEN_GATES = {
@@ -67,49 +68,34 @@ def _any(text: Column, patterns: list[str]) -> Column:
 
 
 def content_findings(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """path, line, nth, rule, phase, severity, confidence, weight, description, snippet: one row for each match of a rule in files(path, text).
+    """path, line, offset, nth, rule, phase, severity, confidence, weight, description, snippet: one row for each match of a rule in files(path, text).
 
-    rules: id, phase, severity, pattern, weight, description; a pattern sees one line, in any case of letters. nth counts a rule's
-    matches on a line from 1, and the snippet is the line with the ones before and after, at most 500 characters. Some rules look at what
-    stands around: code-eval passes over strings and comments, it and code-exec-dangerous over method calls and declarations, obf-charcode
+    rules: id, phase, severity, pattern, weight, description; a pattern sees the whole text, in any case of letters, its anchors at
+    lines. A match counts for the line where it begins; offset is its place in the text from 0, nth counts a rule's matches of the line from 1, and the snippet is the line with
+    the ones before and after, at most 500 characters. Some rules look at what
+    stands around: code-eval passes over strings, comments and patterns between slashes, it and code-exec-dangerous over method calls and declarations, obf-charcode
     over single characters, net-http-request over known-safe domains within two lines. Severity and confidence go by the file.
-    Rules become tests of one projection and files are split once; a gate of plain words is tried on the whole text before a rule. Null texts have no lines.
+    A gate of plain words is tried on the whole text before a rule. Bundled files and null texts have no findings.
     """
     text, path = F.col("text"), F.col("path")
-    gated = [r["id"] for r in rules if r["id"] in TOKEN_GATES]
-    evals = any(r["id"] == "code-eval" for r in rules)
-    split = files.where("text is not null").select(
-        "path", F.split(text, _LINE).alias("__lines"), (F.when(text.contains("eval"), F.split(blanked(text), _LINE)) if evals else F.lit(None).cast("array<string>")).alias("__live"),
-        F.filter(F.array(*[F.when(gate(text, g), F.lit(g)) for g in gated]), lambda x: x.isNotNull()).alias("__gates") if gated else F.array().cast("array<string>").alias("__gates"),
-    )
-    rows = split.select("path", "__lines", "__live", "__gates", F.posexplode("__lines").alias("__at", "__body"))
-    body, at = F.col("__body"), F.col("__at")
-    wide = F.concat_ws("\n", F.slice("__lines", F.greatest(at - 1, F.lit(1)), F.least(at, F.lit(2)) + 3))
-    domains = F.transform(F.regexp_extract_all(wide, F.lit(r"https?://([^/\s'\"]+)"), 1), lambda d: F.lower(F.split(d, ":")[0]))
-    declared = _any(body, DECLARATIONS)
-
-    def count(r: dict) -> Column:
-        pattern, where, keep = f"(?i)(?:{r['pattern']})", body, F.lit(True)
-        if r["id"] in ("code-eval", "code-exec-dangerous"):
-            pattern, keep = rf"(?<!\.){pattern}", ~declared
-        if r["id"] == "code-eval":
-            where = F.coalesce(F.get("__live", at), F.lit(""))
-        if r["id"] == "obf-charcode":
-            keep = ~_any(body, CHARACTERS)
-        if r["id"] == "net-http-request":
-            keep = ~F.arrays_overlap(domains, F.lit(SAFE_DOMAINS))
-        if r["id"] in NOT_DECLARED:
-            keep = keep & ~path.endswith(".d.ts")
-        if r["id"] in TOKEN_GATES:
-            keep = keep & F.array_contains("__gates", r["id"])
-        found = F.when(where.rlike(pattern) & keep, F.size(F.regexp_extract_all(where, F.lit(pattern), F.lit(0)))).otherwise(0)
-        return F.struct(F.lit(r["id"]).alias("rule"), F.lit(r["phase"]).alias("phase"), F.lit(r["severity"]).alias("given"), F.lit(float(r.get("weight", 1.0))).alias("weight"), F.lit(r.get("description", "")).alias("description"), found.alias("n"))
-
-    hits = F.filter(F.array(*map(count, rules)), lambda x: x["n"] > 0)
-    around = F.substring(F.concat_ws("\n", F.slice("__lines", F.greatest(at, F.lit(1)), F.least(at, F.lit(1)) + 2)), 1, 500)
-    out = rows.select("path", (at + 1).alias("line"), around.alias("snippet"), F.explode(hits).alias("h")).select("path", "line", "snippet", "h.*")
+    ids = [r["id"] for r in rules]
+    gated = [i for i in ids if i in TOKEN_GATES]
+    evals = "code-eval" in ids
+    gates = F.filter(F.array(*[F.when(gate(text, g), F.lit(g)) for g in gated]), lambda x: x.isNotNull()) if gated else F.array().cast("array<string>")
+    rows = files.where(text.isNotNull() & ~bundled(path, text)).select(
+        "path", "text", gates.alias("__gates"), (F.when(F.lower(text).contains("eval"), blanked(text)) if evals else F.lit(None).cast("string")).alias("__live")
+    )
+    found = content_matched(rows, [r["pattern"] for r in rules], "text", "__live", {k for k, i in enumerate(ids) if i in ("code-eval", "code-exec-dangerous")}, {k for k, i in enumerate(ids) if i == "code-eval"})
+    told = F.array(*[F.struct(F.lit(r["id"]).alias("rule"), F.lit(r["phase"]).alias("phase"), F.lit(r["severity"]).alias("given"), F.lit(float(r.get("weight", 1.0))).alias("weight"), F.lit(r.get("description", "")).alias("description")) for r in rules])
+    hits = found.select("path", "__gates", F.col("__line").alias("line"), F.col("__offset").alias("offset"), F.col("__nth").alias("nth"), "__body", "__wide", F.col("__around").alias("snippet"), F.get(told, F.col("__rule")).alias("__r"))
+    hits = hits.select(*[c for c in hits.columns if c != "__r"], "__r.*")
+    rule, body = F.col("rule"), F.col("__body")
+    domains = F.transform(F.regexp_extract_all("__wide", F.lit(r"https?://([^/\s'\"]+)"), 1), lambda d: F.lower(F.split(d, ":")[0]))
+    passed = (rule.isin("code-eval", "code-exec-dangerous") & _any(body, DECLARATIONS)) | ((rule == "obf-charcode") & _any(body, CHARACTERS))
+    passed = passed | ((rule == "net-http-request") & F.arrays_overlap(domains, F.lit(SAFE_DOMAINS))) | (rule.isin(NOT_DECLARED) & path.endswith(".d.ts"))
+    passed = passed | (rule.isin(list(TOKEN_GATES)) & ~F.array_contains("__gates", rule))
     severity = S.adjusted_severity(F.col("given"), path)
-    return out.select("path", "line", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"), "rule", "phase", severity.alias("severity"), S.confidence(severity, path).alias("confidence"), "weight", "description", "snippet")
+    return hits.where(~passed).select("path", "line", "offset", "nth", "rule", "phase", severity.alias("severity"), S.confidence(severity, path).alias("confidence"), "weight", "description", "snippet")
 
 
 def prompt_findings(prompts: DataFrame, rules: list[dict], key: str = "prompt_id") -> DataFrame:

@@ -13,7 +13,13 @@ from .matching import similar_sets
 QUOTED = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`"
 COMMENT = r"/\*[\s\S]*?(?:\*/|$)|//[^\n]*|#[^\n]*"
 _DECODE = r"(?:base64\.(?:b64decode|decodebytes)|atob)"
-SAFE_MARKS = ["webpackBootstrap", "!function(", "(function (global, factory)", "core-js", "polyfill"]
+# How wrapped modules, bundles and minified libraries begin, and packages that fill in for old engines.
+WRAPPERS = ["typeof exports === 'object' && typeof module !== 'undefined'", "typeof define === 'function' && define.amd", "Function('return this')()", "function (global, factory)", "(function (root, factory)"]
+BUNDLES = ["webpackJsonp", "__webpack_require__", "__webpack_modules__", "__webpack_exports__", "webpackChunkName", "webpack/bootstrap", "!function(modules){", "/******/ (function(modules)"]
+LIBRARIES = ["/*! jQuery", "/*! React", "/*! Vue", "/*! Angular", "/*! Lodash", '!function(e,t){"use strict"', '!function(e,t){"object"==typeof exports']
+POLYFILLS = ["core-js", "@babel", "regenerator-runtime", "tslib", "polyfill-library", "es5-shim", "es6-shim"]
+#: The wrapper that does not count where code makes code.
+GLOBAL = "Function('return this')()"
 
 
 def live_calls(text: Column, call: str = r"\beval\s*\(") -> Column:
@@ -49,8 +55,11 @@ def taint_flows(files: DataFrame, entries: list[str], sinks: list[str], sanitize
 
 
 def bundled(path: Column, text: Column) -> Column:
-    """Built or vendored scripts, by name or by how they begin."""
-    return path.endswith(".min.js") | contains_any(F.substring(text, 1, 1000), SAFE_MARKS)
+    """Built or vendored scripts: known packages below node_modules, wrappers and bundles by their first 1000 characters, and .min.js files by a library's mark in the first 500."""
+    low, start = F.lower(path), F.substring(text, 1, 1000)
+    vendored = low.contains("node_modules/") & contains_any(low, [f"/{p}/" for p in POLYFILLS])
+    wrapped = contains_any(start, [w for w in WRAPPERS if w != GLOBAL]) | (start.contains(GLOBAL) & ~text.rlike(r"\b(macro|__macro__|eval)\b"))
+    return vendored | wrapped | contains_any(start, BUNDLES) | (low.endswith(".min.js") & contains_any(F.substring(text, 1, 500), LIBRARIES))
 
 
 def token_gate(text: Column, tokens: list[str], pattern: str) -> Column:
@@ -58,6 +67,13 @@ def token_gate(text: Column, tokens: list[str], pattern: str) -> Column:
     return contains_any(text, tokens) & text.rlike(pattern)
 
 
+def without_suppressed(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """findings(pattern_type, rule, file, evidence, ...) that no suppressing rule of apply_user_rules matches; one anti-join, whatever the adjustments."""
+    r = rules.where("suppress").select(F.col("pattern_type").alias("__t"), F.col("rule").alias("__r"), "file_pattern", "evidence_pattern")
+    hit = (F.col("pattern_type") == F.col("__t")) & (F.col("rule") == F.col("__r")) & F.expr("coalesce(file rlike file_pattern, true) and coalesce(evidence rlike evidence_pattern, true)")
+    return findings.join(r, hit, "left_anti")
+
+
 def apply_user_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """findings(id, pattern_type, rule, file, evidence, confidence) that no rule suppresses, with confidence adjusted into 0 to 1.
 

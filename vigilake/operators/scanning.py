@@ -77,21 +77,8 @@ def scan_lines(files: DataFrame, rules: list[dict], path: str = "path", text: st
     return hits.select(*[c for c in keep if c != "body"], "__f.rule", "__f.phase", "__f.severity", "__f.weight", F.concat_ws(": ", "__f.description", N.snippet(F.col("body"))).alias("snippet"))
 
 
-def scan_lines_join(files: DataFrame, rules: DataFrame, path: str = "path", text: str = "text", most: int = 10_000) -> DataFrame:
-    """The same matches, without filters and suppression, for rules that are data: rules(id, phase, severity, pattern) of at most so many rows.
-
-    They are read once and become literal tests, so each pattern is compiled once a task and lines are read once; a join on rlike would compile
-    a pattern anew for each pair. More rows are an error.
-    """
-    own = rules.select("id", "phase", "severity", "pattern").limit(most + 1).collect()
-    if len(own) > most:
-        raise ValueError(f"over {most} rules")
-    found = scan_lines(files, [r.asDict() for r in own], path, text)
-    return found.drop("weight", "snippet")
-
-
-def hidden_characters(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """path, rule, severity, weight, line: the first line with private-use, bidirectional or zero-width characters, one row each."""
+def hidden_characters(files: DataFrame, path: str = "path", text: str = "text", name: Column | None = None) -> DataFrame:
+    """path, rule, severity, weight, line: the first line with private-use, bidirectional or zero-width characters, one row each. name: the path, where the column is a key of more parts."""
     rows = lines_of(files, text)
     body = F.col("body")
     # a byte order mark may open the file
@@ -99,12 +86,12 @@ def hidden_characters(files: DataFrame, path: str = "path", text: str = "text")
     classes = {"UNICODE-1": body.rlike(f"[{N.PRIVATE}]"), "UNICODE-2": body.rlike(f"[{N.BIDI}]"), "UNICODE-3": body.rlike(f"[{N.ZERO_WIDTH}]|{N.JOINER}") | marked}
     hits = F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, test in classes.items()]))
     first = rows.select(path, "line", F.explode(hits).alias("rule")).groupBy(path, "rule").agg(F.min("line").alias("line"))
-    strong = N.is_instruction_file(F.col(path))
+    strong = N.is_instruction_file(F.col(path) if name is None else name)
     return first.select(path, "rule", F.when(strong, "HIGH").otherwise("MEDIUM").alias("severity"), F.when(strong, 5).otherwise(2).alias("weight"), "line")
 
 
-def provenance(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """path, rule, severity, weight by name and size alone. Kinds: filename_regex, hidden_file, binary_extension, file_size."""
+def provenance(files: DataFrame, rules: list[dict], keep: tuple[str, ...] = ("path",)) -> DataFrame:
+    """path (or the columns to keep), rule, severity, weight by name and size alone. Kinds: filename_regex, hidden_file, binary_extension, file_size."""
     p = F.col("path")
     name = F.element_at(F.split(p, "/"), -1)
     tests = []
@@ -120,7 +107,7 @@ def provenance(files: DataFrame, rules: list[dict]) -> DataFrame:
         else:
             test, weight = F.col("length") > (r.get("size_threshold") or 5_000_000), 1
         tests.append(F.when(test, F.struct(F.lit(r["id"]).alias("rule"), F.lit(r["severity"]).alias("severity"), F.lit(weight).alias("weight"))))
-    return files.select("path", F.explode(F.array_compact(F.array(*tests))).alias("f")).select("path", "f.*")
+    return files.select(*keep, F.explode(F.array_compact(F.array(*tests))).alias("f")).select(*keep, "f.*")
 
 
 def tree_provenance(paths: DataFrame) -> DataFrame:

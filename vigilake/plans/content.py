@@ -8,7 +8,6 @@ from ..functions import signals as G
 from ..operators import content as C
 from ..operators import scanning as P
 from ..operators import reconcile as R
-from ..operators import scoring
 from ..operators import tagging as T
 from ..sources import files
 from .inputs import frame, read, source
@@ -96,16 +95,6 @@ def p5_phase_packs(spark, sf):
     return found.groupBy(F.split("rule", "/")[0].alias("run"), F.split("rule", "/")[1].alias("rule")).agg(F.count("*").alias("findings"))
 
 
-def u5_scan_flow(spark, sf):
-    files = _files(spark, sf)
-    lines, clouds = P.scan_lines(files, RULES), P.scan_lines(files, C.signature_rules(SIGNATURES))
-    sizes = [{"id": "PROV-SIZE", "severity": "LOW", "kind": "file_size", "size_threshold": 3000}]
-    large = P.provenance(files.select("path", F.length("text").alias("length")), sizes).join(files.select("path", "doc_id"), "path")
-    parts = [p.select(F.col("doc_id").alias("scan_id"), "severity", "weight") for p in (lines, clouds, large)]
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return scoring.scan_scores(found)
-
-
 def _told(spark, sf):
     rows = read(spark, sf, "lineitem").withColumn("k", F.expr("l_orderkey + l_linenumber")).withColumn("tool_id", F.expr("l_partkey"))
     severity = F.expr("case k % 3 when 0 then 'LOW' when 1 then 'HIGH' else 'MEDIUM' end")
@@ -245,12 +234,6 @@ SELECT *, count(*) AS findings FROM s GROUP BY ALL""",
         p5_phase_packs,
         f"""{_FOUND}, runs(run, rule) AS (VALUES ('credentials', 'SECRET-1'), ('credentials', 'LICENSE-1'), ('credentials', 'MAIL-1'), ('credentials', 'CARD-1'), ('provenance', 'SECRET-1'), ('provenance', 'LICENSE-1'), ('obfuscation', 'NOISE-1'))
 SELECT run, f.rule, count(*) AS findings FROM f JOIN runs ON runs.rule = f.rule GROUP BY 1, 2""",
-    ),
-    "u5_scan_flow": (
-        u5_scan_flow,
-        f"""{_FOUND}, a AS (SELECT doc_id AS scan_id, severity, weight FROM f UNION ALL SELECT doc_id, 'HIGH', 3 FROM l WHERE regexp_matches(body, 'https?://') UNION ALL SELECT doc_id, 'LOW', 5 FROM l WHERE regexp_matches(body, '[0-9a-f]{{40}}') UNION ALL SELECT doc_id, 'LOW', 1 FROM documents WHERE length(text) > 3000),
-s AS (SELECT scan_id, CAST(sum(CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 5 END * weight) AS BIGINT) AS score, count(*) AS findings, bool_or(severity = 'CRITICAL') AS critical FROM a GROUP BY 1)
-SELECT scan_id, score, findings, CASE WHEN critical THEN 'CRITICAL_RISK' WHEN score >= 25 THEN 'HIGH_RISK' WHEN score >= 10 THEN 'MEDIUM_RISK' ELSE 'LOW_RISK' END AS verdict FROM s""",
     ),
     "p29_capabilities": (
         p29_capabilities,

@@ -39,9 +39,21 @@ def p12_missing_git(spark, sf):
     return rows.where("manifest and not git").select("scan_id")
 
 
+#: Paths and texts of scripts, and whether they are built or vendored.
+BUILT = [
+    ("a.min.js", "/*! jQuery v3", True), ("b.min.js", "steal()", False), ("c.min.js", "x" * 500 + "/*! React", False), ("d.js", "/*! Vue", False), ("e.js", "x = __webpack_require__(1)", True),
+    ("f.js", "y" * 1000 + "webpackJsonp", False), ("g.js", "(function (root, factory) {", True), ("h.js", "Function('return this')()", True), ("i.js", "Function('return this')(); eval(x)", False),
+    ("NODE_MODULES/core-js/i.js", "", True), ("node_modules/tslib/x.js", "", True), ("node_modules/evil/x.js", "", False), ("core-js/x.js", "", False), ("j.MIN.JS", '!function(e,t){"use strict"', True),
+]
+
+
 def p17_p22_bundled(spark, sf):
-    path, text = F.concat("name", F.when(F.col("tool_id") % 5 == 0, ".min.js").otherwise(".js")), F.when(F.col("tool_id") % 7 == 0, "/* core-js */").otherwise(F.col("description"))
-    return frame(spark, sf, "tools").select("tool_id", C.bundled(path, text).alias("bundled"), path.rlike(r"^(red|blue)-").alias("named"))
+    path, text = _picked([p for p, _, _ in BUILT], "tool_id"), _picked([t for _, t, _ in BUILT], "tool_id")
+    return frame(spark, sf, "tools").select("tool_id", C.bundled(path, text).alias("bundled"), F.col("name").rlike(r"^(red|blue)-").alias("named"))
+
+
+def _picked(items, by):
+    return F.element_at(F.array(*[F.lit(x) for x in items]), (F.col(by) % len(items) + 1).cast("int"))
 
 
 def p34_user_rules(spark, sf):
@@ -186,7 +198,7 @@ QUERIES = {
     "p21_chains": (p21_chains, f"SELECT 'f' || CAST(event_id % {_N} AS VARCHAR) AS path, event_id % {_N} = 4 AS decoded, event_id % {_N} = 7 AS hexed, count(*) AS n FROM events GROUP BY 1, 2, 3"),
     "p33_taint": (p33_taint, f"SELECT 'f' || CAST(event_id % {_N} AS VARCHAR) AS path, 'input()' AS entry, 'eval(' AS sink, event_id % {_N} = 6 AS sanitized, count(*) AS n FROM events WHERE event_id % {_N} IN (5, 6) GROUP BY 1, 4"),
     "p12_missing_git": (p12_missing_git, f"SELECT scan_id FROM {FINDINGS} GROUP BY 1 HAVING bool_or(line = 1 AND weight = 1) AND NOT bool_or(rule = 'R-3')"),
-    "p17_p22_bundled": (p17_p22_bundled, f"SELECT tool_id, tool_id % 5 = 0 OR tool_id % 7 = 0 AS bundled, starts_with(name, 'red-') OR starts_with(name, 'blue-') AS named FROM {TOOLS}"),
+    "p17_p22_bundled": (p17_p22_bundled, f"SELECT tool_id, tool_id % {len(BUILT)} IN ({', '.join(str(k) for k, (_, _, b) in enumerate(BUILT) if b)}) AS bundled, starts_with(name, 'red-') OR starts_with(name, 'blue-') AS named FROM {TOOLS}"),
     "p34_user_rules": (
         p34_user_rules,
         f"""WITH d AS (SELECT DISTINCT scan_id, line, rule, file, phase, severity, weight FROM {FINDINGS})

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..operators import rulescan
 from ..operators import scanning as P
 from ..sources import files
 from .inputs import frame, read, source
@@ -46,7 +47,7 @@ def p6_scan_filtered(spark, sf):
 
 def j1_scan_join(spark, sf):
     rules = spark.createDataFrame([(r["id"], r["phase"], r["severity"], r["pattern"]) for r in RULES], "id string, phase string, severity string, pattern string")
-    return P.scan_lines_join(_files(spark, sf), rules).groupBy("rule", "severity").agg(F.count("*").alias("findings"), F.min("doc_id").alias("first"))
+    return rulescan.scan_rules(_files(spark, sf), rules).groupBy("rule", "severity").agg(F.count("*").alias("findings"), F.min("doc_id").alias("first"))
 
 
 def p1_scan_pages(spark, sf):
