@@ -35,14 +35,18 @@ PASSES, LEAF, SEEDS = 8, 512, 10
 SETTLED, ROUNDS = 0.03, 12
 #: Nodes of a query's beam, those expanded in one step, and steps.
 BEAM, EXPAND, STEPS = 96, 32, 24
-#: Nodes of a bucket.
-BUCKET = 4096
+#: Nodes of a bucket, and the least number of buckets.
+BUCKET, BUCKETS = 4096, 16
 #: Below all scores.
 NONE = -1e30
 #: Long vectors at which every query starts as well.
 ENTRIES = 32
 
 
+def _buckets(n: int) -> int:
+    return max(BUCKETS, math.ceil(n / BUCKET))
+
+
 def _bucket(nodes: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(nodes.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
@@ -102,7 +106,7 @@ def _nodes(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     classes = cut(few.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("members")), "near-classes")
     square = "aggregate(embedding, 0D, (s, c) -> s + cast(c as double) * cast(c as double))"
     n, longest = classes.agg(F.count("*"), F.max(F.expr(square))).first()
-    buckets, wide = max(1, math.ceil(n / BUCKET)), "<f8" if "double" in rows.schema["embedding"].dataType.simpleString() else "<f4"
+    buckets, wide = _buckets(n), "<f8" if "double" in rows.schema["embedding"].dataType.simpleString() else "<f4"
     scale = math.sqrt(longest or 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +326,7 @@ def _round(state: DataFrame, buckets: int, number: int) -> DataFrame:
 def graph(nodes: DataFrame, seed: int = 0, passes: int = PASSES, leaf: int = LEAF) -> DataFrame:
     """node, ids, scores: the neighbours of each node of _nodes, nearest first, packed."""
     n = nodes.count()
-    buckets, empty = max(1, math.ceil(n / BUCKET)), F.lit(b"")
+    buckets, empty = _buckets(n), F.lit(b"")
     blank = nodes.select("node", "unit", empty.alias("ids"), empty.alias("scores"), empty.alias("fresh"))
     state = cut(_merged(blank, _seeded(nodes, seed, passes, leaf)), "near-state")
     for number in range(ROUNDS):
@@ -488,7 +492,7 @@ def search(found: Index, queries: DataFrame, k: int = 20, beam: int = BEAM) -> D
     asked = rows.join(found.classes.select("embedding", "node"), "embedding").select(F.col("vec_id").alias("query_id"), "node")
     asked = cut(asked, "near-queries")
     n, kind = nodes.count(), "<f8" if "double" in found.classes.schema["embedding"].dataType.simpleString() else "<f4"
-    buckets = max(1, math.ceil(n / BUCKET))
+    buckets = _buckets(n)
     long = nodes.orderBy(F.desc("length"), "node").limit(ENTRIES).select("node", "vector").collect()
     first = np.vstack([np.frombuffer(r[1], kind) for r in long]).astype(float) if long else np.zeros((0, 0))
     own = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "vector")
