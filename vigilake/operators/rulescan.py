@@ -145,7 +145,7 @@ def _lines(text: str) -> tuple[list[str], list[int]]:
     starts = [0]
     for part in parts[:-1]:
         starts.append(starts[-1] + len(part) + 1)
-    if len(parts) > 1 and not parts[-1]:
+    if not parts[-1]:
         parts.pop()
     return [p.removesuffix("\r") for p in parts], starts
 

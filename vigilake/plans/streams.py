@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import folds, relational, runs
+from ..sources import changes
+from ..streaming import folds, relational, runs, timers, worker
 from .inputs import INPUTS, frame, read, source
 
 USAGE = source("usage")
@@ -80,18 +81,70 @@ def r3_priority_queue(spark, sf):
     return relational.by_priority(_jobs(spark, sf)).limit(100).select("id", "priority")
 
 
+WORKER_RULES = [("TOKEN", "CRITICAL", 'token = "[0-9a-f]{40}"', 2), ("MAIL", "HIGH", "@mail[0-9]", 2), ("LICENSE", "LOW", "(MIT|Apache) License", 1)]
+
+
+def _worked(spark, sf, table):
+    """Documents come as a stream of jobs, each once, and are scanned, scored, stored and published."""
+    jobs = runs.watch(spark, f"{sf}/[d]ocuments.parquet", read(spark, sf, "documents").schema, "parquet").selectExpr(
+        "doc_id as id", "case doc_id % 5 when 0 then 'critical' else 'normal' end as priority", "cast(0 as int) as enqueued_at", "concat('f', source, '.txt') as path", "text"
+    )
+    rules = spark.createDataFrame(WORKER_RULES, "id string, severity string, pattern string, weight int")
+    out = runs.shared_path(spark, "worker")
+    worker.work(relational.deduplicated(jobs, ["id"]), rules, out, runs.shared_path(spark, "worker-checkpoint")).awaitTermination()
+    return worker.stored(spark, out, table)
+
+
 def r5_worker(spark, sf):
-    """Jobs that come as a stream, each once, handed on by priority and stored with what was found."""
-    schema = read(spark, sf, "orders").schema
-    jobs = runs.watch(spark, f"{sf}/[o]rders.parquet", schema, "parquet").selectExpr("cast(o_orderkey % 5000 as string) as id", "case o_custkey % 5 when 0 then 'critical' else 'normal' end as priority", "cast(0 as int) as enqueued_at")
-    out, checkpoint = runs.shared_path(spark, "worker"), runs.shared_path(spark, "worker-checkpoint")
-    found = lambda df: df.withColumn("score", F.col("id").cast("int") % 7)
-    relational.process(relational.deduplicated(jobs, ["id"]), found, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint).awaitTermination()
-    return spark.read.parquet(out).select("id", "score")
+    return _worked(spark, sf, "scans")
+
+
+def r5_worker_feed(spark, sf):
+    return _worked(spark, sf, "feed")
+
+
+def r1_cursor_changes(spark, sf):
+    """Changes of a registry's log, read in two goes with a break between them; each comes once."""
+    every = read(spark, sf, "orders").selectExpr("o_orderkey as serial", "case when o_custkey % 50 = 0 then '' when o_custkey % 50 = 1 then '_design/app' else concat('pkg-', o_custkey) end as package", "concat('1.', o_orderkey % 9) as version")
+    log, out, checkpoint = runs.shared_path(spark, "log"), runs.shared_path(spark, "changes"), runs.shared_path(spark, "changes-checkpoint")
+    half = every.agg(F.floor(F.max("serial") / 2)).first()[0] or 0
+    spark.dataSource.register(changes.ChangeLog)
+    for part in (every.where(F.col("serial") <= half), every.where(F.col("serial") > half)):
+        changes.write_changes(part, log)
+        stream = changes.packages(spark.readStream.format("changelog").option("path", log).load())
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
+    return spark.read.schema("serial long, package string, version string").parquet(out)
+
+
+def _timed(spark, sf):
+    schema = read(spark, sf, "events").schema
+    rows = runs.watch(spark, f"{sf}/[e]vents.parquet", schema, "parquet").selectExpr(*[f"{e} AS {c}" for c, e in INPUTS["usage"][1].items()])
+    return timers.timed(rows.selectExpr("user_id as key", "event_id as id", "unix_micros(cast(seen_at as timestamp)) / 1000000D as at", "cast(cost as double) as value", "kind = 'error' as failed"), "0 seconds")
+
+
+def r4_timed_retries(spark, sf):
+    """Failed jobs that come again when their time has passed, and dead letters, up to the last event."""
+    with timers.rocksdb(spark):
+        out = runs.drain(timers.retries(_timed(spark, sf)), "retries")
+    return out.select("key", "id", "outcome", F.round("at", 3).alias("at"), "tries")
+
+
+def r10_timed_alerts(spark, sf):
+    with timers.rocksdb(spark):
+        return runs.drain(timers.fold(_timed(spark, sf), "key", ["at", "id"], folds.cooldown(100.0, 86_400), "key long, id long, value double", timers.cooldown_ends(86_400)), "alerts")
+
+
+def r19_timed_buckets(spark, sf):
+    with timers.rocksdb(spark):
+        return runs.drain(timers.fold(_timed(spark, sf), "key", ["at", "id"], folds.token_bucket(1 / 40_000, 3.0), "key long, id long, tokens double, allowed boolean", timers.bucket_fills(1 / 40_000, 3.0)), "buckets")
 
 
 #: Recursion over each key's events, numbered in order.
 _ROWS = f"n AS (SELECT user_id AS key, event_id AS id, epoch_us(seen_at) AS us, CAST(cost AS DOUBLE) AS value, kind = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY seen_at, event_id) AS k FROM {USAGE})"
+_WORKED = """WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS body FROM documents), m(rule, severity, pattern, points) AS (VALUES ('TOKEN', 'CRITICAL', 'token = "[0-9a-f]{40}"', 10), ('MAIL', 'HIGH', '@mail[0-9]', 6), ('LICENSE', 'LOW', '(MIT|Apache) License', 1)),
+f AS (SELECT doc_id, count(*) AS findings, sum(points) AS score, bool_or(severity = 'CRITICAL') AS critical FROM l JOIN m ON regexp_matches(body, pattern) GROUP BY 1),
+s AS (SELECT d.doc_id AS scan_id, source, text, CAST(coalesce(score, 0) AS BIGINT) AS score, coalesce(findings, 0) AS findings,
+ CASE WHEN critical THEN 'CRITICAL_RISK' WHEN score >= 25 THEN 'HIGH_RISK' WHEN score >= 10 THEN 'MEDIUM_RISK' ELSE 'LOW_RISK' END AS verdict FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id)"""
 
 QUERIES = {
     "r2_stream_dedup": (r2_stream_dedup, f"SELECT DISTINCT user_id, kind FROM {USAGE}"),
@@ -143,7 +196,17 @@ l AS (SELECT *, lag(attested) OVER w AS was_attested, lag(signer) OVER w AS was_
 SELECT key, id, 'lost_attestation' AS drift FROM l WHERE was_attested AND NOT attested UNION ALL SELECT key, id, 'signer_changed' FROM l WHERE was_signer <> signer UNION ALL SELECT key, id, 'repo_changed' FROM l WHERE was_repo <> repo""",
     ),
     "r3_priority_queue": (r3_priority_queue, f"SELECT id, priority FROM (SELECT scan_id AS id, CASE scan_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'normal' WHEN 3 THEN 'low' END AS priority, scanned_at FROM {source('scans')}) ORDER BY CASE priority WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 3 END, scanned_at, id LIMIT 100"),
-    "r5_worker": (r5_worker, "SELECT DISTINCT CAST(o_orderkey % 5000 AS VARCHAR) AS id, CAST(o_orderkey % 5000 % 7 AS INTEGER) AS score FROM orders"),
+    "r5_worker": (r5_worker, f"{_WORKED} SELECT scan_id, score, verdict, findings, sha256('f' || source || '.txt:' || sha256(coalesce(text, ''))) AS digest FROM s"),
+    "r5_worker_feed": (r5_worker_feed, f"{_WORKED} SELECT scan_id, verdict, 'Scan ' || CAST(scan_id AS VARCHAR) || ': ' || verdict AS title FROM s WHERE verdict IN ('HIGH_RISK', 'CRITICAL_RISK')"),
+    "r1_cursor_changes": (r1_cursor_changes, "SELECT o_orderkey AS serial, 'pkg-' || CAST(o_custkey AS VARCHAR) AS package, '1.' || CAST(o_orderkey % 9 AS VARCHAR) AS version FROM orders WHERE o_custkey % 50 > 1"),
+    "r4_timed_retries": (
+        r4_timed_retries,
+        f"""WITH RECURSIVE {_ROWS}, r AS (SELECT key, id, k, us, failed, CASE WHEN failed THEN 1 ELSE 0 END AS n FROM n WHERE k = 1
+ UNION ALL SELECT n.key, n.id, n.k, n.us, n.failed, CASE WHEN NOT n.failed THEN 0 WHEN r.n = 4 THEN 1 ELSE r.n + 1 END FROM r JOIN n ON n.key = r.key AND n.k = r.k + 1),
+w AS (SELECT *, CASE n WHEN 1 THEN 60 WHEN 2 THEN 300 WHEN 3 THEN 1800 ELSE 0 END AS wait FROM r WHERE failed)
+SELECT key, id, CASE WHEN n = 4 THEN 'dead' ELSE 'retry' END AS outcome, round(us / 1000000::DOUBLE + wait, 3) AS "at", CAST(n AS INTEGER) AS tries FROM w
+WHERE n = 4 OR ceil(us / 1000::DOUBLE + wait * 1000) <= (SELECT max(us) // 1000 FROM n)""",
+    ),
     "r4_retries": (
         r4_retries,
         f"""WITH RECURSIVE {_ROWS}, r AS (SELECT key, id, k, CASE WHEN failed THEN 1 ELSE 0 END AS tries, CASE WHEN failed THEN 'retry' ELSE 'done' END AS outcome FROM n WHERE k = 1
@@ -151,3 +214,5 @@ SELECT key, id, 'lost_attestation' AS drift FROM l WHERE was_attested AND NOT at
 SELECT outcome, count(*) AS events FROM r GROUP BY 1""",
     ),
 }
+QUERIES["r10_timed_alerts"] = (r10_timed_alerts, QUERIES["r10_alerts"][1])
+QUERIES["r19_timed_buckets"] = (r19_timed_buckets, QUERIES["r19_token_bucket"][1])
