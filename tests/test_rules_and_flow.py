@@ -101,3 +101,83 @@ def test_flow(spark, files):
     assert sorted((r.scan_id, r.rule) for r in kept.collect()) == [(1, "LIC"), (1, "UNICODE-3"), (4, "EVAL")]
     scored = {r.scan_id: (r.score, r.verdict, r.findings) for r in flow.verdicts(kept, files).collect()}
     assert set(scored) == {1, 2, 3, 4} and scored[3] == (0, "LOW_RISK", 0) and scored[4][2] == 1
+
+
+def test_tree_with_ignore_files(spark, tmp_path):
+    from vigilake.sources import trees
+
+    files = {
+        "a.py": "x", ".env": "KEY=1", ".gitignore": "*.log\n!keep.log\nbuilt/\n/top.txt\n", "run.log": "", "keep.log": "k", "built/x.py": "", "built/deep/keep.log": "", "top.txt": "", "sub/top.txt": "t",
+        "sub/.gitignore": "!run.log\nsecret*\n", "sub/run.log": "r", "sub/secret.txt": "", "sub/in/.gitignore": "!secret.txt\n**/gone\n", "sub/in/secret.txt": "s", "sub/in/a/gone": "", "node_modules/m/x.js": "",
+        ".git/config": "", "bin": "a\0b", ".scanignore": "sub/in/a/\n", "sub/in/a/b.txt": "", "x y/é.txt": "é",
+    }
+    for path, text in files.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    (tmp_path / "link.py").symlink_to(tmp_path / "a.py")
+    ignoring = {".gitignore", "sub/.gitignore", "sub/in/.gitignore", ".scanignore"}
+    got = {r.path: (r.length, r.text) for r in trees.tree(spark, str(tmp_path)).collect()}
+    assert set(got) - ignoring == {"a.py", ".env", "keep.log", "sub/top.txt", "sub/run.log", "sub/in/secret.txt", "x y/é.txt"}
+    assert got["x y/é.txt"] == (2, "é") and got[".env"] == (5, "KEY=1")
+    (tmp_path / ".git").rename(tmp_path / "not-git")
+    open_tree = {r.path for r in trees.tree(spark, str(tmp_path)).collect()}
+    assert {"run.log", "built/x.py", "top.txt", "sub/secret.txt", "sub/in/a/gone"} - open_tree == {"sub/in/a/gone"} and "sub/in/a/b.txt" not in open_tree
+    spark.dataSource.register(trees.Tree)
+    few = spark.read.format("tree").options(path=str(tmp_path), folders=2, contents="false").load()
+    many = spark.read.format("tree").options(path=str(tmp_path), folders=1000).load()
+    assert sorted(r.path for r in few.collect()) == sorted(r.path for r in many.collect()) and few.where("content is not null").count() == 0
+    assert spark.read.format("tree").options(path=str(tmp_path / "none")).load().count() == 0
+
+
+def test_chains_of_copies(spark):
+    from vigilake.operators import dataflow
+
+    text = "a = input()\nb = a\nc = g(b, 1)\na = 3\neval(c); eval(a)\nconst d = b;\nos.system(d)\nz == input()\nb = 2\neval(b)\nif x: eval(q)"
+    rows = [("f", text), ("clean", text + "\nescape(x)"), ("none", None), ("late", "eval(a)\na = input()"), ("self", "a = input()\na = a + 1\neval(a)")]
+    got = dataflow.flows(spark.createDataFrame(rows, "path string, text string"), ["input()"], ["eval(", "os.system("], ["escape("])
+    want = [("eval(", 1, 5, 2), ("os.system(", 1, 7, 2)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted([(p, "input()", s, f, last, h, p == "clean") for p in ("f", "clean") for s, f, last, h in want] + [("self", "input()", "eval(", 1, 3, 1, False)])
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8, 1.0])
+def test_similar_sets_are_those_of_brute_force(spark, least):
+    import random
+
+    from vigilake.operators import setjoin
+
+    rng = random.Random(9)
+    sets = [(i, list({rng.randint(0, 30) for _ in range(rng.randint(1, 7))} | ({99} if i % 3 == 0 else set())) + [1] * (i % 5 == 0)) for i in range(250)] + [(900, []), (901, None)]
+    frame = spark.createDataFrame(sets, "id int, items array<int>")
+    own = [(i, set(s)) for i, s in sets if s]
+    pairs = [(i, j, len(s & t), len(s), len(t)) for k, (i, s) in enumerate(own) for j, t in own[k + 1 :]]
+    for most in (4096, 7):
+        jaccard = {(r.a, r.b): r.jaccard for r in setjoin.by_jaccard(frame, least, most).collect()}
+        assert jaccard == {(i, j): s / (n + m - s) for i, j, s, n, m in pairs if s / (n + m - s) >= least}
+        larger = setjoin.by_larger(frame, least, most).collect()
+        assert len(larger) == len({(r.a, r.b) for r in larger}) and {(r.a, r.b): r.share for r in larger} == {(i, j): s / max(n, m) for i, j, s, n, m in pairs if s / max(n, m) >= least}
+
+
+def test_few_pairs_meet_at_a_frequent_item(spark):
+    """Large sets that share nothing but one item of all sets never meet there."""
+    from pyspark.sql import functions as F
+
+    from vigilake.operators import setjoin
+
+    sets = spark.range(3000).select("id", F.array_append(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.col("id") * 10 + k), F.lit(-1).cast("long")).alias("items"))
+    assert setjoin.prefixes(sets, 0.5).where("item = -1").count() == 0 and setjoin.by_jaccard(sets, 0.5).count() == 0
+
+
+def test_percentiles_of_large_and_odd_groups(spark):
+    from pyspark.sql import functions as F
+
+    from vigilake.operators import scoring
+
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") < 5, None).otherwise("cold").alias("g"), F.when(F.col("id") % 50 > 0, F.floor(F.col("id") * 7919 % 4001 / 10)).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([("one", 5)], "g string, v long")).repartition(7)
+    shares = {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    held = {}
+    for r in rows.collect():
+        held.setdefault(r.g, []).append(r.v)
+    want = {g: tuple(sorted(v, key=lambda x: (x is not None, x or 0))[min(int(len(v) * p), len(v) - 1)] for p in shares.values()) for g, v in held.items()}
+    assert {r.g: (r.p0, r.p50, r.p90, r.p100) for r in scoring.sorted_percentiles(rows, "g", "v", shares).collect()} == want
+    assert scoring.sorted_percentiles(rows.limit(0), "g", "v", shares).count() == 0

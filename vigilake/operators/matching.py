@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from . import setjoin
 
 # What fits what among tools.
 PROTOCOL_FITS = {"HTTP": ["HTTP", "REST", "Webhook"], "WebSocket": ["WebSocket", "HTTP"], "gRPC": ["gRPC", "HTTP"], "GraphQL": ["GraphQL", "HTTP"], "Webhook": ["Webhook", "HTTP"]}
@@ -63,15 +64,13 @@ def _classes(members: DataFrame) -> DataFrame:
 def shared_variable_classes(members: DataFrame, least: float = 0.3) -> DataFrame:
     """a, b (a <= b), score, tools_a, tools_b: classes of item_classes by the share of common items in the larger set; with itself if a class has two tools.
 
-    Each tool of a matches each other tool of b. Work grows with the pairs of different sets, not of tools.
+    Each tool of a matches each other tool of b. Classes meet by the rare items of their sets only.
     """
-    own = _classes(members)
-    a, b = own.alias("a"), own.alias("b")
-    own_pair = (F.col("a.class") < F.col("b.class")) | ((F.col("a.class") == F.col("b.class")) & (F.col("a.tools") > 1))
-    pairs = a.join(b, (F.col("a.item") == F.col("b.item")) & own_pair).groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(
-        (F.count("*") / F.max(F.greatest("a.size", "b.size"))).alias("s"), F.max("a.tools").alias("tools_a"), F.max("b.tools").alias("tools_b")
-    )
-    return pairs.where(F.col("s") >= least).select("a", "b", F.round("s", 6).alias("score"), "tools_a", "tools_b")
+    own = members.groupBy("class").agg(F.count("*").alias("tools"))
+    pairs = setjoin.by_larger(own.select(F.col("class").alias("id"), F.from_json("class", "array<string>").alias("items")), least)
+    pairs = pairs.join(own.select(F.col("class").alias("a"), F.col("tools").alias("tools_a")), "a").join(own.select(F.col("class").alias("b"), F.col("tools").alias("tools_b")), "b")
+    itself = own.where("tools > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("score"), F.col("tools").alias("tools_a"), F.col("tools").alias("tools_b"))
+    return pairs.select("a", "b", F.round("share", 6).alias("score"), "tools_a", "tools_b").unionByName(itself)
 
 
 def _fitting(item: Column, fits: dict[str, list[str]]) -> Column:
@@ -241,11 +240,8 @@ def pattern_groups(findings: DataFrame) -> DataFrame:
 
 
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:
-    """a, b (a < b), jaccard over least of sets(id, items); pairs share an item. Meant for classes of equal sets, whose number is bounded by the items."""
-    own = sets.select("id", F.size(F.array_distinct("items")).alias("n"), F.explode(F.array_distinct("items")).alias("item"))
-    a, b = own.alias("a"), own.alias("b")
-    pairs = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("s"))
-    return pairs.select("a", "b", F.round(F.col("s") / (F.col("n") + F.col("m") - F.col("s")), 6).alias("jaccard")).where(F.col("jaccard") > least)
+    """a, b (a < b), jaccard over least of sets(id, items). Meant for classes of equal sets; they meet by their rare items only."""
+    return setjoin.by_jaccard(sets, least).select("a", "b", F.round("jaccard", 6).alias("jaccard")).where(F.col("jaccard") > least)
 
 
 def root_cause_similarity(findings: DataFrame, keys: list[str], lines: int = 50) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import severity as S
+from ..streaming.runs import shared_path
 
 
 def scan_scores(findings: DataFrame, least_severity: str | None = None) -> DataFrame:
@@ -103,11 +104,24 @@ def detection_rates(samples: DataFrame) -> DataFrame:
 
 
 def sorted_percentiles(values: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """For each group the values at the places floor(n * share) of the sorted values, not interpolated.
+    """For each group the values at the places floor(n * share) of the sorted values, not interpolated. Null values are the least; a null group is one.
 
-    Ranks and counts are windows over the group, so no group is gathered into an array.
+    Equal values are counted first, then sorted over all tasks by group and value, so a group of any size lies in many of them. A value's place is
+    its place in its part of the group, after what the parts before it hold: one number for a group and part.
     """
-    from pyspark.sql import Window
-
-    rows = values.select(group, value, (F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1).alias("at"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    return rows.groupBy(group).agg(*[F.max(F.when(F.col("at") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value))).alias(k) for k, p in shares.items()])
+    counted = values.groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    path = shared_path(values.sparkSession, "percentiles")
+    counted.repartitionByRange("g", "v").sortWithinPartitions("g", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    rows = values.sparkSession.read.parquet(path)
+    sums = rows.groupBy("g", "part").agg(F.sum("n").alias("m"))
+    ordered = Window.partitionBy("g").orderBy("part")
+    parts = sums.select(F.col("g").alias("g2"), F.col("part").alias("part2"), (F.sum("m").over(ordered) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("g")).alias("all"))
+    inside = Window.partitionBy("g", "part").orderBy("v")
+    placed = rows.withColumn("upto", F.sum("n").over(inside)).join(parts, F.col("g").eqNullSafe(F.col("g2")) & (F.col("part") == F.col("part2")))
+    end = F.col("before") + F.col("upto")
+
+    def at(share: float) -> Column:
+        place = F.least(F.floor(F.col("all") * share), F.col("all") - 1)
+        return F.max(F.when((place < end) & (place >= end - F.col("n")), F.col("v")))
+
+    return placed.groupBy(F.col("g").alias(group)).agg(*[at(p).alias(k) for k, p in shares.items()])

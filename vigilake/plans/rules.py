@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import content as C
-from ..operators import flow, rulescan
+from ..operators import dataflow, flow, rulescan, setjoin
+from ..sources import trees
+from ..streaming.runs import shared_path
 from .inputs import read
 from .text import RULES, _FOUND, _LINES, _PATH, _files, _values
 
@@ -104,7 +106,76 @@ a AS (SELECT doc_id AS scan_id, rule, run AS phase, severity, weight, line FROM
  UNION ALL SELECT doc_id, 'PROV-1', 'provenance', 'LOW', 1, 0 FROM d WHERE n = 3),
 k AS (SELECT * FROM a WHERE scan_id % 11 > 0 OR scan_id IN (SELECT scan_id FROM a WHERE rule = 'EVAL'))"""
 
+
+#: A program for each document: a value from an entry handed on over up to ten names, with lines of the document between, and one of the names given anew.
+_CHAIN = """concat(case when doc_id % 4 = 0 then 'v0 = request.args' when doc_id % 4 = 1 then 'let v0 = input()' else 'v0 = 5' end, chr(10), text, chr(10),
+ concat_ws(chr(10), transform(sequence(1, cast(1 + doc_id % 10 as int)), i -> concat('v', i, ' = f(v', i - 1, ', w', i, ')'))), chr(10),
+ case when doc_id % 7 = 0 then 'v1 = 0' when doc_id % 7 = 1 then 'v0 = input() + v1' when doc_id % 7 = 2 then 'v0 == input()' else 'x = escape(v0)' end, chr(10), 'v3 = v1', chr(10),
+ case when doc_id % 3 = 0 then concat('eval(v', 1 + doc_id % 10, ')') when doc_id % 3 = 1 then 'y = os.system(v3); eval(v1)' else 'os.system(v0)' end)"""
+_SOURCES, _SINKS, _CLEANERS = ["input()", "request.args"], ["eval(", "os.system("], ["escape("]
+
+
+def p33_def_use_chains(spark, sf):
+    files = read(spark, sf, "documents").selectExpr("cast(doc_id as string) as path", f"{_CHAIN} as text")
+    return dataflow.flows(files, _SOURCES, _SINKS, _CLEANERS).withColumn("path", F.col("path").cast("long"))
+
+
+_CHAINS = rf"""WITH RECURSIVE d AS (SELECT doc_id, {_CHAIN.replace("transform(sequence(1, cast(1 + doc_id % 10 as int)), i -> concat('v', i, ' = f(v', i - 1, ', w', i, ')'))", "array_to_string([('v' || i || ' = f(v' || (i - 1) || ', w' || i || ')') for i in range(1, 2 + doc_id % 10)], chr(10))")} AS text FROM documents),
+l AS (SELECT doc_id, u.i AS line, lines[u.i] AS body FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS lines FROM d), unnest(range(1, len(lines) + 1)) AS u(i)),
+g AS (SELECT doc_id, line, regexp_extract(body, '^\s*(?:(?:const|let|var)\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=([^=].*)?$', 1) AS name, regexp_extract(body, '^\s*(?:(?:const|let|var)\s+)?[A-Za-z_][A-Za-z0-9_]*\s*=([^=].*)?$', 1) AS value FROM l),
+a AS (SELECT * FROM g WHERE name <> ''),
+k(sink) AS (VALUES ('eval('), ('os.system(')), e(entry) AS (VALUES ('input()'), ('request.args')),
+s AS (SELECT doc_id, line, sink, substr(body, instr(body, sink) + length(sink)) AS rest FROM l JOIN k ON contains(body, sink)),
+c AS (SELECT DISTINCT u.doc_id, u.line AS line, max(a.line) OVER (PARTITION BY u.doc_id, u.line, u.var) AS source FROM (SELECT doc_id, line, unnest(regexp_extract_all(value, '[A-Za-z_][A-Za-z0-9_]*')) AS var FROM a) u JOIN a ON a.doc_id = u.doc_id AND a.name = u.var AND a.line < u.line),
+t AS (SELECT DISTINCT u.doc_id, u.line AS line, sink, max(a.line) OVER (PARTITION BY u.doc_id, u.line, sink, u.var) AS source FROM (SELECT doc_id, line, sink, unnest(regexp_extract_all(rest, '[A-Za-z_][A-Za-z0-9_]*')) AS var FROM s) u JOIN a ON a.doc_id = u.doc_id AND a.name = u.var AND a.line < u.line),
+r AS (SELECT doc_id, entry, line AS first, line AS "at", 0 AS hops FROM a JOIN e ON contains(value, entry) UNION SELECT r.doc_id, entry, first, c.line, hops + 1 FROM r JOIN c ON c.doc_id = r.doc_id AND c.source = r."at")
+SELECT r.doc_id AS path, entry, sink, CAST(first AS INTEGER) AS first, CAST(t.line AS INTEGER) AS last, CAST(min(hops) AS INTEGER) AS hops, bool_or(contains(text, 'escape(')) AS sanitized FROM r JOIN t ON t.doc_id = r.doc_id AND t.source = r."at" JOIN d ON d.doc_id = r.doc_id GROUP BY ALL"""
+
+
+def _order_sets(spark, sf):
+    """The goods of each order, and one that a third of all orders has."""
+    rows = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.expr("l_partkey % 300")).alias("items"))
+    return rows.select(F.col("l_orderkey").alias("id"), F.when(F.col("l_orderkey") % 3 == 0, F.array_union("items", F.array(F.lit(-1).cast("long")))).otherwise(F.col("items")).alias("items"))
+
+
+def u6_similar_orders(spark, sf):
+    return setjoin.by_jaccard(_order_sets(spark, sf), 0.6).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def j12_overlapping_orders(spark, sf):
+    return setjoin.by_larger(_order_sets(spark, sf), 0.6).select("a", "b", F.round("share", 6).alias("share"))
+
+
+_ORDERS = """WITH s AS (SELECT DISTINCT l_orderkey AS id, l_partkey % 300 AS item FROM lineitem UNION SELECT DISTINCT l_orderkey, -1 FROM lineitem WHERE l_orderkey % 3 = 0),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT x.id AS a, y.id AS b, count(*) AS s FROM s x JOIN s y ON x.item = y.item AND x.id < y.id GROUP BY 1, 2),
+q AS (SELECT a, b, s, x.n AS n, y.n AS m FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b)"""
+
+#: Where documents go in a tree: a folder by source, one of five below it, and a name.
+_TREE_PATH = "concat(source, '/d', doc_id % 5, '/', case when doc_id % 4 = 0 then 'node_modules/' when doc_id % 4 = 1 then 'sub/' else '' end, doc_id, '-', case doc_id % 7 when 0 then 'x' when 1 then 'notes.txt' when 2 then 'run.log' when 3 then 'keep.log' when 4 then 'tmp.js' else 'y.md' end)"
+
+
+def s1_tree_walk(spark, sf):
+    """Documents written to files, and read back but for what ignore files at three levels leave out."""
+    files = read(spark, sf, "documents").selectExpr(f"case when doc_id % 11 = 0 then concat(source, '/.hidden/', doc_id) else {_TREE_PATH} end as path", "text")
+    tops = read(spark, sf, "documents").select("source").distinct()
+    ignoring = spark.createDataFrame([(".scanignore", "# logs\n*.log\n!*-keep.log\n")], "path string, text string")
+    ignoring = ignoring.unionByName(tops.selectExpr("concat(source, '/.scanignore') as path", "'d3/\n/d4/sub\n' as text"))
+    ignoring = ignoring.unionByName(tops.selectExpr("concat(source, '/d1/.scanignore') as path", "concat('*.js', char(10), '!sub/*.js', char(10), '*-keep.log') as text"))
+    root = shared_path(spark, "tree")
+    trees.write_tree(files.unionByName(ignoring), root)
+    found = trees.tree(spark, root).where("not endswith(path, '.scanignore')")
+    return found.select("path", "length", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_WALKED = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, doc_id % 5 AS d, doc_id % 7 AS n, doc_id % 4 AS s, doc_id % 11 = 0 AS hidden FROM documents)
+SELECT CASE WHEN hidden THEN source || '/.hidden/' || doc_id ELSE {_TREE_PATH} END AS path, CAST(strlen(text) AS BIGINT) AS length, md5(text) AS digest FROM d
+WHERE hidden OR (s > 0 AND n <> 2 AND d <> 3 AND NOT (d = 4 AND s = 1) AND NOT (d = 1 AND n = 3) AND NOT (d = 1 AND n = 4 AND s <> 1))"""
+
 QUERIES = {
+    "s1_tree_walk": (s1_tree_walk, _WALKED),
+    "p33_def_use_chains": (p33_def_use_chains, _CHAINS),
+    "u6_similar_orders": (u6_similar_orders, f"{_ORDERS} SELECT a, b, round(s / (n + m - s)::DOUBLE, 6) AS jaccard FROM q WHERE s / (n + m - s)::DOUBLE >= 0.6"),
+    "j12_overlapping_orders": (j12_overlapping_orders, f"{_ORDERS} SELECT a, b, round(s / greatest(n, m)::DOUBLE, 6) AS share FROM q WHERE s / greatest(n, m)::DOUBLE >= 0.6"),
     "p1_automaton_scan": (p1_automaton_scan, f"WITH {_LINES}, s AS (SELECT doc_id AS id, line, body FROM l), {_generated_sql(200, 's')} SELECT id AS doc_id, CAST(line AS INTEGER) AS line, rule, severity FROM f"),
     "j1_automaton_rules": (j1_automaton_rules, f"WITH {_LINES}, s AS (SELECT doc_id AS id, line, body FROM l), {_generated_sql(2000, 's')} SELECT rule, severity, count(*) AS findings, count(DISTINCT id) AS files, min(id) AS first FROM f GROUP BY 1, 2"),
     "j1_automaton_pages": (

@@ -40,11 +40,11 @@ def excluded(path: Column, ignore: list[str]) -> Column:
     return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), F.array(*[F.lit(x) for x in [*EXCLUDED, *ignore]])) & (F.size(parts) > 1)
 
 
-def ignore_pattern(base: str, line: str) -> tuple[bool, str] | None:
-    """(kept, pattern) of a line of an ignore file that stands in folder base ("" for the root); None for blank lines and comments.
+def ignore_parts(base: str, line: str) -> tuple[bool, str, bool] | None:
+    """(kept, pattern, only folders) of a line of an ignore file that stands in folder base ("" for the root); None for blank lines and comments.
 
     A leading ! keeps what earlier lines ignored; a trailing slash means folders; a slash elsewhere ties the line to base; * and ? stop at
-    slashes, ** does not; a folder takes all that is below it.
+    slashes, ** does not. The pattern is of a whole path.
     """
     body = line.rstrip()
     if not body or body.startswith("#"):
@@ -56,7 +56,13 @@ def ignore_pattern(base: str, line: str) -> tuple[bool, str] | None:
     parts = re.split(r"(/\*\*/|\*\*/|/\*\*|\*\*|\*|\?|\[[^\]/]+\])", body)
     glob = "".join(signs.get(x) or (x.replace("[!", "[^") if x.startswith("[") else re.escape(x)) for x in parts if x)
     start = "^" + (re.escape(base.rstrip("/") + "/") if base else "")
-    return kept, start + ("" if tied else "(?:.*/)?") + glob + ("/.*$" if folder else "(?:/.*)?$")
+    return kept, start + ("" if tied else "(?:.*/)?") + glob + "$", folder
+
+
+def ignore_pattern(base: str, line: str) -> tuple[bool, str] | None:
+    """(kept, pattern) of a line as in ignore_parts, for the path of a file; a folder takes all that is below it."""
+    found = ignore_parts(base, line)
+    return found and (found[0], found[1].removesuffix("$") + ("/.*$" if found[2] else "(?:/.*)?$"))
 
 
 def ignored(path: Column, rules: list[tuple[str, str]]) -> Column:
