@@ -109,18 +109,6 @@ def snake_phase(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "(?<=[a-z])(?=[A-Z])", "_"))
 
 
-def evidence_pattern(package: Column, evidence: Column) -> Column:
-    """The evidence where it looks like a balanced pattern, else one that finds the package being imported."""
-    looks = evidence.rlike(r"[\[\](){}*+?|\\^$]")
-
-    def count(sign):
-        return F.length(evidence) - F.length(F.replace(evidence, F.lit(sign), F.lit("")))
-
-    balanced = (count("(") == count(")")) & (count("[") == count("]")) & ~evidence.rlike(r"^[*+?]|\\$")
-    safe = F.regexp_replace(package, r"([.\\+*?^$()\[\]{}|-])", r"\\$1")
-    fallback = F.concat(F.lit(r"(import\s+"), safe, F.lit(r"|require\s*\(\s*['\"]("), safe, F.lit(r")['\"])"))
-    return F.when(looks & balanced, evidence).otherwise(fallback)
-
 
 def stable_id(*parts: Column) -> Column:
     """A UUID from a hash of the parts, and the same for the same parts."""

@@ -22,11 +22,29 @@ def best_scan(scans: DataFrame) -> DataFrame:
     return scans.withColumn("__n", F.row_number().over(rank)).where("__n = 1").drop("__n")
 
 
-def rescan_due(scans: DataFrame, now: Column) -> DataFrame:
-    """ecosystem, package, scan_id, days of the packages whose latest scan is older than its verdict allows."""
-    days = F.datediff(now, F.col("scanned_at"))
-    allowed = F.when(F.col("verdict") == "CRITICAL_RISK", 30).when(F.col("verdict") == "HIGH_RISK", 60).when(F.col("verdict") == "MEDIUM_RISK", 120).otherwise(240)
-    return latest_scan(scans).where(days > allowed).select("ecosystem", "package", "scan_id", days.alias("days"))
+#: Verdicts that are risky.
+RISKY = ["HIGH_RISK", "CRITICAL_RISK"]
+# Days after which a risky package and any other one is scanned again.
+RISKY_DAYS, OTHER_DAYS = 7, 90
+
+
+def rescan_due(scans: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
+    """ecosystem, package, scan_id, verdict, days of the packages whose latest scan without error is old enough; with a limit the first ones, risky before others and then the oldest."""
+    days, risky = F.datediff(now, F.col("scanned_at")), F.col("verdict").isin(RISKY)
+    due = latest_scan(scans.where("verdict <> 'ERROR'")).where((risky & (days >= RISKY_DAYS)) | (days >= OTHER_DAYS))
+    if limit is not None:
+        due = due.orderBy(F.desc(risky), "scanned_at", "scan_id").limit(limit)
+    return due.select("ecosystem", "package", "scan_id", "verdict", days.alias("days"))
+
+
+def rescan_allowance(scans: DataFrame, times: list, most: int) -> DataFrame:
+    """at, recent, allowed: for each of a few times how many scans were made again in the hour before, and whether another one may be. scans have rescanned_at."""
+    spark, name = scans.sparkSession, "at timestamp_ntz"
+    asked = spark.createDataFrame([(t,) for t in times], name)
+    instants = F.explode(F.array(*[F.lit(t).cast("timestamp_ntz") for t in times]))
+    rows = scans.select(instants.alias("at"), "rescanned_at").where((F.col("rescanned_at") > F.col("at") - F.expr("interval 1 hour")) & (F.col("rescanned_at") <= F.col("at")))
+    counted = rows.groupBy("at").agg(F.count("*").alias("recent"))
+    return asked.join(counted, "at", "left").select("at", F.coalesce("recent", F.lit(0)).cast("long").alias("recent")).withColumn("allowed", F.col("recent") < most)
 
 
 def rescan_priority(verdict: Column, findings: Column, downloads: Column, days: Column) -> Column:
@@ -83,12 +101,15 @@ def trust_changes(tools: DataFrame, since: Column, until: Column, least: int = 1
 
 
 def registry_stats(scans: DataFrame) -> DataFrame:
-    """One row: scans without errors, distinct packages, and threats."""
-    return scans.agg(
-        F.count_if(F.col("verdict") != "ERROR").alias("total_scans"),
-        F.count_distinct("ecosystem", "package").alias("packages"),
-        F.count_if(F.col("verdict").isin("HIGH_RISK", "CRITICAL_RISK")).alias("threats"),
-    )
+    """kind, value, n: scans without errors, packages and threats in all; scans by ecosystem, errors too; and scans without errors by verdict. Null counts as unknown, or as LOW_RISK."""
+    good = F.col("verdict") != "ERROR"
+    by = scans.groupBy("ecosystem", "package", "verdict").agg(F.count("*").alias("n"))
+    total = by.agg(F.sum(F.when(good, F.col("n"))).alias("total_scans"), F.count_distinct("ecosystem", "package").alias("packages"), F.sum(F.when(F.col("verdict").isin(RISKY), F.col("n"))).alias("threats"))
+    named = F.explode(F.create_map(*[x for c in ("total_scans", "packages", "threats") for x in (F.lit(c), F.coalesce(F.col(c), F.lit(0)).cast("long"))])).alias("value", "n")
+    parts = [total.select(F.lit("total").alias("kind"), named)]
+    parts.append(by.groupBy(F.coalesce("ecosystem", F.lit("unknown")).alias("value")).agg(F.sum("n").alias("n")).select(F.lit("ecosystem").alias("kind"), "value", "n"))
+    parts.append(by.where(good).groupBy(F.coalesce("verdict", F.lit("LOW_RISK")).alias("value")).agg(F.sum("n").alias("n")).select(F.lit("verdict").alias("kind"), "value", "n"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def trust_histogram(scans: DataFrame) -> DataFrame:
@@ -102,11 +123,11 @@ def trust_histogram(scans: DataFrame) -> DataFrame:
 
 
 def category_stats(tools: DataFrame) -> DataFrame:
-    """category, ecosystem, tools, mean trust; ecosystem 'all' is the whole category. One pass by grouping sets."""
+    """category, ecosystem, tools, mean confidence, confident (over 0.8); ecosystem 'all' is the whole category. One pass by grouping sets."""
     out = tools.groupingSets([("category", "ecosystem"), ("category",)], "category", "ecosystem").agg(
-        F.grouping("ecosystem").alias("__all"), F.count("*").alias("tools"), F.round(F.avg(100 - F.col("risk_score")), 4).alias("trust")
+        F.grouping("ecosystem").alias("__all"), F.count("*").alias("tools"), F.round(F.avg("confidence"), 4).alias("confidence"), F.count_if(F.col("confidence") > 0.8).alias("confident")
     )
-    return out.select("category", F.when(F.col("__all") == 1, "all").otherwise(F.col("ecosystem")).alias("ecosystem"), "tools", "trust")
+    return out.select("category", F.when(F.col("__all") == 1, "all").otherwise(F.col("ecosystem")).alias("ecosystem"), "tools", "confidence", "confident")
 
 
 def search(scans: DataFrame, text: str, offset: int, page: int, **equal) -> DataFrame:
@@ -136,26 +157,43 @@ def needs_classification(tools: DataFrame, classified: DataFrame, keys: list[str
     return tools.join(known, same, "left").where("classified_at is null or scanned_at > classified_at").select(*tools.columns)
 
 
-def version_shares(scans: DataFrame) -> DataFrame:
-    """One row: scans by scanner generation and the share that has migrated."""
-    v1, v2 = F.count_if(F.col("scanner").startswith("1.")), F.count_if(F.col("scanner").startswith("2."))
-    return scans.agg(F.count("*").alias("scans"), v1.alias("v1"), v2.alias("v2"), F.round(v2 * 100 / F.count("*"), 1).alias("migrated"))
+def version_shares(scans: DataFrame, now: Column) -> DataFrame:
+    """One row of the scans of the 90 days before now: all, those of scanner 1.0.0 (or unknown) and of 2.0.0, the share of the latter, by how much scores fell on average where they fell (0 elsewhere), and the day on which
+    the rest is done at the rate since the first rescan. scans have scanner, risk_score, original_score, created_at, rescanned_at.
+    """
+    recent = scans.where(F.col("created_at") >= now - F.expr("interval 90 days"))
+    fell = F.when(F.col("original_score").isNotNull() & (F.col("risk_score") < F.col("original_score")), (F.col("original_score") - F.col("risk_score")) * 100.0 / F.col("original_score")).otherwise(0.0)
+    v1, v2 = F.count_if(F.coalesce("scanner", F.lit("1.0.0")) == "1.0.0"), F.count_if(F.col("scanner") == "2.0.0")
+    now_row = recent.agg(F.count("*").alias("scans"), v1.alias("v1"), v2.alias("v2"), F.coalesce(F.round(F.avg(fell), 2), F.lit(0.0)).alias("reduction"))
+    again = scans.where("scanner = '2.0.0' and rescanned_at is not null").agg((F.count("*") / F.greatest(F.lit(1), F.datediff(now, F.min("rescanned_at")))).alias("rate"))
+    both = now_row.crossJoin(F.broadcast(again))  # one row each
+    end = F.when((F.col("v2") > 0) & (F.col("rate") > 0), F.date_add(F.to_date(now), F.floor(F.col("v1") / F.col("rate")).cast("int")))
+    share = F.when(F.col("scans") > 0, F.round(F.col("v2") * 100 / F.col("scans"), 2)).otherwise(0.0)
+    return both.select("scans", "v1", "v2", share.alias("migrated"), "reduction", end.alias("done"))
 
 
 def scanner_metrics(scans: DataFrame) -> DataFrame:
-    """scanner, scans, mean score, mean confidence of the scans that have one, false-positive estimate."""
-    severe = F.count_if(F.col("verdict").isin("HIGH_RISK", "CRITICAL_RISK"))
-    rate = F.when(F.col("scanner").startswith("1."), 0.36).otherwise(0.05)
-    return (
-        scans.groupBy("scanner")
-        .agg(F.count("*").alias("scans"), F.round(F.avg("risk_score"), 4).alias("mean_score"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), severe.alias("severe"))
-        .withColumn("false_positives", F.round(F.col("severe") * rate * 100 / F.col("scans"), 1))
+    """version, scans, mean_score, mean_confidence, severe, false_positives by generation of the scanner, errors left out; an unknown scanner is of the first.
+
+    Means are those of each day and verdict, weighted by all its scans; days without any confidence don't count there.
+    """
+    version = F.concat(F.split(F.coalesce("scanner", F.lit("1.0.0")), r"\.")[0], F.lit(".x"))
+    days = scans.where("verdict <> 'ERROR'").groupBy(version.alias("version"), "verdict", F.to_date("scanned_at").alias("day")).agg(
+        F.count("*").alias("n"), F.coalesce(F.avg("risk_score"), F.lit(0.0)).alias("score"), F.avg("confidence").alias("sure")
     )
+    severe = F.sum(F.when(F.col("verdict").isin(RISKY), F.col("n")).otherwise(0))
+    sure = F.sum(F.col("sure") * F.col("n")) / F.sum(F.when(F.col("sure").isNotNull(), F.col("n")))
+    by = days.groupBy("version").agg(F.sum("n").alias("scans"), F.round(F.sum(F.col("score") * F.col("n")) / F.sum("n"), 2).alias("mean_score"), F.round(sure, 3).alias("mean_confidence"), severe.cast("long").alias("severe"))
+    rate = F.when(F.col("version") == "1.x", 0.36).otherwise(0.05)
+    return by.withColumn("false_positives", F.round(F.col("severe") * rate * 100 / F.col("scans"), 1))
 
 
 def confidence_distribution(scans: DataFrame) -> DataFrame:
-    level = F.when(F.col("confidence").isNull(), "none").when(F.col("confidence") < 0.3, "low").when(F.col("confidence") < 0.6, "medium").otherwise("high")
-    return scans.groupBy("scanner", level.alias("level"), "verdict").agg(F.count("*").alias("scans"))
+    """version, verdict, confidence (to a tenth), level, scans of the scans with a confidence that are no errors: under 0.3 they are likely false positives, under 0.6 of low confidence, else of high."""
+    sure = F.col("confidence")
+    level = F.when(sure < 0.3, "likely_false_positive").when(sure < 0.6, "low_confidence").otherwise("high_confidence")
+    rows = scans.where("verdict <> 'ERROR' and confidence is not null")
+    return rows.groupBy(F.coalesce("scanner", F.lit("1.0.0")).alias("version"), "verdict", F.round(sure, 1).alias("confidence"), level.alias("level")).agg(F.count("*").alias("scans"))
 
 
 def running_total(scans: DataFrame) -> DataFrame:

@@ -51,15 +51,42 @@ def confidence_summary(findings: DataFrame) -> DataFrame:
     )
 
 
-def threat_scores(findings: DataFrame) -> DataFrame:
-    """By scan: the phase scores added up, at most 10, and flags for many phases, files and severe findings."""
-    points = S.lookup(F.col("severity"), {"CRITICAL": 4.0, "HIGH": 3.0, "MEDIUM": 2.0, "LOW": 1.0}, 0.0)
-    return findings.groupBy("scan_id").agg(
-        F.least(F.sum(points), F.lit(10.0)).alias("threat_score"),
-        (F.count_distinct("phase") >= 3).alias("multi_phase"),
-        (F.count_if(F.col("severity").isin("HIGH", "CRITICAL")) > 2).alias("many_severe"),
-        (F.count_distinct("file") > 5).alias("widespread"),
-    )
+# Kinds of threats by phase, and points of severities.
+THREATS = {
+    "install_hooks": "installation_threats", "code_patterns": "code_execution_threats", "network_exfil": "exfiltration_threats", "credentials": "credential_threats", "obfuscation": "evasion_threats",
+    "provenance": "supply_chain_threats", "prompt_injection": "ai_threats", "skill_security": "ai_threats", "llm_analysis": "advanced_threats",
+}
+THREAT_POINTS = {"INFO": 0.5, "LOW": 1.0, "MEDIUM": 2.0, "HIGH": 3.0, "CRITICAL": 5.0}
+
+
+def threat_kind(phase: Column) -> Column:
+    return F.coalesce(S.lookup(phase, THREATS), F.lit("unknown_threats"))
+
+
+def threat_categories(findings: DataFrame) -> DataFrame:
+    """scan_id, kind, severity, findings: what a scan has of each kind of threat and severity."""
+    return findings.groupBy("scan_id", threat_kind(F.col("phase")).alias("kind"), "severity").agg(F.count("*").alias("findings"))
+
+
+def threat_scores(findings: DataFrame, insights: DataFrame) -> DataFrame:
+    """By scan: risk and level, and whether threats come in many phases, with many sure insights, and in many files.
+
+    Each kind of threat scores severity times weight of its findings, and each category of insights(scan_id, category, confidence, adjustment, files) 3 and the adjustment times
+    confidence, at most 10 each; their sum is critical over 20, high over 15, medium over 8. Flags are for over 3 phases, over 2 insights surer than 0.8, and over 10 files of both.
+    """
+    points = F.coalesce(S.lookup(F.col("severity"), THREAT_POINTS), F.lit(1.0)) * F.coalesce("weight", F.lit(1))
+    static = findings.groupBy("scan_id", threat_kind(F.col("phase")).alias("kind")).agg(F.sum(points).alias("points"))
+    told = insights.groupBy("scan_id", F.concat(F.lit("llm_"), "category").alias("kind")).agg(F.sum((F.lit(3.0) + F.coalesce("adjustment", F.lit(0.0))) * F.col("confidence")).alias("points"))
+    risk = static.unionByName(told).groupBy("scan_id").agg(F.sum(F.least("points", F.lit(10.0))).alias("risk"))
+    phases = findings.groupBy("scan_id").agg((F.count_distinct("phase") > 3).alias("many_phases"))
+    sure = insights.groupBy("scan_id").agg((F.count_if(F.col("confidence") > 0.8) > 2).alias("sure_insights"))
+    files = findings.select("scan_id", "file").unionByName(insights.select("scan_id", F.explode("files").alias("file"))).groupBy("scan_id").agg((F.count_distinct("file") > 10).alias("widespread"))
+    level = F.when(F.col("risk") > 20, "critical").when(F.col("risk") > 15, "high").when(F.col("risk") > 8, "medium").otherwise("low")
+    out = risk
+    for part in (phases, sure, files):
+        out = out.join(part, "scan_id", "left")
+    no = F.lit(False)
+    return out.select("scan_id", F.round("risk", 6).alias("risk"), level.alias("level"), *[F.coalesce(c, no).alias(c) for c in ("many_phases", "sure_insights", "widespread")])
 
 
 def security_trend(before: DataFrame, after: DataFrame, key: Column | str = "key", band: int = 5) -> DataFrame:

@@ -5,35 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Cents for a thousand tokens.
-TOKEN_CENTS = {"small": "0.15", "medium": "1.00", "large": "3.00"}
+#: Cents for a thousand tokens of models of three sizes; callers give their own table.
+TOKEN_CENTS = {"small": "0.10", "medium": "0.50", "large": "1.00"}
 
 
-def price(model: Column) -> Column:
+def price(model: Column, cents: dict[str, str]) -> Column:
     chain = F
-    for name, cents in TOKEN_CENTS.items():
-        chain = chain.when(model == name, F.lit(cents).cast("decimal(10,2)"))
+    for name, each in cents.items():
+        chain = chain.when(model == name, F.lit(each).cast("decimal(10,2)"))
     return chain
 
 
-def cost_cents(usage: DataFrame) -> DataFrame:
-    """usage with cents: tokens / 1000 * price of the model, exact to a hundredth of a cent."""
-    return usage.withColumn("cents", F.round(F.col("tokens").cast("decimal(18,0)") * price(F.col("model")) / 1000, 4).cast("decimal(18,4)"))
+def cost_cents(usage: DataFrame, cents: dict[str, str] = TOKEN_CENTS) -> DataFrame:
+    """usage with cents: tokens / 1000 * price of the model, exact to a hundredth of a cent; null for a model that the table lacks."""
+    return usage.withColumn("cents", F.round(F.col("tokens").cast("decimal(18,0)") * price(F.col("model"), cents) / 1000, 4).cast("decimal(18,4)"))
 
 
-def daily_usage(usage: DataFrame) -> DataFrame:
-    """By day: users, events, tokens, cost, mean confidence, errors, purchases."""
-    return usage.groupBy(F.to_date("seen_at").alias("day")).agg(
+def daily_usage(usage: DataFrame, now: Column) -> DataFrame:
+    """By day of the three months before now: users, scans, tokens, cents, insights, threats, mean milliseconds, cache hits, fallbacks."""
+    rows = usage.where(F.col("seen_at") >= F.add_months(now, -3))
+    return rows.groupBy(F.to_date("seen_at").alias("day")).agg(
         F.count_distinct("user_id").alias("users"),
-        F.count("*").alias("events"),
-        F.sum("tokens").cast("long").alias("tokens"),
+        F.count("*").alias("scans"),
+        *[F.sum(c).cast("long").alias(c) for c in ("tokens", "insights", "threats")],
         F.sum("cost").cast("double").alias("cost"),
-        F.round(F.avg("confidence"), 4).alias("confidence"),
-        F.count_if(F.col("kind") == "error").alias("errors"),
-        F.count_if(F.col("kind") == "purchase").alias("purchases"),
+        F.round(F.avg("millis"), 4).alias("millis"),
+        F.count_if("cache_hit").alias("cache_hits"),
+        F.count_if("fallback").alias("fallbacks"),
     )
 
 
+def churn_view(usage: DataFrame, now: Column) -> DataFrame:
+    """user_id, last, scans, threats (a scan, on average), category of the users seen in the 30 days before now: HIGH_RISK after 14 silent days, MEDIUM_RISK with under 5 scans after 7, LOW_ENGAGEMENT with under 0.1 threats, else HEALTHY."""
+    by = usage.where(F.col("seen_at") >= now - F.expr("interval 30 days")).groupBy("user_id").agg(F.max("seen_at").alias("last"), F.count("*").alias("scans"), F.avg("threats").alias("threats"))
+    silent = lambda days: F.col("last") < now - F.make_dt_interval(F.lit(days))
+    category = F.when(silent(14), "HIGH_RISK").when((F.col("scans") < 5) & silent(7), "MEDIUM_RISK").when(F.col("threats") < 0.1, "LOW_ENGAGEMENT").otherwise("HEALTHY")
+    return by.select("user_id", "last", "scans", F.round("threats", 4).alias("threats"), category.alias("category"))
+
+
+def threat_trends(found: DataFrame, now: Column) -> DataFrame:
+    """day, threat_type, severity, discoveries, zero_days, mean confidence of the six months before now."""
+    rows = found.where(F.col("seen_at") >= F.add_months(now, -6))
+    return rows.groupBy(F.to_date("seen_at").alias("day"), "threat_type", "severity").agg(F.count("*").alias("discoveries"), F.count_if("zero_day").alias("zero_days"), F.round(F.avg("confidence"), 4).alias("confidence"))
+
+
+def user_report(usage: DataFrame, found: DataFrame, since: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three frames of what is newer than since: by user scans, tokens, cents, insights, threats and zero_days; by user and day scans, tokens, insights and threats; and each user's five
+    most frequent threat types with their number and mean confidence, ties by name.
+    """
+    rows, threats = usage.where(F.col("seen_at") > since), found.where(F.col("seen_at") > since)
+    sums = lambda *names: [F.sum(c).cast("long").alias(c) for c in names]
+    days = threats.where("zero_day").groupBy("user_id").agg(F.count("*").alias("zero_days"))
+    total = rows.groupBy("user_id").agg(F.count("*").alias("scans"), *sums("tokens", "insights", "threats"), F.sum("cost").cast("double").alias("cost")).join(days, "user_id", "left").withColumn("zero_days", F.coalesce("zero_days", F.lit(0)))
+    daily = rows.groupBy("user_id", F.to_date("seen_at").alias("day")).agg(F.count("*").alias("scans"), *sums("tokens", "insights", "threats"))
+    kinds = threats.groupBy("user_id", "threat_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "threat_type"))
+    return total, daily, kinds.withColumn("rank", rank).where("rank <= 5")
+
+
 def usage_report(usage: DataFrame) -> DataFrame:
     """One row for the whole input: rates are 0 when there is nothing."""
     rate = lambda c: F.coalesce(F.round(F.count_if(c) / F.nullif(F.count("*"), F.lit(0)), 4), F.lit(0.0))
@@ -92,9 +121,10 @@ def top_per_user(usage: DataFrame, n: int = 5) -> DataFrame:
     return counted.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def model_routing(usage: DataFrame) -> DataFrame:
-    """model, events, share, mean confidence, cents, and what the largest model would have cost more."""
-    costs = cost_cents(usage).withColumn("full", F.round(F.col("tokens").cast("decimal(18,0)") * F.lit(TOKEN_CENTS["large"]).cast("decimal(10,2)") / 1000, 4).cast("decimal(18,4)"))
+def model_routing(usage: DataFrame, cents: dict[str, str] = TOKEN_CENTS) -> DataFrame:
+    """model, events, share, mean confidence, cents, and what the dearest model would have cost more."""
+    dearest = max(cents.values(), key=float)
+    costs = cost_cents(usage, cents).withColumn("full", F.round(F.col("tokens").cast("decimal(18,0)") * F.lit(dearest).cast("decimal(10,2)") / 1000, 4).cast("decimal(18,4)"))
     by = costs.groupBy("model").agg(F.count("*").alias("events"), F.round(F.avg("confidence"), 4).alias("confidence"), F.sum("cents").cast("double").alias("cents"), F.sum("full").cast("double").alias("full"))
     return by.select("model", "events", F.round(F.col("events") * 100 / F.sum("events").over(Window.partitionBy()), 4).alias("share"), "confidence", F.round("cents", 2).alias("cents"), F.round(F.col("full") - F.col("cents"), 2).alias("saved"))
 
@@ -149,12 +179,45 @@ def churn_by_plan(subs: DataFrame) -> DataFrame:
     return subs.groupBy("plan").agg(F.count("*").alias("subscriptions"), F.round(F.count_if(F.col("status") == "canceled") / F.count("*"), 4).alias("churn"))
 
 
-def lifetime_value(subs: DataFrame, now: Column, acquisition_cents: int = 5000) -> DataFrame:
-    """plan, mean price, mean tenure in days, lifetime value and its ratio to the cost of acquisition."""
-    tenure = F.datediff(F.coalesce("canceled_at", now), "created_at")
-    by = subs.where("price_cents > 0").groupBy("plan").agg(F.avg("price_cents").alias("price"), F.avg(tenure).alias("tenure"))
-    value = F.col("price") * F.col("tenure") / 30
-    return by.select("plan", F.round("price", 2).alias("price"), F.round("tenure", 2).alias("tenure"), F.round(value, 2).alias("value"), F.round(value / acquisition_cents, 2).alias("ratio"))
+# What a year of a plan brings by interval of payment, the price of a month of each, and the cost of acquiring a customer.
+YEARLY = {("pro", "monthly"): 348.0, ("pro", "annual"): 232.0, ("team", "monthly"): 1188.0, ("team", "annual"): 792.0}
+ONCE = {("pro", "monthly"): 29.0, ("pro", "annual"): 232.0, ("team", "monthly"): 99.0, ("team", "annual"): 792.0}
+ACQUISITION, PRO_MONTH = 75.0, 29.0
+
+
+def _by_plan(values: dict) -> Column:
+    chain = F
+    for (plan, interval), value in values.items():
+        chain = chain.when((F.col("plan") == plan) & (F.col("interval") == interval), value)
+    return chain.otherwise(0.0)
+
+
+def lifetime_value(subs: DataFrame, now: Column) -> DataFrame:
+    """One row of the paid plans among subs(plan, interval, created_at, updated_at): mean value of a year, its ratio to the cost of acquisition, months until that is paid back, and mean tenure in days of pro and team. 348 without any."""
+    days = F.datediff(F.coalesce("updated_at", now), "created_at")
+    out = subs.where("plan <> 'free'").agg(F.avg(_by_plan(YEARLY)).alias("v"), *[F.round(F.avg(F.when(F.col("plan") == p, days)), 4).alias(f"{p}_days") for p in ("pro", "team")])
+    value = F.when(F.coalesce("v", F.lit(0.0)) == 0, 348.0).otherwise(F.col("v"))
+    return out.select(F.round(value, 4).alias("value"), F.round(value / ACQUISITION, 4).alias("ratio"), F.lit(round(ACQUISITION / PRO_MONTH, 4)).alias("payback_months"), "pro_days", "team_days")
+
+
+def payment_metrics(transactions: DataFrame, subs: DataFrame, now: Column) -> DataFrame:
+    """One row of the day before now: payments that went through and that failed, the share of the former (1 without any), and revenue, of every subscription of the users that paid for one.
+
+    transactions have user_id, kind, status, amount, created_at; subs have user_id, plan, interval. The join is on users with a payment, each payment with each subscription.
+    """
+    day = transactions.where(F.col("created_at") >= now - F.expr("interval 24 hours"))
+    paid = (F.col("kind") == "subscription") & (F.col("amount") > 0)
+    counts = day.where(F.col("kind").isin("subscription", "purchase")).agg(F.count_if(paid).alias("successful"), F.count_if(F.col("status") == "failed").alias("failed"))
+    income = day.where(paid).select("user_id").join(subs, "user_id").agg(F.coalesce(F.sum(_by_plan(ONCE)), F.lit(0.0)).alias("revenue"))
+    tried = F.col("successful") + F.col("failed")
+    rate = F.when(tried > 0, F.round(F.col("successful") / tried, 6)).otherwise(1.0)
+    return counts.crossJoin(F.broadcast(income)).select("successful", "failed", rate.alias("success_rate"), "revenue")  # one row each
+
+
+def top_consumers(transactions: DataFrame, users: DataFrame, now: Column, top: int = 10) -> DataFrame:
+    """user_id, name, credits, transactions: the users(user_id, name) that used most credits in the week before now, ties by id."""
+    used = transactions.where((F.col("created_at") >= now - F.expr("interval 7 days")) & (F.col("amount") < 0)).groupBy("user_id").agg(F.sum(-F.col("amount")).cast("double").alias("credits"), F.count("*").alias("transactions"))
+    return used.join(users, "user_id").orderBy(F.desc("credits"), "user_id").limit(top).select("user_id", "name", "credits", "transactions")
 
 
 def at_risk(subs: DataFrame, usage: DataFrame, now: Column, top: int = 20) -> DataFrame:

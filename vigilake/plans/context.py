@@ -278,7 +278,7 @@ SELECT coalesce(a.scan_id, b.scan_id) AS scan_id, CASE WHEN b.n IS NULL THEN 0 E
     "s23_cache_prune": (s23_cache_prune, f"SELECT substr(sha256(package || '|' || version), 1, 16) AS key, scan_id FROM {SCANS} WHERE scanner = '2.1.0' ORDER BY scanned_at DESC, scan_id DESC LIMIT 100"),
     "r12_scheduler": (
         r12_scheduler,
-        f"""WITH l AS (SELECT *, CAST(date_diff('day', CAST(scanned_at AS DATE), DATE '2001-08-02') AS INTEGER) AS days FROM {SCANS} QUALIFY row_number() OVER (PARTITION BY ecosystem, package ORDER BY scanned_at DESC, scan_id DESC) = 1)
-SELECT ecosystem, count(*) AS due, max(days) AS oldest FROM l WHERE days > CASE verdict WHEN 'CRITICAL_RISK' THEN 30 WHEN 'HIGH_RISK' THEN 60 WHEN 'MEDIUM_RISK' THEN 120 ELSE 240 END GROUP BY 1""",
+        f"""WITH l AS (SELECT *, CAST(date_diff('day', CAST(scanned_at AS DATE), DATE '2001-08-02') AS INTEGER) AS days FROM {SCANS} WHERE verdict <> 'ERROR' QUALIFY row_number() OVER (PARTITION BY ecosystem, package ORDER BY scanned_at DESC, scan_id DESC) = 1)
+SELECT ecosystem, count(*) AS due, max(days) AS oldest FROM l WHERE days >= 90 OR days >= 7 AND verdict IN ('HIGH_RISK', 'CRITICAL_RISK') GROUP BY 1""",
     ),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import registry as R
@@ -28,16 +30,24 @@ def a9_trust_histogram(spark, sf):
 
 
 def a10_u1_category_stats(spark, sf):
-    return R.category_stats(frame(spark, sf, "tools"))
+    return R.category_stats(frame(spark, sf, "tools").withColumn("confidence", F.col("tool_id") % 101 / 100))
 
 
 def w1_latest_scans(spark, sf):
-    return R.latest_scan(scans(spark, sf)).select("ecosystem", "package", "scan_id", "verdict", "scanned_at")
+    return R.latest_scan(scans(spark, sf).where("verdict <> 'ERROR'")).select("ecosystem", "package", "scan_id", "verdict", "scanned_at")
 
 
 def w1_t7_rescan_due(spark, sf):
-    due = R.rescan_due(scans(spark, sf), _now())
-    return due.orderBy(F.desc("days"), "scan_id").limit(100)
+    return R.rescan_due(scans(spark, sf), _now(), 50)
+
+
+#: Times at which a rescan is asked for.
+ASKED = ["2001-07-01 00:30:00", "2001-07-20 01:00:00", "2001-08-01 00:59:59", "2001-08-01 01:00:00", "2030-01-01 00:00:00"]
+
+
+def r13_rescan_allowance(spark, sf):
+    again = scans(spark, sf).select((F.col("scanned_at") + F.expr("interval '1' second * cast(scan_id % 3600 as int)")).alias("rescanned_at"))
+    return R.rescan_allowance(again, [datetime.fromisoformat(t) for t in ASKED], 3)
 
 
 def t3_best_scans(spark, sf):
@@ -75,7 +85,8 @@ def a25_a26_scanner_metrics(spark, sf):
 
 
 def a27_a30_version_shares(spark, sf):
-    return R.version_shares(scans(spark, sf))
+    was = {"scanner": F.expr("case when scanner <> '1.4.0' then scanner when scan_id % 2 = 0 then '1.0.0' end"), "original_score": F.expr("case when scan_id % 3 > 0 then risk_score + scan_id % 7 - 2 end"), "rescanned_at": F.expr("case when scan_id % 4 = 0 then scanned_at + interval '1' day end")}
+    return R.version_shares(scans(spark, sf).withColumns(was).withColumnRenamed("scanned_at", "created_at"), F.expr("timestamp_ntz'2001-08-02 00:00:00'"))
 
 
 def a28_confidence_distribution(spark, sf):
@@ -156,20 +167,30 @@ def a47_trust_changes(spark, sf):
 
 
 QUERIES = {
-    "a8_registry_stats": (a8_registry_stats, f"SELECT count(*) FILTER (verdict <> 'ERROR') AS total_scans, count(DISTINCT ecosystem || ':' || package) AS packages, count(*) FILTER (verdict IN ('HIGH_RISK', 'CRITICAL_RISK')) AS threats FROM {SCANS}"),
+    "a8_registry_stats": (
+        a8_registry_stats,
+        f"""SELECT 'total' AS kind, 'total_scans' AS value, count(*) FILTER (verdict <> 'ERROR') AS n FROM {SCANS} UNION ALL SELECT 'total', 'packages', count(DISTINCT ecosystem || ':' || package) FROM {SCANS} UNION ALL SELECT 'total', 'threats', count(*) FILTER (verdict IN ('HIGH_RISK', 'CRITICAL_RISK')) FROM {SCANS}
+ UNION ALL SELECT 'ecosystem', ecosystem, count(*) FROM {SCANS} GROUP BY ecosystem UNION ALL SELECT 'verdict', verdict, count(*) FROM {SCANS} WHERE verdict <> 'ERROR' GROUP BY verdict""",
+    ),
+    "r13_rescan_allowance": (
+        r13_rescan_allowance,
+        f"""SELECT "at", count(rescanned_at) AS recent, count(rescanned_at) < 3 AS allowed FROM (VALUES {", ".join(f"(TIMESTAMP '{t}')" for t in ASKED)}) t("at")
+LEFT JOIN (SELECT scanned_at + INTERVAL '1' SECOND * CAST(scan_id % 3600 AS INTEGER) AS rescanned_at FROM {SCANS}) s ON rescanned_at > "at" - INTERVAL '1' HOUR AND rescanned_at <= "at" GROUP BY 1""",
+    ),
     "a9_trust_histogram": (
         a9_trust_histogram,
         f"SELECT ecosystem, greatest(0, count(*) FILTER (greatest(0, 100 - risk_score) >= 80) - count(*) FILTER (verdict = 'ERROR')) AS high, count(*) FILTER (greatest(0, 100 - risk_score) >= 50 AND greatest(0, 100 - risk_score) < 80) AS medium, count(*) FILTER (greatest(0, 100 - risk_score) < 50) AS low FROM {SCANS} GROUP BY ecosystem",
     ),
     "a10_u1_category_stats": (
         a10_u1_category_stats,
-        f"SELECT category, ecosystem, count(*) AS tools, round(avg(100 - risk_score), 4) AS trust FROM {TOOLS} GROUP BY 1, 2 UNION ALL SELECT category, 'all', count(*), round(avg(100 - risk_score), 4) FROM {TOOLS} GROUP BY 1",
+        f"""WITH t AS (SELECT category, ecosystem, tool_id % 101 / 100::DOUBLE AS c FROM {TOOLS}) SELECT category, ecosystem, count(*) AS tools, round(avg(c), 4) AS confidence, count(*) FILTER (c > 0.8) AS confident FROM t GROUP BY 1, 2
+ UNION ALL SELECT category, 'all', count(*), round(avg(c), 4), count(*) FILTER (c > 0.8) FROM t GROUP BY 1""",
     ),
-    "w1_latest_scans": (w1_latest_scans, f"SELECT ecosystem, package, scan_id, verdict, scanned_at FROM {SCANS} QUALIFY row_number() OVER (PARTITION BY ecosystem, package ORDER BY scanned_at DESC, scan_id DESC) = 1"),
+    "w1_latest_scans": (w1_latest_scans, f"SELECT ecosystem, package, scan_id, verdict, scanned_at FROM {SCANS} WHERE verdict <> 'ERROR' QUALIFY row_number() OVER (PARTITION BY ecosystem, package ORDER BY scanned_at DESC, scan_id DESC) = 1"),
     "w1_t7_rescan_due": (
         w1_t7_rescan_due,
-        f"""WITH l AS (SELECT * FROM {SCANS} QUALIFY row_number() OVER (PARTITION BY ecosystem, package ORDER BY scanned_at DESC, scan_id DESC) = 1)
-SELECT ecosystem, package, scan_id, CAST(date_diff('day', CAST(scanned_at AS DATE), DATE '2001-08-02') AS INTEGER) AS days FROM l WHERE date_diff('day', CAST(scanned_at AS DATE), DATE '2001-08-02') > CASE verdict WHEN 'CRITICAL_RISK' THEN 30 WHEN 'HIGH_RISK' THEN 60 WHEN 'MEDIUM_RISK' THEN 120 ELSE 240 END ORDER BY days DESC, scan_id LIMIT 100""",
+        f"""WITH l AS (SELECT *, CAST(date_diff('day', CAST(scanned_at AS DATE), DATE '2001-08-02') AS INTEGER) AS days, verdict IN ('HIGH_RISK', 'CRITICAL_RISK') AS risky FROM {SCANS} WHERE verdict <> 'ERROR' QUALIFY row_number() OVER (PARTITION BY ecosystem, package ORDER BY scanned_at DESC, scan_id DESC) = 1)
+SELECT ecosystem, package, scan_id, verdict, days FROM l WHERE days >= CASE WHEN risky THEN 7 ELSE 90 END ORDER BY risky DESC, scanned_at, scan_id LIMIT 50""",
     ),
     "t3_best_scans": (t3_best_scans, f"SELECT ecosystem, package, scan_id, verdict FROM {SCANS} QUALIFY row_number() OVER (PARTITION BY ecosystem, package ORDER BY verdict = 'ERROR', scanned_at DESC, scan_id DESC) = 1"),
     "t5_rescan_candidates": (
@@ -201,11 +222,18 @@ SELECT l.ecosystem, l.package, l.scan_id FROM l LEFT JOIN c ON l.ecosystem = c.e
     ),
     "a25_a26_scanner_metrics": (
         a25_a26_scanner_metrics,
-        f"""SELECT scanner, count(*) AS scans, round(avg(risk_score), 4) AS mean_score, round(avg(confidence), 4) AS mean_confidence, count(*) FILTER (verdict IN ('HIGH_RISK', 'CRITICAL_RISK')) AS severe,
- round(count(*) FILTER (verdict IN ('HIGH_RISK', 'CRITICAL_RISK')) * CAST(CASE WHEN scanner LIKE '1.%' THEN 0.36 ELSE 0.05 END AS DOUBLE) * 100 / count(*), 1) AS false_positives FROM {SCANS} GROUP BY scanner""",
+        f"""WITH d AS (SELECT left(scanner, 1) || '.x' AS version, verdict, CAST(scanned_at AS DATE) AS day, count(*) AS n, avg(risk_score) AS score, avg(confidence) AS sure FROM {SCANS} WHERE verdict <> 'ERROR' GROUP BY 1, 2, 3)
+SELECT version, CAST(sum(n) AS BIGINT) AS scans, round(sum(score * n) / sum(n), 2) AS mean_score, round(sum(sure * n) / sum(n) FILTER (sure IS NOT NULL), 3) AS mean_confidence, CAST(sum(n) FILTER (verdict IN ('HIGH_RISK', 'CRITICAL_RISK')) AS BIGINT) AS severe,
+ round(sum(n) FILTER (verdict IN ('HIGH_RISK', 'CRITICAL_RISK')) * CASE version WHEN '1.x' THEN 0.36::DOUBLE ELSE 0.05::DOUBLE END * 100 / sum(n), 1) AS false_positives FROM d GROUP BY version""",
+    ),
+    "a27_a30_version_shares": (
+        a27_a30_version_shares,
+        f"""WITH s AS (SELECT scan_id, CASE WHEN scanner <> '1.4.0' THEN scanner WHEN scan_id % 2 = 0 THEN '1.0.0' END AS scanner, risk_score, CASE WHEN scan_id % 3 > 0 THEN risk_score + scan_id % 7 - 2 END AS o, scanned_at AS t, CASE WHEN scan_id % 4 = 0 THEN scanned_at + INTERVAL '1' DAY END AS again FROM {SCANS}),
+r AS (SELECT count(*) / greatest(1, date_diff('day', CAST(min(again) AS DATE), DATE '2001-08-02'))::DOUBLE AS rate FROM s WHERE scanner = '2.0.0' AND again IS NOT NULL),
+n AS (SELECT count(*) AS scans, count(*) FILTER (scanner = '1.0.0' OR scanner IS NULL) AS v1, count(*) FILTER (scanner = '2.0.0') AS v2, coalesce(round(avg(CASE WHEN o IS NOT NULL AND risk_score < o THEN (o - risk_score)::DOUBLE / o * 100 ELSE 0 END), 2), 0) AS reduction FROM s WHERE t >= TIMESTAMP '2001-08-02' - INTERVAL '90' DAY)
+SELECT scans, v1, v2, CASE WHEN scans > 0 THEN round(v2 * 100 / scans::DOUBLE, 2) ELSE 0 END AS migrated, reduction, CASE WHEN v2 > 0 AND rate > 0 THEN CAST(DATE '2001-08-02' + INTERVAL '1' DAY * CAST(floor(v1 / rate) AS INTEGER) AS DATE) END AS done FROM n, r""",
     ),
-    "a27_a30_version_shares": (a27_a30_version_shares, f"SELECT count(*) AS scans, count(*) FILTER (scanner LIKE '1.%') AS v1, count(*) FILTER (scanner LIKE '2.%') AS v2, round(count(*) FILTER (scanner LIKE '2.%') * 100 / CAST(count(*) AS DOUBLE), 1) AS migrated FROM {SCANS}"),
-    "a28_confidence_distribution": (a28_confidence_distribution, f"SELECT scanner, CASE WHEN confidence IS NULL THEN 'none' WHEN confidence < 0.3 THEN 'low' WHEN confidence < 0.6 THEN 'medium' ELSE 'high' END AS level, verdict, count(*) AS scans FROM {SCANS} GROUP BY 1, 2, 3"),
+    "a28_confidence_distribution": (a28_confidence_distribution, f"SELECT scanner AS version, verdict, round(confidence, 1) AS confidence, CASE WHEN confidence < 0.3 THEN 'likely_false_positive' WHEN confidence < 0.6 THEN 'low_confidence' ELSE 'high_confidence' END AS level, count(*) AS scans FROM {SCANS} WHERE verdict <> 'ERROR' AND confidence IS NOT NULL GROUP BY 1, 2, 3, 4"),
     "a29_rescan_stats": (
         a29_rescan_stats,
         f"""WITH s AS (SELECT * FROM {SCANS}), n AS (SELECT * FROM s WHERE scanner LIKE '2.%' QUALIFY row_number() OVER (PARTITION BY ecosystem, package ORDER BY scanned_at DESC, scan_id DESC) = 1)

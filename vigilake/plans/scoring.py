@@ -9,6 +9,7 @@ from ..operators import scoring
 from .inputs import frame, source
 
 FINDINGS = source("findings")
+_THREAT = "CASE phase WHEN 'install_hooks' THEN 'installation_threats' WHEN 'code_patterns' THEN 'code_execution_threats' WHEN 'network_exfil' THEN 'exfiltration_threats' END"
 _CLI = "CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 5 ELSE 0 END"
 _RANK = "CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 4 ELSE 0 END"
 _DOCS = "(lower(file) LIKE '%readme%' OR lower(file) LIKE '%.md%')"
@@ -52,11 +53,14 @@ def p18_p19_p20_adjusted(spark, sf):
 
 
 def a31_categories(spark, sf):
-    return frame(spark, sf, "findings").groupBy("phase", "severity").agg(F.count("*").alias("findings"), F.count_distinct("rule").alias("rules"), F.count_distinct("file").alias("files"))
+    return scoring.threat_categories(frame(spark, sf, "findings"))
 
 
 def a32_a33_threat_scores(spark, sf):
-    return scoring.threat_scores(frame(spark, sf, "findings"))
+    """Orders of at least five lines have an insight for each of their lines."""
+    rows = frame(spark, sf, "findings")
+    told = rows.where("line is null or line >= 2").selectExpr("scan_id", "case when weight = 1 then 'injection' else 'evasion' end as category", "(scan_id % 20 + coalesce(line, 7)) % 20 / 20 as confidence", "case when weight = 3 then 1.5D when weight = 2 then -0.5D end as adjustment", "array(file, concat('x', weight)) as files")
+    return scoring.threat_scores(rows, told)
 
 
 def a36_j27_compliance(spark, sf):
@@ -109,11 +113,14 @@ SELECT scan_id, high, medium, low, round((high + 0.5 * medium) / CAST(n AS DOUBL
   CASE WHEN {_DOCS} THEN CASE severity WHEN 'CRITICAL' THEN 'MEDIUM' WHEN 'HIGH' THEN 'LOW' WHEN 'MEDIUM' THEN 'LOW' ELSE severity END WHEN {_TESTS} THEN CASE severity WHEN 'CRITICAL' THEN 'HIGH' WHEN 'HIGH' THEN 'MEDIUM' ELSE severity END ELSE severity END AS adjusted,
   CASE WHEN {_DOCS} OR {_TESTS} OR file LIKE '%node!_modules/%' ESCAPE '!' THEN 'LOW' WHEN severity = 'CRITICAL' THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, count(*) AS findings FROM {FINDINGS} GROUP BY 1, 2, 3""",
     ),
-    "a31_categories": (a31_categories, f"SELECT phase, severity, count(*) AS findings, count(DISTINCT rule) AS rules, count(DISTINCT file) AS files FROM {FINDINGS} GROUP BY phase, severity"),
+    "a31_categories": (a31_categories, f"SELECT scan_id, {_THREAT} AS kind, severity, count(*) AS findings FROM {FINDINGS} GROUP BY 1, 2, 3"),
     "a32_a33_threat_scores": (
         a32_a33_threat_scores,
-        f"""SELECT scan_id, CAST(least(sum(CASE severity WHEN 'CRITICAL' THEN 4.0 WHEN 'HIGH' THEN 3.0 WHEN 'MEDIUM' THEN 2.0 ELSE 1.0 END), 10.0) AS DOUBLE) AS threat_score, count(DISTINCT phase) >= 3 AS multi_phase,
-  count(*) FILTER (severity IN ('HIGH', 'CRITICAL')) > 2 AS many_severe, count(DISTINCT file) > 5 AS widespread FROM {FINDINGS} GROUP BY scan_id""",
+        f"""WITH f AS (SELECT * FROM {FINDINGS}), i AS (SELECT scan_id, weight, file, ((scan_id % 20 + coalesce(line, 7)) % 20) / 20::DOUBLE AS c, CASE weight WHEN 3 THEN 4.5 WHEN 2 THEN 2.5 ELSE 3 END AS base FROM f WHERE line IS NULL OR line >= 2),
+k AS (SELECT scan_id, least(10, sum(CASE severity WHEN 'CRITICAL' THEN 5 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END * weight))::DOUBLE AS points FROM f GROUP BY scan_id, {_THREAT} UNION ALL SELECT scan_id, least(10, sum(base * c)) FROM i GROUP BY scan_id, weight = 1),
+r AS (SELECT scan_id, sum(points) AS risk FROM k GROUP BY 1)
+SELECT scan_id, round(risk, 6) AS risk, CASE WHEN risk > 20 THEN 'critical' WHEN risk > 15 THEN 'high' WHEN risk > 8 THEN 'medium' ELSE 'low' END AS level, (SELECT count(DISTINCT phase) > 3 FROM f WHERE f.scan_id = r.scan_id) AS many_phases,
+ (SELECT count(*) > 2 FROM i WHERE i.scan_id = r.scan_id AND c > 0.8) AS sure_insights, (SELECT count(DISTINCT x) > 10 FROM (SELECT scan_id, file AS x FROM f UNION ALL SELECT scan_id, 'x' || CAST(weight AS VARCHAR) FROM i) u WHERE u.scan_id = r.scan_id) AS widespread FROM r""",
     ),
     "a36_j27_compliance": (
         a36_j27_compliance,

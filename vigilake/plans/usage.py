@@ -8,7 +8,7 @@ from ..operators import usage as U
 from .inputs import frame, read, source
 
 USAGE, SUBS = source("usage"), source("subscriptions")
-_PRICE = "CAST(CASE model WHEN 'small' THEN 0.15 WHEN 'medium' THEN 1.00 ELSE 3.00 END AS DECIMAL(10,2))"
+_PRICE = "CAST(CASE model WHEN 'small' THEN 0.10 WHEN 'medium' THEN 0.50 ELSE 1.00 END AS DECIMAL(10,2))"
 
 
 def _at(text):
@@ -23,8 +23,34 @@ def subs(spark, sf):
     return frame(spark, sf, "subscriptions")
 
 
+#: What the usage table lacks of a scan.
+_SCANNED = {"insights": "event_id % 4", "threats": "event_id % 3 * (user_id % 2)", "millis": "tokens * 2", "cache_hit": "event_id % 5 = 0", "fallback": "event_id % 7 = 0"}
+_SCAN_ROWS = f"(SELECT *, {', '.join(f'{e} AS {c}' for c, e in _SCANNED.items())} FROM {USAGE})"
+_FOUND_ROWS = f"(SELECT user_id, seen_at, kind || CAST(event_id % 3 AS VARCHAR) AS threat_type, model AS severity, event_id % 11 = 0 AS zero_day, confidence FROM {USAGE})"
+
+
+def _scanned(spark, sf):
+    return usage(spark, sf).withColumns({c: F.expr(e) for c, e in _SCANNED.items()})
+
+
+def _discovered(spark, sf):
+    return usage(spark, sf).selectExpr("user_id", "seen_at", "concat(kind, event_id % 3) as threat_type", "model as severity", "event_id % 11 = 0 as zero_day", "confidence")
+
+
 def a11_daily_usage(spark, sf):
-    return U.daily_usage(usage(spark, sf))
+    return U.daily_usage(_scanned(spark, sf), _at("2024-04-16 00:00:00"))
+
+
+def a12_churn_view(spark, sf):
+    return U.churn_view(_scanned(spark, sf), _at("2024-02-05 00:00:00"))
+
+
+def a16_user_totals(spark, sf):
+    return U.user_report(_scanned(spark, sf), _discovered(spark, sf), _at("2024-01-10 00:00:00"))[0]
+
+
+def a16_user_days(spark, sf):
+    return U.user_report(_scanned(spark, sf), _discovered(spark, sf), _at("2024-01-10 00:00:00"))[1]
 
 
 def a14_usage_report(spark, sf):
@@ -37,7 +63,7 @@ def a12_a15_churn_risk(spark, sf):
 
 
 def a16_t10_top_per_user(spark, sf):
-    return U.top_per_user(usage(spark, sf), 3)
+    return U.user_report(_scanned(spark, sf), _discovered(spark, sf), _at("2024-01-10 00:00:00"))[2]
 
 
 def a17_llm_cost(spark, sf):
@@ -66,7 +92,7 @@ def a18_insights(spark, sf):
 
 
 def a13_threat_trends(spark, sf):
-    return usage(spark, sf).groupBy(F.to_date("seen_at").alias("day"), "kind", "model").agg(F.count("*").alias("events"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    return U.threat_trends(_discovered(spark, sf), _at("2024-07-16 00:00:00"))
 
 
 def a19_recurring_revenue(spark, sf):
@@ -90,7 +116,31 @@ def a21_churn_by_tenure(spark, sf):
 
 
 def a22_lifetime_value(spark, sf):
-    return U.lifetime_value(subs(spark, sf), _at("2001-08-01 00:00:00"))
+    rows = subs(spark, sf).select("plan", _interval().alias("interval"), "created_at", F.col("canceled_at").alias("updated_at"))
+    return U.lifetime_value(rows, _at("2001-08-01 00:00:00"))
+
+
+def _interval():
+    return F.expr("case when sub_id % 3 = 0 then 'annual' else 'monthly' end")
+
+
+def _transactions(spark, sf):
+    kind = F.expr("case event_id % 4 when 0 then 'subscription' when 1 then 'purchase' else 'usage' end")
+    amount = F.expr("case when event_id % 4 < 2 then case when event_id % 9 = 0 then 0 else tokens end else -tokens end")
+    return usage(spark, sf).select("user_id", kind.alias("kind"), F.expr("case when event_id % 13 = 0 then 'failed' else 'done' end").alias("status"), amount.alias("amount"), F.col("seen_at").alias("created_at"))
+
+
+def a24_payment_metrics(spark, sf):
+    return U.payment_metrics(_transactions(spark, sf), subs(spark, sf).select("user_id", "plan", _interval().alias("interval")), _at("2024-01-31 00:00:00"))
+
+
+def a24_no_payments(spark, sf):
+    """A day without a payment counts as one that went well."""
+    return U.payment_metrics(_transactions(spark, sf), subs(spark, sf).select("user_id", "plan", _interval().alias("interval")), _at("2030-01-01 00:00:00"))
+
+
+def j23_top_consumers(spark, sf):
+    return U.top_consumers(_transactions(spark, sf), read(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name")), _at("2024-01-31 00:00:00"))
 
 
 def a23_monthly_credits(spark, sf):
@@ -203,8 +253,26 @@ _TOKENS = f"round(CAST(tokens AS DECIMAL(18,0)) * {_PRICE} * CAST(0.001 AS DECIM
 QUERIES = {
     "a11_daily_usage": (
         a11_daily_usage,
-        f"SELECT CAST(seen_at AS DATE) AS day, count(DISTINCT user_id) AS users, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS DOUBLE) AS cost, round(avg(confidence), 4) AS confidence, count(*) FILTER (kind = 'error') AS errors, count(*) FILTER (kind = 'purchase') AS purchases FROM {USAGE} GROUP BY 1",
+        f"SELECT CAST(seen_at AS DATE) AS day, count(DISTINCT user_id) AS users, count(*) AS scans, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(cost) AS DOUBLE) AS cost, CAST(sum(insights) AS BIGINT) AS insights, CAST(sum(threats) AS BIGINT) AS threats, round(avg(millis), 4) AS millis, count(*) FILTER (cache_hit) AS cache_hits, count(*) FILTER (fallback) AS fallbacks FROM {_SCAN_ROWS} WHERE seen_at >= TIMESTAMP '2024-01-16 00:00:00' GROUP BY 1",
+    ),
+    "a12_churn_view": (
+        a12_churn_view,
+        f"""SELECT user_id, max(seen_at) AS last, count(*) AS scans, round(avg(threats), 4) AS threats, CASE WHEN max(seen_at) < TIMESTAMP '2024-01-22' THEN 'HIGH_RISK' WHEN count(*) < 5 AND max(seen_at) < TIMESTAMP '2024-01-29' THEN 'MEDIUM_RISK' WHEN avg(threats) < 0.1 THEN 'LOW_ENGAGEMENT' ELSE 'HEALTHY' END AS category
+FROM {_SCAN_ROWS} WHERE seen_at >= TIMESTAMP '2024-01-06' GROUP BY 1""",
+    ),
+    "a16_user_totals": (
+        a16_user_totals,
+        f"""SELECT s.*, coalesce(z, 0) AS zero_days FROM (SELECT user_id, count(*) AS scans, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(insights) AS BIGINT) AS insights, CAST(sum(threats) AS BIGINT) AS threats, CAST(sum(cost) AS DOUBLE) AS cost FROM {_SCAN_ROWS} WHERE seen_at > TIMESTAMP '2024-01-10' GROUP BY 1) s
+LEFT JOIN (SELECT user_id, count(*) AS z FROM {_FOUND_ROWS} WHERE zero_day AND seen_at > TIMESTAMP '2024-01-10' GROUP BY 1) f ON f.user_id = s.user_id""",
+    ),
+    "a16_user_days": (a16_user_days, f"SELECT user_id, CAST(seen_at AS DATE) AS day, count(*) AS scans, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(insights) AS BIGINT) AS insights, CAST(sum(threats) AS BIGINT) AS threats FROM {_SCAN_ROWS} WHERE seen_at > TIMESTAMP '2024-01-10' GROUP BY 1, 2"),
+    "a24_payment_metrics": (
+        a24_payment_metrics,
+        f"""WITH d AS (SELECT *, event_id % 4 AS k FROM {USAGE} WHERE seen_at >= TIMESTAMP '2024-01-30'), c AS (SELECT count(*) FILTER (k = 0 AND event_id % 9 > 0 AND tokens > 0) AS successful, count(*) FILTER (k < 2 AND event_id % 13 = 0) AS failed FROM d)
+SELECT successful, failed, round(successful / (successful + failed)::DOUBLE, 6) AS success_rate, (SELECT CAST(coalesce(sum(CASE WHEN plan = 'pro' THEN CASE WHEN sub_id % 3 = 0 THEN 232 ELSE 29 END WHEN plan = 'team' THEN CASE WHEN sub_id % 3 = 0 THEN 792 ELSE 99 END ELSE 0 END), 0) AS DOUBLE) FROM d JOIN {SUBS} s ON s.user_id = d.user_id WHERE k = 0 AND event_id % 9 > 0 AND tokens > 0) AS revenue FROM c""",
     ),
+    "a24_no_payments": (a24_no_payments, "SELECT CAST(0 AS BIGINT) AS successful, CAST(0 AS BIGINT) AS failed, CAST(1 AS DOUBLE) AS success_rate, CAST(0 AS DOUBLE) AS revenue"),
+    "j23_top_consumers": (j23_top_consumers, f"SELECT user_id, c_name AS name, CAST(sum(tokens) AS DOUBLE) AS credits, count(*) AS transactions FROM {USAGE} JOIN customer ON c_custkey = user_id WHERE event_id % 4 > 1 AND tokens > 0 AND seen_at >= TIMESTAMP '2024-01-24' GROUP BY 1, 2 ORDER BY credits DESC, user_id LIMIT 10"),
     "a14_usage_report": (
         a14_usage_report,
         f"SELECT count(*) AS events, count(DISTINCT user_id) AS users, round(count(*) FILTER (kind = 'error') / CAST(count(*) AS DOUBLE), 4) AS error_rate, round(count(*) FILTER (confidence > 0.7::DOUBLE) / CAST(count(*) AS DOUBLE), 4) AS confident_rate, CAST(sum(cost) AS DOUBLE) AS cost FROM {USAGE}",
@@ -215,11 +283,11 @@ QUERIES = {
 p AS (SELECT c_custkey AS user_id, hits, CAST(CASE WHEN n IS NULL THEN 90 ELSE CASE WHEN n < 4 THEN 25 ELSE 0 END + CASE WHEN silent > 14 THEN 35 WHEN silent > 7 THEN 20 ELSE 0 END + CASE WHEN hits < 0.1 THEN 20 ELSE 0 END + CASE WHEN minutes < 5 THEN 15 ELSE 0 END END AS INTEGER) AS score FROM customer LEFT JOIN s ON c_custkey = user_id)
 SELECT user_id, score, CASE WHEN score >= 60 THEN 'HIGH_RISK' WHEN score >= 35 THEN 'MEDIUM_RISK' WHEN hits < 0.2 THEN 'LOW_ENGAGEMENT' ELSE 'HEALTHY' END AS level FROM p""",
     ),
-    "a16_t10_top_per_user": (a16_t10_top_per_user, f"SELECT user_id, kind, events, CAST(rank AS INTEGER) AS rank FROM (SELECT user_id, kind, count(*) AS events, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, kind) AS rank FROM {USAGE} GROUP BY 1, 2) WHERE rank <= 3"),
+    "a16_t10_top_per_user": (a16_t10_top_per_user, f"SELECT user_id, threat_type, count(*) AS n, round(avg(confidence), 4) AS confidence, CAST(row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, threat_type) AS INTEGER) AS rank FROM {_FOUND_ROWS} WHERE seen_at > TIMESTAMP '2024-01-10' GROUP BY 1, 2 QUALIFY rank <= 5"),
     "a17_llm_cost": (a17_llm_cost, f"SELECT user_id, model, CAST(sum({_TOKENS}) AS DOUBLE) AS cents, count(*) FILTER (confidence > 0.7::DOUBLE) AS threats FROM {USAGE} GROUP BY 1, 2"),
     "a42_w9_model_routing": (
         a42_w9_model_routing,
-        f"""WITH m AS (SELECT model, count(*) AS events, round(avg(confidence), 4) AS confidence, CAST(sum({_TOKENS}) AS DOUBLE) AS cents, CAST(sum(round(CAST(tokens AS DECIMAL(18,0)) * CAST(3.00 AS DECIMAL(10,2)) * CAST(0.001 AS DECIMAL(4,3)), 4)) AS DOUBLE) AS f FROM {USAGE} GROUP BY 1)
+        f"""WITH m AS (SELECT model, count(*) AS events, round(avg(confidence), 4) AS confidence, CAST(sum({_TOKENS}) AS DOUBLE) AS cents, CAST(sum(round(CAST(tokens AS DECIMAL(18,0)) * CAST(1.00 AS DECIMAL(10,2)) * CAST(0.001 AS DECIMAL(4,3)), 4)) AS DOUBLE) AS f FROM {USAGE} GROUP BY 1)
 SELECT model, events, round(events * 100 / CAST(sum(events) OVER () AS DOUBLE), 4) AS share, confidence, round(cents, 2) AS cents, round(f - cents, 2) AS saved FROM m""",
     ),
     "a60_personal_activity": (
@@ -236,7 +304,7 @@ SELECT * FROM c QUALIFY what NOT IN ('viewed', 'tracked') OR row_number() OVER (
 SELECT user_id, CAST(sum(len(list_filter(found, lambda x: x > 0.7::DOUBLE))) AS BIGINT) AS threats, round(avg(coalesce(list_avg(found), 0)), 6) AS confidence FROM e GROUP BY 1""",
     ),
     "a60_activity": (a60_activity, f"SELECT CAST(isodow(seen_at) - 1 AS INTEGER) AS weekday, CAST(hour(seen_at) AS INTEGER) AS hour, count(*) AS events FROM {USAGE} GROUP BY 1, 2"),
-    "a13_threat_trends": (a13_threat_trends, f"SELECT CAST(seen_at AS DATE) AS day, kind, model, count(*) AS events, round(avg(confidence), 4) AS confidence FROM {USAGE} GROUP BY 1, 2, 3"),
+    "a13_threat_trends": (a13_threat_trends, f"SELECT CAST(seen_at AS DATE) AS day, threat_type, severity, count(*) AS discoveries, count(*) FILTER (zero_day) AS zero_days, round(avg(confidence), 4) AS confidence FROM {_FOUND_ROWS} WHERE seen_at >= TIMESTAMP '2024-01-16' GROUP BY 1, 2, 3"),
     "a19_recurring_revenue": (
         a19_recurring_revenue,
         f"SELECT plan, count(DISTINCT user_id) AS subscribers, CAST(sum(price_cents) AS BIGINT) AS cents FROM {SUBS} WHERE status = 'active' GROUP BY plan UNION ALL SELECT 'total', count(DISTINCT user_id), CAST(sum(price_cents) AS BIGINT) FROM {SUBS} WHERE status = 'active'",
@@ -258,8 +326,8 @@ SELECT count(*) AS users, count(p) AS paying, round(count(p) / CAST(count(*) AS
     ),
     "a22_lifetime_value": (
         a22_lifetime_value,
-        f"""WITH p AS (SELECT plan, avg(price_cents) AS price, avg(date_diff('day', CAST(created_at AS DATE), CAST(coalesce(canceled_at, TIMESTAMP '2001-08-01 00:00:00') AS DATE))) AS tenure FROM {SUBS} WHERE price_cents > 0 GROUP BY plan)
-SELECT plan, round(price, 2) AS price, round(tenure, 2) AS tenure, round(price * tenure / 30, 2) AS value, round(price * tenure / 30 / 5000, 2) AS ratio FROM p""",
+        f"""WITH p AS (SELECT plan, date_diff('day', CAST(created_at AS DATE), CAST(coalesce(canceled_at, TIMESTAMP '2001-08-01') AS DATE)) AS days, CASE plan WHEN 'pro' THEN CASE WHEN sub_id % 3 = 0 THEN 232 ELSE 29 * 12 END WHEN 'team' THEN CASE WHEN sub_id % 3 = 0 THEN 792 ELSE 99 * 12 END ELSE 0 END AS v FROM {SUBS} WHERE plan <> 'free')
+SELECT round(avg(v), 4) AS value, round(avg(v) / 75, 4) AS ratio, round(75 / 29::DOUBLE, 4) AS payback_months, round(avg(days) FILTER (plan = 'pro'), 4) AS pro_days, round(avg(days) FILTER (plan = 'team'), 4) AS team_days FROM p""",
     ),
     "a23_monthly_credits": (a23_monthly_credits, f"SELECT strftime(seen_at, '%Y-%m') AS month, kind, CAST(sum(abs(cost)) AS DOUBLE) AS credits, count(DISTINCT user_id) AS users FROM {USAGE} GROUP BY 1, 2"),
     "a23_credit_summary": (
