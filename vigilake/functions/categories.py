@@ -137,8 +137,9 @@ def _evidence_pattern(package: str | None, evidence: str | None) -> str:
     return rf"(import\s+{name}|require\s*\(\s*['\"]({name})['\"])"
 
 
-#: The evidence where it has signs of a pattern and is one, else a pattern that finds the package being imported: evidence_pattern(package, evidence).
-evidence_pattern = F.udf(lambda package, evidence: _evidence_pattern(package, evidence), "string")
+def evidence_pattern(package: Column, evidence: Column) -> Column:
+    """The evidence where it has signs of a pattern and can be compiled, else a pattern that finds the package being imported."""
+    return F.udf(lambda p, e: _evidence_pattern(p, e), "string")(package, evidence)
 
 
 def scan_priority(ecosystem: Column, alike: Column, scoped: Column, downloads: Column) -> Column:

@@ -46,21 +46,6 @@ def lookalike_level(distance: Column, likeness: Column) -> Column:
     return F.when((distance <= 2) & (likeness >= 0.7), "HIGH").when((distance <= 3) & (likeness >= 0.6), "MEDIUM").when((distance <= 4) & (likeness >= 0.5), "LOW")
 
 
-def first_group(text: Column, groups: dict[str, list[str]], default: str) -> Column:
-    """The first group, in the order given, of which a word stands in the lower-case text."""
-    low = F.lower(text)
-    chain = F
-    for name, words in groups.items():
-        chain = chain.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), name)
-    return chain.otherwise(default)
-
-
-def all_groups(text: Column, groups: dict[str, list[str]]) -> Column:
-    """All groups, sorted by name, of which a word stands in the lower-case text."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in groups[g]]), F.lit(g)) for g in sorted(groups)]))
-
-
 def snippet(text: Column, limit: int = 200) -> Column:
     """At most limit bytes of the trimmed text; a longer one is cut between characters and marked."""
     whole = F.trim(text)

@@ -244,12 +244,28 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
     return setjoin.by_jaccard(sets, least).select("a", "b", F.round("jaccard", 6).alias("jaccard")).where(F.col("jaccard") > least)
 
 
+#: Different word sets of a group that are compared in one row; those of a larger group are joined.
+FEW = 48
+
+
+def _weighted_likeness(sets: Column) -> Column:
+    """The sum, over pairs of an array of (words, n), of both n times the Jaccard similarity of the words."""
+
+    def with_later(i: Column) -> Column:
+        one = F.element_at(sets, i)
+        shared = lambda t: F.size(F.array_intersect(one["words"], t["words"])).cast("double")
+        part = lambda t: one["n"] * t["n"] * shared(t) / (F.size(one["words"]) + F.size(t["words"]) - shared(t))
+        return F.aggregate(F.slice(sets, i + 1, F.size(sets)), F.lit(0.0), lambda total, t: total + part(t))
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(sets) - 1), F.lit(0.0), lambda total, i: total + with_later(i))
+
+
 def root_cause_similarity(findings: DataFrame, keys: list[str], lines: int = 50) -> DataFrame:
     """keys, findings, similarity: the mean over all pairs of findings of a group of 0.3 for the same file, 0.2 for lines less than 50 apart, 0.1 for the same severity and 0.4 times the Jaccard similarity of the words of their evidence.
 
     findings have file, line, severity, evidence. A group of one has 0. Pairs are counted, not made: equal files
     and severities by group sizes, near lines by a range window over distinct lines, evidence by pairs of distinct word
-    sets with a common word, weighted by their sizes. A null file or severity is a value of its own, a null line is near none, evidence without words is like none.
+    sets, weighted by their sizes, inside one row where a group has few, else by a join on common words. A null file or severity is a value of its own, a null line is near none, evidence without words is like none.
     """
     def pairs(n: Column) -> Column:
         return n * (n - 1) / 2
@@ -264,10 +280,14 @@ def root_cause_similarity(findings: DataFrame, keys: list[str], lines: int = 50)
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("evidence"), F.lit(r"(\w+)"))))
     sets = findings.select(*keys, words.alias("words")).where(F.size("words") > 0).groupBy(*keys, "words").agg(F.count("*").alias("n"))
     equal = sets.groupBy(*keys).agg(F.sum(pairs(F.col("n"))).alias("equal"))
-    each = sets.select(*keys, F.to_json("words").alias("id"), F.size("words").alias("size"), "n", F.explode("words").alias("word"))
+    counted = sets.groupBy(*keys).agg(F.count("*").alias("kinds"))
+    placed = sets.join(counted, keys)
+    few = placed.where((F.col("kinds") > 1) & (F.col("kinds") <= FEW)).groupBy(*keys).agg(F.collect_list(F.struct("words", F.col("n").cast("double").alias("n"))).alias("s"))
+    within = few.select(*keys, _weighted_likeness(F.col("s")).alias("alike"))
+    each = placed.where(F.col("kinds") > FEW).select(*keys, F.to_json("words").alias("id"), F.size("words").alias("size"), "n", F.explode("words").alias("word"))
     other = each.select(*keys, F.col("id").alias("id2"), F.col("size").alias("size2"), F.col("n").alias("n2"), "word")
     alike = each.join(other, [*keys, "word"]).where("id < id2").groupBy(*keys, "id", "id2").agg(F.count("*").alias("s"), F.max("size").alias("a"), F.max("size2").alias("b"), F.max(F.col("n") * F.col("n2")).alias("w"))
-    alike = alike.groupBy(*keys).agg(F.sum(F.col("w") * F.col("s") / (F.col("a") + F.col("b") - F.col("s"))).alias("alike"))
+    alike = alike.groupBy(*keys).agg(F.sum(F.col("w") * F.col("s") / (F.col("a") + F.col("b") - F.col("s"))).alias("alike")).unionByName(within)
     rows = total
     for part in (same("file"), same("severity"), near, equal, alike):
         rows = rows.join(part, keys, "left")
@@ -277,13 +297,3 @@ def root_cause_similarity(findings: DataFrame, keys: list[str], lines: int = 50)
 
     mean = (0.3 * of("same_file") + 0.2 * of("near") + 0.1 * of("same_severity") + 0.4 * (of("equal") + of("alike"))) / pairs(F.col("findings"))
     return rows.select(*keys, "findings", F.when(F.col("findings") < 2, 0.0).otherwise(F.round(F.least(F.lit(1.0), mean), 6)).alias("similarity"))
-
-
-def best_category(tools: DataFrame, groups: dict[str, list[str]], per_word: float = 0.3, most: float = 0.9) -> DataFrame:
-    """tool_id, category, confidence: the category of the fixed table of groups of which most words stand in the text; the first of equals."""
-    scored = [
-        F.struct(F.lit(name).alias("category"), F.lit(-k).alias("p"), (F.size(F.filter(F.lit(words), lambda w: F.col("text").contains(w))) * per_word).alias("score")) for k, (name, words) in enumerate(groups.items())
-    ]
-    best = F.array_max(F.transform(F.filter(F.array(*scored), lambda x: x["score"] > 0), lambda x: F.struct(x["score"].alias("score"), x["p"].alias("p"), x["category"].alias("category"))))
-    rows = tools.select("tool_id", best.alias("b")).where("b is not null")
-    return rows.select("tool_id", F.col("b.category").alias("category"), F.round(F.least(F.lit(most), F.col("b.score") / 3), 6).alias("confidence"))

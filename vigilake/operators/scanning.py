@@ -198,6 +198,14 @@ CREDENTIALS, CREDENTIALS_ITEM = r"api[_-]?key|access[_-]?token|secret[_-]?key|pa
 PERMISSION_WEIGHTS = {"process": 10, "credentials": 8, "filesystem": 6, "database": 6, "network": 4, "environment": 2}
 
 
+#: Plain signs of the patterns of PERMISSIONS.
+PERMISSION_SIGNS = {p: next(sign for sign in ("process.env", "os.environ", "getenv(", "http", "localhost", "exec(", "spawn(", "system(", "$", ":", "/") if sign in p.replace("\\", "")) for _, patterns in PERMISSIONS.values() for p in patterns}
+
+
+def _named(category: str, items: Column) -> Column:
+    return F.transform(items, lambda item: F.struct(F.lit(category).alias("category"), item.alias("item")))
+
+
 def permissions(findings: DataFrame) -> DataFrame:
     """scan_id, category, items (sorted, distinct) from the rules and snippets of findings(scan_id, rule, snippet); variables in capitals. Null counts as empty."""
     low, rule = F.lower(F.coalesce("snippet", F.lit(""))), F.lower(F.coalesce("rule", F.lit("")))
@@ -208,12 +216,14 @@ def permissions(findings: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     found = {}
     for category, (words, patterns) in PERMISSIONS.items():
-        items = F.concat(*[F.regexp_extract_all(low, F.lit(p), 1) for p in patterns])
+        # a plain sign that a pattern can't do without is looked for first
+        items = F.concat(*[F.when(low.contains(PERMISSION_SIGNS[p]), F.regexp_extract_all(low, F.lit(p), 1)).otherwise(none) for p in patterns])
         found[category] = F.when(any_in(rule, words), items).otherwise(none) if words else F.transform(items, F.upper)
     found["database"] = F.when(any_in(rule, DATABASE_WORDS) | any_in(low, DATABASE_WORDS), F.array(F.lit(DATABASE_ITEM))).otherwise(none)
     found["credentials"] = F.when(low.rlike(CREDENTIALS), F.array(F.lit(CREDENTIALS_ITEM))).otherwise(none)
-    rows = findings.select("scan_id", F.explode(F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)])).alias("category", "found"))
-    return rows.select("scan_id", "category", F.explode("found").alias("item")).distinct().groupBy("scan_id", "category").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    pairs = F.flatten(F.array(*[_named(k, v) for k, v in found.items()]))
+    rows = findings.select("scan_id", F.explode(pairs).alias("p"))
+    return rows.groupBy("scan_id", F.col("p.category").alias("category")).agg(F.array_sort(F.collect_set("p.item")).alias("items"))
 
 
 def permission_risk(granted: DataFrame) -> DataFrame:

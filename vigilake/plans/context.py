@@ -34,11 +34,6 @@ def p33_taint(spark, sf):
     return C.taint_flows(_code(spark, sf), ["input()"], ["eval("], ["escape("]).groupBy("path", "entry", "sink", "sanitized").agg(F.count("*").alias("n"))
 
 
-def p12_missing_git(spark, sf):
-    rows = frame(spark, sf, "findings").groupBy("scan_id").agg(F.max((F.col("line") == 1) & (F.col("weight") == 1)).alias("manifest"), F.max(F.col("rule") == "R-3").alias("git"))
-    return rows.where("manifest and not git").select("scan_id")
-
-
 #: Paths and texts of scripts, and whether they are built or vendored.
 BUILT = [
     ("a.min.js", "/*! jQuery v3", True), ("b.min.js", "steal()", False), ("c.min.js", "x" * 500 + "/*! React", False), ("d.js", "/*! Vue", False), ("e.js", "x = __webpack_require__(1)", True),
@@ -197,7 +192,6 @@ QUERIES = {
     "p16_live_calls": (p16_live_calls, f"SELECT 'f' || CAST(k AS VARCHAR) AS path, CAST(live AS INTEGER) AS live, count(*) AS n FROM events JOIN {_PARTS} ON event_id % {_N} = k GROUP BY 1, 2"),
     "p21_chains": (p21_chains, f"SELECT 'f' || CAST(event_id % {_N} AS VARCHAR) AS path, event_id % {_N} = 4 AS decoded, event_id % {_N} = 7 AS hexed, count(*) AS n FROM events GROUP BY 1, 2, 3"),
     "p33_taint": (p33_taint, f"SELECT 'f' || CAST(event_id % {_N} AS VARCHAR) AS path, 'input()' AS entry, 'eval(' AS sink, event_id % {_N} = 6 AS sanitized, count(*) AS n FROM events WHERE event_id % {_N} IN (5, 6) GROUP BY 1, 4"),
-    "p12_missing_git": (p12_missing_git, f"SELECT scan_id FROM {FINDINGS} GROUP BY 1 HAVING bool_or(line = 1 AND weight = 1) AND NOT bool_or(rule = 'R-3')"),
     "p17_p22_bundled": (p17_p22_bundled, f"SELECT tool_id, tool_id % {len(BUILT)} IN ({', '.join(str(k) for k, (_, _, b) in enumerate(BUILT) if b)}) AS bundled, starts_with(name, 'red-') OR starts_with(name, 'blue-') AS named FROM {TOOLS}"),
     "p34_user_rules": (
         p34_user_rules,

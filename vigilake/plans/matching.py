@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import categories as K
 from ..functions import names as N
+from ..functions import signals as G
 from ..operators import matching as M
 from .inputs import frame, read, source
 
@@ -19,7 +21,6 @@ VARIABLES = ["API_KEY", "DB_URL", "TOKEN", "HOST", "PORT", "REGION", "BUCKET"]
 PROTOCOLS = ["HTTP", "REST", "WebSocket", "gRPC", "GraphQL", "Webhook"]
 CAPABILITIES = ["accesses_database", "reads_files", "processes_user_input", "makes_network_calls", "handles_credentials", "generates_content"]
 CATEGORIES = {"data": "Database", "search": "Search", "web": "API Integration", "communication": "Communication", "storage": "File System", "code": "Code Tools"}
-GROUPS = {"database": ["database", "quer"], "communication": ["email", "chat"], "search": ["search", "file"], "testing": ["test", "browser"], "cloud": ["cloud", "deploy"]}
 
 
 def tools(spark, sf):
@@ -140,32 +141,78 @@ def j29_root_cause(spark, sf):
     return M.root_cause_similarity(_described(spark, sf), ["scan_id", "phase"])
 
 
-def a52_best_category(spark, sf):
-    return M.best_category(tools(spark, sf).select("tool_id", F.lower("description").alias("text")), GROUPS)
+def p28_p42_tool_category(spark, sf):
+    rows = tools(spark, sf)
+    return rows.select("tool_id", K.tool_category(F.col("name"), F.col("description")).alias("category"), K.described_category(F.col("description")).alias("described"))
 
 
-def p28_p42_tool_category(spark, sf):
-    by_name = N.first_group(F.col("name"), {"search": ["ring"], "cloud": ["widget"]}, "")
-    return tools(spark, sf).select("tool_id", F.coalesce(F.nullif(by_name, F.lit("")), N.first_group(F.col("description"), GROUPS, "code")).alias("category"))
+#: Names and descriptions, and their categories by both and by the description alone, told by hand.
+CATEGORIZED = [
+    ("pg-dbtool", "Email helper", "database_connectors", "AI/LLM"), ("helper", "Sends SQL", "database_connectors", "Database"), ("mailer", "plain words", "ai_llm_tools", "AI/LLM"), ("note", "An email tool", "ai_llm_tools", "AI/LLM"),
+    ("audit-log", "Good", "security_tools", "Uncategorized"), ("x", "Finds vulnerabilities", "security_tools", "Uncategorized"), ("x", "A REST gateway", "api_integrations", "API Integration"), ("eslint-y", "Good", "code_tools", "Uncategorized"),
+    ("x", "Checks syntax", "code_tools", "Uncategorized"), ("fsx", "Good", "file_system_tools", "Uncategorized"), ("x", "Lists a directory", "file_system_tools", "File System"), ("k8s-up", "Good", "devops_tools", "Uncategorized"),
+    ("solr-x", "Good", "search_tools", "Uncategorized"), ("x", "An index", "search_tools", "Search"), ("robot", "Good", "communication_tools", "Uncategorized"), ("x", "Good for observability", "monitoring_tools", "Uncategorized"),
+    ("etl-x", "Good", "data_tools", "Uncategorized"), ("spec-x", "Good", "testing_tools", "Uncategorized"), ("x", "Good", "code_tools", "Uncategorized"), ("x", "Webhook to Slack", "communication_tools", "API Integration"),
+    ("x", "Build it", "code_tools", "Code Tools"), ("x", "Hides a secret", "code_tools", "Security"), ("x", "Docker up", "devops_tools", "DevOps"), ("x", "A message", "code_tools", "Communication"), (None, None, "code_tools", "Uncategorized"),
+]
+
+
+def p28_p42_told_categories(spark, sf):
+    row = F.expr(f"cast(p_partkey % {len(CATEGORIZED)} as int)")
+    name, said = (F.get(F.array(*[F.lit(c[k]) for c in CATEGORIZED]), row) for k in (0, 1))
+    return read(spark, sf, "part").select("p_partkey", K.tool_category(name, said).alias("category"), K.described_category(said).alias("described"))
+
+
+_IMPORTS = "case tool_id % 7 when 0 then array('requests', 'psycopg2') when 1 then array('axios') when 2 then array('MyDatabase', 'flask', 'express') when 3 then array('paramiko') else array() end"
+_ENVS = "case tool_id % 5 when 0 then array('REDIS_URL') when 1 then array('WS_HOST') else array() end"
 
 
-def p25_p46_signals(spark, sf):
-    return tools(spark, sf).select(F.concat_ws(",", N.all_groups(F.concat_ws(" ", "name", "description", "category"), GROUPS)).alias("signals")).groupBy("signals").agg(F.count("*").alias("tools"))
+def p46_tags(spark, sf):
+    """Protocols, runtimes and capabilities of tools."""
+    rows = tools(spark, sf).selectExpr("tool_id", "case tool_id % 4 when 0 then 'pypi' when 1 then 'npm' when 2 then 'mcp' else 'skills' end as ecosystem", "case when tool_id % 6 = 0 then concat(description, ' in Docker') else description end as description", f"cast({_IMPORTS} as array<string>) as imports", f"cast({_ENVS} as array<string>) as envs")
+    calls = F.expr("case tool_id % 3 when 0 then array('HTTPS GET') when 1 then array('raw') else cast(array() as array<string>) end")
+    files = F.expr("case tool_id % 8 when 0 then array('w') else cast(array() as array<string>) end")
+    tags = K.capability_tags(F.col("envs"), calls, files, F.col("imports"))
+    return rows.select("tool_id", *[F.array_join(c, ",").alias(n) for n, c in (("protocols", K.protocols(F.col("description"), F.col("imports"), F.col("envs"))), ("runtimes", K.runtimes(F.col("ecosystem"), F.col("description"), F.col("imports"))), ("tags", tags))])
+
+
+def p42_derived_capabilities(spark, sf):
+    found = [F.expr(f"case when tool_id % {n} = 0 then {some} else cast(array() as array<string>) end") for n, some in ((2, "array('A')"), (3, "array('HTTP')"), (5, "array('database', 'file_operations')"))]
+    return tools(spark, sf).select("tool_id", F.array_join(K.derived_capabilities(*found), ",").alias("capabilities"))
 
 
 def p26_p27_priority(spark, sf):
-    rows = tools(spark, sf)
+    rows = tools(spark, sf).withColumn("name", F.expr("case when tool_id % 10 = 3 then concat('@openai/', name) else name end")).withColumn("ecosystem", F.expr("case when tool_id % 8 = 0 then 'clawhub' else ecosystem end")).withColumn("downloads", F.expr("downloads % 2000"))
     alike = N.is_lookalike(F.col("name"), F.lit(TARGETS[0]))
     for t in TARGETS[1:]:
         alike = alike | N.is_lookalike(F.col("name"), F.lit(t))
-    priority = F.when(alike, "critical").when((F.col("ecosystem") == "skills") | F.col("name").startswith("red-"), "high").when(F.col("downloads") > 50_000, "high").otherwise("normal")
-    return rows.groupBy(priority.alias("priority"), (F.col("description").contains("chat") | F.col("description").contains("browser")).alias("ai")).agg(F.count("*").alias("tools"))
+    priority = K.scan_priority(F.col("ecosystem"), alike, G.in_scope(F.col("name")), F.col("downloads"))
+    return rows.groupBy(priority.alias("priority"), G.about_ai(F.concat_ws(" ", "name", "description")).alias("ai")).agg(F.count("*").alias("tools"))
+
+
+def install_commands(spark, sf):
+    rows = tools(spark, sf).selectExpr("tool_id", "name", "case tool_id % 5 when 0 then 'clawhub' when 1 then 'mcp' when 2 then 'npm' when 3 then 'pypi' else 'github' end as ecosystem", "case tool_id % 3 when 0 then null when 1 then '' else '1.2' end as version")
+    return rows.select("tool_id", K.install_command(F.col("ecosystem"), F.col("name"), F.col("version")).alias("command"))
+
+
+def diff_summaries(spark, sf):
+    rows = tools(spark, sf)
+    return rows.select("tool_id", K.diff_summary(F.col("stars"), F.col("tool_id") % 7, F.col("tool_id") % 3, F.col("risk_score"), F.col("stars")).alias("summary"))
+
+
+#: Packages and evidence, and the patterns that come of them.
+EVIDENT = [("a.b", "eval\\(", "eval\\("), ("a.b", "eval(", "(import\\s+a\\.b|require\\s*\\(\\s*['\\\"](a\\.b)['\\\"])"), ("my-x", "plain", "(import\\s+my\\-x|require\\s*\\(\\s*['\\\"](my\\-x)['\\\"])"), ("y", None, "(import\\s+y|require\\s*\\(\\s*['\\\"](y)['\\\"])"), ("z", "^os$", "^os$")]
+
+
+def p36_evidence_patterns(spark, sf):
+    row = F.expr(f"cast(p_partkey % {len(EVIDENT)} as int)")
+    package, evidence = (F.get(F.array(*[F.lit(e[k]) for e in EVIDENT]), row) for k in (0, 1))
+    return read(spark, sf, "part").select("p_partkey", K.evidence_pattern(package, evidence).alias("pattern"))
 
 
 def p30_ecosystems(spark, sf):
-    rows = frame(spark, sf, "findings")
-    kind = F.when(F.col("rule").endswith("1"), "execution").when(F.col("file").contains("test"), "testing").otherwise(F.element_at(F.create_map(F.lit("install_hooks"), F.lit("install"), F.lit("code_patterns"), F.lit("code"), F.lit("network_exfil"), F.lit("network")), F.col("phase")))
-    return rows.groupBy(kind.alias("pattern"), N.ecosystem(F.when(F.col("scan_id") % 2 == 0, "ClawHub").otherwise("GitHub")).alias("ecosystem")).agg(F.count("*").alias("findings"))
+    given = F.element_at(F.array(*map(F.lit, ["ClawHub", "skill", "GitHub", "MCP", "npm", "PyPI"])), (F.col("scan_id") % 6 + 1).cast("int"))
+    return frame(spark, sf, "findings").groupBy(given.alias("given"), N.ecosystem(given).alias("ecosystem")).agg(F.count("*").alias("findings"))
 
 
 def trust_scores(spark, sf):
@@ -179,8 +226,24 @@ def trust_scores(spark, sf):
 _LOOKALIKE = """low <> target AND (levenshtein(low, target) <= 2 OR ((starts_with(low, target || '-') OR ends_with(low, '-' || target)) AND length(replace(replace(replace(low, target, ''), '-', ''), '_', '')) > 0 AND ({tries})))""".format(
     tries=" OR ".join(f"(contains(low, '{a}') AND levenshtein(replace(low, '{a}', '{b}'), target) <= 1)" for a, b in N.CONFUSABLES.items())
 )
-_GROUP_CASE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains({{t}}, '{w}')" for w in ws) + f" THEN '{g}'" for g, ws in GROUPS.items()) + " ELSE 'code' END"
-_SIGNALS = ", ".join("CASE WHEN " + " OR ".join(f"contains(t, '{w}')" for w in GROUPS[g]) + f" THEN '{g}' END" for g in sorted(GROUPS))
+def _words_sql(text, words):
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+_TOOL_CASE = "CASE " + " ".join(f"WHEN {_words_sql('lower(name)', names)} OR {_words_sql('lower(description)', said)} THEN '{c}'" for c, names, said in K.TOOL_TERMS) + " ELSE 'code_tools' END"
+_SAID_CASE = "CASE " + " ".join(f"WHEN {_words_sql('lower(description)', words)} THEN '{c}'" for c, words in K.DESCRIBED.items()) + " ELSE 'Uncategorized' END"
+_PROTOCOL_LIST = ", ".join(f"CASE WHEN {_words_sql('t', words)} THEN '{p}' END" for p, words in K.PROTOCOL_TERMS.items())
+
+
+def _rows_sql(rows, columns):
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return f"(VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) {columns}"
+
+
+def _list_sql(items):
+    return f"array_to_string(list_filter([{items}], lambda x: x IS NOT NULL), ',')"
+
+
 _METRICS = "(SELECT user_id % 200 + 1 AS tool_id, ts, CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS downloads, event_id % 13 AS stars FROM events)"
 _TRENDING = f"""WITH p AS (SELECT tool_id, avg(downloads) FILTER (ts >= TIMESTAMP '2024-01-16') AS n, coalesce(avg(downloads) FILTER (ts < TIMESTAMP '2024-01-16'), 0) AS b, coalesce(avg(stars) FILTER (ts >= TIMESTAMP '2024-01-16'), 0) AS s FROM {_METRICS} GROUP BY 1),
 g AS (SELECT p.*, 100 - risk_score AS trust, CASE WHEN b = 0 THEN CASE WHEN n > 0 THEN 100 ELSE 0 END WHEN n = 0 THEN -100 ELSE (n - b) * 100 / b END AS g FROM p JOIN {TOOLS} t ON p.tool_id = t.tool_id WHERE n IS NOT NULL),
@@ -272,22 +335,26 @@ p AS (SELECT x.scan_id, x.phase, CASE WHEN x.file = y.file THEN 0.3 ELSE 0 END::
   + 0.4::DOUBLE * coalesce(len(list_intersect(x.words, y.words)) / CAST(len(x.words) + len(y.words) - len(list_intersect(x.words, y.words)) AS DOUBLE), 0) AS s FROM f x JOIN f y ON x.scan_id = y.scan_id AND x.phase = y.phase AND x.i < y.i)
 SELECT g.scan_id, g.phase, n AS findings, coalesce(round(CASE WHEN m > 1 THEN 1 ELSE m END, 6), 0) AS similarity FROM (SELECT scan_id, phase, count(*) AS n FROM f GROUP BY 1, 2) g LEFT JOIN (SELECT scan_id, phase, avg(s) AS m FROM p GROUP BY 1, 2) p ON p.scan_id = g.scan_id AND p.phase = g.phase""",
     ),
-    "a52_best_category": (
-        a52_best_category,
-        f"""WITH d(category, position, words) AS (VALUES {", ".join(f"('{g}', {k}, {w})" for k, (g, w) in enumerate(GROUPS.items()))}), s AS (SELECT tool_id, category, position, len(list_filter(words, lambda w: contains(lower(description), w))) * 0.3::DOUBLE AS score FROM (SELECT tool_id, description FROM {TOOLS}), d)
-SELECT tool_id, category, round(least(0.9::DOUBLE, score / 3), 6) AS confidence FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY tool_id ORDER BY score DESC, position) = 1""",
+    "p28_p42_tool_category": (p28_p42_tool_category, f"SELECT tool_id, {_TOOL_CASE} AS category, {_SAID_CASE} AS described FROM {TOOLS}"),
+    "p28_p42_told_categories": (p28_p42_told_categories, f"SELECT p_partkey, category, described FROM part JOIN {_rows_sql([(k, *c[2:]) for k, c in enumerate(CATEGORIZED)], 'c(k, category, described)')} ON p_partkey % {len(CATEGORIZED)} = k"),
+    "p46_tags": (
+        p46_tags,
+        f"""WITH b AS (SELECT tool_id, tool_id % 4 AS e, CASE WHEN tool_id % 6 = 0 THEN description || ' in Docker' ELSE description END AS description, {_IMPORTS.replace("array(", "list_value(").replace("else list_value()", "else list_value()::VARCHAR[]")} AS imports, {_ENVS.replace("array(", "list_value(").replace("else list_value()", "else list_value()::VARCHAR[]")} AS envs FROM {TOOLS}),
+x AS (SELECT *, lower(description || ' ' || array_to_string(imports, ' ') || ' ' || array_to_string(envs, ' ')) AS t FROM b)
+SELECT tool_id, {_list_sql(_PROTOCOL_LIST)} AS protocols, {_list_sql("CASE WHEN e = 0 OR e > 1 AND tool_id % 7 IN (0, 2) THEN 'python' END, CASE WHEN e = 1 OR e > 1 AND tool_id % 7 IN (1, 2) THEN 'node' END, CASE WHEN tool_id % 6 = 0 THEN 'docker' END")} AS runtimes,
+ {_list_sql("CASE WHEN tool_id % 5 < 2 THEN 'reads_env_vars' END, CASE WHEN tool_id % 3 < 2 THEN 'makes_network_calls' END, CASE WHEN tool_id % 8 = 0 THEN 'accesses_filesystem' END, CASE WHEN tool_id % 7 = 2 THEN 'requires_database' END, CASE WHEN tool_id % 3 = 0 THEN 'makes_http_calls' END")} AS tags FROM x""",
     ),
-    "p28_p42_tool_category": (p28_p42_tool_category, f"SELECT tool_id, CASE WHEN contains(name, 'ring') THEN 'search' WHEN contains(name, 'widget') THEN 'cloud' ELSE {_GROUP_CASE.format(t='lower(description)')} END AS category FROM {TOOLS}"),
-    "p25_p46_signals": (p25_p46_signals, f"SELECT array_to_string(list_filter([{_SIGNALS}], lambda x: x IS NOT NULL), ',') AS signals, count(*) AS tools FROM (SELECT lower(name || ' ' || description || ' ' || category) AS t FROM {TOOLS}) GROUP BY 1"),
+    "p42_derived_capabilities": (p42_derived_capabilities, f"SELECT tool_id, {_list_sql("CASE WHEN tool_id % 2 = 0 THEN 'requires_env_vars:1.0' END, CASE WHEN tool_id % 3 = 0 THEN 'makes_network_calls:1.0' END, CASE WHEN tool_id % 5 = 0 THEN 'accesses_database:0.8' END, CASE WHEN tool_id % 5 = 0 THEN 'reads_files:0.8' END")} AS capabilities FROM {TOOLS}"),
+    "install_commands": (install_commands, f"SELECT tool_id, CASE tool_id % 5 WHEN 0 THEN 'npx skills add ' || name || CASE WHEN tool_id % 3 = 2 THEN '@1.2' ELSE '' END WHEN 1 THEN '# Add to claude_desktop_config.json: ' || name WHEN 2 THEN 'npm install ' || name || CASE WHEN tool_id % 3 = 2 THEN '@1.2' ELSE '' END WHEN 3 THEN 'pip install ' || name || CASE WHEN tool_id % 3 = 2 THEN '==1.2' ELSE '' END ELSE '# Install ' || name || ' from github' END AS command FROM {TOOLS}"),
+    "diff_summaries": (diff_summaries, f"SELECT tool_id, format('{{}} new, {{}} resolved, {{}} unchanged (score: {{}} → {{}}, {{}}{{}})', stars, tool_id % 7, tool_id % 3, risk_score, stars, CASE WHEN stars >= risk_score THEN '+' ELSE '' END, stars - risk_score) AS summary FROM {TOOLS}"),
+    "p36_evidence_patterns": (p36_evidence_patterns, f"SELECT p_partkey, pattern FROM part JOIN {_rows_sql([(k, e[2]) for k, e in enumerate(EVIDENT)], 'e(k, pattern)')} ON p_partkey % {len(EVIDENT)} = k"),
     "p26_p27_priority": (
         p26_p27_priority,
-        f"""WITH l AS (SELECT DISTINCT tool_id FROM (SELECT tool_id, replace(lower(name), '_', '-') AS low FROM {TOOLS}), {_TARGETS} WHERE {_LOOKALIKE})
-SELECT CASE WHEN l.tool_id IS NOT NULL THEN 'critical' WHEN ecosystem = 'skills' OR starts_with(name, 'red-') OR downloads > 50000 THEN 'high' ELSE 'normal' END AS priority, contains(description, 'chat') OR contains(description, 'browser') AS ai, count(*) AS tools FROM {TOOLS} t LEFT JOIN l ON l.tool_id = t.tool_id GROUP BY 1, 2""",
-    ),
-    "p30_ecosystems": (
-        p30_ecosystems,
-        f"SELECT CASE WHEN ends_with(rule, '1') THEN 'execution' WHEN contains(file, 'test') THEN 'testing' WHEN phase = 'install_hooks' THEN 'install' WHEN phase = 'code_patterns' THEN 'code' ELSE 'network' END AS pattern, CASE WHEN scan_id % 2 = 0 THEN 'skills' ELSE 'mcps' END AS ecosystem, count(*) AS findings FROM {FINDINGS} GROUP BY 1, 2",
+        f"""WITH t AS (SELECT tool_id, CASE WHEN tool_id % 10 = 3 THEN '@openai/' || name ELSE name END AS name, description, CASE WHEN tool_id % 8 = 0 THEN 'clawhub' ELSE ecosystem END AS ecosystem, downloads % 2000 AS downloads FROM {TOOLS}),
+l AS (SELECT DISTINCT tool_id FROM (SELECT tool_id, replace(lower(name), '_', '-') AS low FROM t), {_TARGETS} WHERE {_LOOKALIKE})
+SELECT CASE WHEN l.tool_id IS NOT NULL THEN 'critical' WHEN ecosystem = 'clawhub' OR ecosystem = 'npm' AND starts_with(name, '@openai/') OR downloads > 1000 THEN 'high' ELSE 'normal' END AS priority, {_words_sql("lower(name || ' ' || description)", G.AI_WORDS)} AS ai, count(*) AS tools FROM t LEFT JOIN l ON l.tool_id = t.tool_id GROUP BY 1, 2""",
     ),
+    "p30_ecosystems": (p30_ecosystems, f"SELECT given, ecosystem, count(*) AS findings FROM {FINDINGS} JOIN (VALUES (0, 'ClawHub', 'skills'), (1, 'skill', 'skills'), (2, 'GitHub', 'mcps'), (3, 'MCP', 'mcps'), (4, 'npm', 'npm'), (5, 'PyPI', 'pypi')) e(k, given, ecosystem) ON scan_id % 6 = k GROUP BY 1, 2"),
     "trust_scores": (
         trust_scores,
         f"""WITH t AS (SELECT tool_id, risk_score, stars, downloads, tool_id % 14 AS forks, tool_id % 9 AS issues, tool_id % 4 > 1 AS told FROM {TOOLS})

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import signals as G
 from ..operators import content as C
-from ..operators import dataflow, flow, rulescan, setjoin
+from ..operators import context, dataflow, flow, rulescan, scanning, setjoin
 from ..sources import trees
 from ..streaming.runs import shared_path
 from .inputs import read
@@ -198,3 +199,75 @@ SELECT doc_id, rule, CAST(line AS INTEGER) AS line, "offset", CAST(row_number()
 SELECT scan_id, score, findings, CASE WHEN critical THEN 'CRITICAL_RISK' WHEN score >= 25 THEN 'HIGH_RISK' WHEN score >= 10 THEN 'MEDIUM_RISK' ELSE 'LOW_RISK' END AS verdict FROM s""",
     ),
 }
+
+
+def p4_snippets(spark, sf):
+    """What findings quote: at most 200 bytes of a line, cut between characters."""
+    rules = spark.createDataFrame([("LONG", "LOW", "[.!?] ", "A sentence")], "id string, severity string, pattern string, description string")
+    return rulescan.scan_rules(_files(spark, sf), rules).select("doc_id", "line", F.md5(F.col("snippet").cast("binary")).alias("snippet"), F.octet_length("snippet").alias("bytes"))
+
+
+#: Strings, comments and calls between the lines of a document.
+_CALLS = "concat(replace(text, '`', ''), chr(10), 'eval(a); ''eval(b)'' + eval (c) // eval(d)', chr(10), '/* eval(e)', chr(10), 'eval(f) */ \"eval(g)\" eval(', cast(doc_id as string), ') # eval(h)')"
+
+
+def p16_live_text(spark, sf):
+    """Calls outside of strings and comments, in documents with apostrophes and quotation marks of their own."""
+    return read(spark, sf, "documents").selectExpr("doc_id", f"{_CALLS} as text").select("doc_id", context.live_calls(F.col("text")).alias("calls"))
+
+
+_PIECES = r"""\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|/\*[\s\S]*?(?:\*/|\z)|//[^\n]*|#[^\n]*|\beval\s*\("""
+
+#: A value decoded, and decoded again under its name or another's.
+_DECODED = "concat(text, chr(10), 'a', doc_id % 3, ' = atob(x)', chr(10), case when doc_id % 5 < 2 then 'y = base64.b64decode(a0)' when doc_id % 5 = 2 then 'a9 = 1' else 'z = atob(q + a1 )' end, chr(10), 'h = bytes.fromhex(s).decode()', chr(10), case when doc_id % 4 = 0 then 'atob( h )' else 'atob(hh)' end)"
+
+
+def p21_chains_text(spark, sf):
+    rows = read(spark, sf, "documents").selectExpr("doc_id", f"{_DECODED} as text")
+    return rows.select("doc_id", context.decode_chain(F.col("text")).alias("decoded"), context.hex_chain(F.col("text")).alias("hexed"))
+
+
+def p25_signals_text(spark, sf):
+    """What pages and documents say of kinds, providers and infrastructure, part words too."""
+    docs = read(spark, sf, "documents").selectExpr("'document' as source", "doc_id as id", "text").unionByName(read(spark, sf, "pages").selectExpr("'page' as source", "page_id as id", "html as text"))
+    found = [F.array_join(G.detected(F.col("text"), table), ",").alias(name) for name, table in (("kinds", G.KINDS), ("providers", G.PROVIDERS), ("infrastructure", G.INFRASTRUCTURE))]
+    return docs.where("text is not null").select("source", "id", *found)
+
+
+def _detected_sql(table):
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'''contains(t, '{w.lower()}')''' for w in words)} THEN '{k}' END" for k, words in table.items()) + "], lambda x: x IS NOT NULL), ',')"
+
+
+def p40_permissions_text(spark, sf):
+    """Permissions told by the lines of documents that a scan found."""
+    rules = spark.createDataFrame([("read-file-url", "@|https?:|/|[0-9]{4}"), ("exec-command", "token|password|=")], "id string, pattern string")
+    found = rulescan.scan_rules(_files(spark, sf), rules).select(F.col("doc_id").alias("scan_id"), "rule", "snippet")
+    return scanning.permissions(found).select("scan_id", "category", F.array_join("items", ",").alias("items"))
+
+
+_SNIP = "CASE WHEN strlen(trim(body)) <= 200 THEN trim(body) ELSE trim(list_max(list_transform(list_filter(range(0, 201), lambda n: strlen(\"left\"(trim(body), n)) <= 200), lambda n: \"left\"(trim(body), n)))) || ' ...' END"
+_GRANTS = [
+    ("environment", "true", r"process\.env\.([a-z_][a-z0-9_]*)"), ("environment", "true", r"os\.environ\[?['\"]([a-z_][a-z0-9_]*)['\"]?\]?"), ("environment", "true", r"getenv\(['\"]([a-z_][a-z0-9_]*)['\"]?\)"), ("environment", "true", r"\$\{?([a-z_][a-z0-9_]*)\}?"),
+    ("filesystem", "rule = 'read-file-url'", r"([~/]\S+\.\w+)"), ("filesystem", "rule = 'read-file-url'", r"(/[a-zA-Z0-9/_.-]+)"), ("filesystem", "rule = 'read-file-url'", r"(\./[a-zA-Z0-9/_.-]+)"),
+    ("network", "rule = 'read-file-url'", r"https?://([^/\s]+)"), ("network", "rule = 'read-file-url'", r"localhost:(\d+)"), ("network", "rule = 'read-file-url'", r":(\d+)"),
+    ("process", "rule = 'exec-command'", r"exec\(['\"]([^'\"]+)['\"]"), ("process", "rule = 'exec-command'", r"spawn\(['\"]([^'\"]+)['\"]"), ("process", "rule = 'exec-command'", r"system\(['\"]([^'\"]+)['\"]"),
+]
+
+
+def _quoted(pattern):
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+QUERIES |= {
+    "p4_snippets": (p4_snippets, f"WITH {_LINES}, s AS (SELECT doc_id, line, 'A sentence: ' || {_SNIP} AS snippet FROM l WHERE regexp_matches(body, '[.!?] ')) SELECT doc_id, CAST(line AS INTEGER) AS line, md5(snippet) AS snippet, CAST(strlen(snippet) AS INTEGER) AS bytes FROM s"),
+    "p16_live_text": (p16_live_text, f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all({_CALLS}, {_quoted(_PIECES)}), lambda p: regexp_matches(p, '^eval'))) AS INTEGER) AS calls FROM documents WHERE text IS NOT NULL"),
+    "p21_chains_text": (p21_chains_text, "SELECT doc_id, doc_id % 3 = 0 AND doc_id % 5 < 2 OR doc_id % 3 = 1 AND doc_id % 5 > 2 AS decoded, doc_id % 4 = 0 AS hexed FROM documents WHERE text IS NOT NULL"),
+    "p25_signals_text": (p25_signals_text, f"SELECT source, id, {_detected_sql(G.KINDS)} AS kinds, {_detected_sql(G.PROVIDERS)} AS providers, {_detected_sql(G.INFRASTRUCTURE)} AS infrastructure FROM (SELECT 'document' AS source, doc_id AS id, lower(text) AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'page', page_id, lower(html) FROM pages WHERE html IS NOT NULL)"),
+    "p40_permissions_text": (
+        p40_permissions_text,
+        f"""WITH {_LINES}, s AS (SELECT doc_id, rule, lower({_SNIP}) AS t FROM l JOIN (VALUES ('read-file-url', '@|https?:|/|[0-9]{{4}}'), ('exec-command', 'token|password|=')) r(rule, p) ON regexp_matches(body, p)),
+g AS ({" UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, unnest({'list_transform(' if c == 'environment' else ''}regexp_extract_all(t, {_quoted(p)}, 1){', lambda x: upper(x))' if c == 'environment' else ''}) AS item FROM s WHERE {when}" for c, when, p in _GRANTS)}
+ UNION ALL SELECT doc_id, 'database', 'Database connection required' FROM s WHERE regexp_matches(t, 'database|sql|postgres|mysql|mongodb|redis|sqlite') UNION ALL SELECT doc_id, 'credentials', 'Requires authentication' FROM s WHERE regexp_matches(t, 'api[_-]?key|access[_-]?token|secret[_-]?key|password|token|credential'))
+SELECT doc_id AS scan_id, category, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM g GROUP BY 1, 2""",
+    ),
+}
