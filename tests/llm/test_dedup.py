@@ -245,3 +245,41 @@ def test_near_duplicates_edge_cases(spark):
     assert got == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 2), 5: (4, 2), 6: (6, 0), 7: (7, 1), 8: (7, 1), None: (4, 2)}
     odd = spark.createDataFrame([(1, "a b c d e f", "s"), (2, "A b c d e f", "t"), (3, "g", None)], "doc_id long, text string, sid string")
     assert sorted(tuple(r) for r in near_dup.drop_near_duplicates(odd).collect()) == [(1, "a b c d e f", "s"), (3, "g", None)]
+
+
+def grouped(rows, key):
+    """The groups of at least two (doc_id, code) that a column tells apart."""
+    held: dict = {}
+    for r in rows:
+        held.setdefault(r[key], set()).add((r.doc_id, r.code))
+    return sorted(sorted(g) for g in held.values() if len(g) > 1)
+
+
+@pytest.mark.parametrize("block", [4, 16, 1024])
+def test_classes_without_counts_are_those_with_counts(spark, block):
+    """Near copies over many blocks, chains of texts each like the next, and texts that only share a passage."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(4000)]
+    base, passage = rng.sample(words, 120), rng.sample(words, 60)
+    texts = [" ".join(w if k != i % 120 else "odd" for k, w in enumerate(base)) for i in range(90)]
+    chain = rng.sample(words, 400)
+    texts += [" ".join(chain[k : k + 100]) for k in range(0, 120, 4)]
+    texts += [" ".join(passage + rng.sample(words, 40)) for _ in range(60)]
+    texts += [texts[0], texts[0], texts[-1], "", "one two", None]
+    docs = docs_of(spark, list(enumerate(texts)))
+    counted = [r for r in near_dup.near_duplicates(docs, block=block, limit=32).collect() if r.n_links]
+    got = grouped(near_dup.near_classes(docs, block=block, limit=32).collect(), "class")
+    assert got == grouped(counted, "class_id") and len(got) >= 3
+
+
+def test_a_large_class_is_compared_in_its_blocks_only(spark, monkeypatch):
+    """Of near copies over many blocks no pair of blocks is compared but with itself, and a head of each with the others."""
+    seen = []
+    verified = near_dup._verified
+    monkeypatch.setattr(near_dup, "_verified", lambda dealt, *more: seen.append(dealt.count()) or verified(dealt, *more))
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 9999)}" for _ in range(80)]
+    rows = [(i, " ".join(w if k != i % 80 else f"x{i}" for k, w in enumerate(base))) for i in range(1500)]
+    got = near_dup.near_classes(docs_of(spark, rows), block=64)
+    assert got.groupBy("class").count().select("count").collect() == [(1500,)]
+    assert seen[0] == 1500 and seen[1] <= 40 and seen[2:] == [0]

@@ -382,6 +382,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
     whose pairs of like size are all compared; most_leaders: leaders of a larger one; depth: steps after which a bucket that is still larger is
     compared in pairs of blocks; block: sets, of 400 shingles on average at most, that are compared at once inside a component.
     """
+    told, reps, full, sizes = _prepared(docs, similarity, width, recall, limit, most_leaders, block, depth)
+    dealt = full.join(sizes, "root").select("root", "sid", "block", "docs", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "sid", "block", "docs", "text"
+    )
+    found = cut(_verified(dealt, width, similarity), "near-found")
+    links = found.where("peer is null").groupBy("sid").agg(F.sum("links").alias("links"))
+    joined = components(found.where("peer is not null").select(F.col("sid").alias("a"), F.col("peer").alias("b")))
+    classes = reps.select("sid", "docs", "least").join(links, "sid", "left").join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    named = classes.groupBy("root").agg(F.min("least").alias("class_id"))
+    per_set = classes.join(named, "root").select(F.col("sid").alias("s"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    out = told.select("doc_id", "code", "sid").join(per_set, F.col("sid") == F.col("s"), "left")
+    return out.select("doc_id", "code", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _prepared(docs: DataFrame, similarity: float, width: int, recall: float, limit: int, most_leaders: int, block: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sets of all documents; one document of each different set; root, sid, block, docs, text of the sets in candidate components; and root, blocks."""
     told = cut(_sets(docs, width, similarity, runs_for(recall)), "near-sets")
     told_sets = told.where("sid is not null")
     counted = told_sets.groupBy("sid").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "code")).alias("rep"), F.min("doc_id").alias("least"))
@@ -400,31 +416,63 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, re
     texts = _maybe_held(texts, "rep_code", members, "rep_code")
     same = members.rep_id.eqNullSafe(texts.rep_id) & (members.rep_code == texts.rep_code)
     full = members.drop("size").join(texts, same).dropDuplicates(["sid"]).join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    dealt = full.select("root", "sid", "block", "docs", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "sid", "block", "docs", "text"
-    )
-    dealt = dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "sid")
-    found = cut(dealt.mapInArrow(_verify(width, similarity), "sid binary, peer binary, links long"), "near-found")
-    links = found.where("peer is null").groupBy("sid").agg(F.sum("links").alias("links"))
-    joined = components(found.where("peer is not null").select(F.col("sid").alias("a"), F.col("peer").alias("b")))
-    classes = reps.select("sid", "docs", "least").join(links, "sid", "left").join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    named = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    per_set = classes.join(named, "root").select(F.col("sid").alias("s"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
-    out = told.select("doc_id", "code", "sid").join(per_set, F.col("sid") == F.col("s"), "left")
-    return out.select("doc_id", "code", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return told, reps, full.select("root", "sid", "block", "docs", "text"), sizes
+
+
+def _verified(dealt: DataFrame, width: int, similarity: float) -> DataFrame:
+    """sid, peer, links from root, low, high, sid, block, docs, text: what _verify finds in each pair of blocks."""
+    return dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "sid").mapInArrow(_verify(width, similarity), "sid binary, peer binary, links long")
+
+
+def near_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 4096, most_leaders: int = 32, block: int = 1024, depth: int = DEPTH) -> DataFrame:
+    """doc_id, code, class of every row in a class of near_duplicates with at least two rows; class is any value that tells classes apart.
+
+    Links are not counted, so pairs that are in one class already need not be compared: each block is compared with itself, then one set of
+    each large class of each block with the others, and of two blocks all sets only if they are not one class by then. A class of n near copies costs n comparisons for each set
+    of a block, and its texts are sent twice.
+    """
+    told, reps, full, sizes = _prepared(docs, similarity, width, recall, limit, most_leaders, block, depth)
+    full = cut(full, "near-texts")
+
+    def edges(dealt: DataFrame) -> DataFrame:
+        return cut(_verified(dealt, width, similarity).where("peer is not null").select(F.col("sid").alias("a"), F.col("peer").alias("b")), "near-found")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        """root, sid, block, class: the smallest set that the links so far lead to."""
+        joined = components(links).select(F.col("node").alias("sid"), F.col("root").alias("class"))
+        return full.select("root", "sid", "block").join(joined, "sid", "left").withColumn("class", F.coalesce("class", "sid"))
+
+    found = edges(full.select("root", F.col("block").alias("low"), F.col("block").alias("high"), "sid", "block", "docs", "text"))
+    split = sizes.where("blocks > 1").select("root", "blocks")
+    if not split.isEmpty():
+        large = labelled(found).join(split.select("root"), "root", "left_semi").groupBy("root", "block", "class").agg(F.count("*").alias("n"), F.min("sid").alias("sid")).where(F.col("n") >= FOLLOWERS)
+        heads = full.join(large.select("sid"), "sid", "left_semi").join(large.groupBy("root").agg(F.ceil(F.count("*") / block).alias("parts")), "root")
+        part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+        found = found.unionByName(edges(heads.select("root", part.alias("low"), part.alias("high"), "sid", part.alias("block"), "docs", "text")))
+        kinds = labelled(found).join(split.select("root"), "root", "left_semi").groupBy("root", "block").agg(F.min("class").alias("least"), F.max("class").alias("most"))
+        low, high = (kinds.select("root", *[F.col(c).alias(f"{side}_{c}") for c in ("block", "least", "most")]) for side in ("low", "high"))
+        one = (F.col("low_least") == F.col("low_most")) & (F.col("high_least") == F.col("high_most")) & (F.col("low_least") == F.col("high_least"))
+        pairs = low.join(high, "root").where((F.col("low_block") < F.col("high_block")) & ~one).select("root", F.col("low_block").alias("low"), F.col("high_block").alias("high"))
+        sides = pairs.withColumn("block", F.explode(F.array("low", "high")))
+        found = found.unionByName(edges(full.join(sides, ["root", "block"]).select("root", "low", "high", "sid", "block", "docs", "text")))
+    joined = components(found)
+    heads = joined.select(F.col("root").alias("sid"), "root").distinct()
+    whole = joined.select(F.col("node").alias("sid"), "root").unionByName(heads)
+    copies = reps.where("docs > 1").select("sid").join(whole.select("sid"), "sid", "left_anti").select("sid", F.col("sid").alias("root"))
+    return told.select("doc_id", "code", "sid").join(whole.unionByName(copies), "sid").select("doc_id", "code", F.col("root").alias("class"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999) -> DataFrame:
-    """docs less all but the row with the smallest doc_id of each class of near_duplicates.
+    """docs less all but the row with the smallest doc_id of each class of near_duplicates, found by near_classes.
 
     All columns stay as they are. Of a class whose ids are all null, and of rows that share the
     smallest doc_id, the text with the smallest hash stays; rows that repeat both are one document
     and stay together.
     """
-    found = near_duplicates(docs, similarity, width, recall).where("n_links > 0")
-    best = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "code")).alias("best"))
+    found = near_classes(docs, similarity, width, recall)
+    best = found.groupBy("class").agg(F.min(F.struct("doc_id", "code")).alias("best"))
     gone = (
-        found.join(best, found.class_id.eqNullSafe(best.class_id))
+        found.join(best, "class")
         .where(F.struct("doc_id", "code") != F.col("best"))
         .select(F.col("doc_id").alias("__gone_id"), F.col("code").alias("__gone_code"))
         .distinct()
