@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,10 @@ from .arrow_groups import batches_of, groups
 from .common import cut, scratch
 
 MAGIC = b"WARC/1.0\r\n"
+#: Characters of a url that are written, so that header lines fit what is read of them.
+URL = 8192
+#: Records whose places are told to all tasks at once.
+TOLD = 1_000_000
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -48,12 +53,14 @@ def _records(pages: DataFrame, least_bytes: int) -> DataFrame:
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))).drop("code", "owner")
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 1024) -> None:
-    """Writes pages(page_id, url, html, ...) as gzip WARC files of at most records_per_file records below path.
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 1024, most_bytes: int = 1 << 30) -> None:
+    """Writes pages(page_id, url, html, ...) as gzip WARC files of at most records_per_file records, and about most_bytes of payloads, below path.
+
+    Payloads over a mebibyte are written apart, by doublings of their size, with as many to a file as that allows.
 
     Of equal payloads of at least least_bytes bytes the largest page_id is a response and the others
     are revisits that name it and carry no payload. A null html is an empty payload, a null url an
-    empty target; line breaks in a url become spaces. A row that repeats a page_id and payload is
+    empty target; line breaks in a url become spaces, and it is cut at 8192 characters. A row that repeats a page_id and payload is
     written again with the same type. Rows without a page_id are written with an empty id.
     """
     ident = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -61,14 +68,20 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_pe
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: <urn:page:"), ident,
-        F.lit(">\r\nWARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]+", " "),
+        F.lit(">\r\nWARC-Target-URI: "), F.substring(F.regexp_replace("url", r"[\r\n]+", " "), 1, URL),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.lit("\r\nX-Payload-Bytes: "), F.col("payload_bytes").cast("string"),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Length: "), F.when(revisit, "0").otherwise(F.col("payload_bytes").cast("string")),
         F.lit("\r\n\r\n"), F.when(revisit, "").otherwise(F.col("body")),
     )
-    _records(pages, least_bytes).select(head.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+    rows = _records(pages, least_bytes)
+    # doublings of a mebibyte that a payload takes; nearly always none
+    doublings = F.ceil(F.log2(F.greatest(F.when(revisit, 0).otherwise(F.col("payload_bytes")), F.lit(1 << 20)) / (1 << 20))).cast("int")
+    largest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 1
+    for k in range(max(0, math.ceil(math.log2(max(largest, 1) / (1 << 20)))) + 1):
+        most = max(1, min(records_per_file, most_bytes >> (20 + k)))
+        rows.where(doublings == k).select(head.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
 
 
 #: Bytes of a file that are read at once, the most that a record's header lines may take, and of a block in which chains are followed by one task.
@@ -233,30 +246,35 @@ def reachable(nodes: DataFrame, starts: DataFrame) -> DataFrame:
     return both.repartition("file", "block").sortWithinPartitions("file", "block").mapInArrow(_inside, "file string, at long, next long")
 
 
+def _followed(nodes: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """file, at, next with the first place at or after each end as next, and file, at of the first place of each file; the size where none follows.
+
+    So chains go on behind what is damaged, wherever and however often a file is.
+    """
+    asks = nodes.select("file", F.col("next").alias("pos")).union(sizes.select("file", F.lit(0).cast("long"))).distinct()
+    both = asks.select("file", "pos", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("at")).union(nodes.select("file", "at", F.lit(1), "at"))
+    onward = Window.partitionBy("file").orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("first", F.min("at").over(onward)).where("kind = 0").join(sizes.select("file", "size"), "file")
+    found = cut(found.select("file", "pos", F.coalesce("first", "size").alias("first")), "warc-followed")
+    steps = nodes.select("file", "at", F.col("next").alias("pos")).join(found, ["file", "pos"]).select("file", "at", F.col("first").alias("next"))
+    return steps, found.where("pos = 0").select("file", F.col("first").alias("at"))
+
+
 def _chains(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The nodes of the files below path; file, at, next of the real records; file, end, size of the files that broke off, where they did.
+    """The nodes of the files below path; file, at, next of the real records; file, end, size of the files that broke off, where they first did.
 
     After a place where a chain breaks off, the file is taken up again at the next place where a record stands.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = cut(files.mapInArrow(_nodes, _NODE_SQL), "warc-nodes")
     nodes, sizes = found.where("at is not null"), found.where("at is null").select("file", F.col("next").alias("size"), "whole")
-    starts, reached, broken = sizes.select("file", F.lit(0).cast("long").alias("at")), None, None
-    while True:
-        more = reachable(nodes, starts).join(starts.select("file").distinct(), "file", "left_semi")
-        reached = cut(more if reached is None else reached.unionByName(more), "warc-reached")
-        ends = starts.withColumn("begin", F.col("at")).unionByName(reached.select("file", F.col("next").alias("at"), F.lit(None).cast("long").alias("begin")))
-        ends = sizes.join(ends.groupBy("file").agg(F.max("at").alias("end")), "file").where(F.col("end") < F.col("size"))
-        breaks = ends.select("file", "end", "size")
-        if broken is None:
-            torn = sizes.where("not whole").select("file", F.col("size").alias("end"), "size")
-            broken = cut(breaks.unionByName(torn), "warc-broken")
-        if breaks.isEmpty():
-            return nodes, reached, broken
-        # the place itself, where a chain begins anew, was tried if no record stands there
-        starts = cut(nodes.join(breaks, "file").where(F.col("at") > F.col("end")).groupBy("file").agg(F.min("at").alias("at")), "warc-starts")
-        if starts.isEmpty():
-            return nodes, reached, broken
+    steps, starts = _followed(nodes, sizes)
+    reached = reachable(steps, starts).select("file", "at", F.col("next").alias("onward"))
+    reached = cut(reached.join(nodes.select("file", "at", "next"), ["file", "at"]), "warc-reached")
+    breaks = reached.where("next <> onward").select("file", F.col("next").alias("end")).union(starts.where("at > 0").select("file", F.lit(0).cast("long")))
+    broken = breaks.groupBy("file").agg(F.min("end").alias("end")).join(sizes.select("file", "size"), "file").select("file", "end", "size")
+    torn = sizes.where("not whole").select("file", F.col("size").alias("end"), "size")
+    return nodes, reached.select("file", "at", "next"), cut(broken.unionByName(torn), "warc-broken")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,6 +302,27 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return batches_of(rows(), schema)
 
 
+def _payload_digests(spark: SparkSession, responses: DataFrame) -> DataFrame:
+    """file, at, own for the payloads listed for each file.
+
+    Files are read again by themselves: they are in no shuffle. Groups of files with at most TOLD records are told their places by broadcast.
+    """
+    counts = responses.select("file", F.size("listed").alias("n")).orderBy("file").collect()  # one row a file
+    groups_of, held = [[]], 0
+    for r in counts:
+        if groups_of[-1] and held + r.n > TOLD:
+            groups_of.append([])
+            held = 0
+        groups_of[-1].append(r.file)
+        held += r.n
+    out = spark.createDataFrame([], "file string, at long, own string")
+    for names in filter(None, groups_of):
+        listed = responses.where((F.col("file") >= names[0]) & (F.col("file") <= names[-1]))
+        files = spark.read.format("binaryFile").load(names).select(F.col("path").alias("file"), "content")
+        out = out.unionByName(files.join(F.broadcast(listed), "file").select("file", "content", "listed").mapInArrow(_digests, "file string, at long, own string"))
+    return out
+
+
 def read_archives(spark: SparkSession, path: str, on_damage: str = "raise") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, intact of the real records below path.
 
@@ -302,9 +341,7 @@ def read_archives(spark: SparkSession, path: str, on_damage: str = "raise") -> D
             raise ValueError(f"damaged archives below {path}: " + ", ".join(f"{r.file} at byte {r.end} of {r.size}" for r in some))
     real = cut(nodes.join(reached.select("file", "at").distinct(), ["file", "at"], "left_semi"), "warc-records")
     responses = real.where("record_type <> 'revisit'").groupBy("file").agg(F.collect_list(F.struct("at", "body", F.col("payload_bytes").alias("bytes"))).alias("listed"))
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    own = files.join(responses, "file").select("file", "content", "listed").mapInArrow(_digests, "file string, at long, own string")
-    out = real.join(own, ["file", "at"], "left")
+    out = real.join(_payload_digests(spark, responses), ["file", "at"], "left")
     intact = F.col("own").isNull() | (F.col("payload_digest") == "") | (F.col("own") == F.col("payload_digest"))
     if on_damage == "raise":
         intact = F.when(intact, True).otherwise(F.raise_error(F.concat(F.lit("payload without its digest: "), F.col("file"), F.lit(" at byte "), F.col("at").cast("string"))).cast("boolean"))
