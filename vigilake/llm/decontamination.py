@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_groups import batches_of, texts_of
+from .arrow_groups import batches_of, give_back, texts_of
 from .common import cut, text_of
 from .shingles import mix
 
@@ -327,12 +327,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float
     def over(held: Broadcast):
         def keep(batches):
             for b in batches:
-                bad = {start + k for start, texts in texts_of(b.column(at), 500_000) for k, _, _ in _scan(held.value, texts, any_find=True)}
+                bad = {start + k for start, texts in texts_of(b.column(at), 150_000) for k, _, _ in _scan(held.value, texts, any_find=True)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)])) if bad else b
 
         return keep
 
     out = None
     for held in _blocks(benchmark, q, rate, piece, least, stride, block_chars):
-        out = (docs if out is None else cut(out, "decontaminated")).mapInArrow(over(held), docs.schema)
+        own = over(held)
+        out = (docs if out is None else cut(out, "decontaminated")).mapInArrow(lambda batches, own=own: give_back(own(batches)), docs.schema)
     return out

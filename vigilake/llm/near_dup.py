@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_groups import batches_of, groups, texts_of
+from .arrow_groups import batches_of, give_back, groups, texts_of
 from .common import cut, text_of
 from .components import components
 from .shingles import mix, shingle_sets
@@ -101,7 +101,8 @@ def _describe(width: int, similarity: float, runs: int):
 
 def _sets(docs: DataFrame, width: int, similarity: float, runs: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("code"), text_of().alias("text"))
-    return rows.select("doc_id", "code", "text").mapInArrow(_describe(width, similarity, runs), _SETS_SQL)
+    describe = _describe(width, similarity, runs)
+    return rows.select("doc_id", "code", "text").mapInArrow(lambda batches: give_back(describe(batches)), _SETS_SQL)
 
 
 class _Sketch:
@@ -421,7 +422,8 @@ def _prepared(docs: DataFrame, similarity: float, width: int, recall: float, lim
 
 def _verified(dealt: DataFrame, width: int, similarity: float) -> DataFrame:
     """sid, peer, links from root, low, high, sid, block, docs, text: what _verify finds in each pair of blocks."""
-    return dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "sid").mapInArrow(_verify(width, similarity), "sid binary, peer binary, links long")
+    verify = _verify(width, similarity)
+    return dealt.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "sid").mapInArrow(lambda batches: give_back(verify(batches)), "sid binary, peer binary, links long")
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 4096, most_leaders: int = 32, block: int = 1024, depth: int = DEPTH) -> DataFrame:

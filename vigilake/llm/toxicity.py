@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_groups import texts_of
+from .arrow_groups import give_back, texts_of
 from .common import text_of
 
 WORD = re.compile(r"\w+")
@@ -327,5 +327,6 @@ def drop_toxic(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFra
         for b in batches:
             keep = [s < threshold for _, texts in texts_of(b.column(at), 1_000_000) for s in _score_texts(shared.value, scores, texts)[0].tolist()]
             yield b.filter(pa.array(keep, pa.bool_()))
+        scores.clear()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: give_back(run(batches)), docs.schema)
