@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .arrow_groups import batches_of, give_back, groups, texts_of
 from .common import cut, text_of
 from .components import components
-from .shingles import mix, shingle_sets
+from .shingles import forget, mix, shingle_sets
 
 #: Chosen shingles of a set at each step, as a multiple of what a similar pair needs to share one on average.
 RATE = 1.75
@@ -341,6 +341,7 @@ def _verify(width: int, similarity: float):
                     if n:
                         yield m[0], None, n
             yield from _spanning([m[0] for m in left], [m[0] for m in right], linked)
+        forget()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches_of(rows(batches), _FOUND)

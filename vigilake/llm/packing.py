@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_groups import batches_of, groups, texts_of
+from .arrow_groups import batches_of, give_back, groups, texts_of
 from .common import cut, text_of
 from .tokens import encoder
 
@@ -27,7 +27,7 @@ def _pieces(path: str, end_id: int, size: int):
     def rows(batches):
         words, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for start, texts in texts_of(b.column(1), 4_000_000):
+            for start, texts in texts_of(b.column(1), 1_000_000):
                 for i, ids in enumerate(words.encode_all(texts)):
                     ids += end
                     doc = b.column(0)[start + i].as_py()
@@ -94,7 +94,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, group_p
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     # written once, so the groups can be counted and a lost executor costs no text
-    pieces = cut(rows.mapInArrow(_pieces(tokenizer, end_id, size), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    cut_up = _pieces(tokenizer, end_id, size)
+    pieces = cut(rows.mapInArrow(lambda batches: give_back(cut_up(batches)), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     many = max(1, -(-pieces.count() // group_pieces))
     # the place in the written table tells repeated rows apart, and is the same when a task runs again
     group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(many))

@@ -36,6 +36,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """Drops the numbers of words, which a later stage on the same worker has no use for."""
+    _words.clear()
+
+
 def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingles of each text: runs of width lower-case words.
 

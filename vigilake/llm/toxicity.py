@@ -325,7 +325,7 @@ def drop_toxic(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(shared.value.weights)
         for b in batches:
-            keep = [s < threshold for _, texts in texts_of(b.column(at), 1_000_000) for s in _score_texts(shared.value, scores, texts)[0].tolist()]
+            keep = [s < threshold for _, texts in texts_of(b.column(at), 400_000) for s in _score_texts(shared.value, scores, texts)[0].tolist()]
             yield b.filter(pa.array(keep, pa.bool_()))
         scores.clear()
 
