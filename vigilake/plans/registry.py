@@ -30,7 +30,7 @@ def a9_trust_histogram(spark, sf):
 
 
 def a10_u1_category_stats(spark, sf):
-    return R.category_stats(frame(spark, sf, "tools").withColumn("confidence", F.col("tool_id") % 101 / 100))
+    return R.category_stats(frame(spark, sf, "tools").withColumn("confidence", F.col("tool_id") % 89 / 89))
 
 
 def w1_latest_scans(spark, sf):
@@ -183,7 +183,7 @@ LEFT JOIN (SELECT scanned_at + INTERVAL '1' SECOND * CAST(scan_id % 3600 AS INTE
     ),
     "a10_u1_category_stats": (
         a10_u1_category_stats,
-        f"""WITH t AS (SELECT category, ecosystem, tool_id % 101 / 100::DOUBLE AS c FROM {TOOLS}) SELECT category, ecosystem, count(*) AS tools, round(avg(c), 4) AS confidence, count(*) FILTER (c > 0.8) AS confident FROM t GROUP BY 1, 2
+        f"""WITH t AS (SELECT category, ecosystem, tool_id % 89 / 89::DOUBLE AS c FROM {TOOLS}) SELECT category, ecosystem, count(*) AS tools, round(avg(c), 4) AS confidence, count(*) FILTER (c > 0.8) AS confident FROM t GROUP BY 1, 2
  UNION ALL SELECT category, 'all', count(*), round(avg(c), 4), count(*) FILTER (c > 0.8) FROM t GROUP BY 1""",
     ),
     "w1_latest_scans": (w1_latest_scans, f"SELECT ecosystem, package, scan_id, verdict, scanned_at FROM {SCANS} WHERE verdict <> 'ERROR' QUALIFY row_number() OVER (PARTITION BY ecosystem, package ORDER BY scanned_at DESC, scan_id DESC) = 1"),
