@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions import names as N
 from vigilake.functions import severity as S
-from vigilake.operators import matching, reconcile, registry, scanning, scoring
+from vigilake.operators import matching, reconcile, registry, rulescan, scanning, scoring
 from vigilake.sources import files, lockfiles, reports
 
 FINDING = "scan_id long, file string, rule string, line int, severity string, phase string, weight int"
@@ -83,7 +83,7 @@ def test_rules_fire_and_must_not(spark):
     found = scanning.scan_lines(spark.createDataFrame([(p, t) for p, (t, _) in cases.items()], "path string, text string"), [rule]).collect()
     assert sorted(r.path for r in found) == sorted(p for p, (_, n) in cases.items() if n)
     assert {r.snippet for r in found if r.path == "a.js"} == {"eval: eval(x)"}
-    joined = scanning.scan_lines_join(spark.createDataFrame([("a", body)], "path string, text string"), spark.createDataFrame([("X", "p", "LOW", "eval")], "id string, phase string, severity string, pattern string"))
+    joined = rulescan.scan_rules(spark.createDataFrame([("a", body)], "path string, text string"), spark.createDataFrame([("X", "p", "LOW", "eval")], "id string, phase string, severity string, pattern string"))
     assert [(r.path, r.line, r.rule) for r in joined.collect()] == [("a", 1, "X")]
 
 
@@ -199,12 +199,13 @@ def test_content_findings_of_null_and_empty_files(spark):
     assert content.prompt_findings(spark.createDataFrame([(1, None), (2, "")], "prompt_id long, text string"), [{"id": "p", "severity": "CRITICAL", "pattern": "x", "weight": 1}]).count() == 0
 
 
-def test_rules_that_are_data_are_bounded(spark):
-    rules = spark.createDataFrame([(f"R{k}", "p", "LOW", "x") for k in range(4)], "id string, phase string, severity string, pattern string")
-    files_ = spark.createDataFrame([("a", "x")], "path string, text string")
-    assert scanning.scan_lines_join(files_, rules).count() == 4
-    with pytest.raises(ValueError, match="over 3 rules"):
-        scanning.scan_lines_join(files_, rules, most=3)
+def test_rules_that_are_data_are_of_any_number(spark):
+    """Rules beyond a block are one more pass, with the same findings."""
+    rules = spark.createDataFrame([(f"R{k}", "p", "LOW", "x" if k % 2 else f"word{k}") for k in range(40)], "id string, phase string, severity string, pattern string")
+    files_ = spark.createDataFrame([("a", "x"), ("b", "a word4 and word40")], "path string, text string")
+    want = {("a", f"R{k}") for k in range(1, 40, 2)} | {("b", "R4")}
+    for block in (3, 40, 1000):
+        assert {(r.path, r.rule) for r in rulescan.scan_rules(files_, rules, block=block).collect()} == want
 
 
 def test_verification_without_hash_or_publisher(spark):
