@@ -21,3 +21,10 @@ def test_failed_scans_are_latest_scans_too(spark, tmp_path):
     got = [r[:4] for r in run(spark, sf, "w1_latest_scans")]
     assert got == [("npm", "pkg-4", 37, "ERROR"), ("pypi", "pkg-5", 74, "ERROR")]
     assert [r[:4] for r in run(spark, sf, "w1_latest_without_error")] == [("npm", "pkg-4", 2, "LOW_RISK")]
+
+
+def test_every_paid_plan_has_its_value(spark, tmp_path):
+    rows = [(1, 4, "F", 1, "2001-01-01", "1-URGENT"), (2, 4, "F", 1, "2001-07-30", "2-HIGH"), (3, 5, "O", 1, "2001-07-02", "3-MEDIUM"), (6, 5, "O", 1, "2001-07-22", "3-MEDIUM"), (7, 5, "O", 1, "2001-07-02", "5-LOW")]
+    got = run(spark, orders(spark, tmp_path, rows), "a22_lifetime_value")
+    assert got == [("enterprise", 49900.0, 1.0, 1663.33, 0.33), ("pro", 2900.0, 20.0, 1933.33, 0.39), ("team", 9900.0, 2.0, 660.0, 0.13)]
+    assert run(spark, str(tmp_path), "a22_yearly_value") == [(413.0, 5.5067, 2.5862, 20.0, 2.0)]
