@@ -47,13 +47,18 @@ def texts_of(column: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, li
         yield start, out
 
 
+def trim() -> None:
+    """Memory that this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own ways
+
+
 def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; after the last one the memory that the task has freed goes back to the system, as Spark keeps Python workers for later stages."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library keeps its own ways
+        trim()

@@ -102,3 +102,8 @@ def encoder(path: str) -> WordEncoder:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return WordEncoder(path)
+
+
+def forget() -> None:
+    """Drops the encoders and their pieces, which a stage that counts no tokens has no use for."""
+    encoder.cache_clear()

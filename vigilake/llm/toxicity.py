@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_groups import give_back, texts_of
+from .arrow_groups import give_back, texts_of, trim
 from .common import text_of
+from .tokens import forget
 
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 18
@@ -251,8 +252,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, reach: int
     the documents whose texts come to the driver, one for each id, of a longer one a stretch of sample_chars characters that begins
     where the id's hash says; at most most_runs runs of 2 reach + 1 words, and 20 of a document, are fitted. Rows whose label is not 0 or 1 or whose id is null are left out. The curve weighs the
     classes as the labels have them. With one class only, or none, every score is near that class's
-    label, or near 0.
+    label, or near 0. What training took of the driver's memory goes back to the system.
     """
+    field = _trained(docs, labels, per_class, reach, most_runs, sample_chars)
+    trim()
+    return field
+
+
+def _trained(docs: DataFrame, labels: DataFrame, per_class: int, reach: int, most_runs: int, sample_chars: int) -> Field:
     marked = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).where("__id is not null and __toxic in (0, 1)")
     have = {r["__toxic"]: r["n"] for r in marked.groupBy("__toxic").agg(F.count("*").alias("n")).collect()}
     picked = [marked.where(F.col("__toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for y in (0, 1)]
@@ -323,6 +330,7 @@ def drop_toxic(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFra
     at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # workers outlive queries
         scores = _Scores(shared.value.weights)
         for b in batches:
             keep = [s < threshold for _, texts in texts_of(b.column(at), 400_000) for s in _score_texts(shared.value, scores, texts)[0].tolist()]
