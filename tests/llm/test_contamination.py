@@ -117,3 +117,22 @@ def test_a_text_of_a_million_characters(spark):
     assert len(text) > 1_000_000
     got = decontamination.leaks(spark.createDataFrame([(1, text), (2, "a " * 600_000)], DOCS), spark.createDataFrame([(5, item)], "item_id long, text string"), stride=STRIDE).collect()
     assert [(r.doc_id, r.item_id, r.edits, decontamination.normal(text[r.begin : r.end]) in decontamination.normal(item)) for r in got] == [(1, 5, 0, True)]
+
+
+def test_places_without_a_run_of_an_item_are_not_looked_up_in_its_pieces(monkeypatch):
+    """Words of the items in another order have many known grams, but none that may help a piece to its bound."""
+    rng = random.Random(9)
+    items = [(i, words(rng, 60)) for i in range(30)]
+    parts = [w for _, text in items for w in text.split() if len(w) > 6]
+    text = " ".join(rng.choice(parts) for _ in range(4000))
+    index, seen = decontamination.Index(items, 8, 0.1, PIECE, 40, STRIDE), []
+    banded = decontamination.Index._banded
+    monkeypatch.setattr(decontamination.Index, "_banded", lambda self, where, *rest: seen.append(len(where)) or banded(self, where, *rest))
+    assert list(decontamination._scan(index, [text])) == [] and sum(seen) < 200
+    found = list(decontamination._scan(index, [f"{text} {items[3][1]} {text}"]))
+    assert [f[:1] for f in found[0][2]] == [(3,)] and sum(seen) > 200
+
+
+@pytest.mark.parametrize("text", ["", " \t\x1c\x1f", "It's A_B-c\x7f9\n", "".join(map(chr, range(128))) * 3])
+def test_plain_texts_are_normalised_like_others(text):
+    assert decontamination.normal(text) == " ".join(decontamination._WORD.findall(text.lower()))

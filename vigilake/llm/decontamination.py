@@ -21,11 +21,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_groups import batches_of, give_back, texts_of
+from .arrow_groups import batches_of, give_back, texts_of, trim
 from .common import cut, text_of
 from .shingles import mix
 
 _WORD = re.compile(r"[^\W_]+")
+#: Of each byte of an ASCII text its lower-case letter or its digit, else a space.
+_PLAIN = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
 _BITS = 22
 #: Hits of grams that are held at once.
 _ENTRIES = 4_000_000
@@ -35,6 +37,8 @@ _CELLS = 1 << 20
 
 def normal(text: str) -> str:
     """Lower-case runs of letters and digits, one space between them."""
+    if text.isascii():
+        return b" ".join(text.encode().translate(_PLAIN).split()).decode()
     return " ".join(_WORD.findall(text.lower()))
 
 
@@ -49,6 +53,47 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     return mix(out)
 
 
+class _Holders:
+    """Which of many texts hold a gram, and where."""
+
+    def __init__(self, distinct: np.ndarray, grams: list[np.ndarray]):
+        """distinct: the sorted grams that are numbered; others are left out."""
+        flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        numbers = np.searchsorted(distinct, flat)
+        order = np.argsort(numbers, kind="stable")
+        order = order[distinct[np.minimum(numbers[order], len(distinct) - 1)] == flat[order]]
+        sizes = np.array([len(g) for g in grams], np.int64)
+        self.texts = len(grams)
+        self.owner = np.repeat(np.arange(len(grams)), sizes)[order]
+        self.place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+        #: where the entries of each gram's number begin, and each entry's number and owner as one key, for ranges of owners
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(numbers[order], minlength=len(distinct)))])
+        self.key = numbers[order].astype(np.int64) * (len(grams) + 1) + self.owner
+
+    def ranges(self, number: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of texts, so that what the grams with many holders have in each is bounded."""
+        total = int((self.begin[number + 1] - self.begin[number]).sum())
+        bounds = np.linspace(0, self.texts, max(1, -(-total // _ENTRIES)) + 1).astype(np.int64).tolist()
+        return zip(bounds[:-1], bounds[1:])
+
+    def entries(self, number: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(which number, entry) of all entries of the given grams in the texts from first to end."""
+        if first == 0 and end == self.texts:
+            low, high = self.begin[number], self.begin[number + 1]
+        else:
+            span = self.texts + 1
+            low, high = np.searchsorted(self.key, number * span + first), np.searchsorted(self.key, number * span + end)
+        n = high - low
+        return np.repeat(np.arange(len(number)), n), np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _few(owner: np.ndarray, band: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which hits surely have under least hits of their owner in their own band and the fuller one beside it; bands may share a cell of the table of counts."""
+    cell = (owner * 1_000_003 + band) & (_CELLS - 1)
+    table = np.bincount(cell, minlength=_CELLS)
+    return table[cell] + np.maximum(table[(cell + 1) & (_CELLS - 1)], table[(cell - 1) & (_CELLS - 1)]) < least
+
+
 def _cut(body: str, piece: int, stride: int | None) -> list[str]:
     """The pieces of an item side by side, the last one up to twice as long; with a stride also one every stride characters and one at its end."""
     cuts = max(1, len(body) // piece)
@@ -65,6 +110,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float, piece: int, least: int, stride: int | None = None):
         self.q, self.pieces = q, []
+        texts, widest, least_of = [], [], []
         short: dict[int, dict[str, list[int]]] = {}
         for item, text in items:
             body = normal(text or "")
@@ -72,29 +118,24 @@ class Index:
                 if body:
                     short.setdefault(min(len(body), q), {}).setdefault(body, []).append(item)
                 continue
+            own = []
             for part in _cut(body, piece, stride):
                 edits = max(0, min(int(rate * len(part)), len(part) // q - 1))
-                self.pieces.append((item, part, edits, len(part) + 1 - q * (edits + 1)))
+                own.append((item, part, edits, len(part) + 1 - q * (edits + 1)))
+            self.pieces.extend(own)
+            texts.append(body)
+            widest.append(max(p[2] for p in own))
+            least_of.append(min(p[3] for p in own))
         #: length of a start -> sorted hashes of starts, the bodies with their items, the lengths of the bodies
         self.short = {m: (self._starts(bodies, m), bodies, sorted(set(map(len, bodies)))) for m, bodies in short.items()}
-        hashes, owner, place = [], [], []
-        for i, (_, part, _, _) in enumerate(self.pieces):
-            h = _grams(np.array([ord(c) for c in part], np.uint64), q)
-            hashes.append(h)
-            owner.append(np.full(len(h), i))
-            place.append(np.arange(len(h)))
-        none = np.empty(0, np.int64)
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.owner = np.concatenate(owner)[order] if owner else none
-        #: hashes as numbers from 0, where the entries of each begin, and each entry's number and owner as one key, for ranges of owners
-        self.distinct, numbers, counts = np.unique(self.hashes, return_inverse=True, return_counts=True)
-        self.begin = np.concatenate([[0], np.cumsum(counts)])
-        self.key = numbers.astype(np.int64) * (len(self.pieces) + 1) + self.owner
+        grams, whole = ([_grams(np.array([ord(c) for c in x], np.uint64), q) for x in own] for own in ([p[1] for p in self.pieces], texts))
+        self.distinct = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64)
+        #: the holders of grams among the pieces, and among the items, which hold them once where pieces overlap
+        self.held, self.whole = _Holders(self.distinct, grams), _Holders(self.distinct, whole)
+        #: the most edits and the least bound of an item's pieces
+        self.widest, self.least_of = np.array(widest, np.int64), np.array(least_of, np.int64)
         #: the first number of each leading part of a hash
         self.slot = np.searchsorted(self.distinct >> np.uint64(64 - _BITS), np.arange((1 << _BITS) + 1, dtype=np.uint64)).astype(np.int32)
-        self.place = np.concatenate(place)[order] if place else none
         self.known = self.slot[1:] > self.slot[:-1]
         self.bound = min((p[3] for p in self.pieces), default=1)
         self.span = max((len(p[1]) + p[2] for p in self.pieces), default=q)
@@ -136,11 +177,22 @@ class Index:
         where = np.flatnonzero(hit & (before[wide:] > before[:-wide]))
         number = self._numbers(grams[where])
         where, number = where[number >= 0], number[number >= 0]
-        total = int((self.begin[number + 1] - self.begin[number]).sum())
-        # grams with many holders are taken in ranges of pieces, so what is held at once is bounded
-        steps = max(1, -(-total // _ENTRIES))
-        bounds = np.linspace(0, len(self.pieces), steps + 1).astype(np.int64)
-        return [c for k in range(steps) for c in self._banded(where, number, int(bounds[k]), int(bounds[k + 1]))]
+        near = self._near(where, number)
+        where, number = where[near], number[near]
+        return [c for first, end in self.held.ranges(number) for c in self._banded(where, number, first, end)]
+
+    def _near(self, where: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which of the places of known grams may help a piece to its bound, as so many hits of its item lie on like diagonals.
+
+        The bands of an item are as wide as two of any of its pieces, so what counts for a piece lies in two neighbouring ones.
+        """
+        near = np.zeros(len(where), bool)
+        for first, end in self.whole.ranges(number):
+            which, at = self.whole.entries(number, first, end)
+            owner = self.whole.owner[at]
+            band = (where[which] - self.whole.place[at]) // (2 * self.widest[owner] + 2)
+            near[which[~_few(owner, band, self.least_of[owner])]] = True
+        return np.flatnonzero(near)
 
     def _numbers(self, part: np.ndarray) -> np.ndarray:
         """The numbers of hashes, -1 for those that no piece has."""
@@ -155,22 +207,12 @@ class Index:
 
     def _banded(self, where: np.ndarray, number: np.ndarray, first: int, end: int) -> list[tuple[int, int, int]]:
         """candidates among the pieces from first to end, given the places and numbers of known grams."""
-        if first == 0 and end == len(self.pieces):
-            low, high = self.begin[number], self.begin[number + 1]
-        else:
-            span = len(self.pieces) + 1
-            low, high = np.searchsorted(self.key, number * span + first), np.searchsorted(self.key, number * span + end)
-        n = high - low
-        where = np.repeat(where, n)
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        owner = self.owner[at]
+        which, at = self.held.entries(number, first, end)
+        where, owner = where[which], self.held.owner[at]
         step = self.edits[owner] + 1
         # bands are two steps wide, one step apart: any step + 1 neighbouring diagonals lie in one of them
-        band = (where - self.place[at] + self.span) // step
-        # first counts in a small table, in which bands may share a cell: what is too few there is too few
-        cell = (owner * 1_000_003 + band) & (_CELLS - 1)
-        table = np.bincount(cell, minlength=_CELLS)
-        few = table[cell] + np.maximum(table[(cell + 1) & (_CELLS - 1)], table[(cell - 1) & (_CELLS - 1)]) < self.least[owner]
+        band = (where - self.held.place[at] + self.span) // step
+        few = _few(owner, band, self.least[owner])
         where, at, owner, band = where[~few], at[~few], owner[~few], band[~few]
         if not len(at):
             return []
@@ -180,7 +222,7 @@ class Index:
         enough = counts >= self.least[owner]
         # of these bands, hits count once for each place of the text, and once for each place of the piece
         mine = enough[inside]
-        for place in (np.tile(where, 2), np.tile(self.place[at], 2)):
+        for place in (np.tile(where, 2), np.tile(self.held.place[at], 2)):
             once = np.unique((inside[mine].astype(np.int64) << 32) + place[mine]) >> 32
             enough &= np.bincount(once, minlength=len(keys)) >= self.least[owner]
         keys, owner = keys[enough], owner[enough]
@@ -277,7 +319,9 @@ def _blocks(benchmark: DataFrame, q: int, rate: float, piece: int, least: int, s
     blocks = max(1, math.ceil(chars * (math.ceil(piece / stride) if stride else 1) / block_chars))
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in rows], q, rate, piece, least, stride))
+        held = benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in rows], q, rate, piece, least, stride))
+        trim()
+        yield held
 
 
 _LEAK_SQL = "doc_id long, code long, item_id long, begin int, end int, edits int"
