@@ -167,6 +167,40 @@ def test_few_pairs_meet_at_a_frequent_item(spark):
     assert setjoin.prefixes(sets, 0.5).where("item = -1").count() == 0 and setjoin.by_jaccard(sets, 0.5).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.9])
+def test_similar_sets_of_few_and_of_many_items(spark, least):
+    """Sizes on both sides of the one up to which sets meet at combinations, also within a pair."""
+    import random
+
+    from vigilake.operators import setjoin
+
+    rng, sets = random.Random(4), []
+    for k in range(40):
+        whole = rng.sample(range(60), rng.randint(1, 40))
+        sets += [(f"s{k}-{j}", [f"i{x}" for x in whole if rng.random() > 0.1 * j] + [None] * (j % 2)) for j in range(4)]
+    frame, own = spark.createDataFrame(sets, "id string, items array<string>"), [(i, set(s) - {None}) for i, s in sets]
+    pairs = [(*sorted((i, j)), len(s & t), len(s), len(t)) for k, (i, s) in enumerate(own) for j, t in own[k + 1 :] if s and t]
+    for most in (4096, 5):
+        jaccard = setjoin.by_jaccard(frame, least, most).collect()
+        assert sorted((r.a, r.b, r.jaccard) for r in jaccard) == sorted((i, j, s / (n + m - s)) for i, j, s, n, m in pairs if s / (n + m - s) >= least)
+        larger = setjoin.by_larger(frame, least, most).collect()
+        assert sorted((r.a, r.b, r.share) for r in larger) == sorted((i, j, s / max(n, m)) for i, j, s, n, m in pairs if s / max(n, m) >= least)
+
+
+@pytest.mark.parametrize("by", ["by_larger"])
+def test_sets_of_few_items_out_of_few_meet_seldom(spark, monkeypatch, by):
+    """Five of 100 items: a single item is in a twentieth of all sets, three of them in hardly any."""
+    from pyspark.sql import functions as F
+
+    from vigilake.operators import setjoin
+
+    met, told = setjoin._met, []
+    monkeypatch.setattr(setjoin, "_met", lambda heads, key, *more: told.append(heads.groupBy(key).agg(F.count("*").alias("n"))) or met(heads, key, *more))
+    sets = spark.range(4000).select("id", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: F.pmod(F.xxhash64("id", j), F.lit(100))).alias("items"))
+    assert getattr(setjoin, by)(sets, 0.6).count() > 0 and len(told) == 1
+    assert told[0].agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] < 4000 * 40
+
+
 def test_percentiles_of_large_and_odd_groups(spark):
     from pyspark.sql import functions as F
 
