@@ -187,7 +187,7 @@ def test_similar_sets_of_few_and_of_many_items(spark, least):
         assert sorted((r.a, r.b, r.share) for r in larger) == sorted((i, j, s / max(n, m)) for i, j, s, n, m in pairs if s / max(n, m) >= least)
 
 
-@pytest.mark.parametrize("by", ["by_larger"])
+@pytest.mark.parametrize("by", ["by_larger", "by_jaccard"])
 def test_sets_of_few_items_out_of_few_meet_seldom(spark, monkeypatch, by):
     """Five of 100 items: a single item is in a twentieth of all sets, three of them in hardly any."""
     from pyspark.sql import functions as F
