@@ -33,6 +33,46 @@ def test_required_words_stand_in_all_that_matches(pieces, text, folded):
     assert bool(got) == bool(text and re.search(pattern, text))
 
 
+WIDER = [*["abc", "x", "(foo|bar)", "[0-9]", "(?:ab)+", "q?", "\\s*", ".", "(a|bc|)", "e{2,3}", "^", "$", "\\b", "(?=ab)"], "[0-9]{2,}", "\\d{2}", "(^|[^0-9])", "[%$]{2}", ".*", "(?<=a)", "(?i:kk)", "(?:[0-9]ab|xx)", "(?>ab)", "[.,]{1,3}?", "(\\d\\d)", "(?!x)", "a\\bb"]
+
+
+@given(st.lists(st.lists(st.sampled_from(WIDER), min_size=1, max_size=5), min_size=1, max_size=4), st.text(alphabet="abcfooxKk01 .,%$eqé\n\r", max_size=60), st.booleans())
+@settings(max_examples=400, deadline=None)
+def test_first_matches_where_few_places_are_tried(patterns, text, folded):
+    """Of each rule and line the first match of a search, also of rules with one pattern."""
+    patterns = [("(?i)" if folded else "") + "".join(p) for p in patterns] * 2
+    want, begin = [], 0
+    for n, body in enumerate(text.split("\n")):
+        last = begin + len(body) == len(text)
+        for rule, pattern in enumerate(patterns):
+            found = (body or not last) and re.search(pattern, body.removesuffix("\r"))
+            if found:
+                want.append((n + 1, begin + found.start(), rule))
+        begin += len(body) + 1
+    assert [m[:3] for m in rulescan.line_matches(rulescan.RuleSet(patterns), text, False)] == want
+
+
+def test_rules_are_tried_at_few_places(monkeypatch):
+    """Numbers are looked for at runs of digits, words where they stand, and equal patterns once; no line is searched with a pattern."""
+    number, word = "(^|[^0-9])[0-9]{3}([^0-9]|$)", "(^|[^a-z])abc[a-z]{2}([^a-z]|$)"
+    rules = rulescan.RuleSet([number, word, number])
+    assert [(p.pattern, r) for p, r in rules.runs] == [("[0-9]+", [(0, 3, 0, 1)])] and rules.loose == [] and rules.alike == {0: [0, 2], 1: [1]}
+    tried, first = [], rulescan._first
+    monkeypatch.setattr(rulescan, "_first", lambda pattern, body, places: tried.append(sorted(places)) or first(pattern, body, places))
+    text = "z" * 1000 + " abcde 12 123 " + "abcd " * 3
+    assert [m[1:3] for m in rulescan.line_matches(rules, text, False)] == [(1009, 0), (1000, 1), (1009, 2)]
+    assert tried == [[(1000, 1001), (1013, 1014), (1018, 1019), (1023, 1024)], [(1009, 1010)]]
+
+
+def test_snippets_are_the_same_with_and_without_suppression(spark):
+    """Rules without suppression leave long lines in the tasks, but for what a snippet shows."""
+    lines = ["  abc " + "é" * n + " " * pad + tail for n in (0, 92, 97, 98, 197, 200, 300) for pad in (0, 3, 90) for tail in ("", "z", "z" * 300)]
+    files = spark.createDataFrame([("a.js", "\n".join(lines))], "path string, text string")
+    one, other = [rule("ALL", "abc")], [rule("ALL", "abc"), rule("NONE", "never", None, (["x"], None, None, None, None, None))]
+    shown = [[(r.line, r.snippet) for r in rulescan.scan_rules(files, spark.createDataFrame(rules, RULES)).collect()] for rules in (one, other)]
+    assert sorted(shown[0]) == sorted(shown[1]) and len(shown[0]) == len(lines)
+
+
 def test_words_of_patterns():
     assert rulescan.required_words(r"(?i)child_process|EXEC\s*\(") == ("child_process", "exec")
     assert rulescan.required_words(r"a(bc)+d?efg") == ("efg",)

@@ -46,7 +46,11 @@ def lookalike_level(distance: Column, likeness: Column) -> Column:
     return F.when((distance <= 2) & (likeness >= 0.7), "HIGH").when((distance <= 3) & (likeness >= 0.6), "MEDIUM").when((distance <= 4) & (likeness >= 0.5), "LOW")
 
 
-def snippet(text: Column, limit: int = 200) -> Column:
+#: Bytes of a snippet.
+SNIPPET = 200
+
+
+def snippet(text: Column, limit: int = SNIPPET) -> Column:
     """At most limit bytes of the trimmed text; a longer one is cut between characters and marked."""
     whole = F.trim(text)
     most = F.least(F.length(whole), F.lit(limit))

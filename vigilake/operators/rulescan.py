@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import islice
 from re import _constants as op
 from re import _parser as parser
@@ -26,26 +27,46 @@ from .scanning import RULES
 
 #: Rules of a block, and rules without words in one alternation.
 BLOCK, TOGETHER = 20_000, 40
+#: Places of a match's beginning that are tried for one word, at most (of more, the line is searched), and classes of characters that are looked for by themselves.
+NEAR, CLASSES = 8, 16
 _CLOAKS = re.compile(f"[{N.BIDI}{N.ZERO_WIDTH}{N.BYTE_ORDER_MARK}]|{N.JOINER}")
 #: Letters that match an ASCII letter in any case, but don't become it in lower case.
 _ALIKE = str.maketrans({"ſ": "s", "ı": "i"})
 _LEAST = 2
+#: Beyond the end of any line.
+_END = 1 << 40
 _BETWEEN_SLASHES = re.compile("/.*eval.*/")
 
 
-def _words_of(tree) -> tuple[str, ...]:
-    """The alternatives of the longest words in a sequence that a match can't do without."""
-    options: list[tuple[str, ...]] = []
-    run = ""
+#: A word, or the source of a class of characters, with the least and the most characters of a match before it, none where that has no bound.
+Placed = tuple[str, int, int | None]
+
+
+def _before(tree, n: int) -> tuple[int, int | None]:
+    """The least and the most characters that the first n items of a sequence match; none for more than a few between them."""
+    low, high = tree[:n].getwidth()
+    return low, high if high - low < NEAR else None
+
+
+def _behind(found: tuple[Placed, ...], low: int, high: int | None) -> tuple[Placed, ...]:
+    """Places in a part as places in the whole, where the part begins after so many characters."""
+    return tuple((w, x + low, None if high is None or y is None or y + high - x - low >= NEAR else y + high) for w, x, y in found)
+
+
+def _words_of(tree) -> tuple[Placed, ...]:
+    """The alternatives of the longest words in a sequence that a match can't do without, and where in it they stand."""
+    options: list[tuple[Placed, ...]] = []
+    run, began = "", 0
 
     def flush() -> None:
         nonlocal run
         if len(run) >= _LEAST:
-            options.append((run,))
+            options.append(((run, *_before(tree, began)),))
         run = ""
 
-    for code, arg in tree:
+    for n, (code, arg) in enumerate(tree):
         if code is op.LITERAL and arg < 128:
+            began = began if run else n
             run += chr(arg).lower()
             continue
         if code in (op.AT, op.ASSERT, op.ASSERT_NOT):
@@ -62,17 +83,55 @@ def _words_of(tree) -> tuple[str, ...]:
             each = [_words_of(branch) for branch in arg[1]]
             inner = tuple(w for words in each for w in words) if all(each) else ()
         if inner:
-            options.append(inner)
+            options.append(_behind(inner, *_before(tree, n)))
     flush()
-    return max(options, key=lambda words: (min(map(len, words)), -len(words)), default=())
+    return max(options, key=lambda words: (min(len(w) for w, _, _ in words), -len(words)), default=())
+
+
+def _class(code, arg) -> str | None:
+    """The source of a class of ASCII characters that aren't letters, or of digits or white space, so case doesn't matter."""
+    items = arg if code is op.IN else [(code, arg)]
+    out = ""
+    for kind, x in items:
+        if kind is op.LITERAL and x < 128 and not chr(x).isalpha():
+            out += re.escape(chr(x))
+        elif kind is op.RANGE and x[1] < 128 and not any(chr(c).isalpha() for c in range(x[0], x[1] + 1)):
+            out += f"{re.escape(chr(x[0]))}-{re.escape(chr(x[1]))}"
+        elif kind is op.CATEGORY and x in (op.CATEGORY_DIGIT, op.CATEGORY_SPACE):
+            out += r"\d" if x is op.CATEGORY_DIGIT else r"\s"
+        else:
+            return None
+    return f"[{out}]"
+
+
+def _run_of(tree) -> tuple[int, Placed] | None:
+    """The longest run of characters of one class that a match can't do without: how many at least, the class, and where they stand; none where that has no bound."""
+    best = None
+    for n, (code, arg) in enumerate(tree):
+        found = None
+        if code is op.SUBPATTERN:
+            found = _run_of(arg[3])
+        elif code in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT) and arg[0] > 0:
+            found = (arg[0], (_class(*arg[2][0]), 0, 0)) if len(arg[2]) == 1 and _class(*arg[2][0]) else _run_of(arg[2])
+        elif code in (op.IN, op.LITERAL) and _class(code, arg):
+            found = (1, (_class(code, arg), 0, 0))
+        if found:
+            place = _behind((found[1],), *_before(tree, n))[0]
+            if place[2] is not None and (best is None or found[0] > best[0]):
+                best = found[0], place
+    return best
+
+
+def _parsed(pattern: str, find: Callable, none):
+    try:
+        return find(parser.parse(_scoped(pattern)))
+    except (re.error, OverflowError, RecursionError):
+        return none
 
 
 def required_words(pattern: str) -> tuple[str, ...]:
     """Lower-case ASCII words of which one stands, in any case of letters, in all that the pattern matches; none where that can't be told."""
-    try:
-        return tuple(sorted(set(_words_of(parser.parse(_scoped(pattern))))))
-    except (re.error, RecursionError):
-        return ()
+    return tuple(sorted({w for w, _, _ in _parsed(pattern, _words_of, ())}))
 
 
 def _scoped(pattern: str) -> str:
@@ -88,25 +147,55 @@ class RuleSet:
 
     def __init__(self, patterns: list[str], flags: int = 0):
         self.patterns, self.flags, self.compiled = [_scoped(p) for p in patterns], flags, {}
-        owners: dict[str, list[int]] = {}
-        plain: list[int] = []
+        owners: dict[str, list[tuple[int, int, int | None, int]]] = {}
+        first: dict[str, int] = {}
+        #: Rules by the first one with the same pattern, which stands for them.
+        self.alike: dict[int, list[int]] = {}
+        self.plain: list[int] = []
         for rule, pattern in enumerate(patterns):
-            words = required_words(pattern)
-            for word in words:
-                owners.setdefault(word, []).append(rule)
+            lead = first.setdefault(pattern, rule)
+            self.alike.setdefault(lead, []).append(rule)
+            if lead != rule:
+                continue
+            words = set(_parsed(pattern, _words_of, ()))
+            for word, low, high in words:
+                owners.setdefault(word, []).append((rule, low, high, len(word)))
             if not words:
-                plain.append(rule)
+                self.plain.append(rule)
         self.automaton = ahocorasick.Automaton()
         for word, rules in owners.items():
             self.automaton.add_word(word, tuple(rules))
         self.automaton.make_automaton()
         self.has_words = bool(owners)
-        self.groups: list[tuple[re.Pattern | None, list[int]]] = []
+
+    def _grouped(self, plain: list[int]) -> list[tuple[re.Pattern | None, list[int]]]:
+        groups: list[tuple[re.Pattern | None, list[int]]] = []
         loose = [r for r in plain if self.pattern(r) and not re.search(r"\\[1-9]|\(\?P", self.patterns[r])]
         for at in range(0, len(loose), TOGETHER):
             some = loose[at : at + TOGETHER]
-            self.groups.append((re.compile("|".join(f"(?:{self.patterns[r]})" for r in some), flags), some))
-        self.groups += [(None, [r]) for r in plain if r not in set(loose) and self.pattern(r)]
+            groups.append((re.compile("|".join(f"(?:{self.patterns[r]})" for r in some), self.flags), some))
+        return groups + [(None, [r]) for r in plain if r not in set(loose) and self.pattern(r)]
+
+    @cached_property
+    def groups(self) -> list[tuple[re.Pattern | None, list[int]]]:
+        """Alternations of rules without required words."""
+        return self._grouped(self.plain)
+
+    @cached_property
+    def runs(self) -> list[tuple[re.Pattern, list[tuple[int, int, int, int]]]]:
+        """For a few classes of characters, the rules without required words that need a run of them: (rule, how many, least and most characters before)."""
+        found: dict[str, list[tuple[int, int, int, int]]] = {}
+        for rule in self.plain:
+            run = _parsed(self.patterns[rule], _run_of, None) if self.pattern(rule) else None
+            if run and (run[1][0] in found or len(found) < CLASSES):
+                found.setdefault(run[1][0], []).append((rule, run[0], *run[1][1:]))
+        return [(re.compile(f"{chars}+"), rules) for chars, rules in found.items()]
+
+    @cached_property
+    def loose(self) -> list[tuple[re.Pattern | None, list[int]]]:
+        """Alternations of the rules that need neither words nor runs."""
+        known = {rule for _, rules in self.runs for rule, *_ in rules}
+        return self._grouped([r for r in self.plain if r not in known])
 
     def pattern(self, rule: int) -> re.Pattern | None:
         """The compiled pattern; none if it can't be compiled."""
@@ -117,18 +206,35 @@ class RuleSet:
                 self.compiled[rule] = None
         return self.compiled[rule]
 
-    def told(self, text: str) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """(place, rules) for each required word in a text."""
+    def told(self, text: str) -> Iterator[tuple[int, tuple[tuple[int, int, int | None, int], ...]]]:
+        """(place of its end, (rule, least and most characters of a match before it, length)...) for each required word in a text."""
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         return self.automaton.iter(low.translate(_ALIKE) if not low.isascii() else low) if self.has_words else iter(())
 
-    def others(self, text: str) -> Iterator[int]:
-        """Rules without required words that may match in a text."""
+    def tried(self, text: str) -> set[int]:
+        """Rules that may match in a text."""
+        leads = {owner[0] for _, owners in self.told(text) for owner in owners}
         for pattern, rules in self.groups:
             if pattern is None or pattern.search(text):
-                yield from rules
+                leads.update(rules)
+        return {rule for lead in leads for rule in self.alike[lead]}
+
+
+def _first(pattern: re.Pattern, body: str, places: list[tuple[int, int]]) -> re.Match | None:
+    """The first match, if matches begin at some of these places only, each the first and the last of several."""
+    at = 0
+    for low, high in sorted(places):
+        low = max(low, at)
+        if high - low > 4 * NEAR:
+            return pattern.search(body, low)
+        for n in range(low, high + 1):
+            found = pattern.match(body, n)
+            if found:
+                return found
+        at = max(at, high + 1)
+    return None
 
 
 def _uncloaked(text: str) -> tuple[str, list[int]]:
@@ -154,22 +260,49 @@ _LINE = [("line", pa.int32()), ("offset", pa.int64()), ("rule", pa.int32()), ("b
 _CONTENT = [("line", pa.int32()), ("offset", pa.int64()), ("rule", pa.int32()), ("nth", pa.int32()), ("body", pa.string()), ("around", pa.string()), ("wide", pa.string())]
 
 
-def line_matches(rules: RuleSet, text: str, decloak: bool) -> Iterator[tuple]:
-    """(line, offset, rule, body, nearby, header) of the first match of each rule on each line, offsets as in the text before it was uncloaked."""
+def line_matches(rules: RuleSet, text: str, decloak: bool, around: bool = True) -> Iterator[tuple]:
+    """(line, offset, rule, body, nearby, header) of the first match of each rule on each line, offsets as in the text before it was uncloaked.
+
+    A rule is tried only where its words or runs let a match begin. Without around, the body is what a snippet shows of it, and there is nothing nearby and no header.
+    """
     clean, places = _uncloaked(text) if decloak else (text, [])
     lines, starts = _lines(clean)
-    tried = set()
+    tried: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    line, begin, end_of_line = -1, 0, -1
     for end, owners in rules.told(clean):
-        line = bisect_right(starts, end) - 1
-        tried.update((line, rule) for rule in owners)
-    if rules.groups:
-        tried.update((n, rule) for n, body in enumerate(lines) for rule in rules.others(body))
-    for line, rule in sorted(tried):
-        pattern = rules.pattern(rule)
-        found = pattern and pattern.search(lines[line])
+        if end >= end_of_line:
+            line = bisect_right(starts, end) - 1
+            begin, end_of_line = starts[line], starts[line + 1] if line + 1 < len(starts) else len(clean) + 1
+        for rule, low, high, length in owners:
+            at = end - length + 1 - begin
+            if at >= low:
+                tried.setdefault((line, rule), []).append((0, _END) if high is None else (at - high, at - low))
+    for pattern, owners in rules.runs:
+        for n, body in enumerate(lines):
+            for run in pattern.finditer(body):
+                for rule, least, low, high in owners:
+                    if run.end() - run.start() >= least:
+                        tried.setdefault((n, rule), []).append((run.start() - high, run.end() - least - low))
+    for pattern, owners in rules.loose:
+        for n, body in enumerate(lines):
+            if pattern is None or pattern.search(body):
+                tried.update(((n, rule), [(0, _END)]) for rule in owners)
+    out = []
+    for (line, lead), at in tried.items():
+        pattern = rules.pattern(lead)
+        found = pattern and _first(pattern, lines[line], at)
         if found:
-            offset = starts[line] + found.start()
-            yield line + 1, offset + bisect_right(places, offset), rule, lines[line], "\n".join(lines[line : line + 4]), clean[:1024]
+            out += [(line, rule, found.start()) for rule in rules.alike[lead]]
+    for line, rule, at in sorted(out):
+        offset = starts[line] + at
+        body, nearby, header = (lines[line], "\n".join(lines[line : line + 4]), clean[:1024]) if around else (_shown(lines[line]), None, None)
+        yield line + 1, offset + bisect_right(places, offset), rule, body, nearby, header
+
+
+def _shown(body: str) -> str:
+    """A line that has the same snippet."""
+    body = body.strip(" ")
+    return body if len(body) <= N.SNIPPET else f"{body[:N.SNIPPET]}..."
 
 
 def content_matches(rules: RuleSet, text: str, live: str, calls: set[int], lives: set[int]) -> Iterator[tuple]:
@@ -178,7 +311,7 @@ def content_matches(rules: RuleSet, text: str, live: str, calls: set[int], lives
     Those of calls don't count after a dot, and those of lives neither inside strings and comments, which live has as blanks, nor between
     slashes on their line. nth counts a rule's matches on the line where they begin.
     """
-    tried = {rule for _, owners in rules.told(text) for rule in owners} | set(rules.others(text))
+    tried = rules.tried(text)
     if not tried:
         return
     lines, starts = _lines(text)
@@ -196,7 +329,7 @@ def content_matches(rules: RuleSet, text: str, live: str, calls: set[int], lives
             yield line + 1, at, rule, nth, body, "\n".join(lines[max(0, line - 1) : line + 2])[:500], "\n".join(lines[max(0, line - 2) : line + 3])
 
 
-def _mapped(files: DataFrame, text: str, patterns: list[str], flags: int, decloak: bool, live: str | None, calls: set[int] = frozenset(), lives: set[int] = frozenset()) -> DataFrame:
+def _mapped(files: DataFrame, text: str, patterns: list[str], flags: int, decloak: bool, live: str | None, calls: set[int] = frozenset(), lives: set[int] = frozenset(), around: bool = True) -> DataFrame:
     """Matches with the files' other columns as they are, and what was found in columns that begin with two underscores: of lines, or of whole texts where live names a column."""
     keep = [c for c in files.columns if c not in (text, live)]
     fields = _LINE if live is None else _CONTENT
@@ -210,7 +343,7 @@ def _mapped(files: DataFrame, text: str, patterns: list[str], flags: int, decloa
                 whole = batch.column(len(keep))[at].as_py()
                 if whole is None:
                     continue
-                found = line_matches(rules, whole, decloak) if live is None else content_matches(rules, whole, batch.column(len(keep) + 1)[at].as_py() or "", calls, lives)
+                found = line_matches(rules, whole, decloak, around) if live is None else content_matches(rules, whole, batch.column(len(keep) + 1)[at].as_py() or "", calls, lives)
                 for one in found:
                     rows.append(at)
                     out.append(one)
@@ -273,7 +406,7 @@ def scan_rules(files: DataFrame, rules: DataFrame, path: str = "path", text: str
         some = list(islice(rows, block))
         if not some and out is not None:
             return out
-        found = _mapped(files, text, [r.pattern for r in some], 0, decloak, None)
+        found = _mapped(files, text, [r.pattern for r in some], 0, decloak, None, around=any(r.suppress for r in some))
         told = files.sparkSession.createDataFrame([(n, *r) for n, r in enumerate(some)], T.StructType([T.StructField("__no", T.IntegerType()), *own.schema.fields]))
         hits = found.join(F.broadcast(told), found["__rule"] == told["__no"]).where(_filtered(F.col(path)) & ~_suppressed(F.col(path)))
         keep = [c for c in files.columns if c != text]
