@@ -85,3 +85,29 @@ def test_correlations_of_one_busy_user_by_hand(spark):
         past = [(len(set(items) & set(x)) / len(set(items) | set(x)), t, j) for j, u, t, x in rows if items and x and u == user and (t, j) < (when, i) and (when - t).days <= 30]
         want = sorted((p for p in past if p[0] > 0.3), reverse=True)[:5]
         assert sorted(got.get(i, [])) == sorted((round(s, 6), j) for s, _, j in want)
+
+
+def test_correlations_of_odd_scans_in_two_shuffles(spark):
+    """Months that meet, times before 1970, equal times, ids, null times and items, and each scan shuffled once before what is found for it."""
+    import random
+    from datetime import datetime, timedelta
+
+    from vigilake.operators.context import recent_correlations
+
+    rng, start = random.Random(3), datetime(1969, 6, 1)
+    rows = [(k, k % 2, start + timedelta(days=rng.randint(0, 500), hours=rng.choice([0, 0, 23])), rng.sample(["a", "b", "c", "d", None], rng.randint(0, 4))) for k in range(400)]
+    rows += [(k, 1, None, ["a", "b"]) for k in range(400, 405)] + [(500, 0, start + timedelta(days=200), ["a", "b", None]), (500, 1, start + timedelta(days=200), ["a", "b", "a"])]
+    frame = spark.createDataFrame(rows, "scan_id long, user_id long, seen_at timestamp_ntz, items array<string>")
+    found = recent_correlations(frame)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+    want = {}
+    for i, user, when, items in rows:
+        own = set(items) - {None}
+        for j, u, then, other in rows:
+            both = set(other) - {None}
+            if items and other and u == user and when and then and (then, j) < (when, i) and (when.date() - then.date()).days <= 30:
+                jaccard = 1.0 if set(items) == set(other) else len(own & both) / max(1, len(own | both))
+                if jaccard > 0.3:
+                    want.setdefault(i, []).append((round(jaccard, 6), then, j))
+    want = sorted((i, j, s) for i, some in want.items() for s, _, j in sorted(some, reverse=True)[:5])
+    assert sorted((r.a, r.b, r.jaccard) for r in found.collect()) == want and len(want) > 500

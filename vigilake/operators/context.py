@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import json
+from collections import Counter, deque
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache, reduce
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.severity import contains_any
-from .matching import similar_sets
 
 QUOTED = r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`"
 COMMENT = r"/\*[\s\S]*?(?:\*/|$)|//[^\n]*|#[^\n]*"
@@ -154,27 +162,100 @@ def remediation(violations: DataFrame, top: int = 20) -> DataFrame:
     return first.select("pattern", "file", "o.priority", (-F.col("o.s")).alias("rank"), "o.line").orderBy("priority", F.desc("rank"), "pattern", "file").limit(top)
 
 
+@lru_cache(1 << 16)
+def _items(name: str) -> frozenset[str]:
+    """The items of a class, without null."""
+    return frozenset(json.dumps(x, sort_keys=True) for x in json.loads(name) if x is not None)
+
+
+@lru_cache(1 << 16)
+def _rounded(share: float) -> float:
+    """To six places, halves up, as Spark rounds."""
+    return float(Decimal(repr(share)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+
+
+class _History:
+    """The last few scans of each class of a user, and which classes are alike."""
+
+    def __init__(self, least: float, top: int):
+        self.least, self.top = least, top
+        self.last: dict[str, deque] = {}
+        self.items: dict[str, frozenset[str]] = {}
+        self.holding: dict[str, list[str]] = {}
+        self.alike: dict[str, list[tuple[float, str]]] = {}
+
+    def near(self, name: str) -> list[tuple[float, str]]:
+        """(jaccard, class) of the classes so far that are like this one, the likest first, and it."""
+        if name not in self.alike:
+            own = _items(name)
+            shared = Counter(other for item in own for other in self.holding.get(item, ()))
+            self.alike[name] = [(1.0, name)]
+            for other, n in shared.items():
+                share = n / (len(own) + len(self.items[other]) - n)
+                rounded = _rounded(share) if share >= self.least else 0.0
+                if rounded > self.least:
+                    self.alike[name].append((rounded, other))
+                    self.alike[other].append((rounded, name))
+                    self.alike[other].sort(reverse=True)
+            self.alike[name].sort(reverse=True)
+            self.items[name], self.last[name] = own, deque(maxlen=self.top)
+            for item in own:
+                self.holding.setdefault(item, []).append(name)
+        return self.alike[name]
+
+    def best(self, name: str, since: int) -> list[tuple[float, tuple]]:
+        """The most similar scans since a day, the latest of equals first; a scan is (number, day, time, id)."""
+        out: list[tuple[float, tuple]] = []
+        for jaccard, classes in groupby(self.near(name), key=itemgetter(0)):
+            some = [scan for _, c in classes for scan in self.last[c] if scan[1] >= since]
+            some.sort(key=itemgetter(0), reverse=True)
+            out += [(jaccard, scan) for scan in some[: self.top - len(out)]]
+            if len(out) == self.top:
+                break
+        return out
+
+
 def recent_correlations(scans: DataFrame, days: int = 30, least: float = 0.3, top: int = 5) -> DataFrame:
     """a, b, jaccard: for each scan the most similar earlier ones of the same user in the days before, the latest of equals first; scans have scan_id, user_id, seen_at, items (array).
 
-    Earlier is by time, then by scan_id. Scans of equal items are one class, and only classes are compared. A scan asks for the last few scans
-    of each class like its own: they have running numbers within user and class, and a scan looks them up by
-    number, so work is in proportion to the scans however many a user has.
+    Earlier is by time, then by scan_id. Scans of equal items are one class, and only classes are compared. A user's scans of some months, and those of the days
+    before, go through a task in their order; of each class the last few are held, so a scan is shuffled once or
+    twice, work is in proportion to the scans however many a user has, and a busy user's months are in many tasks.
     """
-    rows = scans.select("scan_id", "user_id", "seen_at", F.array_sort(F.array_distinct("items")).alias("items")).where(F.size("items") > 0).withColumn("class", F.to_json("items"))
-    sets = rows.select(F.col("class").alias("id"), "items").distinct()
-    pairs = similar_sets(sets, least)
-    alike = pairs.select(F.col("a").alias("class"), F.col("b").alias("near"), "jaccard").unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("near"), "jaccard"))
-    alike = alike.unionByName(sets.select(F.col("id").alias("class"), F.col("id").alias("near"), F.lit(1.0).alias("jaccard")))
-    asks = rows.join(alike, "class").select("user_id", "near", "seen_at", "scan_id", "jaccard", F.lit(0).alias("is_scan"))
-    held = rows.select("user_id", F.col("class").alias("near"), "seen_at", "scan_id", F.lit(None).cast("double").alias("jaccard"), F.lit(1).alias("is_scan"))
-    so_far = Window.partitionBy("user_id", "near").orderBy("seen_at", "scan_id", "is_scan").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = asks.unionByName(held).withColumn("n", F.sum("is_scan").over(so_far))
-    past = numbered.where("is_scan = 1").select(F.col("user_id").alias("u"), F.col("near").alias("c"), F.col("n").alias("at"), F.col("seen_at").alias("then"), F.col("scan_id").alias("b"))
-    wanted = numbered.where("is_scan = 0 and n > 0").withColumn("at", F.explode(F.sequence(F.greatest(F.col("n") - top + 1, F.lit(1).cast("long")), "n")))
-    met = wanted.join(past, wanted.user_id.eqNullSafe(past.u) & (wanted.near == past.c) & (wanted["at"] == past["at"])).where(F.datediff("seen_at", "then") <= days)
-    order = Window.partitionBy("scan_id").orderBy(F.desc("jaccard"), F.desc("then"), F.desc("b"))
-    return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top).select(F.col("scan_id").alias("a"), "b", F.round("jaccard", 6).alias("jaccard"))
+    rows = scans.select("scan_id", "user_id", "seen_at", F.array_sort(F.array_distinct("items")).alias("items")).where(F.size("items") > 0)
+    months, day = 4 * max(days, 1), F.datediff(F.to_date("seen_at"), F.lit("1970-01-01").cast("date"))
+    own, last = F.floor(day / months), F.floor((day + days) / months)
+    dealt = rows.select("user_id", F.explode(F.sequence(own, last)).alias("months"), "seen_at", "scan_id", day.alias("day"), F.to_json("items").alias("class"))
+    kind = scans.schema["scan_id"].dataType
+    out = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("jaccard", T.DoubleType()), T.StructField("then", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, now, at, number, history, waiting = to_arrow_schema(out), None, None, 0, None, []
+        for batch in batches:
+            found: list[tuple] = []
+            users, spans, times, ids, dates, classes = batch.columns
+            times = times.cast(pa.int32() if pa.types.is_date32(times.type) else pa.int64())
+            for user, span, time, scan, date, name in zip(*(c.to_pylist() for c in (users, spans, times, ids, dates, classes))):
+                if history is None or (user, span) != now:
+                    now, at, history, waiting = (user, span), None, _History(least, top), []
+                if (time, scan) != at:
+                    # Rows of one time and id are not earlier than each other.
+                    for held, kept in waiting:
+                        history.last[held].append(kept)
+                    at, waiting = (time, scan), []
+                if date // months == span:
+                    found += [(scan, kept[3], jaccard, kept[2]) for jaccard, kept in history.best(name, date - days)]
+                else:
+                    history.near(name)
+                number += 1
+                waiting.append((name, (number, date, time, scan)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    met = dealt.repartition("user_id", "months").sortWithinPartitions("user_id", "months", "seen_at", "scan_id").mapInArrow(run, out)
+    # A scan has no more than its rows here, unless several have one id.
+    order = Window.partitionBy("a").orderBy(F.desc("jaccard"), F.desc("then"), F.desc("b"))
+    return met.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def improvement(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
